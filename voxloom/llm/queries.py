@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import simhash
+from voxloom.llm import chat, html_text, langid, packing, quality, secrets, simhash, topk, toxicity, winnow
+from voxloom.llm.labelled import fold
 from voxloom.session import read_table
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where the installed tokenizer files are; the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of 3-word-shingle fingerprints at 3 or fewer differing bits."""
@@ -15,5 +25,150 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores; labels of fold 0 of 5 are never read."""
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels")
+    model = quality.fit_quality(docs, labels, folds=5, held_out=0)
+    score = F.col("quality_score")
+    return quality.score_texts(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score.alias("score"), F.when(score >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of 10-word benchmark windows in every document."""
+    found = winnow.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of at most 4096."""
+    pieces = packing.token_pieces(read_table(spark, sf_dir, "documents"), vocabulary_path())
+    return packing.pack(pieces).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every vector whose id is divisible by 20."""
+    found = topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document; sources are owners, source and language name a repository."""
+    docs = read_table(spark, sf_dir, "documents")
+    spans = secrets.secret_spans(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
+    base = F.filter("spans", lambda s: s["kind"] != "owned")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    verdict = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long")
+    return spans.select(
+        F.col("id").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"),
+        verdict("live").alias("n_live"), verdict("example").alias("n_example"),
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores; labels of fold 1 of 3 are never read."""
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit_toxicity(docs, labels, folds=3, held_out=1)
+    score = F.col("toxicity")
+    return toxicity.score_texts(docs, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), score.alias("score"), F.when(score >= 0.7, 1).otherwise(0).alias("predicted"), "flagged"
+    )
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page; the text model is counted over all documents."""
+    model = langid.fit_text_model(read_table(spark, sf_dir, "documents"))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return langid.identify(pages, model)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_packing, op6_topk, op7_chat, op8_secrets, op9_toxicity, op10_langid)
+}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES = {
+    "op4_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        win AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS gram
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT size FROM win),
+        cand AS (
+            SELECT rid, k, size, array_to_string(w[k:k + size - 1], ' ') AS gram
+            FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size)),
+        hit AS (SELECT rid, k, cand.size, item_id FROM cand JOIN win ON cand.gram = win.gram AND cand.size = win.size),
+        pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + size)) AS p FROM hit) GROUP BY rid),
+        named AS (
+            SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+            FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY rid)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN pos USING (rid) LEFT JOIN named USING (rid)""",
+    "op6_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    "op7_chat": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        p AS (
+            SELECT conv_id, role, text, turn,
+                   row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+                   string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (w ROWS UNBOUNDED PRECEDING) AS pre
+            FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+        ends AS (SELECT pre, min(conv_id) AS conv_id FROM p WHERE pos = n GROUP BY pre),
+        kept AS (SELECT conv_id FROM ends WHERE pre NOT IN (SELECT pre FROM p WHERE pos < n))
+        SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_assistant,
+               string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+        FROM t JOIN kept USING (conv_id) GROUP BY conv_id""",
+    "op8_secrets": rf"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+        m AS (
+            SELECT rid, owner, repo, 0 AS no, regexp_extract_all(t, '{secrets.ASSIGN.replace("'", "''")}', 0) AS w, regexp_extract_all(t, '{secrets.ASSIGN.replace("'", "''")}', 2) AS v, regexp_split_to_array(t, '{secrets.ASSIGN.replace("'", "''")}') AS b FROM d
+            UNION ALL SELECT rid, owner, repo, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_split_to_array(t, 'AKIA[A-Z0-9]+') FROM d
+            UNION ALL SELECT rid, owner, repo, 2, regexp_extract_all(t, '[0-9a-f]{{24,}}', 0), regexp_extract_all(t, '[0-9a-f]{{24,}}', 0), regexp_split_to_array(t, '[0-9a-f]{{24,}}') FROM d
+            UNION ALL SELECT rid, owner, repo, 3, regexp_extract_all(t, '{secrets.OWNED}', 0), regexp_extract_all(t, '{secrets.OWNED}', 0), regexp_split_to_array(t, '{secrets.OWNED}') FROM d),
+        e AS (SELECT rid, owner, repo, no, w, v, b, unnest(range(1, len(w) + 1)) AS i FROM m WHERE len(w) > 0),
+        s AS (
+            SELECT rid, owner, repo, no, v[i] AS value,
+                   CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(w[i]) AS n
+            FROM e WHERE length(v[i]) >= CASE no WHEN 0 THEN 6 WHEN 2 THEN 24 ELSE 20 END),
+        apart AS (
+            SELECT * FROM s WHERE no < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+                AND NOT EXISTS (SELECT 1 FROM s b WHERE b.rid = s.rid AND b.no < 3 AND b.a < s.a + s.n AND s.a < b.a + b.n))),
+        own AS (SELECT value, count(DISTINCT owner) AS owners FROM apart GROUP BY value),
+        j AS (
+            SELECT rid, no, a, a + n AS z, owners, CASE no WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owned' END AS kind
+            FROM apart JOIN own USING (value) WHERE no < 3 OR owners = 1),
+        g AS (
+            SELECT rid, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+                   string_agg(concat_ws(':', kind, a, z), ',' ORDER BY a, no) FILTER (no < 3) AS base, string_agg(concat_ws(':', kind, a, z), ',' ORDER BY a, no) AS spans,
+                   count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 3) AS n_example
+            FROM j GROUP BY rid)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+        FROM d LEFT JOIN g USING (rid)""",
+}

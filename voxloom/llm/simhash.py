@@ -208,3 +208,91 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def fingerprint_text(fp: Column) -> Column:
     """16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+SAMPLES, SAMPLE_SIZE = 16, 3
+
+
+def _mixed(h: np.ndarray, t: int) -> np.ndarray:
+    x = h ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sample_fingerprints(hashes: np.ndarray, samples: int = SAMPLES, size: int = SAMPLE_SIZE) -> list[int]:
+    """SimHashes of min-wise samples of distinct shingle hashes: sample t holds the ``size`` smallest under mixing t."""
+    out = []
+    for t in range(samples):
+        m = _mixed(hashes, t)
+        out.append(fingerprint(np.partition(m, size - 1)[:size] if len(m) > size else m))
+    return out
+
+
+def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """``(rid, id, rep)`` for every row: rep is the row that stays for its group (rid = rep).
+
+    Groups are the components of links between texts whose sets of ``shingle``-word
+    shingles have a Jaccard ``similarity`` or more; texts of equal words are one
+    vertex. Candidates: whole-text fingerprints within ``radius`` bits, by the grid
+    join, and, since at a similarity of 0.8 whole-text fingerprints already differ
+    in about ten bits, equal fingerprints of min-wise samples of the shingles (a
+    pair at 0.8 shares one of 16 with a probability over 0.999). Every candidate is
+    verified on the exact sets. Inside a group of candidates the links proposed
+    are those to its first row and to the first row of each finer group.
+
+    The row that stays is the one with the smallest id (nulls last), then the
+    smallest row number. Null texts count as empty; wordless texts are one group.
+    """
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            keys, fps, samples, sets = [], [], [], []
+            for text in b.column(2).cast(pa.binary()).to_pylist():
+                words = b" ".join(text.translate(LOWER).split()) if text else b""
+                keys.append(xxhash.xxh3_128_hexdigest(words))
+                h = np.unique(shingle_hashes(words, shingle))
+                fps.append(fingerprint(h))
+                samples.append(sample_fingerprints(h) if len(h) else [])
+                sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(keys), pa.array(fps, pa.int64()), pa.array(samples, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))],
+                names=["rid", "id", "key", "fp", "samples", "shingles"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string"))
+    rows = cut(picked.mapInArrow(run, f"rid long, id {kind}, key string, fp long, samples array<bigint>, shingles array<int>"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")
+    texts = cut(rows.groupBy("key").agg(F.min(order).alias("first")).select("key", F.col("first.rid").alias("v"), "first"))
+    firsts = rows.join(texts.select(F.col("v").alias("rid")), "rid", "left_semi").where(F.size("shingles") > 0)
+
+    marks = firsts.select("rid", "samples", F.posexplode("samples").alias("t", "s")).select(
+        "rid", "t", "s", F.element_at("samples", F.pmod(F.col("t") + 1, F.lit(SAMPLES)) + 1).alias("finer")
+    )
+    marks = cut(marks)
+    edges = None
+    for keys in (["t", "s"], ["t", "s", "finer"]):
+        hubs = marks.groupBy(*keys).agg(F.min("rid").alias("src"), F.count("*").alias("n")).where("n > 1").drop("n")
+        found = marks.join(hubs, keys).where("rid <> src").select("src", F.col("rid").alias("dst")).distinct()
+        edges = found if edges is None else edges.unionByName(found)
+    by_fp = firsts.groupBy("fp").agg(F.min("rid").alias("v"))
+    by_fp = cut(by_fp)
+    links = hamming_links(by_fp.select("fp"), radius)
+    side = lambda c: by_fp.select(F.col("fp").alias(c), F.col("v").alias(f"v_{c}"))
+    edges = edges.unionByName(
+        links.join(side("src"), "src").join(side("dst"), "dst").select(F.least("v_src", "v_dst").alias("src"), F.greatest("v_src", "v_dst").alias("dst"))
+    )
+    edges = cut(edges.distinct())
+    sets = firsts.select("rid", "shingles")
+    paired = edges.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
+    common = F.size(F.array_intersect("a", "b"))
+    alike = cut(paired.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"))
+    groups = connected_components(alike)
+    named = texts.join(groups.withColumnRenamed("node", "v"), "v", "left").select("key", "first", F.coalesce("component", "v").alias("component"))
+    named = cut(named)
+    stays = named.groupBy("component").agg(F.min("first").alias("best")).select("component", F.col("best.rid").alias("rep"))
+    of_key = named.select("key", "component").join(stays, "component").select("key", "rep")
+    return rows.select("rid", "id", "key").join(of_key, "key").select("rid", "id", "rep")
