@@ -1,7 +1,7 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-A word's vector is the sum of the vectors of its own hash and of its beginning's
-hash. Filters of several widths slide over the words, each filter keeps its
+A word's vector is the sum of the vectors of its own hash and of the hashes of its
+beginnings. Filters of several widths slide over the words, each filter keeps its
 largest response (max pooling) and a logistic layer weighs them. Training steps
 only touch the windows that won the pooling. A flag per language uses a
 threshold calibrated on that language's held-back training rows; the score
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from voxloom.llm.labelled import TRAIN_ROWS, fold, training_rows
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
-PREFIX, REMEMBERED = 5, 500_000
+#: Lengths of a word's beginnings that have vectors of their own.
+PREFIXES, REMEMBERED = (3, 4, 5, 7), 200_000
+PARTS = 1 + len(PREFIXES)
+PADDING = PARTS * BUCKETS
 #: Words whose responses are computed at a time; bounds the memory of a very long text.
 PIECE = 1 << 15
 #: Letters without case, digits and all that is not ASCII make words.
@@ -28,22 +31,37 @@ TABLE = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in
 DEFAULT_THRESHOLD = 0.7
 
 
-class WordIds(dict):
-    """word -> bucket of the word and bucket of its beginning, packed; a bounded memory."""
+def word_parts(word: bytes) -> list[int]:
+    """Bucket numbers of a word and of its beginnings; the padding row where it is no longer than a beginning."""
+    text = word.decode("utf-8", "replace")
+    starts = [zlib.crc32(text[:k].encode("utf-8"), k) % BUCKETS + (i + 1) * BUCKETS if len(text) > k else PADDING for i, k in enumerate(PREFIXES)]
+    return [zlib.crc32(word) % BUCKETS, *starts]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a whole text in lower case; null and wordless texts have none."""
+    return text.lower().encode("utf-8", "replace").translate(TABLE).split() if text else []
+
+
+class WordVectors(dict):
+    """word -> row of ``table``, which holds the summed vectors; a bounded memory."""
+
+    def __init__(self, embeddings: np.ndarray):
+        self.embeddings = embeddings
+        self.table = np.zeros((1024, DIM), np.float32)
 
     def __missing__(self, word: bytes) -> int:
+        if len(self) == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        i = self[word] = len(self)
+        self.table[i] = self.embeddings[word_parts(word)].sum(axis=0)
+        return i
+
+    def vectors(self, words: list[bytes]) -> np.ndarray:
         if len(self) >= REMEMBERED:
             self.clear()
-        start = word.decode("utf-8", "replace")[:PREFIX].encode()
-        v = self[word] = (zlib.crc32(word) % BUCKETS) << 32 | (BUCKETS + zlib.crc32(start, 1) % BUCKETS)
-        return v
-
-
-def word_ids(text: str | None, known: WordIds) -> np.ndarray:
-    """(n, 2) bucket numbers of a whole text; null and wordless texts have one padding word."""
-    words = text.lower().encode("utf-8", "replace").translate(TABLE).split() if text else []
-    packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    return np.stack([packed >> 32, packed & 0xFFFFFFFF], 1) if len(packed) else np.full((1, 2), 2 * BUCKETS)
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.table[rows]
 
 
 class ToxicityModel:
@@ -51,7 +69,7 @@ class ToxicityModel:
 
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.e = (rng.normal(size=(2 * BUCKETS + 1, DIM)) * 0.1).astype(np.float32)
+        self.e = (rng.normal(size=(PADDING + 1, DIM)) * 0.1).astype(np.float32)
         self.e[-1] = 0
         self.k = [(rng.normal(size=(w, DIM, FILTERS)) * np.sqrt(2 / (w * DIM))).astype(np.float32) for w in WIDTHS]
         self.kb = np.zeros((len(WIDTHS), FILTERS), np.float32)
@@ -60,74 +78,85 @@ class ToxicityModel:
         self.slope, self.intercept = 1.0, 0.0
         self.thresholds: dict[str, float] = {}
 
-    def pooled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The largest response of every filter over the whole text, and where it was."""
+    def pooled(self, vectors, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The largest response of every filter over ``n`` words, and where it was.
+
+        ``vectors(a, z)`` gives the vectors of words a to z; zeros stand after the last.
+        """
         best = np.full((len(WIDTHS), FILTERS), -np.inf, np.float32)
         where = np.zeros((len(WIDTHS), FILTERS), np.int64)
-        pad = np.full((max(WIDTHS) - 1, 2), 2 * BUCKETS)
-        ids = np.concatenate([ids, pad])
-        n = len(ids) - len(pad)
-        for a in range(0, n, PIECE):
-            x = self.e[ids[a : a + PIECE + len(pad)]].sum(axis=1)
-            m = min(PIECE, n - a)
+        every, more = np.concatenate([k[j].T for k in self.k for j in range(len(k))]), max(WIDTHS) - 1
+        for a in range(0, max(n, 1), PIECE):
+            m = min(PIECE, max(n, 1) - a)
+            x = np.zeros((m + more, DIM), np.float32)
+            z = min(n, a + m + more)
+            if z > a:
+                x[: z - a] = vectors(a, z)
+            y, c = every @ x.T, 0  # a row of responses for each filter and place in it
             for w, width in enumerate(WIDTHS):
-                r = x[:m] @ self.k[w][0]
+                r = y[c : c + FILTERS, :m]
                 for j in range(1, width):
-                    r += x[j : j + m] @ self.k[w][j]
-                at = r.argmax(axis=0)
-                top = r[at, np.arange(FILTERS)]
-                more = top > best[w]
-                best[w, more], where[w, more] = top[more], at[more] + a
+                    r = r + y[c + j * FILTERS : c + (j + 1) * FILTERS, j : j + m]
+                c += width * FILTERS
+                at = r.argmax(axis=1)
+                top = r[np.arange(FILTERS), at]
+                up = top > best[w]
+                best[w, up], where[w, up] = top[up], at[up] + a
         return np.maximum(best + self.kb, 0), where
 
-    def logit(self, ids: np.ndarray) -> float:
-        return float(self.pooled(ids)[0].ravel() @ self.out + self.bias)
+    def logit(self, parts: np.ndarray) -> float:
+        """Of a text given as (n, PARTS) bucket numbers."""
+        p, _ = self.pooled(lambda a, z: self.e[parts[a:z]].sum(axis=1), len(parts))
+        return float(p.ravel() @ self.out + self.bias)
 
-    def score(self, ids: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.logit(ids) + self.intercept, -30, 30))))
+    def probability(self, logit: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * logit + self.intercept, -30, 30))))
 
-    def train(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.05, batch: int = 16, seed: int = 1) -> None:
+    def score(self, text: str | None, known: WordVectors) -> float:
+        words = words_of(text)
+        p, _ = self.pooled(lambda a, z: known.vectors(words[a:z]), len(words))
+        return self.probability(float(p.ravel() @ self.out + self.bias))
+
+    def train(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = 4, rate: float = 0.05, batch: int = 16, seed: int = 1) -> None:
         """AdaGrad on the log loss, classes weighted to equal sums."""
         rng = np.random.default_rng(seed)
         weight = np.where(y > 0, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
-        sums = {k: np.full_like(v, 1e-2) for k, v in (("e", self.e), ("out", self.out), ("kb", self.kb))}
-        ksums, bsum = [np.full_like(k, 1e-2) for k in self.k], 1e-2
+        sums, ksums, bsum = [np.full_like(v, 1e-2) for v in (self.e, self.out, self.kb)], [np.full_like(k, 1e-2) for k in self.k], 1e-2
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for a in range(0, len(order), batch):
-                ge: dict[int, np.ndarray] = {}
+                touched, grads = [], []
                 gk, gkb, go, gb = [np.zeros_like(k) for k in self.k], np.zeros_like(self.kb), np.zeros_like(self.out), 0.0
                 for i in order[a : a + batch]:
-                    ids = texts[i]
-                    p, where = self.pooled(ids)
+                    parts = texts[i]
+                    p, where = self.pooled(lambda u, v, parts=parts: self.e[parts[u:v]].sum(axis=1), len(parts))
                     d = weight[i] * (1 / (1 + np.exp(-np.clip(p.ravel() @ self.out + self.bias, -30, 30))) - y[i]) / batch
                     go += d * p.ravel()
                     gb += d
                     back = np.where(p > 0, d * self.out.reshape(p.shape), 0)
                     gkb += back
-                    padded = np.concatenate([ids, np.full((max(WIDTHS) - 1, 2), 2 * BUCKETS)])
+                    padded = np.concatenate([parts, np.full((max(WIDTHS), PARTS), PADDING)])
                     for w, width in enumerate(WIDTHS):
                         live = np.nonzero(back[w])[0]
                         for j in range(width):
                             rows = padded[where[w, live] + j]
-                            x = self.e[rows].sum(axis=1)
-                            gk[w][j][:, live] += (x * back[w, live, None]).T
-                            gx = back[w, live, None] * self.k[w][j][:, live].T
-                            for f, (u, v) in enumerate(rows.tolist()):
-                                for b in (u, v):
-                                    ge[b] = ge[b] + gx[f] if b in ge else gx[f]
-                ge.pop(2 * BUCKETS, None)
-                if ge:
-                    at, g = np.fromiter(ge, np.int64, len(ge)), np.stack(list(ge.values()))
-                    sums["e"][at] += g * g
-                    self.e[at] -= rate * g / np.sqrt(sums["e"][at])
-                for k, g, s in zip(self.k, gk, ksums):
-                    s += g * g
-                    k -= rate * g / np.sqrt(s)
-                sums["kb"] += gkb * gkb
-                self.kb -= rate * gkb / np.sqrt(sums["kb"])
-                sums["out"] += go * go
-                self.out -= rate * go / np.sqrt(sums["out"])
+                            gk[w][j][:, live] += (self.e[rows].sum(axis=1) * back[w, live, None]).T
+                            touched.append(rows)
+                            grads.append(back[w, live, None] * self.k[w][j][:, live].T)
+                rows, g = np.concatenate(touched), np.concatenate(grads)
+                flat = rows.ravel()
+                by = np.argsort(flat, kind="stable")
+                begin = np.nonzero(np.diff(flat[by], prepend=-1))[0]
+                at, ge = flat[by[begin]], np.add.reduceat(g[by // PARTS], begin, axis=0)
+                ge, at = ge[at != PADDING], at[at != PADDING]
+                sums[0][at] += ge * ge
+                self.e[at] -= rate * ge / np.sqrt(sums[0][at])
+                for k, gr, s in zip(self.k, gk, ksums):
+                    s += gr * gr
+                    k -= rate * gr / np.sqrt(s)
+                for v, gr, s in ((self.out, go, sums[1]), (self.kb, gkb, sums[2])):
+                    s += gr * gr
+                    v -= rate * gr / np.sqrt(s)
                 bsum += gb * gb
                 self.bias = np.float32(self.bias - rate * gb / np.sqrt(bsum))
 
@@ -140,9 +169,11 @@ def _best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
     return float(mids[int(np.argmax(f1))])
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs: int = 8, held_back: float = 0.2, least: int = 20) -> ToxicityModel:
+def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs: int = 4, held_back: float = 0.2, least: int = 20) -> ToxicityModel:
     """Train on most rows; scale the score and calibrate each language's threshold on those held back.
 
+    The score is scaled so that the best single threshold on the held-back rows is DEFAULT_THRESHOLD.
+
     A language with fewer than ``least`` held-back rows or no toxic one among them
     keeps the default threshold. With one class alone the score is its smoothed share.
     """
@@ -159,7 +190,11 @@ def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs:
     model.train([t for t, b in zip(texts, back) if not b], y[~back], epochs)
     at = np.nonzero(back)[0] if back.any() else np.arange(len(y))
     model.slope, model.intercept = _logistic(np.array([model.logit(texts[i]) for i in at]), y[at])
-    scores = np.array([model.score(texts[i]) for i in at])
+    logits = np.array([model.logit(texts[i]) for i in at])
+    best = _best_threshold(1 / (1 + np.exp(-logits)), y[at])
+    model.slope = max(model.slope, 0.1)
+    model.intercept = float(np.log(DEFAULT_THRESHOLD / (1 - DEFAULT_THRESHOLD)) - model.slope * np.log(best / (1 - best)))
+    scores = np.array([model.probability(v) for v in logits])
     for lang in sorted({langs[i] for i in at if langs[i] is not None}):
         own = np.array([langs[i] == lang for i in at])
         if own.sum() >= least and y[at][own].any():
@@ -172,13 +207,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: i
     rows = training_rows(docs, labels, "toxic", fold("doc_id", folds) != held_out, limit=limit)
 
     def run(batches):
-        known = WordIds()
         for b in batches:
-            ids = pa.array([word_ids(t, known).ravel().astype(np.int32) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array([np.array([word_parts(w) for w in words_of(t)], np.int32).ravel() for t in b.column(0).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([ids, b.column(1), b.column(2)], names=["ids", "lang", "y"])
 
     table = rows.select(F.col("text").cast("string"), F.col(lang_col).cast("string"), "y").mapInArrow(run, "ids array<int>, lang string, y int").toArrow()
-    texts = [np.asarray(x.values, np.int64).reshape(-1, 2) for x in table.column("ids")]
+    texts = [np.asarray(x.values, np.int64).reshape(-1, PARTS) for x in table.column("ids")]
     y, langs = np.asarray(table.column("y").to_pylist(), np.int64), table.column("lang").to_pylist()
     order = sorted(range(len(y)), key=lambda i: (zlib.crc32(texts[i].tobytes()), texts[i].tobytes(), y[i]))
     return fit([texts[i] for i in order], y[order] if len(y) else y, [langs[i] for i in order])
@@ -188,10 +222,9 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", l
     """``docs`` with ``toxicity`` (0 to 1, of the whole text) and ``flagged`` (by the language's threshold)."""
 
     def run(batches):
-        known = WordIds()
+        known = WordVectors(model.e)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            s = pa.array([model.score(word_ids(t, known)) for t in texts], pa.float64())
+            s = pa.array([model.score(t, known) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], "toxicity"])
 
     held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(text_col).cast("string").alias("scored"))
