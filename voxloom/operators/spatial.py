@@ -57,10 +57,12 @@ def nearest_in_group(queries: DataFrame, points: DataFrame, key: str, k: int, va
     out = f"{key} {kind[key]}, query_id {kind['query_id']}, rank int, id {kind['id']}, dist double" + (f", value {kind[value]}" if value else "")
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):  # a side without rows comes without columns
+            return pd.DataFrame({c.split()[0]: [] for c in out.split(", ")})
         p = p.sort_values("id", kind="stable")
-        at, frames = p[list(XYZ)].to_numpy(float), []
+        at, frames = p[["px", "py", "pz"]].to_numpy(float), []
         m = min(k, len(p))
-        for a in range(0, len(q) if m else 0, ROWS):
+        for a in range(0, len(q), ROWS):
             part = q.iloc[a : a + ROWS]
             dist = np.sqrt(((part[list(XYZ)].to_numpy(float)[:, None, :] - at[None]) ** 2).sum(2))
             order = np.argsort(dist, axis=1, kind="stable")[:, :m]
@@ -69,12 +71,13 @@ def nearest_in_group(queries: DataFrame, points: DataFrame, key: str, k: int, va
                 "id": p["id"].to_numpy()[order].ravel(), "dist": np.take_along_axis(dist, order, 1).ravel(),
             }
             if value:
-                frame["value"] = p[value].to_numpy()[order].ravel()
+                frame["value"] = p["pv"].to_numpy()[order].ravel()
             frames.append(pd.DataFrame(frame))
-        return pd.concat(frames) if frames else pd.DataFrame({c.split()[0]: [] for c in out.split(", ")})
+        return pd.concat(frames)
 
-    cols = [key, "id", *XYZ] + ([value] if value else [])
-    return queries.select(key, "query_id", *XYZ).groupBy(key).cogroup(points.select(*dict.fromkeys(cols)).groupBy(key)).applyInPandas(run, out)
+    # both sides may come from one table: own column names keep their attributes apart
+    cols = [F.col(key).alias("pk"), "id", *[F.col(c).alias(f"p{c}") for c in XYZ]] + ([F.col(value).alias("pv")] if value else [])
+    return queries.select(key, "query_id", *XYZ).groupBy(key).cogroup(points.select(*cols).groupBy("pk")).applyInPandas(run, out)
 
 
 def nearest_anywhere(queries: DataFrame, points: DataFrame, start: float, grow: float = 2.0, rounds: int = 40) -> DataFrame:

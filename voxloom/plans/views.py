@@ -69,7 +69,7 @@ VIEWS = {
     "objects": """
         SELECT CASE WHEN p_size % 3 = 0 THEN 'mi' WHEN p_size % 3 = 1 THEN 'vc' ELSE 'sj' END AS obj_type,
                p_partkey AS obj_id, CAST(20 + p_partkey % 400 AS BIGINT) AS size,
-               CAST(p_retailprice / 10 AS BIGINT) AS x, CAST(p_size AS BIGINT) AS y, p_partkey % 37 AS z
+               CAST(floor(p_retailprice / 10) AS BIGINT) AS x, CAST(p_size AS BIGINT) AS y, p_partkey % 37 AS z
         FROM part""",
     "fragments": """
         SELECT l_orderkey * 10 + l_linenumber AS syn_id, l_suppkey AS sv_1, o_custkey AS sv_2, CAST(l_quantity AS BIGINT) AS size,
