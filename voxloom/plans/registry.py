@@ -26,4 +26,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from voxloom.plans import connectivity, graphs, mapping, prediction, skeletons, tables, volumes  # noqa: F401
+    from voxloom.plans import connectivity, features, graphs, mapping, prediction, skeletons, synapses, tables, volumes  # noqa: F401
