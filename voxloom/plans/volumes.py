@@ -305,3 +305,80 @@ def v38_contact_of_two(spark, d):
 @query("SELECT x, y, z FROM voxels WHERE x >= 0 AND x < 6 AND y >= 0 AND y < 6 AND z >= 0 AND z < 6")
 def v39_inside_cube(spark, d):
     return V.inside_cube(_vox(spark, d).select("x", "y", "z"), 6)
+
+
+SIZE, SHAPE = (10, 10, 8), (25, 40, 8)
+SIX_SQL = "(SELECT unnest([1, -1, 0, 0, 0, 0]) AS dx, unnest([0, 0, 1, -1, 0, 0]) AS dy, unnest([0, 0, 0, 0, 1, -1]) AS dz)"
+INSIDE = "x BETWEEN 0 AND 24 AND y BETWEEN 0 AND 39 AND z BETWEEN 0 AND 7"
+
+
+def _mask(spark, d, t):
+    return V.threshold(_vox(spark, d).withColumn("p", r6("p")), "p", t).select("x", "y", "z", F.lit(1).alias("on"))
+
+
+@query(f"SELECT CASE kind WHEN 'mi' THEN 'sub' WHEN 'mi:overlap' THEN 'sub:overlap' ELSE kind END AS kind, id, coalesce(id2, 0) AS id2, {OUT} FROM ({_fused_sql('two')}) p WHERE kind IN ('cell', 'mi', 'mi:overlap')".replace("FROM two", "FROM (SELECT *, 0 AS sj_id FROM voxels) two"))
+def v4_fused_blocks(spark, d):
+    from voxloom.operators import blocks as B
+
+    vox = _vox(spark, d)
+    return B.fused_partials(B.to_blocks(vox, "sv_id", SIZE, SHAPE), B.to_blocks(vox, "mi_id", SIZE, SHAPE), SIZE)
+
+
+@query()
+def v17_fill_contacts(spark, d):
+    from voxloom.operators import blocks as B
+
+    contacts = V.contact_voxels(_vox(spark, d), "sv_id").withColumn("label", F.col("id_lo") * 1000 + F.col("id_hi"))
+    full = B.map_blocks(B.to_blocks(contacts, "label", SIZE, SHAPE), lambda a: B.fill_contacts(a, 1, 1), 3, SIZE)
+    return B.to_voxels(full, SIZE).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH m AS (SELECT x, y, z FROM voxels WHERE round(p, 6) > 0.56), g AS (SELECT DISTINCT x + dx AS x, y + dy AS y, z + dz AS z FROM m, {SIX_SQL} s UNION SELECT x, y, z FROM m),
+    dil AS (SELECT x, y, z FROM g WHERE {INSIDE}), c AS (SELECT dil.x, dil.y, dil.z, count(*) AS n FROM dil, {SIX_SQL} s JOIN dil o ON o.x = dil.x + dx AND o.y = dil.y + dy AND o.z = dil.z + dz GROUP BY dil.x, dil.y, dil.z)
+    SELECT x, y, z FROM c WHERE n = 6""")
+def v22_morphology(spark, d):
+    from voxloom.operators import blocks as B
+
+    closed = B.morphology(B.to_blocks(_mask(spark, d, 0.56), "on", SIZE, SHAPE), [("closing", 1)], SIZE, SHAPE)
+    # the closing of what lies in blocks; the volume's faces are eroded like any other
+    return B.to_voxels(closed, SIZE).select("x", "y", "z")
+
+
+OBJECTS = """m AS (SELECT x, y, z, x * 10000 + y * 100 + z AS id, {0} AS b FROM voxels WHERE round(p, 6) > 0.6),
+    e AS (SELECT a.id AS src, o.id AS dst FROM m a JOIN m o ON abs(a.x - o.x) + abs(a.y - o.y) + abs(a.z - o.z) <= 1 AND a.b = o.b),
+    r(u, w) AS (SELECT src, src FROM e UNION SELECT r.u, e.dst FROM r JOIN e ON r.w = e.src), k AS (SELECT u AS id, min(w) AS label FROM r GROUP BY u)"""
+
+
+@query(f"WITH RECURSIVE {OBJECTS.format('block_x * 10 + block_y')}, s AS (SELECT b, label, count(*) AS n FROM m JOIN k USING (id) GROUP BY b, label) SELECT n AS size, count(*) AS n_objects FROM s GROUP BY n")
+def v23_label_blocks(spark, d):
+    from voxloom.operators import blocks as B
+
+    made = B.map_blocks(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, SHAPE), lambda a: B.label_components(a != 0), 0, SIZE)
+    sizes = B.to_voxels(made, SIZE).groupBy("bx", "by", "bz", "label").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("n_objects"))
+
+
+@query(f"WITH RECURSIVE {OBJECTS.format('1')}, s AS (SELECT label, count(*) AS n FROM m JOIN k USING (id) GROUP BY label) SELECT n AS size, count(*) AS n_objects FROM s GROUP BY n")
+def v28_instance_segmentation(spark, d):
+    from voxloom.operators import blocks as B
+
+    vox, _ = B.instance_segmentation(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, SHAPE), SIZE)
+    sizes = vox.groupBy("label").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("n_objects"))
+
+
+@query(f"SELECT v.x, v.y, v.z, CAST(sum(o.sv_id) + max(v.sv_id) AS BIGINT) AS label FROM voxels v, {SIX_SQL} s JOIN voxels o ON o.x = v.x + dx AND o.y = v.y + dy AND o.z = v.z + dz GROUP BY v.x, v.y, v.z HAVING sum(o.sv_id) + max(v.sv_id) <> 0")
+def u1_map_blocks(spark, d):
+    from voxloom.operators import blocks as B
+
+    total = B.map_blocks(B.to_blocks(_vox(spark, d), "sv_id", SIZE, SHAPE), lambda a: a + sum(B.shifted(a, k) for k in V.SIX), 1, SIZE)
+    vox = _vox(spark, d).select("x", "y", "z")
+    return B.to_voxels(total, SIZE).select("x", "y", "z", "label").join(vox, ["x", "y", "z"], "left_semi")
+
+
+@query(f"WITH {CONTACT}, j AS (SELECT c.*, sj, sym, asym FROM contact c JOIN voxels USING (x, y, z)) SELECT id_lo, id_hi, count(*) AS cs_size, CAST(sum(sj) AS BIGINT) AS syn_size, CAST(sum(sj * sym) AS BIGINT) AS n_sym, CAST(sum(sj * asym) AS BIGINT) AS n_asym FROM j GROUP BY id_lo, id_hi HAVING count(*) >= 10")
+def c1_contact_extraction(spark, d):
+    vox = _vox(spark, d)
+    contacts = V.contact_voxels(vox, "sv_id").join(vox.select("x", "y", "z", "sj", "sym", "asym"), ["x", "y", "z"])
+    props = V.contact_synapse_properties(contacts, "sj", "sym", "asym").where("cs_size >= 10")
+    return props.select("id_lo", "id_hi", "cs_size", "syn_size", "n_sym", "n_asym")
