@@ -14,7 +14,9 @@ result is that of one shard.
 
 from __future__ import annotations
 
+import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,31 +26,82 @@ from pyspark.sql import functions as F
 from voxloom.session import cut
 
 CAPACITY = 4096
-#: Pieces that one task packs (in expectation), and words whose ids a task remembers.
-SHARD, REMEMBERED = 16_384, 300_000
+#: Pieces that one task packs (in expectation), and parts of texts whose ids a task remembers.
+SHARD, REMEMBERED = 16_384, 1_200_000
+#: Characters of text whose words are held as a list at a time.
+HELD = 1 << 21
+#: Texts of these characters alone are parted here, the same way as by the vocabulary's own rule.
+PLAIN = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\s0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: A bin is taken apart for the next round if more than this share of it is empty.
 OPEN_SHARE = 0.002
-SPACES = b" \t\n\r\x0b\x0c"
 
 
-class WordIds(dict):
-    """White-space-free run -> its token ids as little-endian bytes; a bounded memory.
+class TextIds:
+    """The token ids of texts as little-endian bytes.
 
-    The vocabulary's pre-tokenizer drops white space and no token crosses it, so
-    the ids of a text are those of its runs in order.
+    The vocabulary lower-cases a text, drops white space and encodes each run of
+    letters, each digit and each run of marks by itself. Plain texts are parted
+    that way here, so that every part is encoded once and looked up from then on
+    (a bounded memory); parts not met before are encoded together. Other texts,
+    and those that may hold a special token, go through the tokenizer whole.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        found = np.asarray(ids, "<u4").tobytes()
-        if len(run) <= 64:
-            self[run] = found
-        return found
+        self.known: dict[str, bytes] = {}
+        names = tokenizer.get_vocab()
+        self.is_last = np.zeros(max(names.values()) + 1, bool)  # tokens that end a part
+        self.is_last[[i for t, i in names.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, parts: list[str]) -> None:
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.nonzero(self.is_last[ids])[0] + 1)
+        assert len(ends) == len(parts), "each part is encoded by itself"
+        raw, begin = ids.tobytes(), 0
+        for w, z in zip(parts, ends.tolist()):
+            self.known[w] = raw[begin:z]
+            begin = z
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of a few texts."""
+        split = [PARTS.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        found = [None if s is None else list(map(self.known.get, s)) for s in split]
+        fresh = {p for s, f in zip(split, found) if f and None in f for p, x in zip(s, f) if x is None}
+        if fresh:
+            self._learn(sorted(fresh))
+        out = []
+        for t, s, f in zip(texts, split, found):
+            if s is None:
+                whole = self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0]
+                out.append(np.asarray(whole.ids, "<u4").tobytes())
+            else:
+                out.append(b"".join(map(self.known.__getitem__, s) if None in f else f))
+        return out
+
+
+@lru_cache(1)
+def text_ids(vocabulary: str) -> TextIds:
+    """One per worker process: what a task has learnt serves the next."""
+    from tokenizers import Tokenizer
+
+    return TextIds(Tokenizer.from_file(vocabulary))
+
+
+def _few(texts: list[str | None]):
+    """Runs of consecutive texts of about HELD characters; a longer text comes alone."""
+    held, size = [], 0
+    for t in texts:
+        t = t or ""
+        if held and size + len(t) > HELD:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -59,14 +112,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        known = WordIds(Tokenizer.from_file(vocabulary))
+        known = text_ids(vocabulary)
         end, step = np.asarray([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows: list[tuple] = []
-            for i, text in enumerate(b.column(2).to_pylist()):
-                ids = b"".join(map(known.__getitem__, (text or "").split())) + end
+            made = (ids + end for few in _few(b.column(2).to_pylist()) for ids in known.ids(few))
+            for i, ids in enumerate(made):
                 rows += [(i, k, a // 4, min(step, len(ids) - a) // 4, zlib.crc32(ids[a : a + step])) for k, a in enumerate(range(0, len(ids), step))]
             i, piece, start, length, crc = zip(*rows) if rows else ([],) * 5
             at = pa.array(i, pa.int64())
