@@ -168,6 +168,7 @@ def test_long_texts_are_pooled_whole():
         ('<article><p>Kept.</p><div class="comments"><p>A long reader comment about it all, with many words in it.</p></div><p>Also</p></article>', "Kept. Also"),
         ('<article><p>A<script>var t="</p>";</script>B</p><aside>side words</aside><form>mail <input></form><p>C &lt;b&gt;</p></article>', "AB C <b>"),
         ('<body><div id="cookie-notice">We use cookies on this site to serve you better and so on and on.</div><article><p>Text\n\n  runs  on</p></article></body>', "Text runs on"),
+        ('<body class="home no-sidebar"><div class="main with-sidebar"><p>One two three four five six seven eight nine ten eleven twelve.</p></div><div class="alert">Read our new rules now, all of them.</div>', "One two three four five six seven eight nine ten eleven twelve."),
         ("<article><p><b>unclosed <i>bold<p>next</article>", "unclosed bold next"),
     ],
 )

@@ -36,9 +36,11 @@ HOLDERS = frozenset("html head body button select div section article main nav h
 BOILER_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|foot|footer\w*|head|header\w*|masthead"
     r"|cookie\w*|consent|notice\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|share|sharing|social\w*|related|recommend\w*|comments?|commentlist|reply|replies|respond|disqus"
-    r"|pagination|pager|copyright|legal|disclaimer|widget\w*|toolbar|skip|search\w*|complementary|contentinfo)(?=$|[\s_-])",
+    r"|pagination|pager|copyright|legal|disclaimer|widget\w*|toolbar|skip|search\w*|complementary|contentinfo|alert\w*|announcement\w*|gdpr|adsby\w*)(?=$|[\s_-])",
     re.I,
 )
+#: Layout words on what stands beside a sidebar or menu, not in it.
+BESIDE = re.compile(r"\b(?:has|no|with|without)[_-](?:side-?bar|menu|nav|header|footer|ads?|comments?)\w*", re.I)
 ARTICLE_WORDS = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post-?(?:body|content|text)?|entry-?(?:content|text)?|story-?body|main-?(?:content|text)?|content)(?=$|[\s_-])", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "boiler", "heading")
@@ -146,7 +148,7 @@ def _marks(attrs: str) -> str:
     low = attrs.lower()
     if "class" not in low and "id" not in low and "role" not in low and "label" not in low:
         return ""
-    return " ".join(a or b or c for _, a, b, c in ATTR.findall(attrs))
+    return BESIDE.sub("", " ".join(a or b or c for _, a, b, c in ATTR.findall(attrs)))
 
 
 def _boiler_marks(attrs: str) -> bool:
@@ -243,8 +245,8 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` without its html, with ``main_text`` and ``main_chars`` (code points). Row by row, no shuffle."""
-    rest = [c for c in pages.columns if c != html_col]
+    """``pages`` without its html, with ``main_text`` and ``main_chars`` (code points); columns of those names are replaced. Row by row, no shuffle."""
+    rest = [c for c in pages.columns if c not in (html_col, "main_text", "main_chars")]
 
     def run(batches):
         for b in batches:

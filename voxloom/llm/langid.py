@@ -103,13 +103,15 @@ def identify(pages: DataFrame, model: TextModel, url_col: str = "url", html_col:
     declaration are judged by the evidence that is there; with none at all they
     get the most common language. Ties go to the first language by name. Without
     any training document lang is null and the score 0. Hosts that hold a large
-    share of the pages cost one row per task in the grouped sums.
+    share of the pages cost one row per task in the grouped sums. Columns of the
+    names above are replaced.
     """
     langs, k = model.langs, len(model.langs)
-    rest = [c for c in pages.columns if c != html_col]
+    made = ("host", "declared", "suffix_lang", "text_lang", "lang", "score")
+    rest = [c for c in pages.columns if c not in (html_col, *made)]
     if not k:
-        blank = pages.drop(html_col)
-        for c in ("host", "declared", "suffix_lang", "text_lang", "lang"):
+        blank = pages.select(*rest)
+        for c in made[:-1]:
             blank = blank.withColumn(c, F.lit(None).cast("string"))
         return blank.withColumn("score", F.lit(0.0))
 

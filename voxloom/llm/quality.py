@@ -178,7 +178,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: in
 
 
 def score_texts(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score``, from the whole text alone; null texts count as empty."""
+    """``docs`` with ``quality_score``, from the whole text alone; null texts count as empty. A column of that name is replaced."""
 
     def run(batches):
         known = Tokens()
@@ -187,6 +187,7 @@ def score_texts(docs: DataFrame, model: QualityModel, text_col: str = "text") ->
             s = pa.array([model.score(features(t, known)) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], "quality_score"])
 
+    docs = docs.drop("quality_score")
     held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(text_col).cast("string").alias("scored"))
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
     out = held.mapInArrow(run, f"{fields}, quality_score double")

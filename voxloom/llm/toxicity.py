@@ -227,6 +227,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", l
             s = pa.array([model.score(t, known) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], "toxicity"])
 
+    docs = docs.drop("toxicity", "flagged")
     held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(text_col).cast("string").alias("scored"))
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
     out = held.mapInArrow(run, f"{fields}, toxicity double").toDF(*docs.columns, "toxicity")
