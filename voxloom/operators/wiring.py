@@ -113,6 +113,14 @@ def sign_ratio(syn: DataFrame, comps: list[int], partner_comps: list[int], weigh
     return both.groupBy("cell").agg(F.when(total > 0, F.coalesce(symmetric, F.lit(0.0)) / total).otherwise(-1.0).alias("ratio"))
 
 
+def sign_ratio_of(rows: DataFrame, comps: list[int]) -> DataFrame:
+    """Share of symmetric area per ``cell`` among rows whose ``own`` compartment is in ``comps``; -1 where there is none."""
+    inside = F.col("own").isin(comps)
+    total = F.sum(F.when(inside, F.col("mesh_area")))
+    symmetric = F.sum(F.when(inside & (F.col("syn_sign") == -1), F.col("mesh_area")))
+    return rows.groupBy("cell").agg(F.when(total > 0, F.coalesce(symmetric, F.lit(0.0)) / total).otherwise(-1.0).alias("ratio"))
+
+
 def by_sign(syn: DataFrame) -> DataFrame:
     """X11: synapses of each cell by sign."""
     return partners(syn).groupBy("cell", "syn_sign").agg(F.count("*").alias("n"), F.sum("mesh_area").alias("area"))

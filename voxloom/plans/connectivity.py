@@ -94,7 +94,7 @@ def x9_sign_ratio(spark, d):
 
 
 @query(f"""WITH {PARTNERS}, q AS (SELECT cell, syn_sign, mesh_area FROM p WHERE ax = 1 AND partner_ax = 0) SELECT cell, round(sum(CASE WHEN syn_sign = -1 THEN 1 ELSE 0 END) / count(*), 6) AS ratio, count(*) AS n FROM q GROUP BY cell""")
-def x10_sign_ratio_unweighted(spark, d):
+def x9_sign_ratio_unweighted(spark, d):
     p = W.partners(_syn(spark, d)).where("ax = 1 and partner_ax = 0")
     return p.groupBy("cell").agg(r6(F.count_if(F.col("syn_sign") == -1) / F.count("*")).alias("ratio"), F.count("*").alias("n"))
 
@@ -152,3 +152,20 @@ def x18_wiring_distance(spark, d):
 
     cells = read_table(spark, d, "supplier").where("s_suppkey <= 60").select(F.col("s_suppkey").alias("cell"))
     return W.wiring_distance(W.wiring_matrix(_filtered(spark, d)), cells).withColumn("dist", r6("dist"))
+
+
+OWN = """q AS (SELECT syn_id, cell_1 AS cell_id, syn_sign, mesh_area, x, y, z FROM synapses),
+    a AS (SELECT q.*, n.axoness, row_number() OVER (PARTITION BY syn_id ORDER BY sqrt(pow(q.x - n.x, 2) + pow(q.y - n.y, 2) + pow(q.z - n.z, 2)), n.node_id) AS rn FROM q JOIN skel_nodes n ON q.cell_id = n.cell_id),
+    s AS (SELECT cell_id, sum(CASE WHEN axoness IN (1, 3, 4) THEN mesh_area END) AS t, sum(CASE WHEN axoness IN (1, 3, 4) AND syn_sign = -1 THEN mesh_area END) AS m FROM a WHERE rn = 1 GROUP BY cell_id)"""
+
+
+@query(f"WITH {OWN} SELECT cell_id AS cell, round(CASE WHEN t > 0 THEN coalesce(m, 0) / t ELSE -1 END, 6) AS ratio FROM s")
+def x10_sign_ratio_by_skeleton(spark, d):
+    """The compartment of a synapse is that of its cell's nearest skeleton node."""
+    from voxloom.operators.skeleton import attribute_at
+
+    syn = _syn(spark, d)
+    coords = syn.select(F.col("cell_1").alias("cell_id"), F.col("syn_id").alias("query_id"), "x", "y", "z")
+    nodes = view(spark, d, "skel_nodes")
+    own = attribute_at(coords.join(nodes.select("cell_id").distinct(), "cell_id", "left_semi"), nodes, "axoness").select(F.col("query_id").alias("syn_id"), F.col("axoness").alias("own"))
+    return W.sign_ratio_of(syn.join(own, "syn_id").withColumn("cell", F.col("cell_1")), [1, 3, 4]).withColumn("ratio", r6("ratio"))
