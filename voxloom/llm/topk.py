@@ -20,7 +20,7 @@ from voxloom.session import cut
 #: Vectors in a candidate block and in a query block (in expectation).
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Queries whose dense score arrays are held at a time.
-LIVE = 64
+LIVE = 16
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -36,35 +36,49 @@ def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
     return rows.groupBy(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("id", "w")).alias("rows"))
 
 
-def _postings(w: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    dims = max(map(len, w), default=0)
-    dense = np.zeros((len(w), dims), np.int64)
+def _rows(w: list[np.ndarray], dims: int, kind) -> np.ndarray:
+    """Weights as a table, short rows padded by zeros."""
+    out = np.zeros((len(w), dims), kind)
     for i, x in enumerate(w):
-        dense[i, : len(x)] = x
-    lists = []
-    for t in range(dims):
-        at = np.nonzero(dense[:, t])[0]
-        lists.append((at, dense[at, t]))
-    return lists
-
-
-def scores(queries: list[np.ndarray], lists: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    """Dense (query, candidate) sums, accumulated term by term; exact in int64."""
-    dims = max(map(len, queries), default=0)
-    q = np.zeros((len(queries), dims), np.int64)
-    for i, x in enumerate(queries):
-        q[i, : len(x)] = x
-    acc = np.zeros((len(queries), n), np.int64)
-    for t in range(min(dims, len(lists))):
-        at, weight = lists[t]
-        rows = np.nonzero(q[:, t])[0]
-        if not len(at) or not len(rows):
+        out[i, : len(x)] = x[:dims]
+    return out
+
+
+def _largest(w: list[np.ndarray]) -> int:
+    return max((int(np.abs(x).max()) for x in w if len(x)), default=0)
+
+
+class Postings:
+    """The candidates of a block, term by term: who has a weight other than 0, and the weights.
+
+    A term that many candidates have keeps its weights in candidate order, zeros
+    included, and no list of who.
+    """
+
+    def __init__(self, w: list[np.ndarray], kind):
+        self.n, self.dims = len(w), max(map(len, w), default=0)
+        self.lists = []
+        for row in np.ascontiguousarray(_rows(w, self.dims, kind).T):
+            at = np.nonzero(row)[0]
+            self.lists.append((None, row) if 8 * len(at) >= self.n else (at, row[at]))
+
+
+def scores(queries: np.ndarray, postings: Postings) -> np.ndarray:
+    """Dense (query, candidate) sums of a few sparse query rows, accumulated term by term."""
+    acc = np.zeros((len(queries), postings.n), queries.dtype)
+    part = np.empty_like(acc)
+    for t in range(min(queries.shape[1], postings.dims)):
+        at, weight = postings.lists[t]
+        rows = np.nonzero(queries[:, t])[0]
+        if not len(weight) or not len(rows):
             continue
-        part = q[rows, t, None] * weight
-        if len(at) == n and len(rows) == len(q):
+        if at is not None:
+            acc[np.ix_(rows, at)] += queries[rows, t, None] * weight
+        elif 2 * len(rows) >= len(queries):
+            np.multiply(queries[:, t, None], weight, out=part)
             acc += part
         else:
-            acc[np.ix_(rows, at)] += part
+            acc[rows] += queries[rows, t, None] * weight
     return acc
 
 
@@ -93,18 +107,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
                 (qid, q), (cid, c) = unpack(b.column(0)), unpack(b.column(1))
                 order = np.argsort(cid, kind="stable")
                 cid, c = cid[order], [c[o] for o in order]
-                lists, out = _postings(c), []
+                dims = max(map(len, [*q, *c]), default=0)
+                # the narrowest integers in which no sum can overflow
+                kind = np.int32 if _largest(q) * _largest(c) * dims < 1 << 30 else np.int64
+                least = np.iinfo(kind).min
+                table, postings, out = _rows(q, dims, kind), Postings(c, kind), []
                 for a in range(0, len(q), LIVE):
-                    acc = scores(q[a : a + LIVE], lists, len(c))
-                    acc[qid[a : a + LIVE, None] == cid] = np.iinfo(np.int64).min
+                    acc = scores(table[a : a + LIVE], postings)
+                    acc[qid[a : a + LIVE, None] == cid] = least
                     if len(c) > k:
                         kth = np.partition(acc, len(c) - k, axis=1)[:, len(c) - k]
                     else:
-                        kth = np.full(len(acc), np.iinfo(np.int64).min)
+                        kth = np.full(len(acc), least)
                     for r in range(len(acc)):
-                        at = np.nonzero((acc[r] >= kth[r]) & (acc[r] > np.iinfo(np.int64).min))[0]
-                        at = at[np.lexsort((cid[at], -acc[r, at]))][:k]
-                        out.append((np.full(len(at), qid[a + r]), cid[at], acc[r, at]))
+                        at = np.nonzero((acc[r] >= kth[r]) & (acc[r] > least))[0]
+                        got = acc[r, at].astype(np.int64)
+                        by = np.lexsort((cid[at], -got))[:k]
+                        out.append((np.full(len(by), qid[a + r]), cid[at[by]], got[by]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "id", "score"])
 
