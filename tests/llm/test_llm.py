@@ -103,6 +103,37 @@ def test_near_text_groups_hold_similarity(spark):
     assert [by_rid[r.rep] for r in got] == want
 
 
+@pytest.mark.parametrize("tile", [1024, 32])
+def test_edited_copies_meet_their_source_wherever_it_lies(spark, tile):
+    rng = np.random.default_rng(9)
+    source = ["s%d" % x for x in rng.integers(0, 10**6, 300)]
+    copies = []
+    for c in range(240):
+        w = list(source)
+        at = int(rng.integers(0, 290))
+        for k in range(5):  # about 0.88 to the source, below 0.8 between most copies
+            w[(at + 57 * k) % 300 if k < 3 else (at + k) % 300] = "c%d_%d" % (c, k)
+        copies.append(" ".join(w))
+    texts = copies[:120] + [" ".join(source)] + copies[120:] + ["t%d other words of its own %d" % (i, i) for i in range(20)]
+    s = [set(shingles(t, 5)) for t in texts]
+    alike = [(i, j) for i in range(len(s)) for j in range(i) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])]
+    got = sorted(simhash.near_text_groups(docs(spark, texts), tile=tile).collect(), key=lambda r: r.id)
+    by_rid = {r.rid: r.id for r in got}
+    assert [by_rid[r.rep] for r in got] == components(len(s), alike)
+
+
+def test_text_links_equal_brute_force():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 10**6, (6, 60))
+    sets = [np.unique(np.concatenate([rng.choice(base[k % 6], int(rng.integers(48, 61)), replace=False), rng.integers(0, 10**6, 3)])) for k in range(150)]
+    comps = np.where(np.arange(150) % 12 == 0, 0, np.arange(150))
+    alike = [(i, j) for i in range(150) for j in range(i) if (c := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - c)]
+    joined = [(0, i) for i in range(0, 150, 12)]
+    links = simhash._text_links(np.arange(150), comps, sets, 0.8)
+    assert set(map(frozenset, links)) <= set(map(frozenset, alike)) and len(links) < 150
+    assert components(150, joined + links) == components(150, joined + alike)
+
+
 def test_simhash_of_an_empty_table(spark):
     assert simhash.near_duplicates(docs(spark, []).limit(0)).count() == 0
     assert simhash.near_text_groups(docs(spark, []).limit(0)).count() == 0

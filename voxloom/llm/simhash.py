@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import connected_components
-from voxloom.session import cut
+from voxloom.session import cut, drop_cut
 
 EVEN_BITS = 0x5555555555555555
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Rows of bits unpacked at a time; bounds the memory of a very long text.
 BIT_ROWS = 1 << 15
-#: Fingerprints on one side of a tile of a hot cell.
-TILE = 1024
+#: Fingerprints or texts, and shingles of texts, on one side of a tile of a hot cell.
+TILE, TILE_SHINGLES = 1024, 1 << 20
 
 
 def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
@@ -229,17 +229,88 @@ def sample_fingerprints(hashes: np.ndarray, samples: int = SAMPLES, size: int =
     return out
 
 
-def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+def _text_links(rids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what pairs at ``similarity`` or more connect, beyond what ``comps`` already joins.
+
+    Every pair of rows of different components is compared, unless links found before have joined it.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(sizes, kind="stable")
+    sizes, rids, comps = sizes[order], rids[order], comps[order]
+    distinct, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    _, label = np.unique(comps, return_inverse=True)
+    mark, links = np.zeros(len(distinct), np.int32), []
+    for i in np.nonzero(label != np.bincount(label).argmax())[0].tolist():  # one of each pair is outside the largest
+        lo = int(np.searchsorted(sizes, int(similarity * sizes[i]), "left"))
+        hi = int(np.searchsorted(sizes, sizes[i] / similarity + 1, "right"))
+        apart = np.nonzero(label[lo:hi] != label[i])[0]
+        if not len(apart):
+            continue
+        mine = flat[ends[i] : ends[i + 1]]
+        mark[mine] = 1
+        common = np.add.reduceat(mark[flat[ends[lo] : ends[hi]]], ends[lo:hi] - ends[lo])[apart]
+        mark[mine] = 0
+        for j in (lo + apart[common >= similarity * (sizes[i] + sizes[lo + apart] - common)]).tolist():
+            if label[j] != label[i]:
+                links.append((int(rids[i]), int(rids[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _links_inside(members: DataFrame, sets: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
+    """``(src, dst)``: verified links that join all that is alike inside each cell, by square tiles of bounded size.
+
+    ``members`` has t, s, rid and component, ``sets`` rid and shingles, ``cells`` t, s and the side of their squares.
+    """
+    salted = members.join(cells, ["t", "s"]).withColumn("at", F.pmod(F.xxhash64("rid"), F.col("side")).cast("int"))
+    tiles = salted.select("t", "s", "rid", "component", "at", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other")).select(
+        "t", "s", F.least("at", "other").alias("ti"), F.greatest("at", "other").alias("tj"), "rid", "component"
+    )
+    keys = ["t", "s", "ti", "tj"]
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
+        at = None
+
+        def close():
+            rids, comps, texts = (np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [x for h in held for x in h[2]])
+            held.clear()
+            links = _text_links(rids, comps, texts, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+        for b in batches:
+            key = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(4)], 1)
+            rids, comps, lists = np.asarray(b.column(4)), np.asarray(b.column(5)), b.column(6)
+            values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
+            new = np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1
+            for a, z in zip([0, *new.tolist()], [*new.tolist(), len(key)]):
+                if a == z:
+                    continue
+                if held and (at != key[a]).any():
+                    yield close()
+                at = key[a].copy()
+                held.append((rids[a:z].copy(), comps[a:z].copy(), [values[offsets[i] : offsets[i + 1]].copy() for i in range(a, z)]))
+        if held:
+            yield close()
+
+    dealt = tiles.join(sets, "rid").select(*keys, "rid", "component", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "src long, dst long").distinct()
+
+
+def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3, tile: int = TILE) -> DataFrame:
     """``(rid, id, rep)`` for every row: rep is the row that stays for its group (rid = rep).
 
     Groups are the components of links between texts whose sets of ``shingle``-word
     shingles have a Jaccard ``similarity`` or more; texts of equal words are one
-    vertex. Candidates: whole-text fingerprints within ``radius`` bits, by the grid
-    join, and, since at a similarity of 0.8 whole-text fingerprints already differ
-    in about ten bits, equal fingerprints of min-wise samples of the shingles (a
-    pair at 0.8 shares one of 16 with a probability over 0.999). Every candidate is
-    verified on the exact sets. Inside a group of candidates the links proposed
-    are those to its first row and to the first row of each finer group.
+    vertex. Candidates share a cell: their whole-text fingerprints are joined by
+    steps of ``radius`` bits, by the grid join, or, since at a similarity of 0.8
+    whole-text fingerprints already differ in about ten bits, one of their min-wise
+    samples of the shingles has the same fingerprint (a pair at 0.8 shares one of 16
+    with a probability over 0.999). Every pair of a cell is verified on the exact
+    sets unless verified links join it already: first the links to the first row of
+    the cell and of finer cells, then, where that leaves a cell in parts, all pairs
+    of different parts in tiles of bounded size.
 
     The row that stays is the one with the smallest id (nulls last), then the
     smallest row number. Null texts count as empty; wordless texts are one group.
@@ -269,30 +340,47 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = cut(rows.groupBy("key").agg(F.min(order).alias("first")).select("key", F.col("first.rid").alias("v"), "first"))
     firsts = rows.join(texts.select(F.col("v").alias("rid")), "rid", "left_semi").where(F.size("shingles") > 0)
 
-    marks = firsts.select("rid", "samples", F.posexplode("samples").alias("t", "s")).select(
-        "rid", "t", "s", F.element_at("samples", F.pmod(F.col("t") + 1, F.lit(SAMPLES)) + 1).alias("finer")
+    by_fp = cut(firsts.select("fp").distinct())
+    joined = connected_components(hamming_links(by_fp, radius)).withColumnsRenamed({"node": "fp", "component": "group"})
+    of_fp = firsts.select("fp", "rid", F.size("shingles").alias("m")).join(joined, "fp", "left")
+    sampled = firsts.select("rid", "samples", F.size("shingles").alias("m"), F.posexplode("samples").alias("t", "s"))
+    marks = cut(
+        sampled.select("rid", "m", "t", "s", F.element_at("samples", F.pmod(F.col("t") + 1, F.lit(SAMPLES)) + 1).alias("finer"))
+        .unionByName(of_fp.select("rid", "m", F.lit(SAMPLES).alias("t"), F.coalesce("group", "fp").alias("s"), F.col("fp").alias("finer")))
+    )
+    met = cut(marks.join(marks.groupBy("t", "s").agg(F.min("rid").alias("src"), F.count("*").alias("n")).where("n > 1"), ["t", "s"]))
+    drop_cut(marks)
+    finer = met.groupBy("t", "s", "finer").agg(F.min("rid").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    edges = met.select("src", F.col("rid").alias("dst")).unionByName(
+        met.drop("src").join(finer, ["t", "s", "finer"]).select(F.col("first").alias("src"), F.col("rid").alias("dst"))
     )
-    marks = cut(marks)
-    edges = None
-    for keys in (["t", "s"], ["t", "s", "finer"]):
-        hubs = marks.groupBy(*keys).agg(F.min("rid").alias("src"), F.count("*").alias("n")).where("n > 1").drop("n")
-        found = marks.join(hubs, keys).where("rid <> src").select("src", F.col("rid").alias("dst")).distinct()
-        edges = found if edges is None else edges.unionByName(found)
-    by_fp = firsts.groupBy("fp").agg(F.min("rid").alias("v"))
-    by_fp = cut(by_fp)
-    links = hamming_links(by_fp.select("fp"), radius)
-    side = lambda c: by_fp.select(F.col("fp").alias(c), F.col("v").alias(f"v_{c}"))
-    edges = edges.unionByName(
-        links.join(side("src"), "src").join(side("dst"), "dst").select(F.least("v_src", "v_dst").alias("src"), F.greatest("v_src", "v_dst").alias("dst"))
-    )
-    edges = cut(edges.distinct())
+    edges = cut(edges.where("src <> dst").distinct())
     sets = firsts.select("rid", "shingles")
     paired = edges.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
     common = F.size(F.array_intersect("a", "b"))
     alike = cut(paired.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"))
-    groups = connected_components(alike)
+    groups = cut(connected_components(alike))
+
+    parts = cut(
+        met.where("n > 2").select("t", "s", "rid", "m").join(groups.withColumnRenamed("node", "rid"), "rid", "left")
+        .select("t", "s", "rid", "m", F.coalesce("component", "rid").alias("component"))
+    )
+    side = F.ceil(F.greatest(F.count("*") / tile, F.sum("m") / TILE_SHINGLES)).cast("int")
+    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.sum(F.xxhash64("rid", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("y")]
+    mixed = (
+        parts.groupBy("t", "s").agg(*members, side.alias("side"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        .groupBy("n", "x", "y").agg(F.min(F.struct("t", "s", "side")).alias("cell")).select("cell.*")  # cells of the same members count once
+    )
+    mixed = cut(mixed)
+    if mixed.take(1):
+        more = cut(_links_inside(parts, sets, mixed, similarity))
+        groups = cut(connected_components(alike.unionByName(more)))
+    for made in (met, edges, parts):
+        drop_cut(made)
     named = texts.join(groups.withColumnRenamed("node", "v"), "v", "left").select("key", "first", F.coalesce("component", "v").alias("component"))
     named = cut(named)
     stays = named.groupBy("component").agg(F.min("first").alias("best")).select("component", F.col("best.rid").alias("rep"))
     of_key = named.select("key", "component").join(stays, "component").select("key", "rep")
-    return rows.select("rid", "id", "key").join(of_key, "key").select("rid", "id", "rep")
+    out = cut(rows.select("rid", "id", "key").join(of_key, "key").select("rid", "id", "rep"))
+    drop_cut(rows)
+    return out
