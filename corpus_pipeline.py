@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxloom.llm import packing, quality, secrets, simhash, winnow
 from voxloom.llm.labelled import fold
 from voxloom.llm.queries import vocabulary_path
-from voxloom.session import read_table, shared_dir
+from voxloom.session import cut, read_table, shared_dir
 
 #: Scores below go.
 MIN_QUALITY = 0.3
@@ -33,30 +33,36 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row numbers that the operators' ``rid`` has on the same rows."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """``docs`` with row numbers, written once: the operator and the join back read the same numbers.
+
+    Numbers made in two scans differ as soon as the files are split another way.
+    """
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
-    kept = simhash.near_text_groups(docs, shingle=5, similarity=0.8).where("rid = rep").select(F.col("rid").alias(ROW))
-    return _numbered(docs).join(kept, ROW, "left_semi").select(*docs.columns)
+    docs, columns = _numbered(docs), docs.columns
+    kept = simhash.near_text_groups(docs, shingle=5, similarity=0.8, row_col=ROW).where("rid = rep").select(F.col("rid").alias(ROW))
+    return docs.join(kept, ROW, "left_semi").select(*columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = winnow.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    docs, columns = _numbered(docs), docs.columns
+    found = winnow.contamination(docs, read_table(spark, sf_dir, "benchmark"), row_col=ROW)
     hit = found.where("contaminated").select(F.col("rid").alias(ROW))
-    return _numbered(docs).join(hit, ROW, "left_anti").select(*docs.columns)
+    return docs.join(hit, ROW, "left_anti").select(*columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays. ``n_chars`` follows the text."""
-    spans = secrets.secret_spans(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
+    docs, columns = _numbered(docs), docs.columns
+    spans = secrets.secret_spans(docs, row_col=ROW, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
     found = spans.where(F.size("spans") > 0).select(F.col("rid").alias(ROW), F.col("spans").alias("spans_found"))
-    masked = _numbered(docs).join(found, ROW, "left")
+    masked = docs.join(found, ROW, "left")
     text = F.when(F.col("spans_found").isNotNull(), secrets.redact(F.coalesce("text", F.lit("")), F.col("spans_found"))).otherwise(F.col("text"))
-    return masked.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans_found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return masked.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans_found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

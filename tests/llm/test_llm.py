@@ -380,3 +380,25 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "secret_scans":
             assert secrets.secret_spans(d, owner=F.col("source")).where(F.exists("spans", lambda s: s["kind"] != "owned")).count() == 0
     assert 0 < d.select("doc_id").distinct().count() < before
+
+
+def test_stages_hold_when_files_are_split_another_way(spark, tmp_path):
+    """The plan of a stage is run with other file splits than those its operator saw."""
+    import corpus_pipeline as P
+
+    source = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id")
+    for part in range(6):
+        source.where(F.col("doc_id") % 6 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    stages, name = dict(P.STAGES), "spark.sql.files.maxPartitionBytes"
+    before, cost = spark.conf.get(name), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for stage in ("simhash_near_dedup", "benchmark_decontamination", "secret_scans"):
+            made = []
+            for later in ("128m", "1k"):
+                spark.conf.set(name, "128m"), spark.conf.set("spark.sql.files.openCostInBytes", "4m")
+                out = stages[stage](spark, spark.read.parquet(str(tmp_path / "docs")), SF)
+                spark.conf.set(name, later), spark.conf.set("spark.sql.files.openCostInBytes", "0" if later == "1k" else "4m")
+                made.append(sorted(map(repr, out.collect())))
+            assert made[0] == made[1]
+    finally:
+        spark.conf.set(name, before), spark.conf.set("spark.sql.files.openCostInBytes", cost)

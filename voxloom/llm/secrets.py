@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.session import cut
+from voxloom.session import cut, row_number
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -56,7 +56,7 @@ def _spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0
     return F.when(F.regexp_like(text, p), walked).otherwise(empty)
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, row_col: str | None = None) -> DataFrame:
     """One row per document row: ``rid, id, spans``.
 
     ``spans`` is an array, by place, of (start, no, end, kind, owners, repos,
@@ -65,12 +65,13 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are always there; an ``owned`` span is there only if it overlaps no base span
     and its value has one owner in the corpus. Null texts count as empty; null
     owners and repositories count as one more value. Empty tables give empty
-    results; other columns do not matter.
+    results; other columns do not matter. ``row_col`` names a long column that numbers
+    the rows; without it rid is made here and fits no other scan of ``docs``.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = F.concat(_spans(text, "assign", ASSIGN, 2, 6), _spans(text, "access", ACCESS), _spans(text, "hex", HEX))
     named = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
+        row_number(row_col).alias("rid"), F.col(id_col).alias("id"),
         F.coalesce((F.lit("") if owner is None else owner).cast("string"), F.lit("\0")).alias("owner"),
         F.coalesce((F.lit("") if repo is None else repo).cast("string"), F.lit("\0")).alias("repo"),
         base.alias("base"), _spans(text, "owned", OWNED).alias("more"),

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import connected_components
-from voxloom.session import cut, drop_cut
+from voxloom.session import cut, drop_cut, row_number
 
 EVEN_BITS = 0x5555555555555555
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -298,7 +298,7 @@ def _links_inside(members: DataFrame, sets: DataFrame, cells: DataFrame, similar
     return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
-def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3, tile: int = TILE) -> DataFrame:
+def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3, tile: int = TILE, row_col: str | None = None) -> DataFrame:
     """``(rid, id, rep)`` for every row: rep is the row that stays for its group (rid = rep).
 
     Groups are the components of links between texts whose sets of ``shingle``-word
@@ -314,6 +314,8 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The row that stays is the one with the smallest id (nulls last), then the
     smallest row number. Null texts count as empty; wordless texts are one group.
+    ``row_col`` names a long column that numbers the rows; without it rid is made here
+    and fits no other scan of ``docs``.
     """
 
     def run(batches):
@@ -334,7 +336,7 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string"))
+    picked = docs.select(row_number(row_col).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string"))
     rows = cut(picked.mapInArrow(run, f"rid long, id {kind}, key string, fp long, samples array<bigint>, shingles array<int>"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")
     texts = cut(rows.groupBy("key").agg(F.min(order).alias("first")).select("key", F.col("first.rid").alias("v"), "first"))

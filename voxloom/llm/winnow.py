@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.session import cut
+from voxloom.session import cut, row_number
 
 #: ASCII outside 0-9, A-Z and a-z parts words, A-Z becomes a-z, all else belongs to words.
 TABLE = bytes(
@@ -104,7 +104,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
 CANDIDATES = "array<struct<pos:int,h:bigint,from:int,words:array<string>>>"
 
 
-def scan_documents(docs: DataFrame, flags: bytes, sizes: list[int], id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = KGRAM) -> DataFrame:
+def scan_documents(docs: DataFrame, flags: bytes, sizes: list[int], id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = KGRAM, row_col: str | None = None) -> DataFrame:
     """``(rid, id, n_words, candidates)``: kept k-grams whose hash passes ``flags``, with the words round them."""
 
     def run(batches):
@@ -141,17 +141,19 @@ def scan_documents(docs: DataFrame, flags: bytes, sizes: list[int], id_col: str
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string"))
+    picked = docs.select(row_number(row_col).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string"))
     return picked.mapInArrow(run, f"rid long, id {kind}, n_words long, candidates {CANDIDATES}")
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = KGRAM) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = KGRAM, row_col: str | None = None) -> DataFrame:
     """One row per document row: ``rid, id, n_words, n_hit, n_items, item_ids, contaminated``.
 
     A document word is hit if it lies in any occurrence of a window of any item.
     Null and wordless texts have no words and no hits; wordless items have no
     windows; repeated items count once by id; an empty benchmark leaves every
-    document clean. Other columns of either table do not matter.
+    document clean. Other columns of either table do not matter. ``row_col`` names a
+    long column of ``docs`` that numbers the rows; without it rid is made here and
+    fits no other scan of ``docs``.
 
     The benchmark's fingerprints meet the documents' in an equi-join; only a
     fixed 128 KB table of hash flags travels with the tasks, whatever the
@@ -163,7 +165,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     for (f,) in windows.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int")).distinct().collect():
         flags[f] = 1
     sizes = sorted(r[0] for r in windows.where(F.col("size") < span).select("size").distinct().collect())
-    scanned = cut(scan_documents(docs, np.packbits(flags, bitorder="little").tobytes(), sizes, id_col, text_col, span, k))
+    scanned = cut(scan_documents(docs, np.packbits(flags, bitorder="little").tobytes(), sizes, id_col, text_col, span, k, row_col))
 
     start = F.col("c.pos") - F.col("offset")
     inside = (start >= F.col("c.from")) & (start + F.col("size") <= F.col("c.from") + F.size("c.words"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +46,8 @@ def drop_cut(df: DataFrame) -> None:
         if "/voxloom-" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_number(row_col: str | None) -> Column:
+    """The column that numbers the rows, or numbers that hold within this scan alone."""
+    return F.col(row_col) if row_col else F.monotonically_increasing_id()
