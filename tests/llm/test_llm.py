@@ -275,6 +275,29 @@ def test_token_ids_equal_the_tokenizer_and_pack_without_gaps(spark):
     assert packing.pack(pieces.limit(0)).count() == 0
 
 
+def test_shards_stay_bounded_where_sequences_cannot_be_filled(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    lengths = [*rng.integers(2049, 4000, 900).tolist(), *rng.integers(1200, 1400, 60).tolist(), 90, 4096]
+    pieces = spark.createDataFrame([(i, i, 0, 0, x, i) for i, x in enumerate(lengths)], "rid long, id long, piece int, start long, length long, ids_crc32 long")
+    rounds, inner = [], packing._pack_round
+
+    def watched(rest, shards, *more):
+        rounds.append(rest.count() / shards)
+        return inner(rest, shards, *more)
+
+    monkeypatch.setattr(packing, "_pack_round", watched)
+    rows = packing.pack(pieces, shard=40).collect()
+    assert max(rounds) <= 40
+    assert sorted(r.rid for r in rows) == list(range(len(lengths)))
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(x for _, x in b) <= 4096 and sorted(o for o, _ in b) == [0, *np.cumsum([x for _, x in sorted(b)])[:-1].tolist()] for b in by.values())
+    assert len(by) <= 901 + 20  # the long pieces and the full one need a sequence each; three middle ones share one at worst
+    halves = packing.pack(pieces.where("length > 2048")).select("sequence_id").distinct().count()
+    assert halves == 901
+
+
 def test_sum_of_squares_rule():
     where, offset, gaps = packing.sum_of_squares(np.array([6, 4, 3, 3, 3, 10]), 10)
     assert len(gaps) == 3 and gaps.sum() == 30 - 29

@@ -6,10 +6,10 @@ for which the sum of N(g)**2 over 1 <= g < capacity is smallest afterwards, ties
 to the smallest gap that remains. Pieces come longest first, so that the short
 ones fill what the long ones leave.
 
-Pieces are dealt by hash into shards of bounded size that are packed side by
-side. Bins that a shard leaves open are taken apart and packed again in shards
-that are fewer, until one shard's worth is left, so the open space of the whole
-result is that of one shard.
+Pieces are dealt by hash into shards of one fixed size that are packed side by
+side. Pieces that no other can join are done at once. Bins that a shard leaves
+open are taken apart and dealt anew, so that what is left of several shards meets
+in one, until a single shard is left or a round saves less than a sequence a shard.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ PLAIN = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\s0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: A bin is taken apart for the next round if more than this share of it is empty.
 OPEN_SHARE = 0.002
+#: Rounds are told apart by the upper bits of the sequence ids.
+FIRST_LEVEL, LAST_LEVEL = 64, 127
 
 
 class TextIds:
@@ -182,31 +184,42 @@ def _pack_round(pieces: DataFrame, shards: int, level: int, capacity: int) -> Da
             yield from run(iter([first, *batches]))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.repartition(shards, F.xxhash64("rid", "piece")).mapInArrow(guarded, f"{fields}, sequence_id long, offset long, gap long")
+    return pieces.repartition(shards, F.xxhash64("rid", "piece", F.lit(level))).mapInArrow(guarded, f"{fields}, sequence_id long, offset long, gap long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """``pieces`` (columns rid, piece, length among others) with ``sequence_id`` and ``offset``.
 
     Every piece is placed once; the pieces of a sequence lie gapless from offset
-    0 and fit in ``capacity``. Pieces that fill a sequence by themselves need no
-    packing. Empty input gives an empty result.
+    0 and fit in ``capacity``. Pieces that have no room for the shortest one need no
+    packing. A task packs ``shard`` pieces in expectation, whatever their lengths.
+    Empty input gives an empty result.
     """
     pieces = cut(pieces)
-    whole = pieces.where(F.col("length") == capacity).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, done, level = pieces.where(F.col("length") < capacity), [whole], 64
-    n = rest.count()
+    length, gap = F.col("length"), F.col("gap")
+    least = pieces.agg(F.min("length")).first()[0] or 0
+    whole = pieces.where(length + least > capacity).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest, done, level = pieces.where(length + least <= capacity), [whole], FIRST_LEVEL
+    n, before, bins = rest.count(), None, None
     while n:
         shards = -(-n // shard)
         packed = cut(_pack_round(rest, shards, level, capacity))
-        last = shards == 1
-        keep = packed if last else packed.where(F.col("gap") <= OPEN_SHARE * capacity)
-        done.append(keep.drop("gap"))
-        if last:
+        is_open = gap > OPEN_SHARE * capacity
+        counts = packed.groupBy(is_open.alias("open"), "length").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).collect()
+        made = sum(c.bins for c in counts)
+        if before is not None and made > bins:  # the round before did better
+            done.append(before)
             break
-        rest = packed.where(F.col("gap") > OPEN_SHARE * capacity).drop("sequence_id", "offset", "gap")
-        m = rest.count()
-        n, level, shard = m, level + 1, max(shard, 2 * shard if m > n // 2 else shard)
+        if shards == 1 or level == LAST_LEVEL or (before is not None and made > bins - shards):
+            done.append(packed.drop("gap"))
+            break
+        least = min((c.length for c in counts if c.open), default=capacity)
+        joins = is_open & (length + least <= capacity)
+        done.append(packed.where(~joins).drop("gap"))
+        before = packed.where(joins).drop("gap")
+        rest = before.drop("sequence_id", "offset")
+        left = [c for c in counts if c.open and c.length + least <= capacity]
+        n, bins, level = sum(c.n for c in left), sum(c.bins for c in left), level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
