@@ -324,6 +324,25 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.where("vec_id in (0, 1)"), F.col("id") % 20 == 0).count() == 1
 
 
+@pytest.mark.parametrize("size", [1.0, 1e9, 3e11])
+def test_top_k_with_repeated_ids_and_large_components(spark, monkeypatch, size):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(topk, "BLOCK", 9), monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    ids = [0, 0, 0, 20, 20, *range(1, 19), 1, 2, 3, 40]
+    rows = [(i, [float(x) for x in np.float32(size * rng.integers(-9, 10, 3) / 4)]) for i in ids]
+    rows += [rows[5], rows[6], (99, [1.0] * 3), (60, [])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=4).collect()
+    w = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    limit = 1 << 63
+    clipped = lambda s: min(max(s, -limit), limit - 1)
+    want = []
+    for a, (i, q) in enumerate(w):
+        if i % 20 == 0:
+            best = sorted((-clipped(sum(x * y for x, y in zip(q, c))), j) for b, (j, c) in enumerate(w) if b != a)[:4]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # -- 7 ------------------------------------------------------------------------------------------
 
 

@@ -21,26 +21,31 @@ from voxloom.session import cut
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Queries whose dense score arrays are held at a time.
 LIVE = 16
+#: The ends of the 64-bit numbers.
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(id, w)``: floor(scale * component) in doubles; rows with nulls or non-finite components left out."""
-    x = F.col(vec_col)
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    w = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("int"))
-    return vectors.where(x.isNotNull() & F.col(id_col).isNotNull()).where(~bad).select(F.col(id_col).alias("id"), w.alias("w"))
+    """``(id, w)``: floor(scale * component) as whole doubles; rows with nulls or non-finite components left out.
+
+    A component whose product with ``scale`` is beyond all doubles counts as non-finite.
+    """
+    w = F.transform(vec_col, lambda v: v.cast("double") * scale)
+    bad = F.exists(w, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    whole = F.transform(w, lambda v: F.when(F.abs(v) < float(1 << 53), F.floor(v).cast("double")).otherwise(v))  # larger doubles have no fraction
+    return vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).where(~bad).select(F.col(id_col).alias("id"), whole.alias("w"))
 
 
 def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
     """A row for each of ``n`` hash blocks: its ids and weights."""
-    return rows.groupBy(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("id", "w")).alias("rows"))
+    return rows.groupBy(F.pmod(F.xxhash64("rid", F.lit(7)), F.lit(n)).alias(name)).agg(F.collect_list(F.struct("rid", "id", "w")).alias("rows"))
 
 
 def _rows(w: list[np.ndarray], dims: int, kind) -> np.ndarray:
     """Weights as a table, short rows padded by zeros."""
     out = np.zeros((len(w), dims), kind)
     for i, x in enumerate(w):
-        out[i, : len(x)] = x[:dims]
+        out[i, : len(x)] = x if kind is not object else [int(v) for v in x.tolist()]
     return out
 
 
@@ -48,6 +53,12 @@ def _largest(w: list[np.ndarray]) -> int:
     return max((int(np.abs(x).max()) for x in w if len(x)), default=0)
 
 
+def sum_kind(largest_query: int, largest_candidate: int, dims: int):
+    """The narrowest numbers in which no sum of products can overflow: 32 or 64 bits, else Python's own integers."""
+    bound = largest_query * largest_candidate * dims
+    return np.int32 if bound < 1 << 30 and max(largest_query, largest_candidate) < 1 << 31 else np.int64 if bound < 1 << 62 and max(largest_query, largest_candidate) < 1 << 62 else object
+
+
 class Postings:
     """The candidates of a block, term by term: who has a weight other than 0, and the weights.
 
@@ -82,16 +93,45 @@ def scores(queries: np.ndarray, postings: Postings) -> np.ndarray:
     return acc
 
 
+def _block_best(asked: tuple, cands: tuple, k: int):
+    """``(query row, query id, ids, scores)``: the ``k`` best of a block for each query of another."""
+    (qrid, qid, q), (crid, cid, c) = asked, cands
+    order = np.argsort(crid, kind="stable")
+    order = order[np.argsort(cid[order], kind="stable")]
+    crid, cid, c = crid[order], cid[order], [c[o] for o in order]
+    dims = max(map(len, [*q, *c]), default=0)
+    kind = sum_kind(_largest(q), _largest(c), dims)
+    table, postings = _rows(q, dims, kind), Postings(c, kind)
+    for a in range(0, len(q), LIVE):
+        acc = scores(table[a : a + LIVE], postings)
+        own = qrid[a : a + LIVE, None] == crid
+        if kind is object:
+            for r in range(len(acc)):
+                acc[r] = [min(max(x, LOW), HIGH) for x in acc[r]]
+                at = sorted(np.nonzero(~own[r])[0].tolist(), key=lambda j: (-acc[r, j], j))[:k]
+                yield qrid[a + r], qid[a + r], cid[at].tolist(), [acc[r, j] for j in at]
+            continue
+        least = np.iinfo(kind).min
+        acc[own] = least
+        kth = np.partition(acc, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(acc), least)
+        for r in range(len(acc)):
+            at = np.nonzero((acc[r] >= kth[r]) & (acc[r] > least))[0]
+            at = at[np.argsort(-acc[r, at].astype(np.int64), kind="stable")[:k]]
+            yield qrid[a + r], qid[a + r], cid[at].tolist(), acc[r, at].tolist()
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` largest integer inner products of each query.
 
-    ``is_query`` is a condition on ``id``. A row is no candidate of a query with
-    its own id; ties go to the smaller id; fewer rows than ``k`` give all.
-    Vectors that are null or hold null or non-finite components take no part;
-    vectors of different lengths are padded by zeros. Queries and candidates are
-    dealt into blocks of bounded size; each pair of blocks is one unit of work.
+    ``is_query`` is a condition on ``id``. A row is no candidate of its own query;
+    ties go to the smaller id; fewer rows than ``k`` give all. Rows that repeat an id
+    are rows of their own: each is a candidate of the others, and each that asks has a
+    ranking. Vectors that are null or hold null or non-finite components take no part;
+    vectors of different lengths are padded by zeros. Sums are exact at any size of the
+    components; a score beyond 64 bits counts as the nearest 64-bit number. Queries and candidates are dealt into blocks of bounded size;
+    each pair of blocks is one unit of work. An empty table gives an empty result.
     """
-    rows = cut(quantised(vectors, scale, id_col, vec_col))
+    rows = cut(quantised(vectors, scale, id_col, vec_col).withColumn("rid", F.monotonically_increasing_id()))
     asked = rows.where(is_query)
     n, m = rows.count(), asked.count()
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
@@ -103,30 +143,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                unpack = lambda c: (np.asarray(c[i].values.field("id")), [np.asarray(x.values) for x in c[i].values.field("w")])
-                (qid, q), (cid, c) = unpack(b.column(0)), unpack(b.column(1))
-                order = np.argsort(cid, kind="stable")
-                cid, c = cid[order], [c[o] for o in order]
-                dims = max(map(len, [*q, *c]), default=0)
-                # the narrowest integers in which no sum can overflow
-                kind = np.int32 if _largest(q) * _largest(c) * dims < 1 << 30 else np.int64
-                least = np.iinfo(kind).min
-                table, postings, out = _rows(q, dims, kind), Postings(c, kind), []
-                for a in range(0, len(q), LIVE):
-                    acc = scores(table[a : a + LIVE], postings)
-                    acc[qid[a : a + LIVE, None] == cid] = least
-                    if len(c) > k:
-                        kth = np.partition(acc, len(c) - k, axis=1)[:, len(c) - k]
-                    else:
-                        kth = np.full(len(acc), least)
-                    for r in range(len(acc)):
-                        at = np.nonzero((acc[r] >= kth[r]) & (acc[r] > least))[0]
-                        got = acc[r, at].astype(np.int64)
-                        by = np.lexsort((cid[at], -got))[:k]
-                        out.append((np.full(len(by), qid[a + r]), cid[at[by]], got[by]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "id", "score"])
-
-    best = pairs.mapInArrow(run, f"query_id {kind}, id {kind}, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+                unpack = lambda c: (*(np.asarray(c[i].values.field(f)) for f in ("rid", "id")), [np.asarray(x.values) for x in c[i].values.field("w")])
+                found = list(_block_best(unpack(b.column(0)), unpack(b.column(1)), k))
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([f[0] for f in found for _ in f[3]], pa.int64()), pa.array([f[1] for f in found for _ in f[3]], b.column(0).type.value_type.field("id").type),
+                            pa.array([x for f in found for x in f[2]], b.column(0).type.value_type.field("id").type), pa.array([x for f in found for x in f[3]], pa.int64()),
+                        ],
+                        names=["rid", "query_id", "id", "score"],
+                    )
+
+    best = pairs.mapInArrow(run, f"rid long, query_id {kind}, id {kind}, score long")
+    w = Window.partitionBy("rid").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
