@@ -380,12 +380,56 @@ def test_secret_spans_equal_regular_expressions(spark):
         assert [(s.start, s.no, s.kind, s.end) for s in r.spans if s.kind != "owned"] == want
     owned = {r.id: [s.verdict for s in r.spans if s.kind == "owned"] for r in got}
     assert owned[5] == ["live"] and owned[6] == owned[7] == []  # two owners have the same value
-    masked = docs(spark, texts).withColumn("rid", F.monotonically_increasing_id())
-    out = secrets.redact(F.lit("ab cd ef"), F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end")), F.struct(F.lit(1).alias("start"), F.lit(5).alias("end"))))
-    assert masked.select(out.alias("o")).first().o == "[SECRET] ef"
     assert secrets.secret_spans(docs(spark, []).limit(0)).count() == 0
 
 
+def test_masks_and_owned_spans_equal_brute_force(spark):
+    rng = np.random.default_rng(21)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    keys = ["".join(rng.choice(letters, int(n))) for n in rng.integers(24, 41, 60)]
+    natural = ["2019/05/how-to-build-a-small-boat", "internationalisation-of-names-2", "IMG_20190412_143355_original", "aaaaaaaaaa1aaaaaaaaaa1aaaaaaaaa", "snake_case_name_of_a_function_v2", "12345678901234567890123"]
+    texts = [" é ".join(["token: " + k if i % 3 == 0 else k, natural[i % 6], "secret=hunter22x" * (i % 4 == 0)]) for i, k in enumerate(keys)]
+    texts += ["", None, "deadbeef" * 3 + "G" + keys[0], "password=x token = " + "0a1b2c3d" * 5, "ü" * 5000 + keys[5] + "z/" * 3000]
+    d = docs(spark, texts)
+    got = sorted(secrets.secret_spans(d, owner=F.col("doc_id")).collect(), key=lambda r: r.id)
+
+    def spans_of(t):
+        base = []
+        for p, g, least in ((secrets.ASSIGN, 2, 6), (r"AKIA[A-Z0-9]+", 0, 20), ("[0-9a-f]+", 0, 24)):
+            base += [m.span() for m in re.finditer(p, t or "") if len(m[g]) >= least]
+        more = [m for m in re.finditer(secrets.OWNED, t or "") if len(re.findall(secrets.SIDE_BY_SIDE, m[0])) >= 2 and len(set(m[0])) >= 10]
+        return base, [(m.span(), m[0]) for m in more if not any(a < m.end() and m.start() < z for a, z in base)]
+
+    found = [spans_of(t) for t in texts]
+    holders = collections.Counter(v for _, more in found for v in {v for _, v in more})
+    for r, (base, more) in zip(got, found):
+        assert sorted((s.start, s.end) for s in r.spans if s.kind != "owned") == sorted(base)
+        assert sorted((s.start, s.end) for s in r.spans if s.kind == "owned") == sorted(at for at, v in more if holders[v] == 1)
+    caught = {t[s.start : s.end] for r, t in zip(got, texts) for s in r.spans if s.kind == "owned"}
+    assert not caught & set(natural) and len(caught & {k for i, k in enumerate(keys) if i % 3}) >= 36  # of 40 bare keys; no natural name
+    joined = d.join(spark.createDataFrame(got, secrets.secret_spans(d.limit(0)).schema), F.col("doc_id") == F.col("id"))
+    for r in joined.select("text", "spans", secrets.redact(F.coalesce("text", F.lit("")), F.col("spans")).alias("out")).collect():
+        out, at = "", 0
+        for s in sorted((s.start, s.end) for s in r.spans):
+            if s[0] >= at:
+                out += (r.text or "")[at : s[0]] + "[SECRET]"
+            at = max(at, s[1])
+        assert r.out == out + (r.text or "")[at:]
+
+
+def test_many_matches_in_one_long_text(spark):
+    import time
+
+    text = "".join("token=%08x%08xé " % (i, i * 7) for i in range(32000))
+    d = docs(spark, [text, "short"])
+    secrets.secret_spans(docs(spark, ["token=abcdefgh"])).collect()  # the code paths are compiled
+    began = time.time()
+    spans = secrets.secret_spans(d)
+    got = d.join(spans, F.col("doc_id") == F.col("id")).select("doc_id", F.size("spans").alias("n"), F.length(secrets.redact(F.col("text"), F.col("spans"))).alias("left")).collect()
+    assert sorted((r.n, r.left) for r in got) == [(0, 5), (32000, 32000 * len("[SECRET]é "))]
+    assert time.time() - began < 20
+
+
 # -- 10 -----------------------------------------------------------------------------------------
 
 

@@ -157,7 +157,7 @@ ORACLES = {
                    CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(w[i]) AS n
             FROM e WHERE length(v[i]) >= CASE no WHEN 0 THEN 6 WHEN 2 THEN 24 ELSE 20 END),
         apart AS (
-            SELECT * FROM s WHERE no < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+            SELECT * FROM s WHERE no < 3 OR (len(regexp_extract_all(value, '{secrets.SIDE_BY_SIDE}')) >= 2 AND len(list_distinct(string_split(value, ''))) >= {secrets.DISTINCT}
                 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.rid = s.rid AND b.no < 3 AND b.a < s.a + s.n AND s.a < b.a + b.n))),
         own AS (SELECT value, count(DISTINCT owner) AS owners FROM apart GROUP BY value),
         j AS (
