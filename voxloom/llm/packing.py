@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from voxloom.session import cut
 
 CAPACITY = 4096
-#: Pieces that one task packs (in expectation), and parts of texts whose ids a task remembers.
-SHARD, REMEMBERED = 16_384, 1_200_000
+#: Pieces that one task packs (in expectation), and parts of texts whose ids a task remembers: twice as many at most, 0.4 KB each.
+SHARD, REMEMBERED = 16_384, 80_000
 #: Characters of text whose words are held as a list at a time.
 HELD = 1 << 21
 #: Texts of these characters alone are parted here, the same way as by the vocabulary's own rule.
@@ -45,13 +45,16 @@ class TextIds:
     The vocabulary lower-cases a text, drops white space and encodes each run of
     letters, each digit and each run of marks by itself. Plain texts are parted
     that way here, so that every part is encoded once and looked up from then on
-    (a bounded memory); parts not met before are encoded together. Other texts,
-    and those that may hold a special token, go through the tokenizer whole.
+    (a bounded memory); parts not met before are encoded together. A full memory is
+    set aside, what is still in use moves on to the next, the rest goes with the one
+    after. Other texts, and those that may hold a special token, go through the
+    tokenizer whole.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         names = tokenizer.get_vocab()
         self.is_last = np.zeros(max(names.values()) + 1, bool)  # tokens that end a part
         self.is_last[[i for t, i in names.items() if t.endswith("</w>")]] = True
@@ -69,10 +72,12 @@ class TextIds:
         """The ids of each of a few texts."""
         split = [PARTS.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.before = {}, self.known
         found = [None if s is None else list(map(self.known.get, s)) for s in split]
         fresh = {p for s, f in zip(split, found) if f and None in f for p, x in zip(s, f) if x is None}
-        if fresh:
+        moved = fresh & self.before.keys()
+        self.known.update((p, self.before[p]) for p in moved)
+        if fresh := fresh - moved:
             self._learn(sorted(fresh))
         out = []
         for t, s, f in zip(texts, split, found):
@@ -85,11 +90,11 @@ class TextIds:
 
 
 @lru_cache(1)
-def text_ids(vocabulary: str) -> TextIds:
-    """One per worker process: what a task has learnt serves the next."""
+def tokenizer(vocabulary: str):
+    """One per worker process; of a fixed size, whatever passes through it."""
     from tokenizers import Tokenizer
 
-    return TextIds(Tokenizer.from_file(vocabulary))
+    return Tokenizer.from_file(vocabulary)
 
 
 def _few(texts: list[str | None]):
@@ -114,7 +119,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """
 
     def run(batches):
-        known = text_ids(vocabulary)
+        known = TextIds(tokenizer(vocabulary))  # what is learnt goes with the task
         end, step = np.asarray([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows: list[tuple] = []

@@ -21,7 +21,7 @@ from voxloom.llm.labelled import TRAIN_ROWS, fold, training_rows
 
 BITS = 18
 #: Tokens a task remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]")
 #: Tokens of a text whose features are made at a time; bounds the memory of a very long text.
 PIECE = 200_000

@@ -21,7 +21,7 @@ from voxloom.llm.labelled import TRAIN_ROWS, fold, training_rows
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
 #: Lengths of a word's beginnings that have vectors of their own.
-PREFIXES, REMEMBERED = (3, 4, 5, 7), 200_000
+PREFIXES, REMEMBERED = (3, 4, 5, 7), 100_000
 PARTS = 1 + len(PREFIXES)
 PADDING = PARTS * BUCKETS
 #: Words whose responses are computed at a time; bounds the memory of a very long text.

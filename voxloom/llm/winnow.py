@@ -28,7 +28,7 @@ SPAN, KGRAM = 10, 5
 #: Bits of a benchmark hash that the prefilter looks at: 2**20 flags, 128 KB, whatever the benchmark's size.
 FILTER_BITS = 20
 #: Words whose hashes a task remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
