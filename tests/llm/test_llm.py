@@ -158,18 +158,88 @@ def test_classifiers_on_held_out_rows(spark, name, label, fold, least):
 
 def test_classifiers_with_odd_rows(spark):
     texts = ["good words here", "BAD!! BAD!!", None, "", "x " * 300000] * 3
-    d = docs(spark, texts).withColumn("quality_score", F.lit(9))
+    d = docs(spark, texts).withColumn("quality_score", F.lit(9)).withColumn("toxicity", F.lit("clash")).withColumn("flagged", F.lit(1)).withColumn("y", F.lit(2)).withColumn("c0", F.lit(3))
     labels = spark.createDataFrame([(i, int(i % 5 != 1), int(i % 5 == 1)) for i in range(15)], "doc_id long, quality int, toxic int")
-    d = d.drop("quality_score")
     for labelled in (labels, labels.limit(0), labels.where("quality = 1"), labels.withColumn("quality", F.lit(None).cast("int")).withColumn("toxic", F.lit(None).cast("int"))):
         m = quality.fit_quality(d, labelled, limit=10)
         assert quality.score_texts(d, m).where("quality_score between 0 and 1").count() == 15
     m = toxicity.fit_toxicity(d, labels)
     assert toxicity.score_texts(d, m).where("toxicity between 0 and 1").count() == 15
+    once = toxicity.score_texts(d.withColumn("lang", F.lit(None).cast("string")), m)
+    assert once.where("toxicity between 0 and 1 and flagged is not null and c0 = 3 and y = 2").count() == 15 and once.columns.count("flagged") == 1
     m = toxicity.fit_toxicity(d, labels.limit(0))
     assert toxicity.score_texts(d.limit(0), m).count() == 0
 
 
+def test_repeated_ids_give_one_training_row(spark):
+    from voxloom.llm.labelled import training_rows
+
+    d = docs(spark, ["a", "b", "c"]).unionByName(docs(spark, ["other"] * 500).withColumn("doc_id", F.lit(1).cast("long"))).unionByName(docs(spark, [None]))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (None, 1), (7, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: (r.text, r.y) for r in training_rows(d, labels, "toxic", F.lit(True)).collect()}
+    assert set(got) == {0, 1} and got[1][1] == 1 and got[1][0] in ("b", "other") and got[0][0] in ("a", None)
+
+
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(8)
+    m = toxicity.ToxicityModel(3)
+    m.e, m.kb, m.out, m.bias = m.e.astype(float), m.kb + 0.1, m.out.astype(float) * 5, 0.2
+    m.kb, m.k = m.kb.astype(float), [k.astype(float) for k in m.k]
+    texts = [np.array([toxicity.word_parts(b"w%d" % x) for x in rng.integers(0, 9, n)], int).reshape(-1, toxicity.PARTS) for n in (0, 1, 2, 5, 12)]
+    y, weight = np.array([1, 0, 1, 1, 0]), rng.uniform(0.5, 2, 5)
+
+    def loss():
+        z = np.array([m.logit(t) for t in texts])
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).sum())
+
+    (rows, ge), gk, gkb, go, gb = m.gradients(texts, y, weight)
+    step = 1e-6
+
+    def slope(table, at):
+        was = table[at]
+        table[at] = was + step
+        up = loss()
+        table[at] = was - step
+        down = loss()
+        table[at] = was
+        return (up - down) / (2 * step)
+
+    for table, g in [(m.out, go), (m.kb, gkb), *zip(m.k, gk)]:
+        for at in zip(*(rng.integers(0, n, 12) for n in table.shape)):
+            assert abs(slope(table, at) - g[at]) < 1e-5
+    for i in range(0, len(rows), 3):
+        at = (rows[i], int(rng.integers(toxicity.DIM)))
+        assert abs(slope(m.e, at) - ge[i, at[1]]) < 1e-5
+    m.bias += step
+    up = loss()
+    m.bias -= 2 * step
+    assert abs((up - loss()) / (2 * step) - gb) < 1e-5
+
+
+def test_log_count_ratios_and_hinge_fit_equal_brute_force():
+    rng = np.random.default_rng(14)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(40)]
+    y = np.array([int(0 in r or rng.random() < 0.3) for r in rows])
+    ratio = quality.log_count_ratios(rows, y, 13)
+    for f in range(13):
+        p, q = (1 + sum(f in r for r, k in zip(rows, y) if k == c) for c in (1, 0))
+        all_p, all_q = (13 + sum(len(r) for r, k in zip(rows, y) if k == c) for c in (1, 0))
+        want = np.log(p / all_p) - np.log(q / all_q) if any(f in r for r in rows) else 0
+        assert abs(ratio[f] - want) < 1e-12
+    values, c = [ratio[r] for r in rows], rng.uniform(0.2, 1, 40)
+    sign = np.where(y > 0, 1.0, -1.0)
+    w = quality.dual_coordinate_descent(rows, values, sign, 13, c, epochs=2000)
+    x = np.zeros((40, 14))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 13] = values[i], 1
+    primal = lambda w: w @ w / 2 + (c * np.maximum(0, 1 - sign * (x @ w))).sum()
+    a, z = np.zeros(40), sign[:, None] * x  # the same dual by plain projected gradient steps
+    rate = 1 / np.linalg.norm(z @ z.T, 2)
+    for _ in range(20000):
+        a = np.clip(a + rate * (1 - z @ (z.T @ a)), 0, c)
+    assert abs(primal(w) - primal(z.T @ a)) < 1e-3 * primal(w) and all(primal(w) <= primal(w + d) + 1e-3 for d in rng.normal(size=(50, 14)) * 0.05)
+
+
 def test_dual_coordinate_descent_separates():
     rows = [np.array([0, 1]), np.array([0, 2]), np.array([3, 1]), np.array([3, 2])]
     w = quality.dual_coordinate_descent(rows, [np.ones(2)] * 4, np.array([1.0, 1, -1, -1]), 4, np.ones(4) * 10)
@@ -275,6 +345,17 @@ def test_token_ids_equal_the_tokenizer_and_pack_without_gaps(spark):
     assert packing.pack(pieces.limit(0)).count() == 0
 
 
+def test_parts_equal_the_tokenizer_on_odd_strings(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 500)  # the memory turns over many times
+    tk = packing.tokenizer(queries.vocabulary_path())
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("ab's tdrevml12'!?.éßÀ÷|<\n\t日"), int(n))) for n in rng.integers(0, 25, 4000)] + ["don't stop 're'll ''s a's's", "'", "", "x" * 5000 + "'s"]
+    known = packing.TextIds(tk)
+    got = [ids for a in range(0, len(texts), 100) for ids in known.ids(texts[a : a + 100])]
+    assert got == [np.asarray(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(known.known) + len(known.before) < 3000
+
+
 def test_shards_stay_bounded_where_sequences_cannot_be_filled(spark, monkeypatch):
     rng = np.random.default_rng(4)
     lengths = [*rng.integers(2049, 4000, 900).tolist(), *rng.integers(1200, 1400, 60).tolist(), 90, 4096]

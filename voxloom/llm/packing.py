@@ -28,39 +28,60 @@ from voxloom.session import cut
 CAPACITY = 4096
 #: Pieces that one task packs (in expectation), and parts of texts whose ids a task remembers: twice as many at most, 0.4 KB each.
 SHARD, REMEMBERED = 16_384, 80_000
-#: Characters of text whose words are held as a list at a time.
+#: Characters of text that are parted at a time.
 HELD = 1 << 21
 #: Texts of these characters alone are parted here, the same way as by the vocabulary's own rule.
 PLAIN = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\s0-9a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: What a character of such a text is, lower-cased, in Latin-1: white space, a letter, a digit or a mark.
+WHITE, LETTER, DIGIT, MARK = range(4)
+KIND = np.array([WHITE if c in b"\t\n\r " else DIGIT if 48 <= c <= 57 else LETTER if 97 <= c <= 122 or c >= 0xDF and c != 0xF7 else MARK for c in range(256)], np.uint8)
+#: Endings that an apostrophe at the head of a run of marks takes along.
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 #: A bin is taken apart for the next round if more than this share of it is empty.
 OPEN_SHARE = 0.002
 #: Rounds are told apart by the upper bits of the sequence ids.
 FIRST_LEVEL, LAST_LEVEL = 64, 127
 
 
+def part_starts(chars: np.ndarray) -> np.ndarray:
+    """True where a part begins: a run of letters, a digit, a run of marks or an apostrophe with its ending."""
+    kind = KIND[chars]
+    starts = kind != WHITE
+    starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    heads = np.nonzero(starts & (chars == 39))[0]
+    for ending in ENDINGS if len(heads) else ():
+        at = heads[heads + len(ending) < len(chars)]
+        for j, c in enumerate(ending):
+            at = at[chars[at + 1 + j] == c]
+        starts[at + 1] = False
+        behind = at + 1 + len(ending)
+        behind = behind[behind < len(chars)]
+        starts[behind[kind[behind] == LETTER]] = True
+    return starts
+
+
 class TextIds:
     """The token ids of texts as little-endian bytes.
 
     The vocabulary lower-cases a text, drops white space and encodes each run of
     letters, each digit and each run of marks by itself. Plain texts are parted
-    that way here, so that every part is encoded once and looked up from then on
-    (a bounded memory); parts not met before are encoded together. A full memory is
-    set aside, what is still in use moves on to the next, the rest goes with the one
-    after. Other texts, and those that may hold a special token, go through the
-    tokenizer whole.
+    that way here, so that each distinct part of some texts is encoded once and
+    looked up from then on (a bounded memory). A full memory is set aside, what is
+    still in use moves on to the next, the rest goes with the one after. Other texts,
+    and those that may hold a special token, go through the tokenizer whole.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         names = tokenizer.get_vocab()
         self.is_last = np.zeros(max(names.values()) + 1, bool)  # tokens that end a part
         self.is_last[[i for t, i in names.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, parts: list[str]) -> None:
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn(self, parts: list[bytes]) -> None:
+        text = b" ".join(parts).decode("latin-1")
+        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = 4 * (np.nonzero(self.is_last[ids])[0] + 1)
         assert len(ends) == len(parts), "each part is encoded by itself"
         raw, begin = ids.tobytes(), 0
@@ -68,25 +89,45 @@ class TextIds:
             self.known[w] = raw[begin:z]
             begin = z
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each of a few texts."""
-        split = [PARTS.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+    def _of_parts(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts."""
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
-        found = [None if s is None else list(map(self.known.get, s)) for s in split]
-        fresh = {p for s, f in zip(split, found) if f and None in f for p, x in zip(s, f) if x is None}
-        moved = fresh & self.before.keys()
-        self.known.update((p, self.before[p]) for p in moved)
-        if fresh := fresh - moved:
-            self._learn(sorted(fresh))
-        out = []
-        for t, s, f in zip(texts, split, found):
-            if s is None:
-                whole = self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0]
-                out.append(np.asarray(whole.ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(self.known.__getitem__, s) if None in f else f))
-        return out
+        found = list(map(self.known.get, parts))
+        fresh = [p for p, x in zip(parts, found) if x is None]
+        if fresh:
+            again = [(p, self.before[p]) for p in fresh if p in self.before]
+            self.known.update(again)
+            if len(again) < len(fresh):
+                self._learn([p for p in fresh if p not in self.before])
+            found = list(map(self.known.__getitem__, parts))
+        return found
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        raw = [t.lower().encode("latin-1") for t in texts]
+        chars = np.frombuffer(b"\n".join(raw), np.uint8)
+        starts = part_starts(chars)
+        solid = KIND[chars] != WHITE
+        packed = chars[solid]
+        offsets = np.append(np.nonzero(starts[solid])[0], len(packed)).astype(np.int32)
+        cells = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+        ids = self._of_parts(cells.dictionary.to_pylist())
+        which = cells.indices.to_numpy()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[which]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        joined = flat[np.arange(upto[-1]) + np.repeat(at[which] - upto[:-1], n)].tobytes()
+        ends = np.cumsum([len(r) + 1 for r in raw]) - 1
+        done = 4 * upto[np.concatenate(([0], np.cumsum(starts)))[np.minimum(ends, len(chars))]]
+        return [joined[a:z] for a, z in zip([0, *done[:-1].tolist()], done.tolist())]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of a few texts."""
+        plain = [bool(PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        made = iter(self._plain([t for t, ok in zip(texts, plain) if ok])) if any(plain) else iter(())
+        whole = lambda t: np.asarray(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return [next(made) if ok else whole(t) for t, ok in zip(texts, plain)]
 
 
 @lru_cache(1)

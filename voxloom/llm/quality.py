@@ -177,18 +177,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: in
     return fit([flat[i] for i in order], y[order] if len(y) else y)
 
 
-def score_texts(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score``, from the whole text alone; null texts count as empty. A column of that name is replaced."""
+def score_texts(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """``docs`` with ``score_col``, from the whole text alone; null texts count as empty. A column of that name is replaced.
+
+    Repeated rows and extra columns stay; an empty table gives an empty result.
+    """
 
     def run(batches):
         known = Tokens()
         for b in batches:
             texts = b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
             s = pa.array([model.score(features(t, known)) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], "score"])
 
-    docs = docs.drop("quality_score")
-    held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(text_col).cast("string").alias("scored"))
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    out = held.mapInArrow(run, f"{fields}, quality_score double")
-    return out.toDF(*docs.columns, "quality_score")
+    text, rest = F.col(text_col).cast("string").alias("scored"), [c for c in docs.columns if c != score_col]
+    held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], text)
+    fields = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(rest))
+    return held.mapInArrow(run, f"{fields}score double").toDF(*rest, score_col)

@@ -12,11 +12,13 @@ many owners carry is a copied example.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxloom.session import cut, row_number
+from voxloom.session import cut
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -56,7 +58,7 @@ def _matches(text: Column, kind: str, pattern: str, group: int = 0, least: int =
     return F.when(F.regexp_like(text, p), F.filter(each, lambda x: x["len"].isNotNull())).otherwise(none)
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, row_col: str | None = None) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document row: ``rid, id, spans``.
 
     ``spans`` is an array, by place, of (start, no, end, kind, owners, repos,
@@ -66,20 +68,20 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is there only if it looks random, overlaps no base span and its value has one owner
     in the corpus. Null texts count as empty; null owners and repositories count as one
     more value. Empty tables give empty results; repeated rows and null ids stay; other
-    columns do not matter. ``row_col`` names a long column that numbers the rows; without
-    it rid is made here and fits no other scan of ``docs``.
+    columns do not matter, but those named in ``carry`` come along. rid is made here and
+    fits no other scan of ``docs``.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     matches = F.concat(_matches(text, "assign", ASSIGN, 2, 6), _matches(text, "access", ACCESS), _matches(text, "hex", HEX), _matches(text, "owned", OWNED))
     found = cut(
         docs.select(
-            row_number(row_col).alias("rid"), F.col(id_col).alias("id"),
+            F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), *carry,
             F.coalesce((F.lit("") if owner is None else owner).cast("string"), F.lit("\0")).alias("owner"),
             F.coalesce((F.lit("") if repo is None else repo).cast("string"), F.lit("\0")).alias("repo"),
             matches.alias("matches"),
         )
     )
-    each = found.where(F.size("matches") > 0).select("rid", "owner", "repo", F.explode("matches").alias("m")).select("rid", "owner", "repo", "m.*").repartition("rid")
+    each = found.where(F.size("matches") > 0).select(F.col("rid"), F.col("owner"), F.col("repo"), F.explode("matches").alias("m")).select("rid", "owner", "repo", "m.*").repartition("rid")
     in_turn = Window.partitionBy("rid", "no").orderBy("seq")
     placed = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(in_turn)).withColumn("start", F.col("end") - F.col("len"))
     placed = placed.where("hash is not null").where((F.col("no") < KINDS.index("owned")) | F.col("random"))
@@ -106,7 +108,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.array_sort(F.collect_list(F.struct("start", "no", "end", kind.alias("kind"), "owners", "repos", verdict.alias("verdict"), "before"))).alias("spans"))
     )
     none = F.array().cast(judged.schema["spans"].dataType)
-    return found.select("rid", "id").join(judged, "rid", "left").select("rid", "id", F.coalesce("spans", none).alias("spans"))
+    return found.select("rid", "id", *carry).join(judged, "rid", "left").select("rid", "id", F.coalesce("spans", none).alias("spans"), *carry)
 
 
 def span_list(spans: Column) -> Column:

@@ -20,6 +20,7 @@ group it links rather than all of its pairs.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import connected_components
-from voxloom.session import cut, drop_cut, row_number
+from voxloom.session import cut, drop_cut
 
 EVEN_BITS = 0x5555555555555555
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -210,23 +211,26 @@ def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-SAMPLES, SAMPLE_SIZE = 16, 3
-
-
-def _mixed(h: np.ndarray, t: int) -> np.ndarray:
-    x = h ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Min-wise samples of a text and shingles in each. A pair at a similarity of 0.8 shares none with a probability of
+#: (1 - 0.8**4)**20 = 0.00003, a pair at 0.25 shares one with 0.08.
+SAMPLES, SAMPLE_SIZE = 20, 4
+#: Mixed hashes held at a time; bounds the memory of a very long text.
+MIXED = 1 << 20
 
 
 def sample_fingerprints(hashes: np.ndarray, samples: int = SAMPLES, size: int = SAMPLE_SIZE) -> list[int]:
     """SimHashes of min-wise samples of distinct shingle hashes: sample t holds the ``size`` smallest under mixing t."""
-    out = []
-    for t in range(samples):
-        m = _mixed(hashes, t)
-        out.append(fingerprint(np.partition(m, size - 1)[:size] if len(m) > size else m))
-    return out
+    odd = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    size, least = min(size, len(hashes)), []
+    for a in range(0, samples, step := max(1, MIXED // max(1, len(hashes)))):
+        m = hashes[None, :] * odd[a : a + step, None]
+        m ^= m >> np.uint64(29)
+        m *= np.uint64(0xBF58476D1CE4E5B9)
+        m ^= m >> np.uint64(32)
+        least.append(np.partition(m, size - 1, axis=1)[:, :size])
+    low = np.ascontiguousarray(np.concatenate(least))
+    ones = np.unpackbits(low.view(np.uint8).reshape(samples, size, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int32)
+    return np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
 def _text_links(rids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -261,13 +265,13 @@ def _text_links(rids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], sim
 def _links_inside(members: DataFrame, sets: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
     """``(src, dst)``: verified links that join all that is alike inside each cell, by square tiles of bounded size.
 
-    ``members`` has t, s, rid and component, ``sets`` rid and shingles, ``cells`` t, s and the side of their squares.
+    ``members`` has cell, rid and component, ``sets`` rid and shingles, ``cells`` cell and the side of its square.
     """
-    salted = members.join(cells, ["t", "s"]).withColumn("at", F.pmod(F.xxhash64("rid"), F.col("side")).cast("int"))
-    tiles = salted.select("t", "s", "rid", "component", "at", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other")).select(
-        "t", "s", F.least("at", "other").alias("ti"), F.greatest("at", "other").alias("tj"), "rid", "component"
+    salted = members.join(cells, "cell").withColumn("at", F.pmod(F.xxhash64("rid"), F.col("side")).cast("int"))
+    tiles = salted.select("cell", "rid", "component", "at", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other")).select(
+        "cell", F.least("at", "other").alias("ti"), F.greatest("at", "other").alias("tj"), "rid", "component"
     )
-    keys = ["t", "s", "ti", "tj"]
+    keys = ["cell", "ti", "tj"]
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
@@ -280,8 +284,8 @@ def _links_inside(members: DataFrame, sets: DataFrame, cells: DataFrame, similar
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
         for b in batches:
-            key = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(4)], 1)
-            rids, comps, lists = np.asarray(b.column(4)), np.asarray(b.column(5)), b.column(6)
+            key = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(3)], 1)
+            rids, comps, lists = np.asarray(b.column(3)), np.asarray(b.column(4)), b.column(5)
             values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
             new = np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1
             for a, z in zip([0, *new.tolist()], [*new.tolist(), len(key)]):
@@ -298,24 +302,24 @@ def _links_inside(members: DataFrame, sets: DataFrame, cells: DataFrame, similar
     return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
-def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3, tile: int = TILE, row_col: str | None = None) -> DataFrame:
+def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3, tile: int = TILE, carry: Sequence[str] = ()) -> DataFrame:
     """``(rid, id, rep)`` for every row: rep is the row that stays for its group (rid = rep).
 
     Groups are the components of links between texts whose sets of ``shingle``-word
-    shingles have a Jaccard ``similarity`` or more; texts of equal words are one
-    vertex. Candidates share a cell: their whole-text fingerprints are joined by
-    steps of ``radius`` bits, by the grid join, or, since at a similarity of 0.8
-    whole-text fingerprints already differ in about ten bits, one of their min-wise
-    samples of the shingles has the same fingerprint (a pair at 0.8 shares one of 16
-    with a probability over 0.999). Every pair of a cell is verified on the exact
-    sets unless verified links join it already: first the links to the first row of
-    the cell and of finer cells, then, where that leaves a cell in parts, all pairs
-    of different parts in tiles of bounded size.
+    shingles have a Jaccard ``similarity`` or more (sets of 32 bits of each hash); texts
+    of equal words are one vertex. Candidates share a cell: their whole-text fingerprints
+    are joined by steps of ``radius`` bits, by the grid join, or, since at a similarity of
+    0.8 whole-text fingerprints already differ in about ten bits, one of their min-wise
+    samples of the shingles has the same fingerprint (see SAMPLES). Every pair of a cell
+    is verified on the sets unless verified links join it already: first the links to the
+    first row of the cell and of finer cells, then, where that leaves a cell in parts, all
+    pairs of different parts in tiles of bounded size.
 
     The row that stays is the one with the smallest id (nulls last), then the
-    smallest row number. Null texts count as empty; wordless texts are one group.
-    ``row_col`` names a long column that numbers the rows; without it rid is made here
-    and fits no other scan of ``docs``.
+    smallest row number. Null texts count as empty; wordless texts are one group;
+    repeated rows are copies. Empty tables give empty results. Columns of ``docs`` named
+    in ``carry`` come along, others do not matter. rid is made here and fits no other
+    scan of ``docs``.
     """
 
     def run(batches):
@@ -325,64 +329,63 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             keys, fps, samples, sets = [], [], [], []
             for text in b.column(2).cast(pa.binary()).to_pylist():
                 words = b" ".join(text.translate(LOWER).split()) if text else b""
-                keys.append(xxhash.xxh3_128_hexdigest(words))
+                keys.append(xxhash.xxh3_128_digest(words))
                 h = np.unique(shingle_hashes(words, shingle))
                 fps.append(fingerprint(h))
                 samples.append(sample_fingerprints(h) if len(h) else [])
                 sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys), pa.array(fps, pa.int64()), pa.array(samples, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))],
-                names=["rid", "id", "key", "fp", "samples", "shingles"],
-            )
+            made = [pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(samples, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *b.columns[3:]], names=["rid", "id", "key", "fp", "m", "samples", "shingles", *carry])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(row_number(row_col).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string"))
-    rows = cut(picked.mapInArrow(run, f"rid long, id {kind}, key string, fp long, samples array<bigint>, shingles array<int>"))
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    picked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string"), *carry)
+    rows = cut(picked.mapInArrow(run, f"rid long, id {kind}, key binary, fp long, m int, samples array<bigint>, shingles array<int>{more}"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")
     texts = cut(rows.groupBy("key").agg(F.min(order).alias("first")).select("key", F.col("first.rid").alias("v"), "first"))
-    firsts = rows.join(texts.select(F.col("v").alias("rid")), "rid", "left_semi").where(F.size("shingles") > 0)
-
-    by_fp = cut(firsts.select("fp").distinct())
-    joined = connected_components(hamming_links(by_fp, radius)).withColumnsRenamed({"node": "fp", "component": "group"})
-    of_fp = firsts.select("fp", "rid", F.size("shingles").alias("m")).join(joined, "fp", "left")
-    sampled = firsts.select("rid", "samples", F.size("shingles").alias("m"), F.posexplode("samples").alias("t", "s"))
-    marks = cut(
-        sampled.select("rid", "m", "t", "s", F.element_at("samples", F.pmod(F.col("t") + 1, F.lit(SAMPLES)) + 1).alias("finer"))
-        .unionByName(of_fp.select("rid", "m", F.lit(SAMPLES).alias("t"), F.coalesce("group", "fp").alias("s"), F.col("fp").alias("finer")))
-    )
-    met = cut(marks.join(marks.groupBy("t", "s").agg(F.min("rid").alias("src"), F.count("*").alias("n")).where("n > 1"), ["t", "s"]))
+    firsts = rows.where("m > 0").select("rid", "fp", "m", "samples").join(texts.select(F.col("v").alias("rid")), "rid", "left_semi")
+
+    marks = cut(firsts)
+    joined = connected_components(hamming_links(cut(marks.select("fp").distinct()), radius)).withColumnsRenamed({"node": "fp", "component": "group"})
+    # a cell is named by one hash; should two share it, their members are compared for nothing
+    t, s = F.col("t"), F.col("s")
+    sampled = marks.select("rid", "m", F.explode(F.transform("samples", lambda x, i: F.struct(i.alias("t"), x.alias("s"), F.element_at("samples", F.pmod(i + 1, F.lit(SAMPLES)) + 1).alias("next")))).alias("e")).select("rid", "m", "e.*")
+    cells = sampled.select("rid", "m", F.xxhash64(t, s).alias("cell"), F.xxhash64(t, s, "next").alias("finer"))
+    grouped = marks.select("rid", "m", "fp").join(joined, "fp", "left").select("rid", "m", F.xxhash64(F.lit(SAMPLES), F.coalesce("group", "fp")).alias("cell"), F.xxhash64(F.lit(SAMPLES), "fp").alias("finer"))
+    cells = cut(cells.unionByName(grouped))
+    met = cut(cells.join(cells.groupBy("cell").agg(F.min("rid").alias("src"), F.count("*").alias("n")).where("n > 1"), "cell"))
+    drop_cut(cells)
+    finer = met.groupBy("finer").agg(F.min("rid").alias("nearer"), F.count("*").alias("k")).where("k > 1").drop("k")
+    edges = met.select("src", "rid", "m").unionByName(met.select("finer", "rid", "m").join(finer, "finer").select(F.col("nearer").alias("src"), "rid", "m"))
+    sized = edges.where("src <> rid").distinct().join(marks.select(F.col("rid").alias("src"), F.col("m").alias("m_src")), "src")
+    edges = cut(sized.where(F.least("m", "m_src") >= similarity * F.greatest("m", "m_src")).select("src", F.col("rid").alias("dst")))
     drop_cut(marks)
-    finer = met.groupBy("t", "s", "finer").agg(F.min("rid").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    edges = met.select("src", F.col("rid").alias("dst")).unionByName(
-        met.drop("src").join(finer, ["t", "s", "finer"]).select(F.col("first").alias("src"), F.col("rid").alias("dst"))
-    )
-    edges = cut(edges.where("src <> dst").distinct())
-    sets = firsts.select("rid", "shingles")
+    sets = rows.select("rid", "shingles")
     paired = edges.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
     common = F.size(F.array_intersect("a", "b"))
     alike = cut(paired.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"))
     groups = cut(connected_components(alike))
 
     parts = cut(
-        met.where("n > 2").select("t", "s", "rid", "m").join(groups.withColumnRenamed("node", "rid"), "rid", "left")
-        .select("t", "s", "rid", "m", F.coalesce("component", "rid").alias("component"))
+        met.where("n > 2").select("cell", "rid", "m").join(groups.withColumnRenamed("node", "rid"), "rid", "left")
+        .select("cell", "rid", "m", F.coalesce("component", "rid").alias("component"))
     )
+    drop_cut(met), drop_cut(edges)
     side = F.ceil(F.greatest(F.count("*") / tile, F.sum("m") / TILE_SHINGLES)).cast("int")
     members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.sum(F.xxhash64("rid", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("y")]
     mixed = (
-        parts.groupBy("t", "s").agg(*members, side.alias("side"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        .groupBy("n", "x", "y").agg(F.min(F.struct("t", "s", "side")).alias("cell")).select("cell.*")  # cells of the same members count once
+        parts.groupBy("cell").agg(*members, side.alias("side"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        .groupBy("n", "x", "y").agg(F.min(F.struct("cell", "side")).alias("cell")).select("cell.*")  # cells of the same members count once
     )
     mixed = cut(mixed)
     if mixed.take(1):
         more = cut(_links_inside(parts, sets, mixed, similarity))
         groups = cut(connected_components(alike.unionByName(more)))
-    for made in (met, edges, parts):
-        drop_cut(made)
+    drop_cut(parts)
     named = texts.join(groups.withColumnRenamed("node", "v"), "v", "left").select("key", "first", F.coalesce("component", "v").alias("component"))
     named = cut(named)
     stays = named.groupBy("component").agg(F.min("first").alias("best")).select("component", F.col("best.rid").alias("rep"))
     of_key = named.select("key", "component").join(stays, "component").select("key", "rep")
-    out = cut(rows.select("rid", "id", "key").join(of_key, "key").select("rid", "id", "rep"))
-    drop_cut(rows)
+    out = cut(rows.select("rid", "id", "key", *carry).join(of_key, "key").select("rid", "id", "rep", *carry))
+    drop_cut(rows), drop_cut(texts), drop_cut(named)
     return out

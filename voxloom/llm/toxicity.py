@@ -4,7 +4,7 @@ A word's vector is the sum of the vectors of its own hash and of the hashes of i
 beginnings. Filters of several widths slide over the words, each filter keeps its
 largest response (max pooling) and a logistic layer weighs them. Training steps
 only touch the windows that won the pooling. A flag per language uses a
-threshold calibrated on that language's held-back training rows; the score
+threshold calibrated on cross-fitted scores of that language's training rows; the score
 itself sees nothing but the text.
 """
 
@@ -83,12 +83,12 @@ class ToxicityModel:
 
         ``vectors(a, z)`` gives the vectors of words a to z; zeros stand after the last.
         """
-        best = np.full((len(WIDTHS), FILTERS), -np.inf, np.float32)
+        best = np.full((len(WIDTHS), FILTERS), -np.inf, self.e.dtype)
         where = np.zeros((len(WIDTHS), FILTERS), np.int64)
         every, more = np.concatenate([k[j].T for k in self.k for j in range(len(k))]), max(WIDTHS) - 1
         for a in range(0, max(n, 1), PIECE):
             m = min(PIECE, max(n, 1) - a)
-            x = np.zeros((m + more, DIM), np.float32)
+            x = np.zeros((m + more, DIM), self.e.dtype)
             z = min(n, a + m + more)
             if z > a:
                 x[: z - a] = vectors(a, z)
@@ -117,6 +117,33 @@ class ToxicityModel:
         p, _ = self.pooled(lambda a, z: known.vectors(words[a:z]), len(words))
         return self.probability(float(p.ravel() @ self.out + self.bias))
 
+    def gradients(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray):
+        """Of the sum of weight * log loss: (touched embedding rows, their gradients), filters, filter biases, output layer, bias."""
+        touched, grads = [], []
+        gk, gkb, go, gb = [np.zeros_like(k) for k in self.k], np.zeros_like(self.kb), np.zeros_like(self.out), 0.0
+        for parts, t, each in zip(texts, y, weight):
+            p, where = self.pooled(lambda u, v, parts=parts: self.e[parts[u:v]].sum(axis=1), len(parts))
+            d = each * (1 / (1 + np.exp(-np.clip(p.ravel() @ self.out + self.bias, -30, 30))) - t)
+            go += d * p.ravel()
+            gb += d
+            back = np.where(p > 0, d * self.out.reshape(p.shape), 0)
+            gkb += back
+            padded = np.concatenate([parts, np.full((max(WIDTHS), PARTS), PADDING)])
+            for w, width in enumerate(WIDTHS):
+                live = np.nonzero(back[w])[0]
+                for j in range(width):
+                    rows = padded[where[w, live] + j]
+                    gk[w][j][:, live] += (self.e[rows].sum(axis=1) * back[w, live, None]).T
+                    touched.append(rows)
+                    grads.append(back[w, live, None] * self.k[w][j][:, live].T)
+        rows, g = np.concatenate(touched), np.concatenate(grads)
+        flat = rows.ravel()
+        by = np.argsort(flat, kind="stable")
+        begin = np.nonzero(np.diff(flat[by], prepend=-1))[0]
+        at = flat[by[begin]]
+        ge = np.add.reduceat(g[by // PARTS], begin, axis=0) if len(begin) else g
+        return (at[at != PADDING], ge[at != PADDING]), gk, gkb, go, gb
+
     def train(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = 4, rate: float = 0.05, batch: int = 16, seed: int = 1) -> None:
         """AdaGrad on the log loss, classes weighted to equal sums."""
         rng = np.random.default_rng(seed)
@@ -125,30 +152,8 @@ class ToxicityModel:
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for a in range(0, len(order), batch):
-                touched, grads = [], []
-                gk, gkb, go, gb = [np.zeros_like(k) for k in self.k], np.zeros_like(self.kb), np.zeros_like(self.out), 0.0
-                for i in order[a : a + batch]:
-                    parts = texts[i]
-                    p, where = self.pooled(lambda u, v, parts=parts: self.e[parts[u:v]].sum(axis=1), len(parts))
-                    d = weight[i] * (1 / (1 + np.exp(-np.clip(p.ravel() @ self.out + self.bias, -30, 30))) - y[i]) / batch
-                    go += d * p.ravel()
-                    gb += d
-                    back = np.where(p > 0, d * self.out.reshape(p.shape), 0)
-                    gkb += back
-                    padded = np.concatenate([parts, np.full((max(WIDTHS), PARTS), PADDING)])
-                    for w, width in enumerate(WIDTHS):
-                        live = np.nonzero(back[w])[0]
-                        for j in range(width):
-                            rows = padded[where[w, live] + j]
-                            gk[w][j][:, live] += (self.e[rows].sum(axis=1) * back[w, live, None]).T
-                            touched.append(rows)
-                            grads.append(back[w, live, None] * self.k[w][j][:, live].T)
-                rows, g = np.concatenate(touched), np.concatenate(grads)
-                flat = rows.ravel()
-                by = np.argsort(flat, kind="stable")
-                begin = np.nonzero(np.diff(flat[by], prepend=-1))[0]
-                at, ge = flat[by[begin]], np.add.reduceat(g[by // PARTS], begin, axis=0)
-                ge, at = ge[at != PADDING], at[at != PADDING]
+                some = order[a : a + batch]
+                (at, ge), gk, gkb, go, gb = self.gradients([texts[i] for i in some], y[some], weight[some] / batch)
                 sums[0][at] += ge * ge
                 self.e[at] -= rate * ge / np.sqrt(sums[0][at])
                 for k, gr, s in zip(self.k, gk, ksums):
@@ -169,13 +174,13 @@ def _best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
     return float(mids[int(np.argmax(f1))])
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs: int = 4, held_back: float = 0.2, least: int = 20) -> ToxicityModel:
-    """Train on most rows; scale the score and calibrate each language's threshold on those held back.
-
-    The score is scaled so that the best single threshold on the held-back rows is DEFAULT_THRESHOLD.
+def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs: int = 4, folds: int = 3, least: int = 20) -> ToxicityModel:
+    """Train on all rows; scale the score and calibrate each language's threshold on cross-fitted scores of all rows.
 
-    A language with fewer than ``least`` held-back rows or no toxic one among them
-    keeps the default threshold. With one class alone the score is its smoothed share.
+    A row's cross-fitted score comes from a model of the other ``folds - 1`` parts of
+    the rows. The score is scaled so that the best single threshold on these is
+    DEFAULT_THRESHOLD. A language with fewer than ``least`` rows or no toxic one among
+    them keeps the default threshold. With one class alone the score is its smoothed share.
     """
     from voxloom.llm.quality import _logistic
 
@@ -184,21 +189,27 @@ def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], epochs:
         share = (float(np.sum(y)) + 1) / (len(y) + 2)
         model.slope, model.intercept = 0.0, float(np.log(share / (1 - share)))
         return model
-    back = np.arange(len(y)) % max(2, round(1 / held_back)) == 0
-    if y[~back].min() == y[~back].max() or y[back].min() == y[back].max():
-        back[:] = False
-    model.train([t for t, b in zip(texts, back) if not b], y[~back], epochs)
-    at = np.nonzero(back)[0] if back.any() else np.arange(len(y))
-    model.slope, model.intercept = _logistic(np.array([model.logit(texts[i]) for i in at]), y[at])
-    logits = np.array([model.logit(texts[i]) for i in at])
-    best = _best_threshold(1 / (1 + np.exp(-logits)), y[at])
-    model.slope = max(model.slope, 0.1)
+    model.train(texts, y, epochs)
+    part = np.empty(len(y), np.int64)  # both classes are dealt out evenly
+    for c in (0, 1):
+        part[y == c] = np.arange((y == c).sum()) % folds
+    logits = np.empty(len(y))
+    for k in range(folds):
+        inside, outside = np.nonzero(part != k)[0], np.nonzero(part == k)[0]
+        other = model
+        if y[inside].min() != y[inside].max():
+            other = ToxicityModel()
+            other.train([texts[i] for i in inside], y[inside], epochs)
+        logits[outside] = [other.logit(texts[i]) for i in outside]
+    slope, _ = _logistic(logits, y)
+    best = np.clip(_best_threshold(1 / (1 + np.exp(-np.clip(logits, -30, 30))), y), 1e-9, 1 - 1e-9)
+    model.slope = max(slope, 0.1)
     model.intercept = float(np.log(DEFAULT_THRESHOLD / (1 - DEFAULT_THRESHOLD)) - model.slope * np.log(best / (1 - best)))
     scores = np.array([model.probability(v) for v in logits])
-    for lang in sorted({langs[i] for i in at if langs[i] is not None}):
-        own = np.array([langs[i] == lang for i in at])
-        if own.sum() >= least and y[at][own].any():
-            model.thresholds[lang] = _best_threshold(scores[own], y[at][own])
+    for lang in sorted({x for x in langs if x is not None}):
+        own = np.array([x == lang for x in langs])
+        if own.sum() >= least and y[own].any():
+            model.thresholds[lang] = _best_threshold(scores[own], y[own])
     return model
 
 
@@ -219,20 +230,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: i
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1, of the whole text) and ``flagged`` (by the language's threshold)."""
+    """``docs`` with ``toxicity`` (0 to 1, of the whole text) and ``flagged`` (by the language's threshold).
+
+    Null, empty and wordless texts are scored as no words at all; a null or unknown
+    language has the default threshold; repeated rows and extra columns stay, columns of
+    the two names are replaced; an empty table gives an empty result.
+    """
 
     def run(batches):
         known = WordVectors(model.e)
         for b in batches:
             s = pa.array([model.score(t, known) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], "s"])
 
-    docs = docs.drop("toxicity", "flagged")
-    held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(text_col).cast("string").alias("scored"))
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    out = held.mapInArrow(run, f"{fields}, toxicity double").toDF(*docs.columns, "toxicity")
+    rest = [c for c in docs.columns if c not in ("toxicity", "flagged")]
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], lang.alias("l"), F.col(text_col).cast("string").alias("scored"))
+    fields = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(rest))
     limit = F.lit(DEFAULT_THRESHOLD)
-    if lang_col:
-        for lang, t in model.thresholds.items():
-            limit = F.when(F.col(lang_col) == lang, F.lit(t)).otherwise(limit)
-    return out.withColumn("flagged", F.col("toxicity") >= limit)
+    for name, t in model.thresholds.items():
+        limit = F.when(F.col("l") == name, F.lit(t)).otherwise(limit)
+    out = held.mapInArrow(run, f"{fields}l string, s double")
+    return out.select(*[f"c{i}" for i in range(len(rest))], "s", (F.col("s") >= limit).alias("flagged")).toDF(*rest, "toxicity", "flagged")

@@ -13,12 +13,14 @@ documents keep every gram of those lengths (winnowing with a window of one).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.session import cut, row_number
+from voxloom.session import cut
 
 #: ASCII outside 0-9, A-Z and a-z parts words, A-Z becomes a-z, all else belongs to words.
 TABLE = bytes(
@@ -104,7 +106,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
 CANDIDATES = "array<struct<pos:int,h:bigint,from:int,words:array<string>>>"
 
 
-def scan_documents(docs: DataFrame, flags: bytes, sizes: list[int], id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = KGRAM, row_col: str | None = None) -> DataFrame:
+def scan_documents(docs: DataFrame, flags: bytes, sizes: list[int], id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = KGRAM, carry: Sequence[str] = ()) -> DataFrame:
     """``(rid, id, n_words, candidates)``: kept k-grams whose hash passes ``flags``, with the words round them."""
 
     def run(batches):
@@ -137,23 +139,23 @@ def scan_documents(docs: DataFrame, flags: bytes, sizes: list[int], id_col: str
                         mine.append((p, int(grams[p].view(np.int64)), p, words[p : p + s]))
                 found.append([{"pos": p, "h": h, "from": a, "words": [w.decode("utf-8", "replace") for w in ws]} for p, h, a, ws in mine])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(found, pa.list_(item))], names=["rid", "id", "n_words", "candidates"]
+                [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(found, pa.list_(item)), *b.columns[3:]], names=["rid", "id", "n_words", "candidates", *carry]
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(row_number(row_col).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string"))
-    return picked.mapInArrow(run, f"rid long, id {kind}, n_words long, candidates {CANDIDATES}")
+    picked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string"), *carry)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return picked.mapInArrow(run, f"rid long, id {kind}, n_words long, candidates {CANDIDATES}{more}")
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = KGRAM, row_col: str | None = None) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = KGRAM, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document row: ``rid, id, n_words, n_hit, n_items, item_ids, contaminated``.
 
     A document word is hit if it lies in any occurrence of a window of any item.
     Null and wordless texts have no words and no hits; wordless items have no
     windows; repeated items count once by id; an empty benchmark leaves every
-    document clean. Other columns of either table do not matter. ``row_col`` names a
-    long column of ``docs`` that numbers the rows; without it rid is made here and
-    fits no other scan of ``docs``.
+    document clean. Other columns of either table do not matter, but those of ``docs`` named in
+    ``carry`` come along. rid is made here and fits no other scan of ``docs``.
 
     The benchmark's fingerprints meet the documents' in an equi-join; only a
     fixed 128 KB table of hash flags travels with the tasks, whatever the
@@ -165,7 +167,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     for (f,) in windows.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int")).distinct().collect():
         flags[f] = 1
     sizes = sorted(r[0] for r in windows.where(F.col("size") < span).select("size").distinct().collect())
-    scanned = cut(scan_documents(docs, np.packbits(flags, bitorder="little").tobytes(), sizes, id_col, text_col, span, k, row_col))
+    scanned = cut(scan_documents(docs, np.packbits(flags, bitorder="little").tobytes(), sizes, id_col, text_col, span, k, carry))
 
     start = F.col("c.pos") - F.col("offset")
     inside = (start >= F.col("c.from")) & (start + F.col("size") <= F.col("c.from") + F.size("c.words"))
@@ -195,11 +197,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
     none = F.array().cast("array<string>")
     return (
-        scanned.select("rid", "id", "n_words")
+        scanned.select("rid", "id", "n_words", *carry)
         .join(n_hit, "rid", "left")
         .join(named, "rid", "left")
         .select(
             "rid", "id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
-            F.coalesce("item_ids", none).alias("item_ids"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+            F.coalesce("item_ids", none).alias("item_ids"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), *carry,
         )
     )
