@@ -2,7 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and
 returns a DataFrame that is written as Parquet and read again as the next
-stage's ``docs``. All stages but the last return the columns of ``docs``.
+stage's ``docs``. All stages but the last return the columns of ``docs``, extra
+ones included. Empty tables give empty results, null texts count as empty,
+repeated rows are rows (of which near-dedup keeps one). What an operator finds is
+joined back to the rows by their place in the files, which no change of the
+cluster alters.
 """
 
 from __future__ import annotations
@@ -13,13 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import packing, quality, secrets, simhash, winnow
-from voxloom.llm.labelled import fold
 from voxloom.llm.queries import vocabulary_path
-from voxloom.session import cut, read_table, shared_dir
+from voxloom.session import located, read_table, shared_dir
 
 #: Scores below go.
 MIN_QUALITY = 0.3
-ROW = "row_of_stage"
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,40 +31,38 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     one-sided label table every document gets the same score.
     """
     model = quality.fit_quality(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"), folds=5, held_out=0)
-    return quality.score_texts(docs, model).where(F.col("quality_score") >= MIN_QUALITY).select(*docs.columns)
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with row numbers, written once: the operator and the join back read the same numbers.
-
-    Numbers made in two scans differ as soon as the files are split another way.
-    """
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    score = "quality"
+    while score in docs.columns:
+        score = "_" + score
+    return quality.score_texts(docs, model, score_col=score).where(F.col(score) >= MIN_QUALITY).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
-    docs, columns = _numbered(docs), docs.columns
-    kept = simhash.near_text_groups(docs, shingle=5, similarity=0.8, row_col=ROW).where("rid = rep").select(F.col("rid").alias(ROW))
-    return docs.join(kept, ROW, "left_semi").select(*columns)
+    placed, place = located(docs)
+    kept = simhash.near_text_groups(placed, shingle=5, similarity=0.8, carry=place).where("rid = rep").select(*place)
+    return placed.join(kept, place, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    docs, columns = _numbered(docs), docs.columns
-    found = winnow.contamination(docs, read_table(spark, sf_dir, "benchmark"), row_col=ROW)
-    hit = found.where("contaminated").select(F.col("rid").alias(ROW))
-    return docs.join(hit, ROW, "left_anti").select(*columns)
+    placed, place = located(docs)
+    hit = winnow.contamination(placed, read_table(spark, sf_dir, "benchmark"), carry=place).where("contaminated").select(*place)
+    return placed.join(hit, place, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays. ``n_chars`` follows the text."""
-    docs, columns = _numbered(docs), docs.columns
-    spans = secrets.secret_spans(docs, row_col=ROW, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
-    found = spans.where(F.size("spans") > 0).select(F.col("rid").alias(ROW), F.col("spans").alias("spans_found"))
-    masked = docs.join(found, ROW, "left")
-    text = F.when(F.col("spans_found").isNotNull(), secrets.redact(F.coalesce("text", F.lit("")), F.col("spans_found"))).otherwise(F.col("text"))
-    return masked.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans_found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
+    placed, place = located(docs)
+    spans = secrets.secret_spans(placed, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"), carry=place)
+    found = spans.where(F.size("spans") > 0).select(*place, F.struct("spans").alias("found"))
+    rest = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")  # so that no column of docs meets one made here
+    masked = placed.select(*place, rest).join(found, place, "left")
+    text = F.when(F.col("found").isNotNull(), secrets.redact(F.coalesce("doc.text", F.lit("")), F.col("found.spans"))).otherwise(F.col("doc.text"))
+    masked = masked.select("doc", "found", text.alias("text"))
+    n_chars = F.when(F.col("found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))
+    made = {"text": F.col("text"), "n_chars": n_chars.alias("n_chars")}
+    return masked.select(*[made.get(c, F.col("doc")[c].alias(c)) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,10 +18,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: what the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a local session, tests) a fresh temporary folder
-    is set once for the session.
+    Where the setting is absent, a local session (tests) gets a fresh temporary
+    folder once; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
@@ -39,6 +42,24 @@ def cut(df: DataFrame, stats: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two columns more that name a row alike in every scan, and their names: its file and its place there.
+
+    How files are split over tasks changes with the cluster, these do not. A table that
+    is not read from Parquet files directly is written first.
+    """
+    names = []
+    for name in ("file_of_row", "place_of_row"):
+        while name in docs.columns:
+            name = "_" + name
+        names.append(name)
+    where = [F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])]
+    try:
+        return docs.select("*", *where), names
+    except AnalysisException:
+        return cut(docs).select("*", *where), names
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`cut` once nothing reads it any more."""
     spark = df.sparkSession
@@ -46,8 +67,3 @@ def drop_cut(df: DataFrame) -> None:
         if "/voxloom-" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def row_number(row_col: str | None) -> Column:
-    """The column that numbers the rows, or numbers that hold within this scan alone."""
-    return F.col(row_col) if row_col else F.monotonically_increasing_id()
