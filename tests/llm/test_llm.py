@@ -271,16 +271,53 @@ def test_long_texts_are_pooled_whole():
         ('<body><div id="cookie-notice">We use cookies on this site to serve you better and so on and on.</div><article><p>Text\n\n  runs  on</p></article></body>', "Text runs on"),
         ('<body class="home no-sidebar"><div class="main with-sidebar"><p>One two three four five six seven eight nine ten eleven twelve.</p></div><div class="alert">Read our new rules now, all of them.</div>', "One two three four five six seven eight nine ten eleven twelve."),
         ("<article><p><b>unclosed <i>bold<p>next</article>", "unclosed bold next"),
+        ('<article><p>One <svg class="i"/> two</p><p>three</p></article>', "One two three"),
+        ("<article><p>One <svg><title>icon</title><text>no</text></svg> two</p><p>three <video><source src=x>fallback</p><p>four</p></article>", "One two three four"),
+        ('<article><h2 id="related-work">Related work</h2><p id="legal-status">So it is.</p><p class="notice">Mind the gap.</p></article>', "Related work So it is."),
+        ("<article><p>Let <math><mi>x</mi></math> be.</p></article>", "Let x be."),
+        ("<article><noscript><p>Turn it on</p></noscript><p>a</p><iframe src=x><p>b</p></iframe><p>c</p></article>", "a c"),
+        (
+            "<main><h1>T</h1><p>See <a href=1>this long link text here</a> ok</p><ul><li><a href=2>one</a></li><li>two</li></ul><p>End</p></main><div class=sidebar><p>" + "word " * 60 + "</p></div>",
+            "T See this long link text here ok one two End",
+        ),
+        ("<article>" + "<p>long words " * 50000 + "</article>", ("long words " * 50000).strip()),
     ],
 )
 def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_counts_and_densities_decide_where_markup_is_neutral():
+    """The test pages with every element that hints at its role made a div: the outcome of each block is the same."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    decided = 0
+    for i, page in enumerate(pages):
+        plain = re.sub(r'class="[^"]*"', "", re.sub(r"<(/?)(nav|article|footer)\b", r"<\1div", page))
+        plain = re.sub(r"<(/?)(ul|li)\b", r"<\1div", plain) if i % 2 else plain
+        blocks = html_text.text_blocks(plain)
+        assert not any(b[5] or b[6] for b in blocks)
+        inside = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        assert html_text.main_text(plain) == html_text.main_text(page) == " ".join(b[0] for b in html_text.text_blocks(inside))
+        decided += len(blocks)
+    assert decided > 4000
+
+
+def test_a_tree_prefers_densities_to_hints():
+    x = np.zeros((8, len(html_text.FEATURES)))
+    x[:4, 1] = x[:4, 9] = 1
+    assert html_text.grow(x, np.array([0, 0, 0, 0, 1, 1, 1, 1]))[0] == 1
+
+
 def test_extract_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", None, "m"), (1, "u", "<article>é&#233;</article>", "m")], "page_id long, url string, html string, t string")
     got = html_text.extract(pages).collect()
     assert sorted((r.page_id, r.t, r.main_text, r.main_chars) for r in got) == [(1, "m", "", 0), (1, "m", "éé", 2)]
+    clashing = pages.withColumn("main_text", F.lit(7)).withColumn("n", F.lit(1)).withColumn("c0", F.lit(2))
+    again = html_text.extract(clashing.unionByName(clashing))
+    assert sorted(again.columns) == ["c0", "main_chars", "main_text", "n", "page_id", "t", "url"] and again.where("main_chars in (0, 2) and c0 = 2 and n = 1").count() == 4
+    assert html_text.extract(pages.limit(0)).count() == 0
 
 
 # -- 4 ------------------------------------------------------------------------------------------
