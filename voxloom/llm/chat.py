@@ -46,14 +46,18 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
 
 def chatml(role: Column, text: Column) -> Column:
-    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n"))
+    """A turn between marks; what looks like the head of a mark in a role or text gets a space, so that no text forges a turn."""
+    safe = lambda c: F.replace(c, F.lit("<|im_"), F.lit("<| im_"))
+    return F.concat(F.lit("<|im_start|>"), safe(role), F.lit("\n"), safe(text), F.lit("<|im_end|>\n"))
 
 
 def format_chats(turns: DataFrame, render=chatml) -> DataFrame:
     """``(conv_id, n_turns, n_assistant, rendered)``, one row per maximal conversation.
 
-    A conversation's own text is the only thing gathered in one row. Empty tables
-    give empty results; other columns do not matter.
+    A conversation's own text is the only thing gathered in one row. Turns are in
+    order of ``turn``, ties by role and text; a repeated row is one more turn; null roles
+    and texts are empty; texts of any length are whole. Empty tables give empty results;
+    other columns do not matter.
     """
     kept = maximal_conversations(turns)
     rows = turns.select(

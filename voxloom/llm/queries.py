@@ -142,7 +142,7 @@ ORACLES = {
         ends AS (SELECT pre, min(conv_id) AS conv_id FROM p WHERE pos = n GROUP BY pre),
         kept AS (SELECT conv_id FROM ends WHERE pre NOT IN (SELECT pre FROM p WHERE pos < n))
         SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_assistant,
-               string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+               string_agg('<|im_start|>' || replace(role, '<|im_', '<| im_') || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
         FROM t JOIN kept USING (conv_id) GROUP BY conv_id""",
     "op8_secrets": rf"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS owner, concat_ws('/', source, lang) AS repo FROM documents),
