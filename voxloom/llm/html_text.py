@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.batches import few_rows
+
 #: Elements whose content is never text: the first are skipped up to their end tag, the others end with their parent too.
 SILENT = "script|style|title|textarea"
 MUTE = frozenset("noscript template svg iframe object canvas audio video".split())
@@ -412,7 +414,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     rest = [c for c in pages.columns if c not in (html_col, "main_text", "main_chars")]
 
     def run(batches):
-        for b in batches:
+        for b in few_rows(batches):
             texts = [main_text(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*b.schema.names[:-1], "t", "n"]

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.batches import few_rows
 from voxloom.llm.html_text import main_text
 from voxloom.session import cut
 
@@ -71,7 +72,7 @@ def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     def run(batches):
         held: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in few_rows(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if lang in held:
                     held[lang] += trigram_counts(text)
@@ -116,7 +117,7 @@ def identify(pages: DataFrame, model: TextModel, url_col: str = "url", html_col:
         return blank.withColumn("score", F.lit(0.0))
 
     def run(batches):
-        for b in batches:
+        for b in few_rows(batches):
             logs = [model.logs(main_text(t)) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(logs, pa.list_(pa.float64()))], names=[*b.schema.names[:-1], "logs"])
 

@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.batches import few_rows
 from voxloom.session import cut
 
 CAPACITY = 4096
 #: Pieces that one task packs (in expectation), and parts of texts whose ids a task remembers: twice as many at most, 0.4 KB each.
 SHARD, REMEMBERED = 16_384, 80_000
 #: Characters of text that are parted at a time.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Texts of these characters alone are parted here, the same way as by the vocabulary's own rule.
 PLAIN = re.compile(r"[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 #: What a character of such a text is, lower-cased, in Latin-1: white space, a letter, a digit or a mark.
@@ -162,7 +163,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     def run(batches):
         known = TextIds(tokenizer(vocabulary))  # what is learnt goes with the task
         end, step = np.asarray([end_id], "<u4").tobytes(), 4 * capacity
-        for b in batches:
+        for b in few_rows(batches):
             rows: list[tuple] = []
             made = (ids + end for few in _few(b.column(2).to_pylist()) for ids in known.ids(few))
             for i, ids in enumerate(made):

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.batches import few_rows
 from voxloom.llm.labelled import TRAIN_ROWS, fold, training_rows
 
 BITS = 18
@@ -160,7 +161,7 @@ def featurised(rows: DataFrame, text_col: str = "text", label: str = "y") -> Dat
 
     def run(batches):
         known = Tokens()
-        for b in batches:
+        for b in few_rows(batches):
             texts = b.column(0).cast(pa.binary()).to_pylist()
             f = pa.array([features(t, known).astype(np.int32) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([f, b.column(1)], names=["f", "y"])
@@ -185,7 +186,7 @@ def score_texts(docs: DataFrame, model: QualityModel, text_col: str = "text", sc
 
     def run(batches):
         known = Tokens()
-        for b in batches:
+        for b in few_rows(batches):
             texts = b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
             s = pa.array([model.score(features(t, known)) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], "score"])

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.batches import few_rows
 from voxloom.operators.components import connected_components
 from voxloom.session import cut, drop_cut
 
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches):
-        for b in batches:
+        for b in few_rows(batches):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             fps = [fingerprint(shingle_hashes(t, shingle)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
@@ -325,7 +326,7 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         import xxhash
 
-        for b in batches:
+        for b in few_rows(batches):
             keys, fps, samples, sets = [], [], [], []
             for text in b.column(2).cast(pa.binary()).to_pylist():
                 words = b" ".join(text.translate(LOWER).split()) if text else b""

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.batches import few_rows
 from voxloom.llm.labelled import TRAIN_ROWS, fold, training_rows
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
@@ -218,7 +219,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: i
     rows = training_rows(docs, labels, "toxic", fold("doc_id", folds) != held_out, limit=limit)
 
     def run(batches):
-        for b in batches:
+        for b in few_rows(batches):
             ids = pa.array([np.array([word_parts(w) for w in words_of(t)], np.int32).ravel() for t in b.column(0).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([ids, b.column(1), b.column(2)], names=["ids", "lang", "y"])
 
@@ -239,7 +240,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", l
 
     def run(batches):
         known = WordVectors(model.e)
-        for b in batches:
+        for b in few_rows(batches):
             s = pa.array([model.score(t, known) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], s], names=[*b.schema.names[:-1], "s"])
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.batches import few_rows
 from voxloom.session import cut
 
 #: ASCII outside 0-9, A-Z and a-z parts words, A-Z becomes a-z, all else belongs to words.
@@ -79,7 +80,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
 
     def run(batches):
         seen = WordHashes()
-        for b in batches:
+        for b in few_rows(batches):
             rows: list[tuple] = []
             for i, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
                 words = words_of(text)
@@ -118,7 +119,7 @@ def scan_documents(docs: DataFrame, flags: bytes, sizes: list[int], id_col: str
             at = grams >> np.uint64(64 - FILTER_BITS)
             return np.nonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)[0]
 
-        for b in batches:
+        for b in few_rows(batches):
             counts, found = [], []
             for text in b.column(2).cast(pa.binary()).to_pylist():
                 words = words_of(text)
