@@ -130,14 +130,14 @@ def x16_upsert(spark, d):
     return W.upsert(objs, changes.unionByName(added), "obj_id")
 
 
-@query(f"WITH {DIRECTED} SELECT pre, post, round(sum(abs(size)), 6) AS size FROM g WHERE abs(size) > 0.3 AND pre % 2 = 0 AND post % 2 = 0 GROUP BY pre, post")
+@query(f"WITH {DIRECTED} SELECT pre, post, round(sum(abs(size)), 6) AS size FROM g WHERE abs(size) > 0.3 GROUP BY pre, post")
 def x17_dense_matrix(spark, d):
     syn = _filtered(spark, d)
-    cells = syn.select(F.explode(F.array("cell_1", "cell_2")).alias("cell")).where("cell % 2 = 0").distinct()
+    cells = syn.select(F.explode(F.array("cell_1", "cell_2")).alias("cell")).distinct()
     return W.dense_matrix(syn, cells, 0.3).withColumn("size", r6("size"))
 
 
-@query(f"""WITH {MATRIX}, c AS (SELECT DISTINCT s_suppkey AS cell FROM supplier WHERE s_suppkey <= 60),
+@query(f"""WITH {MATRIX}, c AS (SELECT DISTINCT s_suppkey AS cell FROM supplier),
     i AS (SELECT DISTINCT post AS cell, pre AS partner FROM m), o AS (SELECT DISTINCT pre AS cell, post AS partner FROM m),
     pr AS (SELECT a.cell AS a, b.cell AS b FROM c a JOIN c b ON a.cell < b.cell),
     ic AS (SELECT x.cell AS a, y.cell AS b, count(*) AS n FROM i x JOIN i y ON x.partner = y.partner AND x.cell < y.cell GROUP BY x.cell, y.cell),
@@ -150,7 +150,7 @@ def x17_dense_matrix(spark, d):
 def x18_wiring_distance(spark, d):
     from voxloom.session import read_table
 
-    cells = read_table(spark, d, "supplier").where("s_suppkey <= 60").select(F.col("s_suppkey").alias("cell"))
+    cells = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"))
     return W.wiring_distance(W.wiring_matrix(_filtered(spark, d)), cells).withColumn("dist", r6("dist"))
 
 

@@ -185,7 +185,7 @@ def n17_feature_subset(spark, d):
 
 
 DISTANCE = f"""{MARK}, sx AS (SELECT cell, comp, {STATS} FROM sd GROUP BY cell, comp),
-    c AS (SELECT s_suppkey AS cell FROM supplier WHERE s_suppkey <= 40),
+    c AS (SELECT s_suppkey AS cell FROM supplier),
     pv AS (SELECT c.cell, coalesce(a.mean_size, 0) AS a1, coalesce(a.sum_size, 0) AS a2, coalesce(e.mean_size, 0) AS d1, coalesce(e.sum_size, 0) AS d2 FROM c LEFT JOIN sx a ON a.cell = c.cell AND a.comp = 'axon' LEFT JOIN sx e ON e.cell = c.cell AND e.comp = 'dendrite'),
     pr AS (SELECT p.cell AS a, q.cell AS b, CASE WHEN (p.a1 <> 0 OR p.a2 <> 0) AND (q.a1 <> 0 OR q.a2 <> 0) THEN nullif(sqrt(pow(p.a1 - q.a1, 2) + pow(p.a2 - q.a2, 2)), 0) END AS x,
         CASE WHEN (p.d1 <> 0 OR p.d2 <> 0) AND (q.d1 <> 0 OR q.d2 <> 0) THEN nullif(sqrt(pow(p.d1 - q.d1, 2) + pow(p.d2 - q.d2, 2)), 0) END AS y FROM pv p JOIN pv q ON p.cell < q.cell),
@@ -195,7 +195,7 @@ DISTANCE = f"""{MARK}, sx AS (SELECT cell, comp, {STATS} FROM sd GROUP BY cell,
 def _distance(spark, d):
     from voxloom.session import read_table
 
-    cells = read_table(spark, d, "supplier").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("cell"))
+    cells = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"))
     s = N.size_summary(N.sides(_oriented(spark, d)[0]), ["cell", "comp"])
     for comp in ("axon", "dendrite"):
         part = s.where(F.col("comp") == comp).select("cell", F.array("mean_size", "sum_size").alias(comp))

@@ -218,13 +218,16 @@ def g22_split_cell(spark, d):
     return G.split_cell(view(spark, d, "sv_cell"), 5, [4, 101])
 
 
-@query("""WITH RECURSIVE v AS (SELECT vid, x, y, z FROM vertices WHERE obj_id = 3),
-    e AS (SELECT a.vid AS src, b.vid AS dst FROM v a JOIN v b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 12),""" + comps("e") + ", s AS (SELECT component, count(*) AS n FROM comp GROUP BY component) SELECT component, n FROM s ORDER BY n DESC, component LIMIT 1")
+@query("""WITH RECURSIVE v AS (SELECT vid, obj_id, x, y, z FROM vertices),
+    e AS (SELECT a.vid AS src, b.vid AS dst FROM v a JOIN v b ON a.obj_id = b.obj_id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 12),""" + comps("e") + ", s AS (SELECT obj_id, component, count(*) AS n FROM comp JOIN v ON vid = node GROUP BY obj_id, component) SELECT obj_id, component, n FROM (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY n DESC, component) AS rn FROM s) r WHERE rn = 1")
 def g23_largest_cloud(spark, d):
-    p = _points(spark, d).where("obj_id = 3")
-    near = pairs_within(p, p, 12.0).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    sizes = connected_components(near).groupBy("component").agg(F.count("*").alias("n"))
-    return sizes.orderBy(F.desc("n"), "component").limit(1)
+    """The largest cloud of each object."""
+    p = _points(spark, d)
+    near = pairs_within(p, p, 12.0, on=["obj_id"]).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+    named = connected_components(near).join(p.select(F.col("id").alias("node"), "obj_id"), "node")
+    sizes = named.groupBy("obj_id", "component").agg(F.count("*").alias("n"))
+    best = sizes.groupBy("obj_id").agg(F.min(F.struct((-F.col("n")).alias("minus"), "component", "n")).alias("b"))
+    return best.select("obj_id", "b.component", "b.n")
 
 
 NEAR = """near AS (SELECT q.vid AS query_id, p.vid AS id, q.obj_id, p.label, sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2) + pow(q.z - p.z, 2)) AS dist FROM vertices q JOIN vertices p ON q.obj_id = p.obj_id AND p.label <> 0 WHERE q.label = 0),

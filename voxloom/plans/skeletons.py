@@ -74,13 +74,13 @@ def k7_smooth_compartments(spark, d):
     return K.smooth_compartments(_nodes(spark, d), _weighted(spark, d), view(spark, d, "skel_edges"), 1500.0)
 
 
-COORDS = "q AS (SELECT event_id AS query_id, user_id AS cell_id, value + 1 AS x, event_id % 90 AS y, event_id % 25 AS z FROM events WHERE event_id % 10 = 0)"
+COORDS = "q AS (SELECT event_id AS query_id, user_id AS cell_id, value + 1 AS x, event_id % 90 AS y, event_id % 25 AS z FROM events)"
 
 
 def _coords(spark, d):
     from voxloom.session import read_table
 
-    e = read_table(spark, d, "events").where("event_id % 10 = 0")
+    e = read_table(spark, d, "events")
     return e.select(F.col("user_id").alias("cell_id"), F.col("event_id").alias("query_id"), (F.col("value") + 1).alias("x"), (F.col("event_id") % 90).alias("y"), (F.col("event_id") % 25).alias("z"))
 
 
@@ -139,12 +139,12 @@ def k14_soma_distance(spark, d):
     return out.select("cell_id", "query_id", F.round(finite, 4).alias("soma_dist"))
 
 
-@query(f"""WITH {CUM}, p AS (SELECT a.cell_id, a.node_id AS pair_id, abs(b.c - a.c) AS dist FROM cum a JOIN cum b ON a.cell_id = b.cell_id AND b.node_id = a.node_id + 3 WHERE a.node_id % 7 = 0)
+@query(f"""WITH {CUM}, p AS (SELECT a.cell_id, a.node_id AS pair_id, abs(b.c - a.c) AS dist FROM cum a JOIN cum b ON a.cell_id = b.cell_id AND b.node_id = a.node_id + 3)
     SELECT cell_id, pair_id, round(CASE WHEN dist <= 2500 THEN dist ELSE -5 END, 4) AS dist FROM p""")
 def k15_path_between(spark, d):
     n = _nodes(spark, d)
     end = lambda s, shift: n.select("cell_id", (F.col("node_id") - shift).alias("pair_id"), *[F.col(c).alias(f"{c}_{s}") for c in "xyz"])
-    pairs = end("a", 0).where("pair_id % 7 = 0").join(end("b", 3), ["cell_id", "pair_id"])
+    pairs = end("a", 0).join(end("b", 3), ["cell_id", "pair_id"])
     return K.path_between(pairs, n, _weighted(spark, d), 5.0, 2500.0).select("cell_id", "pair_id", F.round("dist", 4).alias("dist"))
 
 
@@ -223,11 +223,11 @@ def k24_node_diameters(spark, d):
     return K.node_diameters(nodes, v, 5).withColumn("diameter", r6("diameter"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT a.vid AS src, b.vid AS dst FROM vertices a JOIN vertices b ON a.obj_id = b.obj_id AND a.label = b.label AND a.obj_id < 6 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 9.5),
+@query("""WITH RECURSIVE e AS (SELECT a.vid AS src, b.vid AS dst FROM vertices a JOIN vertices b ON a.obj_id = b.obj_id AND a.label = b.label AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 9.5),
     comp_r(u, v) AS (SELECT src, src FROM e UNION SELECT r.u, e.dst FROM comp_r r JOIN e ON r.v = e.src), comp AS (SELECT u AS node, min(v) AS component FROM comp_r GROUP BY u)
     SELECT obj_id, label, component, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM comp JOIN vertices ON node = vid GROUP BY obj_id, label, component HAVING count(*) >= 3""")
 def k25_label_components(spark, d):
-    c = K.label_components(_vertices(spark, d).where("obj_id < 6"), 9.5, "obj_id", 3)
+    c = K.label_components(_vertices(spark, d), 9.5, "obj_id", 3)
     return c.select("obj_id", "label", "component", "n", *[r6(x).alias(x) for x in "xyz"])
 
 

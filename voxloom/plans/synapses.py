@@ -34,14 +34,14 @@ def c4_long_partners(spark, d):
     return C.long_partners(_fragments(spark, d), cells).select("syn_id", "cell_lo", "cell_hi")
 
 
-VOX = "v AS (SELECT x * 10000 + y * 100 + z AS id, x, y, z, sv_id, x % 3 AS sym, CAST(sv_id % 4 AS BIGINT) AS cell_lo, 7 AS cell_hi, sv_id AS syn_id FROM voxels WHERE sv_id <> 0 AND (x * 3 + y * 5 + z) % 4 = 0)"
+VOX = "v AS (SELECT x * 10000 + y * 100 + z AS id, x, y, z, sv_id, x % 3 AS sym, CAST(sv_id % 7 AS BIGINT) AS cell_lo, 7 AS cell_hi, sv_id * 100 + CAST(floor(y / 3) AS BIGINT) AS syn_id FROM voxels WHERE sv_id <> 0)"
 LINK = "e AS (SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON a.cell_lo = b.cell_lo AND a.x BETWEEN b.x - 3 AND b.x + 3 AND a.y BETWEEN b.y - 3 AND b.y + 3 AND (pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) < 4 OR (a.syn_id = b.syn_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 4)))"
 CLOSE = "r(u, w) AS (SELECT src, src FROM e UNION SELECT r.u, e.dst FROM r JOIN e ON r.w = e.src), k AS (SELECT u AS id, min(w) AS component FROM r GROUP BY u), cl AS (SELECT v.*, component FROM v JOIN k USING (id))"
 
 
 def _voxels(spark, d):
-    v = view(spark, d, "voxels").where("sv_id <> 0 and (x * 3 + y * 5 + z) % 4 = 0")
-    return v.select((F.col("x") * 10000 + F.col("y") * 100 + F.col("z")).alias("id"), "x", "y", "z", F.col("sv_id").alias("syn_id"), (F.col("sv_id") % 4).alias("cell_lo"), F.lit(7).alias("cell_hi"))
+    v = view(spark, d, "voxels").where("sv_id <> 0")
+    return v.select((F.col("x") * 10000 + F.col("y") * 100 + F.col("z")).alias("id"), "x", "y", "z", (F.col("sv_id") * 100 + F.floor(F.col("y") / 3)).alias("syn_id"), (F.col("sv_id") % 7).alias("cell_lo"), F.lit(7).alias("cell_hi"))
 
 
 def _clustered(spark, d):
@@ -97,7 +97,7 @@ def c11_cell_contacts(spark, d):
     return _clustered(spark, d).groupBy("cell_lo", "cell_hi", "component").agg(F.count("*").alias("size"))
 
 
-PROX = """s AS (SELECT syn_id, p % 20 AS cell_id, p % 120 AS x, (syn_id // 10) % 50 + syn_id % 7 AS y, syn_id % 10 * 5 AS z FROM (SELECT l_orderkey * 10 + l_linenumber AS syn_id, min(l_partkey) AS p FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1) q),
+PROX = """s AS (SELECT syn_id, p % 20 AS cell_id, p % 120 AS x, (syn_id // 10) % 50 + syn_id % 7 AS y, syn_id % 10 * 5 AS z FROM (SELECT l_orderkey * 10 + l_linenumber AS syn_id, min(l_partkey) AS p FROM lineitem GROUP BY 1) q),
     o AS (SELECT p_partkey AS obj_id, p_partkey % 20 AS cell_id, 20 + p_partkey % 400 AS size, p_retailprice / 10 AS x, p_size AS y, p_partkey % 37 AS z FROM part),
     v AS (SELECT obj_id, x + k AS x, y, z FROM o, (SELECT unnest([0, 2, 4]) AS k) u),
     near AS (SELECT s.syn_id, s.cell_id, o.obj_id, o.size, count(*) AS n, min(sqrt(pow(s.x - v.x, 2) + pow(s.y - v.y, 2) + pow(s.z - v.z, 2))) AS d FROM s JOIN o ON s.cell_id = o.cell_id AND sqrt(pow(s.x - o.x, 2) + pow(s.y - o.y, 2) + pow(s.z - o.z, 2)) <= 30 JOIN v ON v.obj_id = o.obj_id
@@ -108,7 +108,7 @@ PROX = """s AS (SELECT syn_id, p % 20 AS cell_id, p % 120 AS x, (syn_id // 10) %
 def _proximity(spark, d):
     from voxloom.session import read_table
 
-    li = read_table(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    li = read_table(spark, d, "lineitem")
     one = li.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("syn_id")).agg(F.min("l_partkey").alias("p"))
     syn = one.selectExpr("syn_id", "p % 20 AS cell_id", "p % 120 AS x", "(syn_id div 10) % 50 + syn_id % 7 AS y", "syn_id % 10 * 5 AS z")
     p = read_table(spark, d, "part")
@@ -134,16 +134,16 @@ FEATURES = ["mesh_area", "syn_sign", "ax_1", "ax_2", "sp_1", "sp_2", "x", "y"]
 
 
 def _labelled(spark, d):
-    syn = view(spark, d, "synapses").where("cell_2 % 20 = 0")
+    syn = view(spark, d, "synapses")
     return syn.withColumn("label", ((F.col("mesh_area") > 2.5) & (F.col("ax_2") < 3)).cast("double"))
 
 
-@query("SELECT syn_id, round(mesh_area, 6) AS mesh_area, syn_sign, ax_1, ax_2, sp_1, sp_2, x, y FROM synapses WHERE cell_2 % 20 = 0")
+@query("SELECT syn_id, round(mesh_area, 6) AS mesh_area, syn_sign, ax_1, ax_2, sp_1, sp_2, x, y FROM synapses")
 def c14_feature_vector(spark, d):
     return _labelled(spark, d).select("syn_id", r6("mesh_area").alias("mesh_area"), *FEATURES[1:])
 
 
-@query("SELECT 'synapses' AS of, count(*) AS n, true AS good FROM synapses WHERE cell_2 % 20 = 0")
+@query("SELECT 'synapses' AS of, count(*) AS n, true AS good FROM synapses")
 def c15_classify(spark, d):
     """A forest of 20 trees on the labelled rows; whether it tells the classes apart."""
     rows = _labelled(spark, d)
@@ -152,7 +152,7 @@ def c15_classify(spark, d):
     return scored.agg(F.count("*").alias("n"), right.alias("r")).select(F.lit("synapses").alias("of"), "n", (F.col("r") > 0.9).alias("good"))
 
 
-@query("SELECT CAST(3 AS BIGINT) AS folds, count(*) AS n, true AS good FROM synapses WHERE cell_2 % 20 = 0")
+@query("SELECT CAST(3 AS BIGINT) AS folds, count(*) AS n, true AS good FROM synapses")
 def c16_cross_validate(spark, d):
     held = C.cross_validate(_labelled(spark, d), FEATURES, 3, 10)
     right = F.avg(((F.col("syn_prob") > 0.5) == (F.col("label") == 1)).cast("double"))

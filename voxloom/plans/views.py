@@ -10,9 +10,10 @@ from voxloom.session import read_table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
 
+#: In ``voxels`` 15,000 orders make one slab of 25 places along x, so that the volume grows with the tables.
 VIEWS = {
     "synapses": """
-        SELECT CAST(ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS BIGINT) AS syn_id,
+        SELECT CAST((l_orderkey * 8 + l_linenumber) * 16 + ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS BIGINT) AS syn_id,
                l_suppkey AS cell_1, o_custkey + 1000 AS cell_2,
                l_discount * 10 AS syn_prob, l_quantity / 10 AS mesh_area,
                CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS syn_sign,
@@ -26,19 +27,18 @@ VIEWS = {
         JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey""",
     "voxels": """
         SELECT x, y, z,
-               CASE WHEN q < 3 THEN 0 ELSE 1 + CAST(floor(x / 5) AS BIGINT) + 5 * CAST(floor(y / 8) AS BIGINT) END AS sv_id,
-               CASE WHEN q > 20 THEN 0 ELSE 1 + CAST(floor(x / 4) AS BIGINT) + 7 * CAST(floor(y / 7) AS BIGINT) END AS mi_id,
+               CASE WHEN q < 3 THEN 0 ELSE 1 + CAST(floor(x % 25 / 5) AS BIGINT) + 5 * CAST(floor(y / 8) AS BIGINT) + 25 * CAST(floor(x / 25) AS BIGINT) END AS sv_id,
+               CASE WHEN q > 20 THEN 0 ELSE 1 + CAST(floor(x % 25 / 4) AS BIGINT) + 7 * CAST(floor(y / 7) AS BIGINT) + 50 * CAST(floor(x / 25) AS BIGINT) END AS mi_id,
                CASE WHEN (x + y + z) % 3 = 0 THEN 1 ELSE 0 END AS sj,
                CASE WHEN (x * 7 + y) % 5 = 0 THEN 1 ELSE 0 END AS sym,
                CASE WHEN (x + y * 3) % 4 = 0 THEN 1 ELSE 0 END AS asym, p,
                CAST(floor(x / 10) AS BIGINT) AS block_x, CAST(floor(y / 10) AS BIGINT) AS block_y
-        FROM (SELECT l_suppkey % 25 AS x, l_partkey % 40 AS y, CAST(l_linenumber AS BIGINT) AS z,
-                     min(l_quantity) AS q, avg(l_discount) * 10 AS p
-              FROM lineitem GROUP BY l_suppkey % 25, l_partkey % 40, l_linenumber) cells""",
+        FROM (SELECT x, y, z, min(q) AS q, avg(d) * 10 AS p
+              FROM (SELECT l_suppkey % 25 + 25 * CAST(floor(l_orderkey / 15000) AS BIGINT) AS x, l_partkey % 40 AS y, CAST(l_linenumber AS BIGINT) AS z, l_quantity AS q, l_discount AS d
+                    FROM lineitem) placed GROUP BY x, y, z) cells""",
     "edges": """
-        SELECT DISTINCT o_custkey AS src, (l_partkey * 7919 + o_orderkey) % 1500 AS dst
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        WHERE l_orderkey % 50 = 0 AND l_linenumber = 1""",
+        SELECT DISTINCT o_custkey AS src, CAST(floor(o_custkey / 16) AS BIGINT) * 16 + (o_orderkey * 7 + o_custkey) % (1 + CAST(floor(o_custkey / 16) AS BIGINT) % 16) AS dst
+        FROM orders""",
     "sv": """
         SELECT c_custkey AS sv_id, 100 + c_custkey % 900 AS size,
                c_custkey % 100 AS min_x, (c_custkey * 7) % 100 AS min_y, (c_custkey * 13) % 100 AS min_z,
@@ -74,7 +74,7 @@ VIEWS = {
     "fragments": """
         SELECT l_orderkey * 10 + l_linenumber AS syn_id, l_suppkey AS sv_1, o_custkey AS sv_2, CAST(l_quantity AS BIGINT) AS size,
                l_discount AS sym_share, l_tax AS asym_share, l_partkey % 50 AS x, l_orderkey % 40 AS y, CAST(l_linenumber AS BIGINT) AS z
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 20 = 0""",
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "faces": """
         SELECT obj_id, CAST(floor((rn - 1) / 3) AS BIGINT) AS fid,
                max(CASE WHEN (rn - 1) % 3 = 0 THEN vid END) AS a, max(CASE WHEN (rn - 1) % 3 = 1 THEN vid END) AS b, max(CASE WHEN (rn - 1) % 3 = 2 THEN vid END) AS c

@@ -192,13 +192,13 @@ def v24_unique_labels(spark, d):
 
 def _halo(spark, d):
     """Every voxel in its own block and, at the first layer of a block, in the block before it in x too."""
-    own = _vox(spark, d).select("x", "y", "z", F.col("block_x").alias("block"), (F.col("block_x") * 1000 + F.col("sv_id")).alias("label")).where("sv_id <> 0")
-    extra = _vox(spark, d).where("sv_id <> 0 and x % 10 = 0 and x > 0").select("x", "y", "z", (F.col("block_x") - 1).alias("block"), ((F.col("block_x") - 1) * 1000 + F.col("sv_id")).alias("label"))
+    own = _vox(spark, d).select("x", "y", "z", F.col("block_x").alias("block"), (F.col("block_x") * 1000000 + F.col("sv_id")).alias("label")).where("sv_id <> 0")
+    extra = _vox(spark, d).where("sv_id <> 0 and x % 10 = 0 and x > 0").select("x", "y", "z", (F.col("block_x") - 1).alias("block"), ((F.col("block_x") - 1) * 1000000 + F.col("sv_id")).alias("label"))
     return own.unionByName(extra)
 
 
-HALO = """halo AS (SELECT x, y, z, block_x AS block, block_x * 1000 + sv_id AS label FROM voxels WHERE sv_id <> 0
-    UNION ALL SELECT x, y, z, block_x - 1, (block_x - 1) * 1000 + sv_id FROM voxels WHERE sv_id <> 0 AND x % 10 = 0 AND x > 0),
+HALO = """halo AS (SELECT x, y, z, block_x AS block, block_x * 1000000 + sv_id AS label FROM voxels WHERE sv_id <> 0
+    UNION ALL SELECT x, y, z, block_x - 1, (block_x - 1) * 1000000 + sv_id FROM voxels WHERE sv_id <> 0 AND x % 10 = 0 AND x > 0),
     stitch AS (SELECT a.block AS b1, a.label AS l1, b.block AS b2, b.label AS l2, count(*) AS n FROM halo a JOIN halo b ON a.x = b.x AND a.y = b.y AND a.z = b.z AND a.block < b.block
     GROUP BY a.block, a.label, b.block, b.label)"""
 
@@ -254,15 +254,15 @@ def v33_downsample(spark, d):
 
 
 def _contacts(spark, d):
-    return _vox(spark, d).where("sj = 1 and x % 5 = 2 and y % 8 = 3").select((F.col("x") * 10000 + F.col("y") * 100 + F.col("z")).alias("contact_id"), "x", "y", "z")
+    return _vox(spark, d).where("sj = 1").select((F.col("x") * 10000 + F.col("y") * 100 + F.col("z")).alias("contact_id"), "x", "y", "z")
 
 
-@query("""WITH c AS (SELECT x * 10000 + y * 100 + z AS contact_id, x AS cx, y AS cy, z AS cz FROM voxels WHERE sj = 1 AND x % 5 = 2 AND y % 8 = 3),
+@query("""WITH c AS (SELECT x * 10000 + y * 100 + z AS contact_id, x AS cx, y AS cy, z AS cz FROM voxels WHERE sj = 1),
     f AS (SELECT contact_id, sv_id, count(*) AS n FROM c JOIN voxels v ON v.x >= cx - 3 AND v.x < cx + 3 AND v.y >= cy - 3 AND v.y < cy + 3 AND v.z >= cz - 2 AND v.z < cz + 2
         WHERE sv_id <> 0 GROUP BY contact_id, sv_id HAVING count(*) >= 3)
     SELECT contact_id, round(sum(CASE WHEN sv_id % 3 = 0 THEN n ELSE 0 END) / sum(n), 6) AS fraction FROM f GROUP BY contact_id""")
 def v34_box_fraction(spark, d):
-    special = spark.range(0, 200, 3).select(F.col("id").alias("sv_id"))
+    special = _vox(spark, d).where("sv_id % 3 = 0").select("sv_id").distinct()
     return V.box_fraction(_contacts(spark, d), _vox(spark, d), (6, 6, 4), 3, "sv_id", special).withColumn("fraction", r6("fraction"))
 
 
@@ -279,7 +279,7 @@ def v35_coverage(spark, d):
     return ids.join(hit, "id", "left").groupBy("sv_id").agg(F.count("*").alias("n_boundary"), F.count("hit").alias("n_covered"))
 
 
-@query("""WITH node AS (SELECT x * 10000 + y * 100 + z AS node_id, x AS cx, y AS cy, z AS cz FROM voxels WHERE sj = 1 AND x % 5 = 2 AND y % 8 = 3)
+@query("""WITH node AS (SELECT x * 10000 + y * 100 + z AS node_id, x AS cx, y AS cy, z AS cz FROM voxels WHERE sj = 1)
     SELECT node_id, count(v.x) AS n_above, count(v.x) / 64.0 > 0.1 AS vote FROM node LEFT JOIN (SELECT * FROM voxels WHERE p > 0.5) v
     ON v.x >= cx - 2 AND v.x < cx + 2 AND v.y >= cy - 2 AND v.y < cy + 2 AND v.z >= cz - 2 AND v.z < cz + 2 GROUP BY node_id""")
 def v36_cube_vote(spark, d):
@@ -307,9 +307,16 @@ def v39_inside_cube(spark, d):
     return V.inside_cube(_vox(spark, d).select("x", "y", "z"), 6)
 
 
-SIZE, SHAPE = (10, 10, 8), (25, 40, 8)
+SIZE = (10, 10, 8)
+
+
+def _shape(vox):
+    """The volume: whole slabs along x, as many as the tables fill."""
+    return int(vox.agg(F.max("x")).first()[0]) // 25 * 25 + 25, 40, 8
+
+
 SIX_SQL = "(SELECT unnest([1, -1, 0, 0, 0, 0]) AS dx, unnest([0, 0, 1, -1, 0, 0]) AS dy, unnest([0, 0, 0, 0, 1, -1]) AS dz)"
-INSIDE = "x BETWEEN 0 AND 24 AND y BETWEEN 0 AND 39 AND z BETWEEN 0 AND 7"
+INSIDE = "x BETWEEN 0 AND (SELECT CAST(floor(max(x) / 25) AS BIGINT) * 25 + 24 FROM voxels) AND y BETWEEN 0 AND 39 AND z BETWEEN 0 AND 7"
 
 
 def _mask(spark, d, t):
@@ -321,7 +328,8 @@ def v4_fused_blocks(spark, d):
     from voxloom.operators import blocks as B
 
     vox = _vox(spark, d)
-    return B.fused_partials(B.to_blocks(vox, "sv_id", SIZE, SHAPE), B.to_blocks(vox, "mi_id", SIZE, SHAPE), SIZE)
+    shape = _shape(vox)
+    return B.fused_partials(B.to_blocks(vox, "sv_id", SIZE, shape), B.to_blocks(vox, "mi_id", SIZE, shape), SIZE)
 
 
 @query()
@@ -329,7 +337,7 @@ def v17_fill_contacts(spark, d):
     from voxloom.operators import blocks as B
 
     contacts = V.contact_voxels(_vox(spark, d), "sv_id").withColumn("label", F.col("id_lo") * 1000 + F.col("id_hi"))
-    full = B.map_blocks(B.to_blocks(contacts, "label", SIZE, SHAPE), lambda a: B.fill_contacts(a, 1, 1), 3, SIZE)
+    full = B.map_blocks(B.to_blocks(contacts, "label", SIZE, _shape(_vox(spark, d))), lambda a: B.fill_contacts(a, 1, 1), 3, SIZE)
     return B.to_voxels(full, SIZE).groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -339,7 +347,8 @@ def v17_fill_contacts(spark, d):
 def v22_morphology(spark, d):
     from voxloom.operators import blocks as B
 
-    closed = B.morphology(B.to_blocks(_mask(spark, d, 0.56), "on", SIZE, SHAPE), [("closing", 1)], SIZE, SHAPE)
+    shape = _shape(_vox(spark, d))
+    closed = B.morphology(B.to_blocks(_mask(spark, d, 0.56), "on", SIZE, shape), [("closing", 1)], SIZE, shape)
     # the closing of what lies in blocks; the volume's faces are eroded like any other
     return B.to_voxels(closed, SIZE).select("x", "y", "z")
 
@@ -349,11 +358,11 @@ OBJECTS = """m AS (SELECT x, y, z, x * 10000 + y * 100 + z AS id, {0} AS b FROM
     r(u, w) AS (SELECT src, src FROM e UNION SELECT r.u, e.dst FROM r JOIN e ON r.w = e.src), k AS (SELECT u AS id, min(w) AS label FROM r GROUP BY u)"""
 
 
-@query(f"WITH RECURSIVE {OBJECTS.format('block_x * 10 + block_y')}, s AS (SELECT b, label, count(*) AS n FROM m JOIN k USING (id) GROUP BY b, label) SELECT n AS size, count(*) AS n_objects FROM s GROUP BY n")
+@query(f"WITH RECURSIVE {OBJECTS.format('block_x * 1000 + block_y')}, s AS (SELECT b, label, count(*) AS n FROM m JOIN k USING (id) GROUP BY b, label) SELECT n AS size, count(*) AS n_objects FROM s GROUP BY n")
 def v23_label_blocks(spark, d):
     from voxloom.operators import blocks as B
 
-    made = B.map_blocks(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, SHAPE), lambda a: B.label_components(a != 0), 0, SIZE)
+    made = B.map_blocks(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, _shape(_vox(spark, d))), lambda a: B.label_components(a != 0), 0, SIZE)
     sizes = B.to_voxels(made, SIZE).groupBy("bx", "by", "bz", "label").agg(F.count("*").alias("size"))
     return sizes.groupBy("size").agg(F.count("*").alias("n_objects"))
 
@@ -362,7 +371,7 @@ def v23_label_blocks(spark, d):
 def v28_instance_segmentation(spark, d):
     from voxloom.operators import blocks as B
 
-    vox, _ = B.instance_segmentation(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, SHAPE), SIZE)
+    vox, _ = B.instance_segmentation(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, _shape(_vox(spark, d))), SIZE)
     sizes = vox.groupBy("label").agg(F.count("*").alias("size"))
     return sizes.groupBy("size").agg(F.count("*").alias("n_objects"))
 
@@ -371,7 +380,7 @@ def v28_instance_segmentation(spark, d):
 def u1_map_blocks(spark, d):
     from voxloom.operators import blocks as B
 
-    total = B.map_blocks(B.to_blocks(_vox(spark, d), "sv_id", SIZE, SHAPE), lambda a: a + sum(B.shifted(a, k) for k in V.SIX), 1, SIZE)
+    total = B.map_blocks(B.to_blocks(_vox(spark, d), "sv_id", SIZE, _shape(_vox(spark, d))), lambda a: a + sum(B.shifted(a, k) for k in V.SIX), 1, SIZE)
     vox = _vox(spark, d).select("x", "y", "z")
     return B.to_voxels(total, SIZE).select("x", "y", "z", "label").join(vox, ["x", "y", "z"], "left_semi")
 
