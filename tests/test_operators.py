@@ -22,20 +22,32 @@ def cube(spark, a, name="label"):
     return spark.createDataFrame(rows, f"x long, y long, z long, {name} long")
 
 
-def test_object_properties_of_a_tiny_cube(spark):
-    a = np.array([[[0, 1], [1, 1]], [[5, 2], [2, 1]]])
+def test_object_properties_equal_numpy(spark):
+    """A slanted rod, a lone voxel, a frame round a hole and background, in a box of three different edges."""
+    a = np.zeros((4, 6, 3), int)
+    a[[0, 1, 2, 3], [1, 2, 3, 4], [0, 0, 1, 1]] = 70
+    a[3, 0, 2] = 8
+    a[:3, 3:6, 2] = 41
+    a[1, 4, 2] = 0
     got = {r.label: r for r in V.object_properties(cube(spark, a), "label").collect()}
-    assert {k: r["size"] for k, r in got.items()} == {1: 4, 2: 2, 5: 1}
+    assert {k: r["size"] for k, r in got.items()} == {70: 4, 8: 1, 41: 8}
     for k, r in got.items():
         at = np.argwhere(a == k)
         assert (r.min_x, r.min_y, r.min_z) == tuple(at.min(0)) and (r.max_x, r.max_y, r.max_z) == tuple(at.max(0) + 1)
         assert (r.rep_x, r.rep_y, r.rep_z) == tuple(at[0])
 
 
-def test_boundary_edge_cases(spark):
-    a = np.arange(125).reshape(5, 5, 5)
-    assert V.boundary_voxels(cube(spark, a), "label").count() == 124
-    assert V.boundary_voxels(cube(spark, np.zeros((3, 3, 3), int)), "label").count() == 0
+def test_boundary_voxels_equal_brute_force(spark):
+    rng = np.random.default_rng(17)
+    a = np.kron(rng.integers(0, 4, (2, 3, 2)), np.ones((3, 2, 3), int))
+    want = set()
+    for p in np.ndindex(a.shape):
+        for q in V.SIX:
+            n = tuple(i + j for i, j in zip(p, q))
+            if a[p] and all(0 <= i < m for i, m in zip(n, a.shape)) and a[n] != a[p]:
+                want.add(p)
+    assert {(r.x, r.y, r.z) for r in V.boundary_voxels(cube(spark, a), "label").collect()} == want
+    assert V.boundary_voxels(cube(spark, np.full((2, 2, 4), 9)), "label").count() == 0
 
 
 def test_contact_between_two_cubes(spark):
@@ -47,12 +59,13 @@ def test_contact_between_two_cubes(spark):
 
 
 def test_pair_properties_equal_packed_ones(spark):
-    rows = [(5, 5, 5, 100, 200), (19, 15, 5, 50, 200), (11, 3, 9, 1, 50)]
-    vox = spark.createDataFrame(rows, "x long, y long, z long, lo long, hi long")
+    rng = np.random.default_rng(23)
+    rows = [(*map(int, rng.integers(0, 30, 3)), int(lo), int(lo + d)) for lo, d in zip(rng.integers(1, 4, 80), rng.integers(1, 3, 80))]
+    vox = spark.createDataFrame(sorted(set(rows)), "x long, y long, z long, lo long, hi long")
     two = V.object_properties(vox, "lo", "hi").select("lo", "hi", "size", "rep_x", "rep_y", "rep_z").collect()
     one = V.object_properties(vox.withColumn("packed", C.encode_pair(F.col("lo"), F.col("hi"))), "packed")
     lo, hi = C.decode_pair(F.col("packed"))
-    assert sorted(two) == sorted(one.select(lo.alias("lo"), hi.alias("hi"), "size", "rep_x", "rep_y", "rep_z").collect())
+    assert len(two) == 6 and sorted(two) == sorted(one.select(lo.alias("lo"), hi.alias("hi"), "size", "rep_x", "rep_y", "rep_z").collect())
 
 
 @pytest.mark.parametrize(

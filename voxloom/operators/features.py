@@ -157,13 +157,13 @@ def vector_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def pairwise_distance(vectors: DataFrame, parts: list[str], key: str = "cell") -> DataFrame:
+def pairwise_distance(vectors: DataFrame, parts: list[str], key: str = "cell", block: int = 1000) -> DataFrame:
     """Mean of the parts' Euclidean distances that are above 0, parts that are all zero on a side left out; 1000 if none.
 
-    The analysis set is a stated, bounded set of cells; its pairs are joined by
-    blocks: every row goes into one block and meets each block once.
+    The result has a row for each pair of the stated set of cells; its pairs are joined
+    by blocks of ``block`` cells: every row goes into one block and meets each block once.
     """
-    blocks = 8
+    blocks = -(-vectors.count() // block) or 1
     at = F.pmod(F.xxhash64(key), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
     left = vectors.select(F.col(key).alias("a"), *[F.col(p).alias(f"{p}_a") for p in parts], every)

@@ -124,18 +124,24 @@ def whitened_pca(vectors: DataFrame, k: int, column: str = "v") -> DataFrame:
     return made.crossJoin(F.broadcast(sd)).select(*vectors.columns, F.array(*[F.col(f"_c{j}") / F.when(F.col(f"_s{j}") > 0, F.col(f"_s{j}")).otherwise(1.0) for j in range(k)]).alias("pca"))
 
 
+#: Vectors in a block (in expectation).
+BLOCK = 2048
+
+
 def knn_classify(queries: DataFrame, train: DataFrame, k: int, dims: int) -> DataFrame:
     """Majority class of the ``k`` nearest training vectors, ties to the lowest class.
 
-    Training vectors are dealt into blocks; each block keeps its ``k`` best for
-    every query of a batch, and a window merges the blocks.
+    Training vectors and queries are dealt into blocks of BLOCK rows; each pair of blocks
+    keeps the ``k`` best of every query, and a window merges the blocks. Distances are
+    sums over the places of a vector in order.
     """
     import numpy as np
     import pandas as pd
 
-    blocks = train.groupBy(F.pmod(F.xxhash64("id"), F.lit(8)).alias("block")).agg(F.collect_list(F.struct("id", "label", "v")).alias("rows"))
-    asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(8)).alias("qb")).agg(F.collect_list(F.struct("query_id", "v")).alias("asked"))
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))).join(blocks, "block")
+    n, m = (max(1, -(-t.count() // BLOCK)) for t in (train, queries))
+    blocks = train.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "label", "v")).alias("rows"))
+    asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(m)).alias("qb")).agg(F.collect_list(F.struct("query_id", "v")).alias("asked"))
+    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(blocks, "block")
 
     def run(frames):
         for f in frames:
@@ -143,10 +149,16 @@ def knn_classify(queries: DataFrame, train: DataFrame, k: int, dims: int) -> Dat
                 q = np.stack([np.asarray(r["v"], float)[:dims] for r in asked_])
                 t = np.stack([np.asarray(r["v"], float)[:dims] for r in rows])
                 ids, labels = np.array([r["id"] for r in rows]), np.array([r["label"] for r in rows])
-                for i in range(len(q)):
-                    d = ((t - q[i]) ** 2).sum(1)
-                    at = np.lexsort((ids, d))[:k]
-                    yield pd.DataFrame({"query_id": asked_[i]["query_id"], "id": ids[at], "label": labels[at], "dist": d[at]})
+                order = np.argsort(ids, kind="stable")
+                t, ids, labels, most, out = t[order], ids[order], labels[order], min(k, len(order)), []
+                for a in range(0, len(q), 64):
+                    d = np.zeros((len(q[a : a + 64]), len(t)))
+                    for j in range(q.shape[1]):
+                        d += (q[a : a + 64, j, None] - t[None, :, j]) ** 2
+                    at = np.argsort(d, axis=1, kind="stable")[:, :most]
+                    name = np.repeat([r["query_id"] for r in asked_[a : a + 64]], most)
+                    out.append(pd.DataFrame({"query_id": name, "id": ids[at].ravel(), "label": labels[at].ravel(), "dist": np.take_along_axis(d, at, 1).ravel()}))
+                yield pd.concat(out)
 
     near = pairs.select("asked", "rows").mapInPandas(run, "query_id long, id long, label int, dist double")
     w = Window.partitionBy("query_id").orderBy("dist", "id")

@@ -6,6 +6,8 @@ skeleton as a group; a skeleton is bounded by its cell.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,7 @@ from voxloom.functions.modes import mode_nearest, mode_smallest
 from voxloom.operators.components import connected_components
 from voxloom.operators.graph import _adjacency, dijkstra
 from voxloom.operators.spatial import distance, nearest_in_group, pairs_within
+from voxloom.session import running_total
 
 XYZ = ("x", "y", "z")
 
@@ -55,7 +58,15 @@ def _weights(e: pd.DataFrame) -> dict[int, list[tuple[int, float]]]:
 
 
 def _mode(values: list):
-    return min(set(values), key=lambda v: (-values.count(v), v))
+    """The most frequent value, ties to the smallest; in proportion to the values."""
+    counts = Counter(values)
+    return min(counts, key=lambda v: (-counts[v], v))
+
+
+def synapse_distance(pairs: DataFrame, synapses: DataFrame, scale=(1.0, 1.0, 1.0)) -> DataFrame:
+    """Straight-line distance of each pair ``(syn_a, syn_b)`` of synapses, in the unit of ``scale``."""
+    end = lambda s: synapses.select(F.col("syn_id").alias(f"syn_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in XYZ])
+    return pairs.join(end("a"), "syn_a").join(end("b"), "syn_b").select("syn_a", "syn_b", distance(scale=scale).alias("dist"))
 
 
 def window_majority(nodes: DataFrame, weighted: DataFrame, attr: str, reach: float, mode: str = "path") -> DataFrame:
@@ -330,8 +341,7 @@ def merged_faces(faces: DataFrame, vertices: DataFrame, key: str = "obj_id") ->
     """Faces of one mesh made of all: vertex numbers within each mesh, shifted by the vertices of the meshes before it."""
     from pyspark.sql.window import Window
 
-    n = vertices.groupBy(key).agg(F.count("*").alias("n"))
-    shift = n.select(key, F.coalesce(F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
+    shift = running_total(vertices.groupBy(key).agg(F.count("*").alias("n")), [key], F.col("n"), "shift").drop("n")
     place = vertices.select(key, "vid", (F.row_number().over(Window.partitionBy(key).orderBy("vid")) - 1).alias("p"))
     out = faces
     for s in "abc":

@@ -103,6 +103,29 @@ def nearest_anywhere(queries: DataFrame, points: DataFrame, start: float, grow:
     raise RuntimeError("some queries found no point")
 
 
+def k_nearest_anywhere(queries: DataFrame, points: DataFrame, k: int, start: float, grow: float = 2.0, rounds: int = 60) -> DataFrame:
+    """``(query_id, rank, id, dist)`` of the ``k`` nearest points at any distance (all, if fewer), ties to the smaller id.
+
+    Searches a radius, and again a larger one for the queries with fewer than ``k``
+    points in it; each round is one grid join over what remains.
+    """
+    points = points.select("id", *XYZ)
+    most = min(k, points.limit(k).count())
+    left, found, radius = queries.select(F.col("query_id").alias("id"), *XYZ), None, start
+    w = Window.partitionBy("query_id").orderBy("dist", "id")
+    for _ in range(rounds):
+        near = pairs_within(left, points, radius).select(F.col("id_a").alias("query_id"), F.col("id_b").alias("id"), "dist")
+        ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        full = ranked.where(F.col("rank") == most).select("query_id")
+        best = cut(ranked.join(full, "query_id", "left_semi").select("query_id", "rank", "id", "dist"))
+        found = best if found is None else found.unionByName(best)
+        left = cut(left.join(best.select(F.col("query_id").alias("id")), "id", "left_anti")) if most else left.where("false")
+        if not left.take(1):
+            return found
+        radius *= grow
+    raise RuntimeError("some queries found too few points")
+
+
 def nearest_by_window(queries: DataFrame, points: DataFrame, key: str, k: int) -> DataFrame:
     """J1 in DataFrame operations alone, for groups of moderate size: equi-join on the key and row numbers."""
     q = queries.select(key, "query_id", *[F.col(c).alias(f"{c}_a") for c in XYZ])

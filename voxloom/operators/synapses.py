@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import connected_components
-from voxloom.operators.spatial import pairs_within
+from voxloom.operators.spatial import k_nearest_anywhere, pairs_within
 
 XYZ = ("x", "y", "z")
 PAIR = ["cell_lo", "cell_hi"]
@@ -143,13 +143,10 @@ def cross_validate(rows: DataFrame, features: list[str], folds: int = 10, trees:
 
 
 def match_labels(labels: DataFrame, synapses: DataFrame, voxels: DataFrame, k: int, most: float) -> DataFrame:
-    """C17: a labelled coordinate's synapse: of the ``k`` nearest by coordinate the first with a voxel at L1 distance below ``most``; rows without one drop out."""
-    from pyspark.sql.window import Window
-
+    """C17: a labelled coordinate's synapse: of the ``k`` nearest by coordinate, at any distance, the first with a voxel at L1 distance below ``most``; rows without one drop out."""
     near = labels.select("label_id", *[F.col(c).alias(f"l{c}") for c in XYZ])
-    reach = pairs_within(labels.withColumnRenamed("label_id", "id"), synapses.withColumnRenamed("syn_id", "id"), 3 * most + 60).select(F.col("id_a").alias("label_id"), F.col("id_b").alias("syn_id"), "dist")
-    w = Window.partitionBy("label_id").orderBy("dist", "syn_id")
-    cand = reach.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = k_nearest_anywhere(labels.withColumnRenamed("label_id", "query_id"), synapses.withColumnRenamed("syn_id", "id"), k, 4 * most)
+    cand = found.select(F.col("query_id").alias("label_id"), F.col("id").alias("syn_id"), "rank")
     l1 = sum(F.abs(F.col(c) - F.col(f"l{c}")) for c in XYZ)
     hit = cand.join(near, "label_id").join(voxels.select("syn_id", *XYZ), "syn_id").groupBy("label_id", "syn_id", "rank").agg(F.min(l1).alias("l1")).where(F.col("l1") < most)
     return hit.groupBy("label_id").agg(F.min(F.struct("rank", "syn_id")).alias("b")).select("label_id", F.col("b.syn_id").alias("syn_id"))

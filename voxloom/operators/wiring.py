@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxloom.session import running_total
+
 
 def fold_boutons(c: str) -> Column:
     """Boutons (3, 4) are axon (1)."""
@@ -53,7 +55,7 @@ def wiring_matrix(syn: DataFrame) -> DataFrame:
 def matrix_places(matrix: DataFrame, side: str) -> DataFrame:
     """Row or column places of a wiring matrix: cells by type and id. One row per cell, not per synapse."""
     cells = matrix.select(F.col(side).alias("cell"), F.col(f"{side}_type").alias("cell_type")).distinct()
-    return cells.withColumn("place", F.row_number().over(Window.orderBy("cell_type", "cell")) - 1)
+    return running_total(cells, ["cell_type", "cell"], F.lit(1), "place")
 
 
 def type_blocks(matrix: DataFrame, least: float) -> DataFrame:
@@ -64,7 +66,7 @@ def type_blocks(matrix: DataFrame, least: float) -> DataFrame:
     area = F.sum(F.abs("weight"))
     sums = matrix.groupBy("pre_type", "post_type").agg(F.when(negative > area - negative, -area).otherwise(area).alias("total"))
     density = F.col("total") / (F.col("n_pre") * F.col("n_post"))
-    joined = sums.join(F.broadcast(pre), "pre_type").join(F.broadcast(post), "post_type")
+    joined = sums.join(pre, "pre_type").join(post, "post_type")
     return joined.select("pre_type", "post_type", F.when(F.abs(density) < least, 0.0).otherwise(density).alias("density"))
 
 
@@ -139,11 +141,16 @@ def dense_matrix(syn: DataFrame, cells: DataFrame, least: float) -> DataFrame:
     return inside.groupBy("pre", "post").agg(F.sum(F.abs("size")).alias("size"))
 
 
+#: Cells in a block of the pairs of a set (in expectation).
+PAIR_BLOCK = 1000
+
+
 def wiring_distance(matrix: DataFrame, cells: DataFrame) -> DataFrame:
     """Per pair of cells (1 - IoU of inputs) + (1 - IoU of outputs); a term without any partner is 1.
 
     Common partners come from a join on the partner; pairs without a common one
-    are only made for the given set of cells, which is one side of a stated query.
+    are only made for the given set of cells, which is one side of a stated query, by
+    blocks of it: the result has a row for each of its pairs.
     """
     ids = cells.select("cell").distinct()
 
@@ -152,7 +159,10 @@ def wiring_distance(matrix: DataFrame, cells: DataFrame) -> DataFrame:
         common = e.toDF("a", "partner").join(e.toDF("b", "partner"), "partner").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
         return common, e.groupBy("cell").agg(F.count("*").alias("n"))
 
-    pairs = ids.toDF("a").join(ids.toDF("b"), F.col("a") < F.col("b"))
+    n = -(-ids.count() // PAIR_BLOCK) or 1
+    block = F.pmod(F.xxhash64("cell"), F.lit(n))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    pairs = ids.select(F.col("cell").alias("a"), each.alias("block")).join(ids.select(F.col("cell").alias("b"), block.alias("block")), "block").where("a < b").drop("block")
     out = pairs
     for name, own, partner in (("in", "post", "pre"), ("out", "pre", "post")):
         common, count = shared(own, partner)

@@ -196,12 +196,11 @@ def g20_spanning_tree(spark, d):
     return G.spanning_tree(e.unionByName(heavy)).select("cell_id", "src", "dst")
 
 
-@query("""SELECT cell_id, count(*) AS n_edges, CAST(sum(CASE WHEN src % 10 = 9 THEN 1 ELSE 0 END) AS BIGINT) AS n_joined FROM skel_edges GROUP BY cell_id""")
+@query("SELECT cell_id, src, dst, src % 10 = 9 AS added FROM skel_edges")
 def g19_stitch(spark, d):
     nodes = view(spark, d, "skel_nodes").select("cell_id", "node_id", F.col("node_id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     full = G.stitch(nodes, view(spark, d, "skel_edges").where("src % 10 <> 9"))
-    several = full.groupBy("cell_id").agg(F.count("*").alias("n_edges"), F.count_if("added").alias("n_joined"))
-    return several
+    return full.select("cell_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "added")
 
 
 @query("""WITH RECURSIVE n AS (SELECT cell_id, node_id, axoness AS label FROM skel_nodes), c AS (SELECT cell_id, max(node_id) AS last FROM n GROUP BY cell_id),

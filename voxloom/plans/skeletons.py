@@ -69,7 +69,13 @@ def k6_component_compartments(spark, d):
     return K.component_compartments(n, view(spark, d, "skel_edges"))
 
 
-@query()
+@query(f"""WITH {CUM}, f AS (SELECT cell_id, node_id, c, CASE WHEN axoness IN (3, 4) THEN 1 ELSE axoness END AS ax FROM cum),
+    v AS (SELECT a.cell_id, a.node_id, b.ax, count(*) AS n FROM f a JOIN f b ON a.cell_id = b.cell_id AND abs(a.c - b.c) <= 1500 GROUP BY a.cell_id, a.node_id, b.ax),
+    m AS (SELECT cell_id, node_id, ax FROM (SELECT *, row_number() OVER (PARTITION BY cell_id, node_id ORDER BY n DESC, ax) AS rn FROM v) r WHERE rn = 1),
+    s AS (SELECT *, sum(CASE WHEN ax = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY cell_id ORDER BY node_id) AS run FROM m),
+    k AS (SELECT cell_id, run, avg(CASE WHEN ax = 1 THEN 1.0 ELSE 0 END) AS share FROM s WHERE ax <> 2 GROUP BY cell_id, run),
+    u AS (SELECT s.cell_id, s.node_id, CASE WHEN ax = 2 THEN 2 WHEN share >= 0.66 THEN 1 ELSE 0 END AS ruled FROM s LEFT JOIN k ON s.cell_id = k.cell_id AND s.run = k.run)
+    SELECT u.cell_id, u.node_id, CASE WHEN ruled = 1 AND n.axoness IN (3, 4) THEN n.axoness ELSE ruled END AS axoness FROM u JOIN skel_nodes n ON n.cell_id = u.cell_id AND n.node_id = u.node_id""")
 def k7_smooth_compartments(spark, d):
     return K.smooth_compartments(_nodes(spark, d), _weighted(spark, d), view(spark, d, "skel_edges"), 1500.0)
 
@@ -148,46 +154,73 @@ def k15_path_between(spark, d):
     return K.path_between(pairs, n, _weighted(spark, d), 5.0, 2500.0).select("cell_id", "pair_id", F.round("dist", 4).alias("dist"))
 
 
-@query("SELECT syn_id, round(sqrt(x * x + y * y + z * z), 6) AS dist FROM synapses WHERE syn_id % 100 = 0")
+@query("""WITH p AS (SELECT syn_id AS syn_a, lead(syn_id) OVER (PARTITION BY cell_1 ORDER BY syn_id) AS syn_b FROM synapses)
+    SELECT syn_a, syn_b, round(sqrt(pow((a.x - b.x) * 10, 2) + pow((a.y - b.y) * 10, 2) + pow((a.z - b.z) * 20, 2)), 6) AS dist FROM p JOIN synapses a ON a.syn_id = syn_a JOIN synapses b ON b.syn_id = syn_b""")
 def k16_synapse_distance(spark, d):
-    return view(spark, d, "synapses").where("syn_id % 100 = 0").select("syn_id", r6(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("dist"))
+    """Each synapse and the next of its first cell."""
+    from pyspark.sql.window import Window
 
+    syn = view(spark, d, "synapses").select("syn_id", "cell_1", "x", "y", "z")
+    following = F.lead("syn_id").over(Window.partitionBy("cell_1").orderBy("syn_id"))
+    pairs = syn.select(F.col("syn_id").alias("syn_a"), following.alias("syn_b")).where("syn_b is not null")
+    return K.synapse_distance(pairs, syn, SCALE).withColumn("dist", r6("dist"))
 
-@query("SELECT cell_id, node_id FROM skel_nodes")
-def k17_prune_branches(spark, d):
-    """Chains have no branching node, so nothing goes; the stubs added at every tenth node go again."""
+
+def _branched(spark, d, stubs: list[tuple[int, list[float]]]):
+    """The chains with a branch at every inner node whose number ends in ``digit``, its nodes moved along x by the given steps."""
     n, e = _nodes(spark, d).select("cell_id", "node_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]), view(spark, d, "skel_edges")
-    inner = n.where("node_id % 10 = 5").join(e.groupBy("cell_id").agg(F.max("dst").alias("last")), "cell_id").where("node_id > 0 and node_id < last").drop("last")
-    stub = inner.select("cell_id", (F.col("node_id") + 1000000).alias("node_id"), (F.col("x") + 0.001).alias("x"), "y", "z")
-    links = inner.select("cell_id", F.col("node_id").alias("src"), (F.col("node_id") + 1000000).alias("dst"))
-    return K.prune_branches(n.unionByName(stub), e.unionByName(links), 0.01)
+    last = e.groupBy("cell_id").agg(F.max("dst").alias("last"))
+    nodes, edges = n, e
+    for digit, steps in stubs:
+        at = n.where(F.col("node_id") % 10 == digit).join(last, "cell_id").where("node_id > 0 and node_id < last").drop("last")
+        before = F.col("node_id")
+        for k, dx in enumerate(steps):
+            name = F.col("node_id") + (10 * digit + k + 1) * 1000000
+            nodes = nodes.unionByName(at.select("cell_id", name.alias("node_id"), (F.col("x") + dx).alias("x"), "y", "z"))
+            edges = edges.unionByName(at.select("cell_id", before.alias("src"), name.alias("dst")))
+            before = name
+    return nodes, edges
+
 
+BRANCHES = """WITH l AS (SELECT cell_id, max(node_id) AS last FROM skel_nodes GROUP BY cell_id) SELECT cell_id, node_id FROM skel_nodes
+    UNION ALL SELECT cell_id, node_id + s FROM skel_nodes JOIN l USING (cell_id), (SELECT unnest([71000000, 72000000]) AS s) u WHERE node_id % 10 = 7 AND node_id > 0 AND node_id < last"""
 
-@query("SELECT cell_id, node_id FROM skel_nodes")
+
+@query(BRANCHES)
+def k17_prune_branches(spark, d):
+    """Short branches go, those that end far away stay."""
+    return K.prune_branches(*_branched(spark, d, [(5, [0.001]), (2, [4.0, 0.002]), (7, [0.5, 5.0])]), 0.01)
+
+
+@query(BRANCHES)
 def k18_prune_by_path(spark, d):
-    n, e = _nodes(spark, d).select("cell_id", "node_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]), view(spark, d, "skel_edges")
-    inner = n.where("node_id % 10 = 5").join(e.groupBy("cell_id").agg(F.max("dst").alias("last")), "cell_id").where("node_id > 0 and node_id < last").drop("last")
-    stub = lambda k: inner.select("cell_id", (F.col("node_id") + k * 1000000).alias("node_id"), (F.col("x") + 0.001 * k).alias("x"), "y", "z")
-    first = inner.select("cell_id", F.col("node_id").alias("src"), (F.col("node_id") + 1000000).alias("dst"))
-    second = inner.select("cell_id", (F.col("node_id") + 1000000).alias("src"), (F.col("node_id") + 2000000).alias("dst"))
-    return K.prune_branches(n.unionByName(stub(1)).unionByName(stub(2)), e.unionByName(first).unionByName(second), 0.01, True)
+    """Branches with a short path go, those that run out and come back stay."""
+    return K.prune_branches(*_branched(spark, d, [(5, [0.001, 0.002]), (7, [5.0, 0.001])]), 0.01, True)
 
 
-@query("SELECT cell_id, CAST(0 AS BIGINT) AS src, max(node_id) AS dst FROM skel_nodes GROUP BY cell_id HAVING count(*) > 1")
+@query("""WITH k AS (SELECT cell_id, node_id, max(node_id) OVER (PARTITION BY cell_id) AS last FROM skel_nodes),
+    s AS (SELECT cell_id, node_id AS src, lead(node_id) OVER (PARTITION BY cell_id ORDER BY node_id) AS dst FROM k WHERE node_id % 4 <> 0 OR node_id = 0 OR node_id = last)
+    SELECT cell_id, src, dst FROM s WHERE dst IS NOT NULL""")
 def k19_thin(spark, d):
-    """On straight chains all nodes between the ends go."""
-    n = _nodes(spark, d).select("cell_id", "node_id", F.col("node_id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    """On chains with a spike at every fourth node only the nodes between two straight edges go."""
+    y = F.when(F.col("node_id") % 4 == 2, 10.0).otherwise(0.0)
+    n = _nodes(spark, d).select("cell_id", "node_id", F.col("node_id").cast("double").alias("x"), y.alias("y"), F.lit(0.0).alias("z"))
     return K.thin(n, view(spark, d, "skel_edges"), 0.5, 1e9, 0.99)
 
 
-@query("SELECT cell_id, count(*) AS n_edges FROM (SELECT DISTINCT cell_id, CAST(floor(src / 2) AS BIGINT) AS a, CAST(floor(dst / 2) AS BIGINT) AS b FROM skel_edges) u WHERE a <> b GROUP BY cell_id")
+@query("SELECT DISTINCT cell_id, least(src % 7, dst % 7) AS src, greatest(src % 7, dst % 7) AS dst FROM skel_edges WHERE src % 7 <> dst % 7")
 def k20_weld(spark, d):
-    n = _nodes(spark, d).select("cell_id", "node_id", F.floor(F.col("node_id") / 2).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    _, e = K.weld(n, view(spark, d, "skel_edges"))
-    return e.groupBy("cell_id").agg(F.count("*").alias("n_edges"))
+    """Chains wound round seven places."""
+    n = _nodes(spark, d).select("cell_id", "node_id", (F.col("node_id") % 7).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return K.weld(n, view(spark, d, "skel_edges"))[1]
 
 
-@query("SELECT obj_id, count(*) - 1 AS n_edges FROM (SELECT DISTINCT obj_id, floor(x / 4) AS a, floor(y / 4) AS b, floor(z / 4) AS c FROM vertices) u GROUP BY obj_id")
+@query("""WITH RECURSIVE g AS (SELECT obj_id, row_number() OVER (PARTITION BY obj_id ORDER BY gx, gy, gz) AS id, x, y, z FROM (SELECT obj_id, floor(x / 4) AS gx, floor(y / 4) AS gy, floor(z / 4) AS gz, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM vertices GROUP BY 1, 2, 3, 4) m),
+    e AS (SELECT a.obj_id, a.id AS u, b.id AS v, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 6) AS w FROM g a JOIN g b ON a.obj_id = b.obj_id AND a.id <> b.id),
+    t(obj_id, inside, src, dst) AS (SELECT obj_id, [min(id)], CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM g GROUP BY obj_id
+        UNION ALL SELECT obj_id, list_append(inside, n.v), least(n.u, n.v), greatest(n.u, n.v) FROM (SELECT t.obj_id, t.inside, min({'w': w, 'a': least(u, v), 'b': greatest(u, v), 'u': u, 'v': v}) AS n
+            FROM t JOIN e ON e.obj_id = t.obj_id AND list_contains(t.inside, e.u) AND NOT list_contains(t.inside, e.v) GROUP BY t.obj_id, t.inside) s)
+    SELECT obj_id, src, dst FROM t WHERE src IS NOT NULL""")
 def k21_point_skeleton(spark, d):
     """Grid means, radius graph (here wide enough for one component) and its spanning tree."""
     from pyspark.sql.window import Window
@@ -195,8 +228,7 @@ def k21_point_skeleton(spark, d):
     means = K.grid_means(_vertices(spark, d), "obj_id", 4.0)
     w = Window.partitionBy("obj_id").orderBy("gx", "gy", "gz")
     points = means.select("obj_id", F.row_number().over(w).cast("long").alias("id"), "x", "y", "z")
-    tree = G.spanning_tree(radius_graph(points, 60.0, on=["obj_id"]), "obj_id")
-    return tree.groupBy("obj_id").agg(F.count("*").alias("n_edges"))
+    return G.spanning_tree(radius_graph(points, 500.0, on=["obj_id"]).withColumn("weight", r6("weight")), "obj_id").select("obj_id", "src", "dst")
 
 
 @query("SELECT obj_id, CAST(floor(x / 8) AS BIGINT) AS gx, CAST(floor(y / 8) AS BIGINT) AS gy, CAST(floor(z / 8) AS BIGINT) AS gz, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM vertices GROUP BY obj_id, floor(x / 8), floor(y / 8), floor(z / 8)")

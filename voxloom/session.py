@@ -6,8 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +68,17 @@ def drop_cut(df: DataFrame) -> None:
         if "/voxloom-" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def running_total(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each, in the order of ``by`` (which tells rows apart).
+
+    Rows are dealt by ranges of ``by``; each range sums its own, and one row a range
+    carries the sums of the ranges before. No task sorts the whole table.
+    """
+    dealt = cut(df.withColumn("value_of_row", value.cast("long")).repartitionByRange(*by).withColumn("range_of_row", F.spark_partition_id()))
+    sums = dealt.groupBy("range_of_row").agg(F.sum("value_of_row").alias("s"))
+    before = sums.select("range_of_row", F.coalesce(F.sum("s").over(Window.orderBy("range_of_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("value_of_row").over(Window.partitionBy("range_of_row").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = dealt.withColumn("inside", inside).join(F.broadcast(before), "range_of_row")  # one row a partition
+    return out.withColumn(name, F.col("before") + F.col("inside")).select(*df.columns, name)
