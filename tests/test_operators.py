@@ -14,7 +14,8 @@ from voxloom.operators import synapses as C
 from voxloom.operators import voxels as V
 from voxloom.operators import wiring as W
 from voxloom.operators.components import connected_components
-from voxloom.operators.spatial import nearest_anywhere, pairs_within
+from voxloom.operators.spatial import k_nearest_anywhere, nearest_anywhere, pairs_within
+from voxloom.session import located, running_total
 
 
 def cube(spark, a, name="label"):
@@ -207,3 +208,160 @@ def test_subsets_are_padded(spark):
     df = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 0), (2, 1)], "cell_id int, sample_id long")
     sub = P.fixed_subsets(df, 4, 0)
     assert {(r.cell_id, r.subset): r["count"] for r in sub.groupBy("cell_id", "subset").count().collect()} == {(1, 0): 4, (1, 1): 4, (2, 0): 4}
+
+
+def dense(spark, blocks, shape, size, name="label"):
+    out = np.zeros(shape, int)
+    for r in B.to_voxels(blocks, size, name).collect():
+        out[r.x, r.y, r.z] = r[name]
+    return out
+
+
+def test_smoothing_over_blocks_equals_the_whole_volume(spark):
+    rng = np.random.default_rng(31)
+    a, sigma = rng.integers(0, 10**6, (11, 7, 3)), (1.2, 0.7, 1.0)
+    got = dense(spark, B.gaussian(B.to_blocks(cube(spark, a), "label", (4, 3, 2), a.shape), sigma, (4, 3, 2), a.shape), a.shape, (4, 3, 2))
+    want = a.astype(float)
+    for axis, s in enumerate(sigma):  # one line at a time, mirrored index by index
+        r, n = int(4 * s + 0.5), a.shape[axis]
+        w = [np.exp(-0.5 * (k / s) ** 2) for k in range(-r, r + 1)]
+
+        def line(v):
+            mirror = lambda i: (i % (2 * n)) if i % (2 * n) < n else 2 * n - 1 - i % (2 * n)  # noqa: B023
+            return [sum(x * v[mirror(i + k)] for k, x in zip(range(-r, r + 1), w)) / sum(w) for i in range(n)]  # noqa: B023
+
+        want = np.apply_along_axis(line, axis, want)
+    assert (np.abs(got - want) <= 0.5 + 1e-6).all()
+
+
+def test_distances_over_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(32)
+    a = (rng.random((10, 9, 6)) < 0.93).astype(int)
+    got = dense(spark, B.distance_transform(B.to_blocks(cube(spark, a), "label", (4, 4, 3), a.shape), (4, 4, 3), a.shape, 4, (1, 1, 2)), a.shape, (4, 4, 3))
+    zero = np.argwhere(a == 0) * (1, 1, 2)
+    for p in np.ndindex(a.shape):
+        assert got[p] == (min(16, int(((np.array(p) * (1, 1, 2) - zero) ** 2).sum(1).min())) if a[p] else 0)
+    full = np.ones((3, 3, 3), int)
+    assert (dense(spark, B.distance_transform(B.to_blocks(cube(spark, full), "label", (2, 2, 2), full.shape), (2, 2, 2), full.shape, 3), full.shape, (2, 2, 2)) == 9).all()
+
+
+def test_watershed_parts_touching_balls(spark):
+    shape, size = (16, 9, 9), (5, 4, 9)
+    at = np.stack(np.meshgrid(*map(np.arange, shape), indexing="ij"), -1)
+    mask = (((at - (4, 4, 4)) ** 2).sum(-1) <= 12) | (((at - (10, 4, 4)) ** 2).sum(-1) <= 12)
+    height = B.squared_distances(mask, ~mask, (1, 1, 1), 9)
+    seeds = np.zeros(shape, int)
+    seeds[4, 4, 4], seeds[10, 4, 4] = 3, 8
+    to = lambda v: B.to_blocks(cube(spark, v), "label", size, shape)
+    got = dense(spark, B.watershed(to(seeds), to(height), 16, size), shape, size)
+    label, todo = seeds.copy(), [(-height[p], 0, seeds[p], p) for p in map(tuple, np.argwhere(seeds))]
+    step = 0
+    while todo:  # plain: the best of all that is reached, by search
+        best = min(todo)
+        todo.remove(best)
+        for d in V.SIX:
+            q = tuple(int(i + j) for i, j in zip(best[3], d))
+            if all(0 <= i < n for i, n in zip(q, shape)) and mask[q] and not label[q]:
+                label[q], step = best[2], step + 1
+                todo.append((-height[q], step, best[2], q))
+    assert (got == label).all() and ((got > 0) == mask).all()
+    assert (got[:7][mask[:7]] == 3).all() and (got[8:][mask[8:]] == 8).all()
+
+
+def test_contact_filling_over_blocks_equals_plain_sets(spark):
+    rng = np.random.default_rng(33)
+    a = np.zeros((9, 8, 6), int)
+    for x, y, z in rng.integers(0, (9, 8, 6), (14, 3)):
+        a[x, y, z] = int(rng.integers(1, 5))
+    got = dense(spark, B.map_blocks(B.to_blocks(cube(spark, a), "label", (4, 4, 4), a.shape), lambda v: B.fill_contacts(v, 1, 1), 3, (4, 4, 4)), a.shape, (4, 4, 4))
+    grow = lambda s: s | {tuple(i + j for i, j in zip(p, d)) for p in s for d in V.SIX}
+    shrink = lambda s: {p for p in s if all(tuple(i + j for i, j in zip(p, d)) in s for d in V.SIX)}
+    want = a.copy()
+    for label in sorted(set(a[a > 0].tolist())):
+        for p in sorted(grow(shrink(grow({tuple(map(int, q)) for q in np.argwhere(a == label)})))):
+            if all(0 <= i < n for i, n in zip(p, a.shape)) and not want[p]:
+                want[p] = label
+    assert (got == want).all()
+
+
+def test_budget_windows_equal_a_plain_walk(spark):
+    rng = np.random.default_rng(34)
+    parent = [None, *[int(rng.integers(0, i)) for i in range(1, 40)]]
+    codes = [int(c) for c in rng.integers(0, 4, 40)]
+    nodes = spark.createDataFrame([(1, i, float(i), 0.0, 0.0, c) for i, c in enumerate(codes)], "cell_id long, node_id long, x double, y double, z double, axoness int")
+    length = {(p, i): float(rng.integers(1, 9)) for i, p in enumerate(parent) if p is not None}
+    weighted = spark.createDataFrame([(1, a, b, w) for (a, b), w in length.items()], "cell_id long, src long, dst long, length double")
+    got = {r.node_id: r.axoness for r in K.window_majority(nodes, weighted, "axoness", 15.0, "bfs_budget").collect()}
+    for i in range(40):
+        if codes[i] == 2:
+            assert got[i] == 2
+            continue
+        seen, left, at = [i], 15.0, 0
+        while at < len(seen):
+            a = seen[at]
+            for b in sorted({q for p, q in length if p == a} | {p for p, q in length if q == a}):
+                w = length.get((a, b), length.get((b, a)))
+                if b not in seen and w <= left:
+                    left -= w
+                    seen.append(b)
+            at += 1
+        votes = [codes[j] for j in seen]
+        assert got[i] == min(set(votes), key=lambda v: (-votes.count(v), v))
+
+
+def test_whitened_components_equal_a_decomposition(spark):
+    rng = np.random.default_rng(35)
+    x = rng.normal(size=(60, 5)) @ np.diag([5, 3, 2, 0.5, 0.2]) @ np.linalg.qr(rng.normal(size=(5, 5)))[0] + 4
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    got = np.array([r.pca for r in sorted(P.whitened_pca(df, 3).collect(), key=lambda r: r.id)])
+    centred = x - x.mean(0)
+    u, s, vt = np.linalg.svd(centred, full_matrices=False)
+    want = u[:, :3] * np.sqrt(len(x) - 1)
+    want = want * np.sign(vt[:3][range(3), np.abs(vt[:3]).argmax(1)])
+    assert np.allclose(got, want, atol=1e-6) and np.allclose(np.cov(got.T), np.eye(3), atol=1e-6)
+
+
+def test_k_nearest_at_any_distance(spark):
+    rng = np.random.default_rng(36)
+    p = np.round(rng.uniform(0, 9, (40, 3)), 1)
+    p[-1] = 5000
+    df = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "id long, x double, y double, z double")
+    far = spark.createDataFrame([(0, 1.0, 1.0, 1.0), (1, -900.0, 3.0, 0.0)], "query_id long, x double, y double, z double")
+    got = sorted((r.query_id, r.rank, r.id) for r in k_nearest_anywhere(far, df, 6, 0.5).collect())
+    d = lambda q: np.sqrt(((p - np.array(q)) ** 2).sum(1))
+    want = [(i, r + 1, int(j)) for i, q in ((0, (1, 1, 1)), (1, (-900, 3, 0))) for r, j in enumerate(np.lexsort((np.arange(40), d(q)))[:6])]
+    assert got == want
+    assert k_nearest_anywhere(far, df.limit(2), 6, 0.5).count() == 4
+
+
+def test_running_totals_by_ranges(spark):
+    rng = np.random.default_rng(37)
+    rows = [(int(k), int(v)) for k, v in zip(rng.permutation(500), rng.integers(0, 9, 500))]
+    got = {r.k: r.before for r in running_total(spark.createDataFrame(rows, "k long, v long").repartition(7), ["k"], F.col("v"), "before").collect()}
+    by = dict(rows)
+    assert got == {k: sum(by[j] for j in range(k)) for k in range(500)}
+
+
+def test_rows_are_located_alike_in_every_scan(spark, tmp_path):
+    spark.range(300).repartition(5).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t")).withColumnRenamed("id", "file_of_row")
+    first, names = located(spark.read.parquet(str(tmp_path / "t")))
+    assert names == ["file_of_row", "place_of_row"] and first.select(*names).distinct().count() == 300
+    derived, names = located(table.where("file_of_row % 2 = 0"))
+    assert names == ["_file_of_row", "place_of_row"] and derived.select(*names).distinct().count() == 150
+
+
+def test_synapse_distance_is_scaled(spark):
+    syn = spark.createDataFrame([(1, 0, 0, 0), (2, 3, 0, 2), (3, 0, 4, 0)], "syn_id long, x long, y long, z long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 3)], "syn_a long, syn_b long")
+    assert sorted(map(tuple, K.synapse_distance(pairs, syn, (10.0, 10.0, 20.0)).collect())) == [(1, 2, 50.0), (1, 3, 40.0), (3, 3, 0.0)]
+
+
+def test_forest_probabilities_of_held_out_rows(spark):
+    rng = np.random.default_rng(38)
+    x = rng.normal(size=(600, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(k)) for i, (r, k) in enumerate(zip(x, y))], "syn_id long, a double, b double, c double, label double")
+    held = C.cross_validate(df, ["a", "b", "c"], 10, 20).collect()
+    assert sorted(r.syn_id for r in held) == list(range(600)) and all(0 <= r.syn_prob <= 1 for r in held)
+    assert np.mean([(r.syn_prob > 0.5) == (r.label == 1) for r in held]) > 0.9

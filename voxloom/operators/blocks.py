@@ -4,11 +4,13 @@ A block is one row ``(bx, by, bz, nx, ny, nz, data)`` with its voxels as bytes o
 little-endian int64 in x, y, z order; all blocks but the last of an axis have the
 same edges, and block (bx, by, bz) begins at voxel (bx * size_x, ...). Kernels run
 on one block at a time, with a halo that neighbours send as cropped slabs: a
-block's rows meet on the receiving block, at most 27 of them.
+block's rows meet on the receiving block, at most 27 of them where the halo is no
+wider than a block.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Callable
 
@@ -60,16 +62,17 @@ def map_blocks(blocks: DataFrame, fn: Callable[..., np.ndarray], halo: int, size
     ``shape``, the volume's, it also gets which voxels lie inside the volume.
     """
     before, after = keep or (0, 0)
+    reach = [-(-halo // s) for s in size]
 
     def slabs(frames):
         for f in frames:
             rows = []
             for r in f.itertuples():
                 a = array_of(r)
-                for d in itertools.product((-1, 0, 1), repeat=3):
+                for d in itertools.product(*(range(-r, r + 1) for r in reach)):
                     # what the block at offset d from this one needs of it
-                    cutout = tuple(slice(0, halo) if k == -1 else slice(max(0, n - halo), n) if k == 1 else slice(0, n) for k, n in zip(d, a.shape))
-                    part = a[cutout]
+                    cutout = tuple(slice(max(0, k * m - halo), min(n, k * m + m + halo)) for k, m, n in zip(d, size, a.shape))
+                    part = a[cutout] if all(c.start < c.stop for c in cutout) else a[:0]
                     if part.size:
                         at = [s * b + c.start for s, b, c in zip(size, (r.bx, r.by, r.bz), cutout)]
                         rows.append((r.bx + d[0], r.by + d[1], r.bz + d[2], d == (0, 0, 0), *at, *part.shape, part.tobytes()))
@@ -178,6 +181,110 @@ def label_components(mask: np.ndarray) -> np.ndarray:
     return np.where(label > 0, np.searchsorted(ids, label) + 1, 0)
 
 
+def _mirrored(a: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The array with what lies outside the volume replaced by the volume mirrored at its faces."""
+    for axis in range(3):
+        on = np.nonzero(inside.any(axis=tuple(k for k in range(3) if k != axis)))[0]
+        lo, hi = int(on[0]), int(on[-1]) + 1
+        at = np.arange(a.shape[axis])
+        while ((at < lo) | (at >= hi)).any():
+            at = np.where(at < lo, 2 * lo - 1 - at, np.where(at >= hi, 2 * hi - 1 - at, at))
+        a = np.take(a, at, axis=axis)
+    return a
+
+
+def gaussian(blocks: DataFrame, sigma: tuple[float, float, float], size: tuple[int, int, int], shape: tuple[int, int, int], truncate: float = 4.0) -> DataFrame:
+    """Gaussian smoothing of whole numbers (a probability map in fixed point), rounded once at the end.
+
+    Separable, cut off at ``truncate`` sigmas; the volume is mirrored at its faces.
+    A block needs as much of its neighbours as the widest kernel reaches.
+    """
+    reach = [int(truncate * s + 0.5) for s in sigma]
+
+    def fn(a: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        out = _mirrored(a, inside).astype(float)
+        for axis, (s, r) in enumerate(zip(sigma, reach)):
+            if r:
+                k = np.arange(-r, r + 1)
+                w = np.exp(-0.5 * (k / s) ** 2)
+                padded = np.pad(out, [(r, r) if j == axis else (0, 0) for j in range(3)])
+                out = sum(v * np.take(padded, np.arange(out.shape[axis]) + r + d, axis=axis) for d, v in zip(k, w / w.sum()))
+        return np.rint(out)
+
+    return map_blocks(blocks, fn, max(reach), size, shape=shape)
+
+
+def squared_distances(on: np.ndarray, background: np.ndarray, scale: tuple[int, int, int], most: int) -> np.ndarray:
+    """Squared distance of each voxel that is ``on`` to the nearest of the background, ``most`` squared where none is nearer; 0 elsewhere."""
+    d = np.where(background, 0, most * most).astype("<i8")
+    for axis, s in enumerate(scale):
+        best = d.copy()
+        for k in range(1, min(-(-most // s), d.shape[axis] - 1) + 1):
+            for there in (-k, k):
+                best = np.minimum(best, _moved(d, axis, there, most * most) + (k * s) ** 2)
+        d = best
+    return np.where(on, np.minimum(d, most * most), 0)
+
+
+def _moved(a: np.ndarray, axis: int, by: int, fill: int) -> np.ndarray:
+    out = np.full_like(a, fill)
+    n = a.shape[axis]
+    dst, src = [slice(None)] * 3, [slice(None)] * 3
+    dst[axis], src[axis] = slice(max(0, by), n + min(0, by)), slice(max(0, -by), n + min(0, -by))
+    out[tuple(dst)] = a[tuple(src)]
+    return out
+
+
+def distance_transform(blocks: DataFrame, size: tuple[int, int, int], shape: tuple[int, int, int], most: int, scale: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+    """Exact squared distance of the voxels that are not 0 to the nearest 0 of the volume, in whole units of ``scale``, up to ``most``.
+
+    What lies outside the volume is no background.
+    """
+
+    def fn(a: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        return squared_distances(a != 0, (a == 0) & inside, scale, most)
+
+    return map_blocks(blocks, fn, max(-(-most // s) for s in scale), size, shape=shape)
+
+
+def flood(seeds: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """Seeded watershed: from the seeds over all voxels with a height above 0, the highest first.
+
+    Of equal heights the voxel reached first goes first, then the smaller label, then scan order.
+    """
+    out, heap, order = seeds.copy(), [], 0
+    for p in zip(*(i.tolist() for i in np.nonzero(seeds))):
+        heapq.heappush(heap, (-int(height[p]), 0, int(seeds[p]), p))
+    while heap:
+        _, _, label, p = heapq.heappop(heap)
+        for d in V.SIX:
+            q = (p[0] + d[0], p[1] + d[1], p[2] + d[2])
+            if all(0 <= i < n for i, n in zip(q, out.shape)) and not out[q] and height[q] > 0:
+                out[q] = label
+                order += 1
+                heapq.heappush(heap, (-int(height[q]), order, label, q))
+    return out
+
+
+def watershed(seeds: DataFrame, heights: DataFrame, halo: int, size: tuple[int, int, int]) -> DataFrame:
+    """Touching objects parted by seeds: each block floods itself and ``halo`` voxels round it, and keeps its own part.
+
+    A block's result is that of the whole volume where no object that reaches into it
+    lies farther than ``halo`` outside it. Labels below 2**31, heights below 2**32.
+    """
+
+    def both(frames):
+        for f in frames:
+            made = [(np.frombuffer(s, "<i8") << 32 | np.frombuffer(h, "<i8")).tobytes() for s, h in zip(f["data"], f["height"])]
+            yield f[[*KEY, "nx", "ny", "nz"]].assign(data=made)
+
+    def fn(a: np.ndarray) -> np.ndarray:
+        return flood(a >> 32, a & 0xFFFFFFFF)
+
+    joined = seeds.join(heights.select(*KEY, F.col("data").alias("height")), KEY)
+    return map_blocks(joined.mapInPandas(both, SCHEMA), fn, halo, size)
+
+
 def instance_segmentation(blocks: DataFrame, size: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
     """Components of a binary volume over all blocks: ``(x, y, z, label)`` and the merge list.
 

@@ -391,3 +391,59 @@ def c1_contact_extraction(spark, d):
     contacts = V.contact_voxels(vox, "sv_id").join(vox.select("x", "y", "z", "sj", "sym", "asym"), ["x", "y", "z"])
     props = V.contact_synapse_properties(contacts, "sj", "sym", "asym").where("cs_size >= 10")
     return props.select("id_lo", "id_hi", "cs_size", "syn_size", "n_sym", "n_asym")
+
+
+DENSE = """lim AS (SELECT CAST(floor(max(x) / 25) AS BIGINT) * 25 + 25 AS m FROM voxels),
+    grid AS (SELECT g.x, g.y, g.z, coalesce(CAST(round(v.p * 1000000) AS BIGINT), 0) AS p FROM (SELECT x, y, z FROM lim, unnest(range(0, m)) a(x), unnest(range(0, 40)) b(y), unnest(range(0, 8)) c(z)) g LEFT JOIN voxels v ON v.x = g.x AND v.y = g.y AND v.z = g.z)"""
+
+
+def _fixed(spark, d):
+    """The probability map in millionths, as blocks, and the volume's shape."""
+    from voxloom.operators import blocks as B
+
+    vox = _vox(spark, d)
+    shape = _shape(vox)
+    return B.to_blocks(vox.withColumn("fixed", F.round(F.col("p") * 1000000).cast("long")), "fixed", SIZE, shape), shape
+
+
+@query(f"""WITH {DENSE}, k AS (SELECT d, exp(-0.5 * d * d) AS w FROM unnest(range(-2, 3)) u(d)), kn AS (SELECT d, w / (SELECT sum(w) FROM k) AS w FROM k),
+    sx AS (SELECT x, y, z, sum(w * g2p) AS p FROM (SELECT g.x, g.y, g.z, w, (SELECT m FROM lim) AS m, g.x + d AS c FROM grid g, kn) s JOIN (SELECT x AS x2, y AS y2, z AS z2, p AS g2p FROM grid) o
+        ON y2 = s.y AND z2 = s.z AND x2 = CASE WHEN c < 0 THEN -c - 1 WHEN c >= m THEN 2 * m - 1 - c ELSE c END GROUP BY x, y, z),
+    sy AS (SELECT x, y, z, sum(w * p2) AS p FROM (SELECT sx.x, sx.y, sx.z, w, sx.y + d AS c FROM sx, kn) s JOIN (SELECT x AS x2, y AS y2, z AS z2, p AS p2 FROM sx) o
+        ON x2 = s.x AND z2 = s.z AND y2 = CASE WHEN c < 0 THEN -c - 1 WHEN c >= 40 THEN 79 - c ELSE c END GROUP BY x, y, z),
+    sz AS (SELECT x, y, z, sum(w * p2) AS p FROM (SELECT sy.x, sy.y, sy.z, w, sy.z + d AS c FROM sy, kn) s JOIN (SELECT x AS x2, y AS y2, z AS z2, p AS p2 FROM sy) o
+        ON x2 = s.x AND y2 = s.y AND z2 = CASE WHEN c < 0 THEN -c - 1 WHEN c >= 8 THEN 15 - c ELSE c END GROUP BY x, y, z)
+    SELECT x, y, z, CAST(round(p) AS BIGINT) AS p FROM sz WHERE round(p) <> 0""")
+def v21_smoothed(spark, d):
+    """The probability map smoothed before the threshold, in millionths."""
+    from voxloom.operators import blocks as B
+
+    blocks, shape = _fixed(spark, d)
+    return B.to_voxels(B.gaussian(blocks, (1.0, 1.0, 1.0), SIZE, shape, 2.0), SIZE, "p").select("x", "y", "z", "p")
+
+
+@query(f"""WITH {DENSE}, o AS (SELECT * FROM grid WHERE p > 450000), b AS (SELECT * FROM grid WHERE p <= 450000)
+    SELECT o.x, o.y, o.z, CAST(coalesce(min(pow(o.x - b.x, 2) + pow(o.y - b.y, 2) + pow(2 * (o.z - b.z), 2)), 36) AS BIGINT) AS d2 FROM o LEFT JOIN b ON b.x BETWEEN o.x - 5 AND o.x + 5 AND b.y BETWEEN o.y - 5 AND o.y + 5 AND b.z BETWEEN o.z - 2 AND o.z + 2
+        AND pow(o.x - b.x, 2) + pow(o.y - b.y, 2) + pow(2 * (o.z - b.z), 2) < 36 GROUP BY o.x, o.y, o.z""")
+def v28_distances(spark, d):
+    """Squared distances to the background of the thresholded map, up to six units; a step along z counts two."""
+    from voxloom.operators import blocks as B
+
+    shape = _shape(_vox(spark, d))
+    mask = _vox(spark, d).where(F.round(F.col("p") * 1000000) > 450000).withColumn("on", F.lit(1))
+    return B.to_voxels(B.distance_transform(B.to_blocks(mask, "on", SIZE, shape), SIZE, shape, 6, (1, 1, 2)), SIZE, "d2").select("x", "y", "z", "d2")
+
+
+@query()
+def v28_watershed(spark, d):
+    """The thresholded map parted by seeds where it is widest, flooded down the distances; held against brute force in the tests."""
+    from voxloom.operators import blocks as B
+
+    shape = _shape(_vox(spark, d))
+    mask = _vox(spark, d).where(F.round(F.col("p") * 1000000) > 450000).withColumn("on", F.lit(1))
+    heights = B.distance_transform(B.to_blocks(mask, "on", SIZE, shape), SIZE, shape, 6)
+    wide = B.to_voxels(heights, SIZE, "d2").where("d2 >= 2").withColumn("on", F.lit(1))
+    objects, _ = B.instance_segmentation(B.to_blocks(wide, "on", SIZE, shape), SIZE)
+    first = objects.groupBy("label").agg(F.min(F.struct("x", "y", "z")).alias("p")).select("label", ((F.col("p.x") * 40 + F.col("p.y")) * 8 + F.col("p.z") + 1).alias("seed"))
+    seeds = B.to_blocks(objects.join(first, "label"), "seed", SIZE, shape)
+    return B.to_voxels(B.watershed(seeds, heights, 5, SIZE), SIZE).select("x", "y", "z", "label")
