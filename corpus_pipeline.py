@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm import packing, quality, secrets, simhash, winnow
 from voxloom.llm.queries import vocabulary_path
-from voxloom.session import located, read_table, shared_dir
+from voxloom.session import delete, located, read_table, scratch, shared_dir
 
 #: Scores below go.
 MIN_QUALITY = 0.3
@@ -84,10 +84,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over the whole ``documents`` table."""
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages in turn over the whole ``documents`` table; of their tables the last one stays."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -15,7 +15,7 @@ from voxloom.operators import voxels as V
 from voxloom.operators import wiring as W
 from voxloom.operators.components import connected_components
 from voxloom.operators.spatial import k_nearest_anywhere, nearest_anywhere, pairs_within
-from voxloom.session import located, running_total
+from voxloom.session import cut, located, running_total, scratch
 
 
 def cube(spark, a, name="label"):
@@ -160,6 +160,38 @@ def test_pruning_a_y_shape(spark):
     assert {r.node_id for r in K.prune_branches(nodes, edges, 0.1).collect()} == {*range(10), 20}
 
 
+def test_stitching_equals_a_plain_search(spark):
+    rng = np.random.default_rng(40)
+    p = np.round(rng.uniform(0, 30, (60, 3)), 1)
+    links = [(i, i + 1) for i in range(59) if i % 7 < 5]
+    nodes = spark.createDataFrame([(1, i, *map(float, q)) for i, q in enumerate(p)], "cell_id long, node_id long, x double, y double, z double")
+    got = {(r.src, r.dst) for r in G.stitch(nodes, spark.createDataFrame([(1, a, b) for a, b in links], "cell_id long, src long, dst long")).where("added").collect()}
+    sets, want = G.Sets(), set()
+    for i in range(60):
+        sets.root(i)
+    for a, b in links:
+        sets.join(a, b)
+    groups = {}
+    for i in range(60):
+        groups.setdefault(sets.root(i), set()).add(i)
+    main = max(groups.values(), key=lambda g: (len(g), -min(g)))
+    while len(main) < 60:
+        _, a, b = min((float(np.sqrt(((p[a] - p[b]) ** 2).sum())), a, b) for a in main for b in range(60) if b not in main)
+        want.add((a, b))
+        main = main | next(g for g in groups.values() if b in g)
+    assert got == want
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    with scratch(spark):
+        made = cut(spark.range(5))
+        folder = os.path.dirname(made.inputFiles()[0]).removeprefix("file:").replace("///", "/")
+        assert made.count() == 5 and os.path.isdir(folder)
+    assert not os.path.isdir(folder)
+
+
 def test_stitching_links_the_nearest_ends(spark):
     nodes, edges = chain(spark, 6)
     got = G.stitch(nodes, edges.where("src <> 2")).where("added").collect()

@@ -12,7 +12,8 @@ CHOSEN = """v1_object_properties v4_fused_blocks v5_merge_partials v9_overlap_ra
     v25_stitch_pairs v28_instance_segmentation v34_box_fraction v36_cube_vote x1_export_table x4_wiring_matrix x5_type_blocks x7_top_partners x16_upsert x18_wiring_distance
     g2_singletons g4_prune g8_cell_rollup g16_bfs_neighbourhoods g18_radius_graph g21_smooth_labels j1_nearest_in_group j2_pairs_within j3_nearest_anywhere m3_background_corrected
     m4_full_mapping p1_cell_class p3_certainty p11_performance p12_knn_classify c3_between_cells c8_medoid c12_proximity k5_window_majority k9_transfer_labels k14_soma_distance
-    k27_mesh_area k31_vertex_normals n6_compartment_stats n13_axon_vector n18_pairwise_distance s12_type_sum_files s15_merge_list q5_bulk_lookup u1_map_blocks""".split()
+    k27_mesh_area k31_vertex_normals n6_compartment_stats n13_axon_vector n18_pairwise_distance s12_type_sum_files s15_merge_list q5_bulk_lookup u1_map_blocks v21_smoothed v28_distances k7_smooth_compartments k16_synapse_distance
+    k17_prune_branches k18_prune_by_path k19_thin k20_weld k21_point_skeleton k28_merged_faces x4_matrix_places x18_wiring_distance_compat g1_components g19_stitch g23_largest_cloud c5_cluster_fragments c17_match_labels""".split()
 
 
 @pytest.fixture(scope="module")

@@ -239,17 +239,24 @@ def stitch(nodes: DataFrame, edges: DataFrame, key: str = "cell_id") -> DataFram
         for i in sorted(at):
             groups.setdefault(sets.root(i), []).append(i)
         comps, added = sorted(groups.values(), key=lambda c: (-len(c), c[0])), []
-        while len(comps) > 1:
-            main = comps[0]
-            a, best = np.stack([at[i] for i in main]), (np.inf, 0, 0, 0)
-            for k, other in enumerate(comps[1:], 1):
-                for s in range(0, len(other), 512):
-                    d = np.sqrt(((a[:, None] - np.stack([at[i] for i in other[s : s + 512]])[None]) ** 2).sum(2))
-                    p, q = np.unravel_index(int(d.argmin()), d.shape)
-                    best = min(best, (float(d[p, q]), main[p], other[s + q], k))
-            added.append((best[1], best[2]))
-            comps[0] = sorted(main + comps.pop(best[3]))
-            comps.sort(key=lambda c: (-len(c), c[0]))
+        names = np.array([i for c in comps for i in c])
+        places = np.stack([at[i] for i in names.tolist()]) if len(names) else np.empty((0, 3))
+        part = np.repeat(np.arange(len(comps)), [len(c) for c in comps])
+        out, dist, link = part > 0, np.full(len(names), np.inf), np.zeros(len(names), int)
+        joined = np.nonzero(part == 0)[0]  # the largest; what it takes in is met by every other node once
+        while out.any():
+            left = np.nonzero(out)[0]
+            for s in range(0, len(joined), 512):
+                some = joined[s : s + 512][np.argsort(names[joined[s : s + 512]])]
+                d = np.sqrt(((places[left][:, None] - places[some][None]) ** 2).sum(2))
+                k = d.argmin(axis=1)
+                near, who = d[np.arange(len(left)), k], names[some][k]
+                nearer = (near < dist[left]) | ((near == dist[left]) & (who < link[left]))
+                dist[left[nearer]], link[left[nearer]] = near[nearer], who[nearer]
+            best = left[np.lexsort((names[left], link[left], dist[left]))[0]]
+            added.append((int(link[best]), int(names[best])))
+            joined = np.nonzero(part == part[best])[0]
+            out[joined] = False
         cell = (n if len(n) else e)[key].iloc[0]
         rows = [(cell, int(a), int(b), False) for a, b in zip(e["src"].tolist(), e["dst"].tolist())] + [(cell, int(a), int(b), True) for a, b in added]
         return pd.DataFrame(rows, columns=[key, "src", "dst", "added"])

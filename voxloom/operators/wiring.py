@@ -145,12 +145,13 @@ def dense_matrix(syn: DataFrame, cells: DataFrame, least: float) -> DataFrame:
 PAIR_BLOCK = 1000
 
 
-def wiring_distance(matrix: DataFrame, cells: DataFrame) -> DataFrame:
+def wiring_distance(matrix: DataFrame, cells: DataFrame, compat: bool = False) -> DataFrame:
     """Per pair of cells (1 - IoU of inputs) + (1 - IoU of outputs); a term without any partner is 1.
 
     Common partners come from a join on the partner; pairs without a common one
     are only made for the given set of cells, which is one side of a stated query, by
-    blocks of it: the result has a row for each of its pairs.
+    blocks of it: the result has a row for each of its pairs. With ``compat`` the second
+    term counts inputs and outputs together, as if the counters ran on.
     """
     ids = cells.select("cell").distinct()
 
@@ -163,14 +164,16 @@ def wiring_distance(matrix: DataFrame, cells: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("cell"), F.lit(n))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     pairs = ids.select(F.col("cell").alias("a"), each.alias("block")).join(ids.select(F.col("cell").alias("b"), block.alias("block")), "block").where("a < b").drop("block")
-    out = pairs
+    out = pairs.withColumns({"c_": F.lit(0), "u_": F.lit(0)})
     for name, own, partner in (("in", "post", "pre"), ("out", "pre", "post")):
         common, count = shared(own, partner)
         na, nb = count.toDF("a", "na"), count.toDF("b", "nb")
         out = out.join(common.withColumnRenamed("n", "common"), ["a", "b"], "left").join(na, "a", "left").join(nb, "b", "left")
         c = F.coalesce("common", F.lit(0))
         union = F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0)) - c
-        out = out.withColumn(f"d_{name}", F.when(union > 0, 1 - c / union).otherwise(1.0)).drop("common", "na", "nb")
+        before_c, before_u = (F.col("c_"), F.col("u_")) if compat else (F.lit(0), F.lit(0))
+        out = out.withColumns({"c_": before_c + c, "u_": before_u + union}).drop("common", "na", "nb")
+        out = out.withColumn(f"d_{name}", F.when(F.col("u_") > 0, 1 - F.col("c_") / F.col("u_")).otherwise(1.0))
     return out.select("a", "b", (F.col("d_in") + F.col("d_out")).alias("dist"))
 
 

@@ -137,7 +137,7 @@ def x17_dense_matrix(spark, d):
     return W.dense_matrix(syn, cells, 0.3).withColumn("size", r6("size"))
 
 
-@query(f"""WITH {MATRIX}, c AS (SELECT DISTINCT s_suppkey AS cell FROM supplier),
+SHARED = """c AS (SELECT DISTINCT s_suppkey AS cell FROM supplier),
     i AS (SELECT DISTINCT post AS cell, pre AS partner FROM m), o AS (SELECT DISTINCT pre AS cell, post AS partner FROM m),
     pr AS (SELECT a.cell AS a, b.cell AS b FROM c a JOIN c b ON a.cell < b.cell),
     ic AS (SELECT x.cell AS a, y.cell AS b, count(*) AS n FROM i x JOIN i y ON x.partner = y.partner AND x.cell < y.cell GROUP BY x.cell, y.cell),
@@ -145,8 +145,10 @@ def x17_dense_matrix(spark, d):
     ni AS (SELECT cell, count(*) AS n FROM i GROUP BY cell), nn AS (SELECT cell, count(*) AS n FROM o GROUP BY cell),
     t AS (SELECT pr.a, pr.b, coalesce(ic.n, 0) AS ci, coalesce(ia.n, 0) + coalesce(ib.n, 0) - coalesce(ic.n, 0) AS ui, coalesce(oc.n, 0) AS co, coalesce(oa.n, 0) + coalesce(ob.n, 0) - coalesce(oc.n, 0) AS uo
         FROM pr LEFT JOIN ic ON pr.a = ic.a AND pr.b = ic.b LEFT JOIN oc ON pr.a = oc.a AND pr.b = oc.b
-        LEFT JOIN ni ia ON pr.a = ia.cell LEFT JOIN ni ib ON pr.b = ib.cell LEFT JOIN nn oa ON pr.a = oa.cell LEFT JOIN nn ob ON pr.b = ob.cell)
-    SELECT a, b, round(CASE WHEN ui > 0 THEN 1 - ci / ui ELSE 1 END + CASE WHEN uo > 0 THEN 1 - co / uo ELSE 1 END, 6) AS dist FROM t""")
+        LEFT JOIN ni ia ON pr.a = ia.cell LEFT JOIN ni ib ON pr.b = ib.cell LEFT JOIN nn oa ON pr.a = oa.cell LEFT JOIN nn ob ON pr.b = ob.cell)"""
+
+
+@query(f"WITH {MATRIX}, {SHARED} SELECT a, b, round(CASE WHEN ui > 0 THEN 1 - ci / ui ELSE 1 END + CASE WHEN uo > 0 THEN 1 - co / uo ELSE 1 END, 6) AS dist FROM t")
 def x18_wiring_distance(spark, d):
     from voxloom.session import read_table
 
@@ -154,6 +156,14 @@ def x18_wiring_distance(spark, d):
     return W.wiring_distance(W.wiring_matrix(_filtered(spark, d)), cells).withColumn("dist", r6("dist"))
 
 
+@query(f"WITH {MATRIX}, {SHARED} SELECT a, b, round(CASE WHEN ui > 0 THEN 1 - ci / ui ELSE 1 END + CASE WHEN ui + uo > 0 THEN 1 - (ci + co) / (ui + uo) ELSE 1 END, 6) AS dist FROM t")
+def x18_wiring_distance_compat(spark, d):
+    from voxloom.session import read_table
+
+    cells = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"))
+    return W.wiring_distance(W.wiring_matrix(_filtered(spark, d)), cells, compat=True).withColumn("dist", r6("dist"))
+
+
 OWN = """q AS (SELECT syn_id, cell_1 AS cell_id, syn_sign, mesh_area, x, y, z FROM synapses),
     a AS (SELECT q.*, n.axoness, row_number() OVER (PARTITION BY syn_id ORDER BY sqrt(pow(q.x - n.x, 2) + pow(q.y - n.y, 2) + pow(q.z - n.z, 2)), n.node_id) AS rn FROM q JOIN skel_nodes n ON q.cell_id = n.cell_id),
     s AS (SELECT cell_id, sum(CASE WHEN axoness IN (1, 3, 4) THEN mesh_area END) AS t, sum(CASE WHEN axoness IN (1, 3, 4) AND syn_sign = -1 THEN mesh_area END) AS m FROM a WHERE rn = 1 GROUP BY cell_id)"""

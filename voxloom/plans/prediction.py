@@ -159,8 +159,9 @@ def x14_cell_type(spark, d):
 @query("SELECT sample_id, round(list_sum(list_transform(logits[1:7], lambda x: CAST(x AS DOUBLE))), 6) AS score FROM samples")
 def u2_apply_model(spark, d):
     def load():
+        import numpy as np
         import pandas as pd
 
-        return lambda f: pd.DataFrame({"sample_id": f["sample_id"], "score": [sum(map(float, v)) for v in f["logits"]]})
+        return lambda f: pd.DataFrame({"sample_id": f["sample_id"], "score": np.stack(f["logits"]).astype(float).sum(axis=1) if len(f) else []})
 
     return P.apply_model(_samples(spark, d), load, ["sample_id", "logits"], "sample_id long, score double").withColumn("score", r6("score"))

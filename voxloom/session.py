@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame, stats: bool = False) -> DataFrame:
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any store that Spark can reach."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables cut inside are deleted at the end; what is made of them has to be written by then."""
+    mine: list[str] = []
+    before = _MADE.set(mine)
+    try:
+        yield
+    finally:
+        _MADE.reset(before)
+        for folder in mine:
+            delete(spark, folder)
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage: a lost executor costs a re-read of the files and
     never a recomputation of the steps before them.
     """
     path = f"{shared_dir(df.sparkSession)}/voxloom-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -66,8 +92,7 @@ def drop_cut(df: DataFrame) -> None:
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/voxloom-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, folder)
 
 
 def running_total(df: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
