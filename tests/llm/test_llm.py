@@ -122,6 +122,26 @@ def test_edited_copies_meet_their_source_wherever_it_lies(spark, tile):
     assert [by_rid[r.rep] for r in got] == components(len(s), alike)
 
 
+def test_drifting_versions_stay_one_group(spark):
+    """Chains of versions, two words changed from each to the next: a version is alike to its neighbours alone."""
+    rng = np.random.default_rng(41)
+    texts = []
+    for c in range(30):
+        w = ["k%d_%d" % (c, x) for x in rng.integers(0, 10**6, 110)]
+        for v in range(25):
+            texts.append(" ".join(w))
+            w = list(w)
+            for at in rng.choice(110, 2, replace=False):
+                w[at] = "n%d_%d_%d" % (c, v, at)
+    order = rng.permutation(len(texts))
+    s = [set(shingles(texts[i], 5)) for i in order]
+    alike = [(i, j) for i in range(len(s)) for j in range(i) if order[i] // 25 == order[j] // 25 and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])]
+    got = sorted(simhash.near_text_groups(docs(spark, [texts[i] for i in order])).collect(), key=lambda r: r.id)
+    by_rid = {r.rid: r.id for r in got}
+    want = components(len(s), alike)
+    assert len(alike) > 700 and [by_rid[r.rep] for r in got] == want
+
+
 def test_text_links_equal_brute_force():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 10**6, (6, 60))
