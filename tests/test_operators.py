@@ -397,3 +397,31 @@ def test_forest_probabilities_of_held_out_rows(spark):
     held = C.cross_validate(df, ["a", "b", "c"], 10, 20).collect()
     assert sorted(r.syn_id for r in held) == list(range(600)) and all(0 <= r.syn_prob <= 1 for r in held)
     assert np.mean([(r.syn_prob > 0.5) == (r.label == 1) for r in held]) > 0.9
+
+
+def test_surface_paths_equal_a_closure(spark):
+    rng = np.random.default_rng(42)
+    rows = [(g, int(part), i, *map(float, rng.uniform(0, 12, 3) + (9 * part, 0, 0)), bool(part % 2)) for g in range(4) for i, part in enumerate(sorted(rng.integers(0, 3, 30)))]
+    rows += [(9, 0, 0, 0.0, 0.0, 0.0, True), (9, 1, 1, 900.0, 0.0, 0.0, True)]
+    df = spark.createDataFrame(rows, "path_id long, part long, vid long, x double, y double, z double, counted boolean")
+    got = {r.path_id: r.length for r in K.surface_path(df, 8.0, 3).collect()}
+    assert got.pop(9) == float("inf")
+    for g, length in got.items():
+        v = sorted((r[1], r[2], r[3:6], r[6]) for r in rows if r[0] == g)
+        n = len(v)
+        far = lambda a, b: float(np.linalg.norm(np.array(v[a][2]) - v[b][2]))  # noqa: B023, E731
+        best = np.full((n, n), np.inf)
+        for i in range(n):
+            own = sorted((j for j in range(n) if v[j][0] == v[i][0] and j != i), key=lambda j: (far(i, j), j))[:3]  # noqa: B023
+            for j in own:
+                if far(i, j) <= 8:
+                    best[i, j] = best[j, i] = min(best[i, j], far(i, j) if v[i][3] else 0.0)
+            parts = sorted({x[0] for x in v if x[0] < v[i][0]})
+            if parts:
+                j = min((j for j in range(n) if v[j][0] == parts[-1]), key=lambda j: (far(i, j), j))  # noqa: B023
+                if far(i, j) <= 8:
+                    best[i, j] = best[j, i] = min(best[i, j], far(i, j) if v[i][3] else 0.0001)
+        for k in range(n):
+            best = np.minimum(best, best[:, k, None] + best[None, k])
+        want = 0.0 if n == 1 else best[0, n - 1]
+        assert (length == want) or abs(length - want) < 1e-9

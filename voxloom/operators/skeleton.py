@@ -187,6 +187,47 @@ def path_between(pairs: DataFrame, nodes: DataFrame, weighted: DataFrame, match:
     return ready.groupBy("cell_id").cogroup(right.groupBy("cell")).applyInPandas(run, "cell_id long, pair_id long, dist double")
 
 
+def surface_path(vertices: DataFrame, near: float, k: int, free: float = 0.0001) -> DataFrame:
+    """Length of the way along the surfaces of a path's parts, counted inside some parts alone (astrocyte fragments).
+
+    ``vertices`` has path_id, part (in the order of the path), vid, x, y, z and counted.
+    A vertex is linked to the ``k`` nearest of its part within ``near`` and to the nearest
+    of the part before within ``near``; a link costs its length in a counted part, else
+    nothing, or ``free`` where it leads to an uncounted part. From the first vertex of the first part to
+    the last of the last; infinite if there is no way. ``(path_id, length)``.
+    """
+
+    def run(v: pd.DataFrame) -> pd.DataFrame:
+        v = v.sort_values(["part", "vid"])
+        at, part, counted = v[list(XYZ)].to_numpy(float), v["part"].to_numpy(), v["counted"].to_numpy()
+        adj: dict[int, list] = {i: [] for i in range(len(v))}
+        before = None
+        for p in np.unique(part):
+            own = np.nonzero(part == p)[0]
+            for a in range(0, len(own), 256):
+                some = own[a : a + 256]
+                d = np.sqrt(((at[some][:, None] - at[own][None]) ** 2).sum(2))
+                for i, row, order in zip(some.tolist(), d, np.argsort(d, axis=1, kind="stable")[:, : k + 1]):
+                    for j in order.tolist():
+                        if own[j] != i and row[j] <= near:
+                            w = float(row[j]) if counted[i] else 0.0
+                            adj[i].append((int(own[j]), w))
+                            adj[int(own[j])].append((i, w))
+                if before is not None:
+                    d = np.sqrt(((at[some][:, None] - at[before][None]) ** 2).sum(2))
+                    for i, row in zip(some.tolist(), d):
+                        j = int(row.argmin())
+                        if row[j] <= near:
+                            w = float(row[j]) if counted[i] else free
+                            adj[i].append((int(before[j]), w))
+                            adj[int(before[j])].append((i, w))
+            before = own
+        length = dijkstra(adj, [0]).get(len(v) - 1, float("inf"))
+        return pd.DataFrame({"path_id": [v["path_id"].iloc[0]], "length": [length]})
+
+    return vertices.select("path_id", "part", "vid", *XYZ, "counted").groupBy("path_id").applyInPandas(run, "path_id long, length double")
+
+
 def _branches(adj: dict[int, list[int]]) -> list[list[int]]:
     """End branches: from each leaf up to, not including, the first branching node."""
     out = []

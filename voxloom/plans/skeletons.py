@@ -310,3 +310,11 @@ def k32_empty_spaces(spark, d):
     v = _vertices(spark, d)
     q = v.where("label = 1").select("id", (F.col("x") + 3).alias("x"), (F.col("y") + 5).alias("y"), (F.col("z") + 2).alias("z"))
     return K.empty_spaces(q, v, 3.0).select("id")
+
+
+@query()
+def k33_surface_path(spark, d):
+    """Ways along each object's surface, counted in two of its four labels; held against a plain closure in the tests."""
+    v = view(spark, d, "vertices")
+    parts = v.select(F.col("obj_id").alias("path_id"), F.col("label").alias("part"), "vid", "x", "y", "z", (F.col("label") % 2 == 0).alias("counted"))
+    return K.surface_path(parts, 40.0, 6).select("path_id", r6("length").alias("length"))

@@ -97,8 +97,8 @@ def c11_cell_contacts(spark, d):
     return _clustered(spark, d).groupBy("cell_lo", "cell_hi", "component").agg(F.count("*").alias("size"))
 
 
-PROX = """s AS (SELECT syn_id, p % 20 AS cell_id, p % 120 AS x, (syn_id // 10) % 50 + syn_id % 7 AS y, syn_id % 10 * 5 AS z FROM (SELECT l_orderkey * 10 + l_linenumber AS syn_id, min(l_partkey) AS p FROM lineitem GROUP BY 1) q),
-    o AS (SELECT p_partkey AS obj_id, p_partkey % 20 AS cell_id, 20 + p_partkey % 400 AS size, p_retailprice / 10 AS x, p_size AS y, p_partkey % 37 AS z FROM part),
+PROX = """s AS (SELECT syn_id, CAST(floor(p / 100) AS BIGINT) AS cell_id, p % 120 AS x, (syn_id // 10) % 50 + syn_id % 7 AS y, syn_id % 10 * 5 AS z FROM (SELECT l_orderkey * 10 + l_linenumber AS syn_id, min(l_partkey) AS p FROM lineitem GROUP BY 1) q),
+    o AS (SELECT p_partkey AS obj_id, CAST(floor(p_partkey / 100) AS BIGINT) AS cell_id, 20 + p_partkey % 400 AS size, p_retailprice / 10 AS x, p_size AS y, p_partkey % 37 AS z FROM part),
     v AS (SELECT obj_id, x + k AS x, y, z FROM o, (SELECT unnest([0, 2, 4]) AS k) u),
     near AS (SELECT s.syn_id, s.cell_id, o.obj_id, o.size, count(*) AS n, min(sqrt(pow(s.x - v.x, 2) + pow(s.y - v.y, 2) + pow(s.z - v.z, 2))) AS d FROM s JOIN o ON s.cell_id = o.cell_id AND sqrt(pow(s.x - o.x, 2) + pow(s.y - o.y, 2) + pow(s.z - o.z, 2)) <= 30 JOIN v ON v.obj_id = o.obj_id
         WHERE sqrt(pow(s.x - v.x, 2) + pow(s.y - v.y, 2) + pow(s.z - v.z, 2)) < 10.5 GROUP BY s.syn_id, s.cell_id, o.obj_id, o.size),
@@ -110,9 +110,9 @@ def _proximity(spark, d):
 
     li = read_table(spark, d, "lineitem")
     one = li.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("syn_id")).agg(F.min("l_partkey").alias("p"))
-    syn = one.selectExpr("syn_id", "p % 20 AS cell_id", "p % 120 AS x", "(syn_id div 10) % 50 + syn_id % 7 AS y", "syn_id % 10 * 5 AS z")
+    syn = one.selectExpr("syn_id", "p div 100 AS cell_id", "p % 120 AS x", "(syn_id div 10) % 50 + syn_id % 7 AS y", "syn_id % 10 * 5 AS z")
     p = read_table(spark, d, "part")
-    objs = p.select(F.col("p_partkey").alias("obj_id"), (F.col("p_partkey") % 20).alias("cell_id"), (F.col("p_partkey") % 400 + 20).alias("size"), (F.col("p_retailprice") / 10).alias("x"), F.col("p_size").alias("y"), (F.col("p_partkey") % 37).alias("z"))
+    objs = p.select(F.col("p_partkey").alias("obj_id"), F.floor(F.col("p_partkey") / 100).alias("cell_id"), (F.col("p_partkey") % 400 + 20).alias("size"), (F.col("p_retailprice") / 10).alias("x"), F.col("p_size").alias("y"), (F.col("p_partkey") % 37).alias("z"))
     verts = objs.select("obj_id", F.explode(F.array(*map(F.lit, (0, 2, 4)))).alias("k"), "x", "y", "z").select("obj_id", (F.col("x") + F.col("k")).alias("x"), "y", "z")
     return C.proximity(syn, objs, verts, 30.0, 10.5)
 
@@ -122,10 +122,10 @@ def c12_proximity(spark, d):
     return _proximity(spark, d).select("syn_id", "cell_id", "n_objects", r6("voxels").alias("voxels"), r6("min_dist").alias("min_dist"))
 
 
-@query(f"WITH {PROX} SELECT syn_id, cell_id AS cell_0, (cell_id + 1) % 20 AS cell_1, n_objects AS n_objects_0, CAST(NULL AS BIGINT) AS n_objects_1, round(voxels, 6) AS voxels_0, CAST(NULL AS DOUBLE) AS voxels_1 FROM f")
+@query(f"WITH {PROX} SELECT syn_id, cell_id AS cell_0, cell_id + 1 AS cell_1, n_objects AS n_objects_0, CAST(NULL AS BIGINT) AS n_objects_1, round(voxels, 6) AS voxels_0, CAST(NULL AS DOUBLE) AS voxels_1 FROM f")
 def c13_pivot_partners(spark, d):
     p = _proximity(spark, d)
-    syn = p.select("syn_id", F.col("cell_id").alias("cell_0"), ((F.col("cell_id") + 1) % 20).alias("cell_1"))
+    syn = p.select("syn_id", F.col("cell_id").alias("cell_0"), (F.col("cell_id") + 1).alias("cell_1"))
     own = C.pivot_partners(p, syn, ["n_objects", "voxels"])
     return own.withColumn("voxels_0", r6("voxels_0"))
 
