@@ -381,6 +381,9 @@ def test_rows_are_located_alike_in_every_scan(spark, tmp_path):
     assert names == ["file_of_row", "place_of_row"] and first.select(*names).distinct().count() == 300
     derived, names = located(table.where("file_of_row % 2 = 0"))
     assert names == ["_file_of_row", "place_of_row"] and derived.select(*names).distinct().count() == 150
+    twice = spark.read.parquet(str(tmp_path / "t")).crossJoin(spark.range(2).toDF("copy"))
+    assert located(twice)[0].select("file_of_row", "place_of_row").distinct().count() == 600
+    assert located(spark.range(4))[0].select("file_of_row", "place_of_row").distinct().count() == 4
 
 
 def test_synapse_distance_is_scaled(spark):

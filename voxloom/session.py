@@ -81,10 +81,13 @@ def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
             name = "_" + name
         names.append(name)
     where = [F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])]
+    read_directly = docs._jdf.queryExecution().analyzed().children().isEmpty()  # joins and the like repeat rows of a file
     try:
-        return docs.select("*", *where), names
-    except AnalysisException:
-        return cut(docs).select("*", *where), names
+        if read_directly:
+            return docs.select("*", *where), names
+    except AnalysisException:  # not from files
+        pass
+    return cut(docs).select("*", *where), names
 
 
 def drop_cut(df: DataFrame) -> None:
