@@ -236,6 +236,12 @@ def test_gradients_equal_finite_differences():
     assert abs((up - loss()) / (2 * step) - gb) < 1e-5
 
 
+def test_thresholds_keep_the_default_where_it_is_best():
+    scores, y = np.array([0.05, 0.1, 0.75, 0.9]), np.array([0, 0, 1, 1])
+    assert toxicity._best_threshold(scores, y) == pytest.approx(0.425) and toxicity._best_threshold(scores, y, 0.5, 0.7) == 0.7
+    assert toxicity._best_threshold(scores, np.array([0, 0, 0, 1]), 0.5, 0.7) == pytest.approx(0.825)
+
+
 def test_log_count_ratios_and_hinge_fit_equal_brute_force():
     rng = np.random.default_rng(14)
     rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(40)]
