@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import chat, html_text, langid, packing, quality, secrets, simhash, topk, toxicity, winnow
+from voxloom.llm import bpe, chat, html_text, langid, packing, quality, secrets, simhash, topk, toxicity, winnow
 from voxloom.llm.labelled import fold
 from voxloom.session import read_table
 
@@ -96,9 +96,16 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(pages, model)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and the texts that they stand for."""
+    path = vocabulary_path("byte_bpe_50k.json")
+    texts = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+    return texts.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_packing, op6_topk, op7_chat, op8_secrets, op9_toxicity, op10_langid)
+    for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_packing, op6_topk, op7_chat, op8_secrets, op9_toxicity, op10_langid, op11_bpe)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
