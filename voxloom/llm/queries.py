@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, chat, html_text, langid, packing, quality, secrets, simhash, topk, toxicity, winnow
+from voxloom.llm import bpe, chat, html_text, langid, merkle, packing, quality, secrets, simhash, topk, toxicity, winnow
 from voxloom.llm.labelled import fold
 from voxloom.session import read_table
 
@@ -103,14 +103,32 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle tree by language over all documents; where 7 divides crc32(doc_id), the proof is tried on a row with one more in n_chars."""
+    fields = lambda n: merkle.digest(*[merkle.field(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))])
+    n_chars = F.col("n_chars")
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & n_chars.isNotNull(), fields(n_chars + 1))
+    rows = merkle.manifest(read_table(spark, sf_dir, "documents"), fields(n_chars), carry={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    proof = F.sha2(F.array_join(merkle.siblings(F.col("path")), "").cast("binary"), 256)
+    found = rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_packing, op6_topk, op7_chat, op8_secrets, op9_toxicity, op10_langid, op11_bpe)
+    for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_packing, op6_topk, op7_chat, op8_secrets, op9_toxicity, op10_langid, op11_bpe, op12_merkle)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: crc32 of a text's bytes (ASCII alone), unsigned.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::UBIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))))"""
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+
 ORACLES = {
     "op4_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
@@ -130,6 +148,35 @@ ORACLES = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN pos USING (rid) LEFT JOIN named USING (rid)""",
+    "op12_merkle": f"""
+        WITH RECURSIVE leaves AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS grp, {_LEAF.format("n_chars")} AS leaf,
+                   CASE WHEN {_CRC32.format("CAST(doc_id AS VARCHAR)")} % 7 = 0 AND n_chars IS NOT NULL THEN {_LEAF.format("(n_chars + 1)")} END AS tampered
+            FROM documents),
+        ranked AS MATERIALIZED (
+            SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nr, count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+        tree AS (
+            SELECT grp, 0 AS k, nr, leaf AS h, n FROM ranked
+            UNION ALL SELECT grp, k + 1, nr // 2, sha256(string_agg(h, '' ORDER BY nr)), any_value((n + 1) // 2) FROM tree WHERE n > 1 GROUP BY grp, k, nr // 2),
+        subroots AS MATERIALIZED (
+            SELECT grp, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS nr, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top AS (
+            SELECT 0 AS k, nr, subroot AS h, n FROM subroots
+            UNION ALL SELECT k + 1, nr // 2, sha256(string_agg(h, '' ORDER BY nr)), any_value((n + 1) // 2) FROM top WHERE n > 1 GROUP BY k, nr // 2),
+        steps AS (
+            SELECT r.rid, t.k, (r.nr >> t.k) % 2 AS bit, s.h
+            FROM ranked r JOIN tree t ON t.grp = r.grp AND t.nr = r.nr >> t.k AND t.n > 1
+            LEFT JOIN tree s ON s.grp = t.grp AND s.k = t.k AND s.nr = xor(t.nr, 1)
+            UNION ALL
+            SELECT r.rid, 100 + t.k, (g.nr >> t.k) % 2, s.h
+            FROM ranked r JOIN subroots g USING (grp) JOIN top t ON t.nr = g.nr >> t.k AND t.n > 1 LEFT JOIN top s ON s.k = t.k AND s.nr = xor(t.nr, 1)),
+        paths AS (SELECT rid, list(struct_pack(bit := bit, h := h) ORDER BY k) AS path, coalesce(string_agg(h, '' ORDER BY k), '') AS hashes FROM steps GROUP BY rid),
+        folded AS (
+            SELECT rid, list_reduce(list_prepend(struct_pack(bit := 0::BIGINT, h := coalesce(tampered, leaf)), coalesce(path, [])),
+                                    lambda x, s: struct_pack(bit := 0::BIGINT, h := sha256(CASE WHEN s.bit = 1 THEN coalesce(s.h, '') || x.h ELSE x.h || coalesce(s.h, '') END))).h AS folded_root
+            FROM ranked LEFT JOIN paths USING (rid))
+        SELECT doc_id, leaf, subroot, top.h AS root, sha256(coalesce(hashes, '')) AS proof_sha256, folded_root, folded_root = top.h AS verified
+        FROM ranked JOIN subroots USING (grp) JOIN top ON top.n = 1 JOIN folded USING (rid) LEFT JOIN paths USING (rid)""",
     "op6_topk": """
         WITH v AS MATERIALIZED (
             SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
