@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, chat, html_text, langid, merkle, packing, quality, secrets, simhash, topk, toxicity, winnow
+from voxloom.llm import bpe, chat, html_text, langid, merkle, packing, prefix_trie, quality, secrets, simhash, topk, toxicity, winnow
 from voxloom.llm.labelled import fold
 from voxloom.session import read_table
 
@@ -115,9 +115,17 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of the conversations, each of which begins with turns of the first one of its five."""
+    conv = F.col("conv_id")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 9
+    nodes = prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), base=conv - conv % 5, heads=heads, most=8)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.col("ends_digest").alias("ends_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_packing, op6_topk, op7_chat, op8_secrets, op9_toxicity, op10_langid, op11_bpe, op12_merkle)
+    for f in (op1_simhash, op2_quality, op3_html, op4_decontamination, op5_packing, op6_topk, op7_chat, op8_secrets, op9_toxicity, op10_langid, op11_bpe, op12_merkle, op13_prefix_trie)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -177,6 +185,32 @@ ORACLES = {
             FROM ranked LEFT JOIN paths USING (rid))
         SELECT doc_id, leaf, subroot, top.h AS root, sha256(coalesce(hashes, '')) AS proof_sha256, folded_root, folded_root = top.h AS verified
         FROM ranked JOIN subroots USING (grp) JOIN top ON top.n = 1 JOIN folded USING (rid) LEFT JOIN paths USING (rid)""",
+    "op13_prefix_trie": f"""
+        WITH t AS MATERIALIZED (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+        parts AS (
+            SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+            UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+        r AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM parts),
+        p AS MATERIALIZED (
+            SELECT conv_id, depth, strlen(text) AS bytes,
+                   string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS pre
+            FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+        e AS (SELECT depth, pre, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max(depth) AS depth, max_by(pre, depth) AS pre FROM p GROUP BY conv_id) GROUP BY depth, pre),
+        n AS MATERIALIZED (SELECT depth, pre, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY depth, pre),
+        up AS MATERIALIZED (
+            SELECT n.depth, n.pre, n.n_convs, n.bytes, a.depth AS a_depth, a.pre AS a_pre
+            FROM n JOIN p a ON a.conv_id = n.conv_id AND a.depth <= n.depth),
+        kids AS (SELECT a_depth AS depth, a_pre AS pre, count(*) AS n_children FROM up WHERE depth = a_depth + 1 GROUP BY 1, 2),
+        sub AS (
+            SELECT a_depth AS depth, a_pre AS pre, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved, count(*) FILTER (NOT EXISTS (SELECT 1 FROM kids k WHERE k.depth = up.depth AND k.pre = up.pre)) AS n_leaves
+            FROM up GROUP BY 1, 2)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM n JOIN sub USING (depth, pre) LEFT JOIN kids USING (depth, pre) LEFT JOIN e USING (depth, pre)
+        LEFT JOIN up ON up.depth = n.depth AND up.pre = n.pre AND up.a_depth = n.depth - 1 LEFT JOIN n q ON q.depth = up.a_depth AND q.pre = up.a_pre""",
     "op6_topk": """
         WITH v AS MATERIALIZED (
             SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
