@@ -16,9 +16,12 @@ def numbered(df: DataFrame, by: list[str], name: str = "nr") -> DataFrame:
     """``df`` with a number from 0 on in the order of ``by`` (nulls first), written to the shared folder.
 
     Rows are dealt by ranges and numbered within each; one row a range carries the
-    sizes of the ranges before. No task sorts the whole table.
+    sizes of the ranges before. No task sorts the whole table; rows that are alike in
+    all of ``by`` can lie in several ranges too.
     """
-    dealt = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()))
+    apart = df.withColumn("nr_as_read", F.monotonically_increasing_id())
+    dealt = apart.repartitionByRange(*by, "nr_as_read").sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id())
+    dealt = cut(dealt.drop("nr_as_read"))
     part, inside = F.shiftright(name, 33), F.col(name).bitwiseAND((1 << 33) - 1)
     sizes = dealt.groupBy(part.alias("part_of_row")).agg(F.count("*").alias("size_of_part"))
     up_to = Window.orderBy("part_of_row").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
