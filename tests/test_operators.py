@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.modes import mode_nearest, mode_smallest
 from voxloom.operators import blocks as B
+from voxloom.operators import contacts
 from voxloom.operators import features as N
 from voxloom.operators import graph as G
 from voxloom.operators import prediction as P
@@ -123,7 +124,7 @@ def test_blocks_equal_voxels(spark):
 def test_contact_filling_keeps_other_labels(spark):
     a = np.zeros((7, 7, 3), int)
     a[2, 2:5, 1], a[4, 2:5, 1] = 1, 2
-    out = B.fill_contacts(a, 1, 1)
+    out = contacts.fill_contacts(a, 1, 1)
     assert (out[a > 0] == a[a > 0]).all() and (out == 1).sum() > 3
 
 
@@ -305,7 +306,7 @@ def test_contact_filling_over_blocks_equals_plain_sets(spark):
     a = np.zeros((9, 8, 6), int)
     for x, y, z in rng.integers(0, (9, 8, 6), (14, 3)):
         a[x, y, z] = int(rng.integers(1, 5))
-    got = dense(spark, B.map_blocks(B.to_blocks(cube(spark, a), "label", (4, 4, 4), a.shape), lambda v: B.fill_contacts(v, 1, 1), 3, (4, 4, 4)), a.shape, (4, 4, 4))
+    got = dense(spark, B.map_blocks(B.to_blocks(cube(spark, a), "label", (4, 4, 4), a.shape), lambda v: contacts.fill_contacts(v, 1, 1), 3, (4, 4, 4)), a.shape, (4, 4, 4))
     grow = lambda s: s | {tuple(i + j for i, j in zip(p, d)) for p in s for d in V.SIX}
     shrink = lambda s: {p for p in s if all(tuple(i + j for i, j in zip(p, d)) in s for d in V.SIX)}
     want = a.copy()

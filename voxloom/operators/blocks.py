@@ -28,41 +28,53 @@ SCHEMA = "bx long, by long, bz long, nx int, ny int, nz int, data binary"
 AXES = "xyz"
 
 
-def to_blocks(voxels: DataFrame, label: str, size: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:
-    """All dense blocks of a volume of ``shape`` from a voxel table; voxels that are missing are 0, so are whole blocks."""
+def to_blocks(voxels: DataFrame, label: str, size: tuple[int, int, int], shape: tuple[int, int, int], missing: int = 0, flags: list[str] | None = None) -> DataFrame:
+    """All dense blocks of a volume of ``shape`` from a voxel table; voxels that are missing are ``missing``, so are whole blocks.
+
+    ``flags`` are more columns of 0 and 1, each a binary column of one byte a voxel.
+    """
+    flags = flags or []
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         b = [int(pdf[k].iloc[0]) for k in KEY]
         n = [min(s, m - s * i) for s, m, i in zip(size, shape, b)]
-        a = np.zeros(n, "<i8")
-        at = tuple((pdf[c] - s * i).to_numpy(int) for c, s, i in zip(AXES, size, b))
-        np.maximum.at(a, at, pdf["label"].to_numpy("<i8"))
-        return pd.DataFrame([(*b, *n, a.tobytes())], columns=[*KEY, "nx", "ny", "nz", "data"])
+        a = np.full(n, np.iinfo("<i8").min, "<i8")
+        real = pdf[pdf["real"]]
+        at = tuple((real[c] - s * i).to_numpy(int) for c, s, i in zip(AXES, size, b))
+        np.maximum.at(a, at, real["label"].to_numpy("<i8"))
+        a[a == np.iinfo("<i8").min] = missing
+        more = []
+        for f in flags:
+            m = np.zeros(n, np.uint8)
+            m[at] = real[f].to_numpy(np.uint8)
+            more.append(m.tobytes())
+        return pd.DataFrame([(*b, *n, a.tobytes(), *more)], columns=[*KEY, "nx", "ny", "nz", "data", *flags])
 
     spans = [F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-m // s) - 1).cast("long"))).alias(k) for m, s, k in zip(shape, size, KEY)]
     grid = voxels.sparkSession.range(1).select(spans[0]).select("*", spans[1]).select("*", spans[2])
     inside = voxels
     for c, m in zip(AXES, shape):
         inside = inside.where((F.col(c) >= 0) & (F.col(c) < m))
-    keyed = inside.select(*[F.floor(F.col(c) / s).cast("long").alias(k) for c, s, k in zip(AXES, size, KEY)], *[F.col(c).cast("long").alias(c) for c in AXES], F.col(label).cast("long").alias("label"))
-    corner = grid.select(*KEY, *[(F.col(k) * s).alias(c) for c, s, k in zip(AXES, size, KEY)], F.lit(0).cast("long").alias("label"))
+    more = [F.col(f).cast("int").alias(f) for f in flags]
+    keyed = inside.select(*[F.floor(F.col(c) / s).cast("long").alias(k) for c, s, k in zip(AXES, size, KEY)], *[F.col(c).cast("long").alias(c) for c in AXES], F.col(label).cast("long").alias("label"), *more, F.lit(True).alias("real"))
+    corner = grid.select(*KEY, *[(F.col(k) * s).alias(c) for c, s, k in zip(AXES, size, KEY)], F.lit(0).cast("long").alias("label"), *[F.lit(0).alias(f) for f in flags], F.lit(False).alias("real"))
     keyed = keyed.unionByName(corner)
-    return keyed.groupBy(*KEY).applyInPandas(run, SCHEMA)
+    return keyed.groupBy(*KEY).applyInPandas(run, SCHEMA + "".join(f", {f} binary" for f in flags))
 
 
 def array_of(row) -> np.ndarray:
     return np.frombuffer(row.data, "<i8").reshape(row.nx, row.ny, row.nz)
 
 
-def map_blocks(blocks: DataFrame, fn: Callable[..., np.ndarray], halo: int, size: tuple[int, int, int], keep: tuple[int, int] | None = None, shape: tuple[int, int, int] | None = None) -> DataFrame:
-    """``fn`` over each block with ``halo`` voxels of its neighbours round it (0 where there are none).
+def with_halo(blocks: DataFrame, halo: int, size: tuple[int, int, int], schema: str, fn: Callable, fill: int = 0) -> DataFrame:
+    """Rows that ``fn(array, own)`` makes of each block, ``halo`` voxels of its neighbours round it (``fill`` where there are none).
 
-    ``fn`` gets and gives an array of the same shape; the block keeps the inner
-    part, or with ``keep = (before, after)`` that much of the halo too. With
-    ``shape``, the volume's, it also gets which voxels lie inside the volume.
+    Neighbours send cropped slabs. ``own`` is the block's row; columns beyond the block's own go
+    along with it, not with the slabs.
     """
-    before, after = keep or (0, 0)
     reach = [-(-halo // s) for s in size]
+    extra = [f for f in blocks.schema if f.name not in (*KEY, "nx", "ny", "nz", "data")]
+    named = [*KEY, "own", "x0", "y0", "z0", "nx", "ny", "nz", "data", *[f.name for f in extra]]
 
     def slabs(frames):
         for f in frames:
@@ -74,31 +86,58 @@ def map_blocks(blocks: DataFrame, fn: Callable[..., np.ndarray], halo: int, size
                     cutout = tuple(slice(max(0, k * m - halo), min(n, k * m + m + halo)) for k, m, n in zip(d, size, a.shape))
                     part = a[cutout] if all(c.start < c.stop for c in cutout) else a[:0]
                     if part.size:
+                        own = d == (0, 0, 0)
                         at = [s * b + c.start for s, b, c in zip(size, (r.bx, r.by, r.bz), cutout)]
-                        rows.append((r.bx + d[0], r.by + d[1], r.bz + d[2], d == (0, 0, 0), *at, *part.shape, part.tobytes()))
-            yield pd.DataFrame(rows, columns=[*KEY, "own", "x0", "y0", "z0", "nx", "ny", "nz", "data"])
+                        rows.append((r.bx + d[0], r.by + d[1], r.bz + d[2], own, *at, *part.shape, part.tobytes(), *[getattr(r, e.name) if own else None for e in extra]))
+            yield pd.DataFrame(rows, columns=named)
+
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["own"]]
         if not len(own):
-            return pd.DataFrame({c: [] for c in [*KEY, "nx", "ny", "nz", "data"]})
+            return pd.DataFrame({c: [] for c in columns})
         o = next(own.itertuples())
-        n = (o.nx, o.ny, o.nz)
-        a = np.zeros([k + 2 * halo for k in n], "<i8")
+        a = np.full([k + 2 * halo for k in (o.nx, o.ny, o.nz)], fill, "<i8")
         for r in pdf.itertuples():
             at = [p - q + halo for p, q in zip((r.x0, r.y0, r.z0), (o.x0, o.y0, o.z0))]
             a[tuple(slice(p, p + k) for p, k in zip(at, (r.nx, r.ny, r.nz)))] = array_of(r)
+        return fn(a, o)
+
+    more = "".join(f", {e.name} {e.dataType.simpleString()}" for e in extra)
+    sent = blocks.select(*KEY, "nx", "ny", "nz", "data", *[e.name for e in extra]).mapInPandas(slabs, "bx long, by long, bz long, own boolean, x0 long, y0 long, z0 long, nx int, ny int, nz int, data binary" + more)
+    return sent.groupBy(*KEY).applyInPandas(run, schema)
+
+
+def block_rows(blocks: DataFrame, fn: Callable, halo: int, size: tuple[int, int, int], schema: str, fill: int = 0) -> DataFrame:
+    """Rows of ``fn(array, low, own)`` over each block with a halo; ``low`` is the block's first voxel in the volume, ``own`` its row."""
+
+    def run(a: np.ndarray, own) -> pd.DataFrame:
+        return fn(a, tuple(s * b for s, b in zip(size, (own.bx, own.by, own.bz))), own)
+
+    return with_halo(blocks, halo, size, schema, run, fill)
+
+
+def map_blocks(blocks: DataFrame, fn: Callable[..., np.ndarray], halo: int, size: tuple[int, int, int], keep: tuple[int, int] | None = None, shape: tuple[int, int, int] | None = None) -> DataFrame:
+    """``fn`` over each block with ``halo`` voxels of its neighbours round it (0 where there are none).
+
+    ``fn`` gets and gives an array of the same shape; the block keeps the inner
+    part, or with ``keep = (before, after)`` that much of the halo too. With
+    ``shape``, the volume's, it also gets which voxels lie inside the volume.
+    """
+    before, after = keep or (0, 0)
+
+    def run(a: np.ndarray, o) -> pd.DataFrame:
         if shape is None:
             out = np.asarray(fn(a))
         else:
             ranges = [np.arange(k) + s * b - halo for k, s, b in zip(a.shape, size, (o.bx, o.by, o.bz))]
             gx, gy, gz = ((r >= 0) & (r < m) for r, m in zip(ranges, shape))
             out = np.asarray(fn(a, gx[:, None, None] & gy[None, :, None] & gz[None, None, :]))
-        inner = out[tuple(slice(halo - before, halo + k + after) for k in n)].astype("<i8")
+        inner = out[tuple(slice(halo - before, halo + k + after) for k in (o.nx, o.ny, o.nz))].astype("<i8")
         return pd.DataFrame([(o.bx, o.by, o.bz, *inner.shape, inner.tobytes())], columns=[*KEY, "nx", "ny", "nz", "data"])
 
-    sent = blocks.mapInPandas(slabs, "bx long, by long, bz long, own boolean, x0 long, y0 long, z0 long, nx int, ny int, nz int, data binary")
-    return sent.groupBy(*KEY).applyInPandas(run, SCHEMA)
+    return with_halo(blocks.select(*KEY, "nx", "ny", "nz", "data"), halo, size, SCHEMA, run)
 
 
 def to_voxels(blocks: DataFrame, size: tuple[int, int, int], name: str = "label", offset: int = 0) -> DataFrame:
@@ -157,15 +196,6 @@ def morphology(blocks: DataFrame, chain: list[tuple[str, int]], size: tuple[int,
     return map_blocks(blocks, fn, halo, size, shape=shape)
 
 
-def fill_contacts(a: np.ndarray, closing: int, dilation: int) -> np.ndarray:
-    """Each label, in ascending order, is closed and then dilated into background only."""
-    out = a.copy()
-    for label in np.unique(a[a != 0]):
-        grown = dilate(erode(dilate(a == label, closing), closing), dilation)
-        out[grown & (out == 0)] = label
-    return out
-
-
 def label_components(mask: np.ndarray) -> np.ndarray:
     """Six-connected components, numbered from 1 in scan order."""
     label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)

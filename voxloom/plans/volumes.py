@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxloom.functions.modes import r6
+from voxloom.operators import blocks as B
+from voxloom.operators import contacts as K
 from voxloom.operators import voxels as V
 from voxloom.operators.components import connected_components
 from voxloom.plans.registry import query
 from voxloom.plans.views import view
+from voxloom.session import read_table
 
 BOX = "min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) + 1 AS max_x, max(y) + 1 AS max_y, max(z) + 1 AS max_z"
 FIRST = "min(x * 1000000 + y * 1000 + z)"
@@ -18,10 +21,23 @@ OUT = "size, min_x, min_y, min_z, max_x, max_y, max_z, " + REP.format("f")
 KINDS = {"mi": "mi_id", "sj": "sj_id"}
 
 
+SIZE = (10, 10, 8)
+
+
 def _vox(spark, d):
     return view(spark, d, "voxels")
 
 
+def _shape(spark, d):
+    """The volume: whole slabs along x, one for each 15,000 orders, read from that column alone."""
+    return int(read_table(spark, d, "lineitem").agg(F.max("l_orderkey")).first()[0]) // 15000 * 25 + 25, 40, 8
+
+
+def _label_blocks(spark, d, *flags):
+    """Supervoxels as blocks; places that the table lacks are outside the volume."""
+    return B.to_blocks(_vox(spark, d), "sv_id", SIZE, _shape(spark, d), K.OUTSIDE, list(flags))
+
+
 def _two(spark, d):
     """Voxels with two organelle labels."""
     return _vox(spark, d).withColumn("sj_id", F.when(F.col("sj") == 1, F.col("mi_id") + 100).otherwise(0))
@@ -132,7 +148,7 @@ BOUNDARY = """edge AS (SELECT DISTINCT a.x, a.y, a.z, a.sv_id FROM voxels a JOIN
 
 @query(f"WITH {BOUNDARY} SELECT x, y, z, sv_id FROM edge")
 def v14_boundary_voxels(spark, d):
-    return V.boundary_voxels(_vox(spark, d), "sv_id")
+    return K.boundary_voxels(_label_blocks(spark, d), SIZE).select("x", "y", "z", F.col("label").alias("sv_id"))
 
 
 CONTACT = f"""{BOUNDARY}, near AS (SELECT a.x, a.y, a.z, a.sv_id AS own, b.sv_id AS other, count(*) AS n FROM edge a JOIN voxels b
@@ -144,12 +160,12 @@ CONTACT = f"""{BOUNDARY}, near AS (SELECT a.x, a.y, a.z, a.sv_id AS own, b.sv_id
 
 @query(f"WITH {CONTACT} SELECT x, y, z, id_lo, id_hi FROM contact")
 def v15_contact_voxels(spark, d):
-    return V.contact_voxels(_vox(spark, d), "sv_id")
+    return K.contact_voxels(_label_blocks(spark, d), SIZE)
 
 
 @query(f"WITH {CONTACT} SELECT id_lo, id_hi, count(*) AS n FROM contact GROUP BY id_lo, id_hi")
 def v16_contact_sizes(spark, d):
-    return V.contact_voxels(_vox(spark, d), "sv_id").groupBy("id_lo", "id_hi").agg(F.count("*").alias("n"))
+    return K.contact_sizes(_label_blocks(spark, d), SIZE)
 
 
 @query(f"""WITH {PAIRS} SELECT id_lo, id_hi, count(*) AS cs_size, {BOX.replace('AS ', 'AS cs_')}, sum(sj) AS syn_size,
@@ -307,15 +323,8 @@ def v39_inside_cube(spark, d):
     return V.inside_cube(_vox(spark, d).select("x", "y", "z"), 6)
 
 
-SIZE = (10, 10, 8)
-
-
-def _shape(vox):
-    """The volume: whole slabs along x, as many as the tables fill."""
-    return int(vox.agg(F.max("x")).first()[0]) // 25 * 25 + 25, 40, 8
 
 
-SIX_SQL = "(SELECT unnest([1, -1, 0, 0, 0, 0]) AS dx, unnest([0, 0, 1, -1, 0, 0]) AS dy, unnest([0, 0, 0, 0, 1, -1]) AS dz)"
 INSIDE = "x BETWEEN 0 AND (SELECT CAST(floor(max(x) / 25) AS BIGINT) * 25 + 24 FROM voxels) AND y BETWEEN 0 AND 39 AND z BETWEEN 0 AND 7"
 
 
@@ -325,29 +334,33 @@ def _mask(spark, d, t):
 
 @query(f"SELECT CASE kind WHEN 'mi' THEN 'sub' WHEN 'mi:overlap' THEN 'sub:overlap' ELSE kind END AS kind, id, coalesce(id2, 0) AS id2, {OUT} FROM ({_fused_sql('two')}) p WHERE kind IN ('cell', 'mi', 'mi:overlap')".replace("FROM two", "FROM (SELECT *, 0 AS sj_id FROM voxels) two"))
 def v4_fused_blocks(spark, d):
-    from voxloom.operators import blocks as B
-
     vox = _vox(spark, d)
-    shape = _shape(vox)
+    shape = _shape(spark, d)
     return B.fused_partials(B.to_blocks(vox, "sv_id", SIZE, shape), B.to_blocks(vox, "mi_id", SIZE, shape), SIZE)
 
 
-@query()
-def v17_fill_contacts(spark, d):
-    from voxloom.operators import blocks as B
+SIX_SQL = "(SELECT unnest([1, -1, 0, 0, 0, 0]) AS dx, unnest([0, 0, 1, -1, 0, 0]) AS dy, unnest([0, 0, 0, 0, 1, -1]) AS dz)"
+#: Contacts closed and grown by one voxel: a background voxel goes to the smallest pair that reaches it.
+FILLED = f"""{CONTACT}, s0 AS (SELECT x, y, z, id_lo * 4294967296 + id_hi AS pair FROM contact),
+    s1 AS (SELECT x, y, z, pair FROM s0 UNION SELECT x + dx, y + dy, z + dz, pair FROM s0, {SIX_SQL} s),
+    s2 AS (SELECT a.x, a.y, a.z, a.pair FROM s1 a, {SIX_SQL} s JOIN s1 b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz AND b.pair = a.pair GROUP BY a.x, a.y, a.z, a.pair HAVING count(*) = 6),
+    s3 AS (SELECT x, y, z, pair FROM s2 UNION SELECT x + dx, y + dy, z + dz, pair FROM s2, {SIX_SQL} s),
+    filled AS (SELECT x, y, z, pair FROM s0 UNION ALL SELECT x, y, z, min(pair) FROM s3 WHERE NOT EXISTS (SELECT 1 FROM s0 WHERE s0.x = s3.x AND s0.y = s3.y AND s0.z = s3.z) GROUP BY x, y, z)"""
+LO_HI = "CAST(floor(pair / 4294967296) AS BIGINT) AS id_lo, CAST(pair % 4294967296 AS BIGINT) AS id_hi"
+IN_VOLUME = "x BETWEEN 0 AND (SELECT CAST(floor(max(l_orderkey) / 15000) AS BIGINT) * 25 + 24 FROM lineitem) AND y BETWEEN 0 AND 39 AND z BETWEEN 0 AND 7"
 
-    contacts = V.contact_voxels(_vox(spark, d), "sv_id").withColumn("label", F.col("id_lo") * 1000 + F.col("id_hi"))
-    full = B.map_blocks(B.to_blocks(contacts, "label", SIZE, _shape(_vox(spark, d))), lambda a: B.fill_contacts(a, 1, 1), 3, SIZE)
-    return B.to_voxels(full, SIZE).groupBy("label").agg(F.count("*").alias("n"))
+
+@query(f"WITH {FILLED} SELECT {LO_HI}, count(*) AS n FROM filled WHERE {IN_VOLUME} GROUP BY pair")
+def v17_fill_contacts(spark, d):
+    """Places that the table lacks are background here, and are filled too."""
+    return K.filled_sizes(_label_blocks(spark, d), SIZE, closing=1, dilation=1)
 
 
 @query(f"""WITH m AS (SELECT x, y, z FROM voxels WHERE round(p, 6) > 0.56), g AS (SELECT DISTINCT x + dx AS x, y + dy AS y, z + dz AS z FROM m, {SIX_SQL} s UNION SELECT x, y, z FROM m),
     dil AS (SELECT x, y, z FROM g WHERE {INSIDE}), c AS (SELECT dil.x, dil.y, dil.z, count(*) AS n FROM dil, {SIX_SQL} s JOIN dil o ON o.x = dil.x + dx AND o.y = dil.y + dy AND o.z = dil.z + dz GROUP BY dil.x, dil.y, dil.z)
     SELECT x, y, z FROM c WHERE n = 6""")
 def v22_morphology(spark, d):
-    from voxloom.operators import blocks as B
-
-    shape = _shape(_vox(spark, d))
+    shape = _shape(spark, d)
     closed = B.morphology(B.to_blocks(_mask(spark, d, 0.56), "on", SIZE, shape), [("closing", 1)], SIZE, shape)
     # the closing of what lies in blocks; the volume's faces are eroded like any other
     return B.to_voxels(closed, SIZE).select("x", "y", "z")
@@ -360,37 +373,29 @@ OBJECTS = """m AS (SELECT x, y, z, x * 10000 + y * 100 + z AS id, {0} AS b FROM
 
 @query(f"WITH RECURSIVE {OBJECTS.format('block_x * 1000 + block_y')}, s AS (SELECT b, label, count(*) AS n FROM m JOIN k USING (id) GROUP BY b, label) SELECT n AS size, count(*) AS n_objects FROM s GROUP BY n")
 def v23_label_blocks(spark, d):
-    from voxloom.operators import blocks as B
-
-    made = B.map_blocks(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, _shape(_vox(spark, d))), lambda a: B.label_components(a != 0), 0, SIZE)
+    made = B.map_blocks(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, _shape(spark, d)), lambda a: B.label_components(a != 0), 0, SIZE)
     sizes = B.to_voxels(made, SIZE).groupBy("bx", "by", "bz", "label").agg(F.count("*").alias("size"))
     return sizes.groupBy("size").agg(F.count("*").alias("n_objects"))
 
 
 @query(f"WITH RECURSIVE {OBJECTS.format('1')}, s AS (SELECT label, count(*) AS n FROM m JOIN k USING (id) GROUP BY label) SELECT n AS size, count(*) AS n_objects FROM s GROUP BY n")
 def v28_instance_segmentation(spark, d):
-    from voxloom.operators import blocks as B
-
-    vox, _ = B.instance_segmentation(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, _shape(_vox(spark, d))), SIZE)
+    vox, _ = B.instance_segmentation(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, _shape(spark, d)), SIZE)
     sizes = vox.groupBy("label").agg(F.count("*").alias("size"))
     return sizes.groupBy("size").agg(F.count("*").alias("n_objects"))
 
 
 @query(f"SELECT v.x, v.y, v.z, CAST(sum(o.sv_id) + max(v.sv_id) AS BIGINT) AS label FROM voxels v, {SIX_SQL} s JOIN voxels o ON o.x = v.x + dx AND o.y = v.y + dy AND o.z = v.z + dz GROUP BY v.x, v.y, v.z HAVING sum(o.sv_id) + max(v.sv_id) <> 0")
 def u1_map_blocks(spark, d):
-    from voxloom.operators import blocks as B
-
-    total = B.map_blocks(B.to_blocks(_vox(spark, d), "sv_id", SIZE, _shape(_vox(spark, d))), lambda a: a + sum(B.shifted(a, k) for k in V.SIX), 1, SIZE)
+    total = B.map_blocks(B.to_blocks(_vox(spark, d), "sv_id", SIZE, _shape(spark, d)), lambda a: a + sum(B.shifted(a, k) for k in V.SIX), 1, SIZE)
     vox = _vox(spark, d).select("x", "y", "z")
     return B.to_voxels(total, SIZE).select("x", "y", "z", "label").join(vox, ["x", "y", "z"], "left_semi")
 
 
-@query(f"WITH {CONTACT}, j AS (SELECT c.*, sj, sym, asym FROM contact c JOIN voxels USING (x, y, z)) SELECT id_lo, id_hi, count(*) AS cs_size, CAST(sum(sj) AS BIGINT) AS syn_size, CAST(sum(sj * sym) AS BIGINT) AS n_sym, CAST(sum(sj * asym) AS BIGINT) AS n_asym FROM j GROUP BY id_lo, id_hi HAVING count(*) >= 10")
+@query(f"""WITH {FILLED}, j AS (SELECT x, y, z, pair, sj, sym, asym FROM filled JOIN voxels USING (x, y, z)) SELECT {LO_HI}, count(*) AS cs_size, CAST(sum(sj) AS BIGINT) AS syn_size, CAST(sum(sj * sym) AS BIGINT) AS n_sym, CAST(sum(sj * asym) AS BIGINT) AS n_asym,
+    {BOX.replace("AS ", "AS cs_")}, {", ".join(f"{f}(CASE WHEN sj = 1 THEN {c} END){p} AS syn_{f}_{c}" for f, p in (("min", ""), ("max", " + 1")) for c in "xyz")} FROM j GROUP BY pair HAVING count(*) >= 10""")
 def c1_contact_extraction(spark, d):
-    vox = _vox(spark, d)
-    contacts = V.contact_voxels(vox, "sv_id").join(vox.select("x", "y", "z", "sj", "sym", "asym"), ["x", "y", "z"])
-    props = V.contact_synapse_properties(contacts, "sj", "sym", "asym").where("cs_size >= 10")
-    return props.select("id_lo", "id_hi", "cs_size", "syn_size", "n_sym", "n_asym")
+    return K.contact_sites(_label_blocks(spark, d, "sj", "sym", "asym"), ["sj", "sym", "asym"], SIZE, closing=1, dilation=1, least=10)
 
 
 DENSE = """lim AS (SELECT CAST(floor(max(x) / 25) AS BIGINT) * 25 + 25 AS m FROM voxels),
@@ -399,10 +404,8 @@ DENSE = """lim AS (SELECT CAST(floor(max(x) / 25) AS BIGINT) * 25 + 25 AS m FROM
 
 def _fixed(spark, d):
     """The probability map in millionths, as blocks, and the volume's shape."""
-    from voxloom.operators import blocks as B
-
     vox = _vox(spark, d)
-    shape = _shape(vox)
+    shape = _shape(spark, d)
     return B.to_blocks(vox.withColumn("fixed", F.round(F.col("p") * 1000000).cast("long")), "fixed", SIZE, shape), shape
 
 
@@ -416,8 +419,6 @@ def _fixed(spark, d):
     SELECT x, y, z, CAST(round(p) AS BIGINT) AS p FROM sz WHERE round(p) <> 0""")
 def v21_smoothed(spark, d):
     """The probability map smoothed before the threshold, in millionths."""
-    from voxloom.operators import blocks as B
-
     blocks, shape = _fixed(spark, d)
     return B.to_voxels(B.gaussian(blocks, (1.0, 1.0, 1.0), SIZE, shape, 2.0), SIZE, "p").select("x", "y", "z", "p")
 
@@ -427,9 +428,7 @@ def v21_smoothed(spark, d):
         AND pow(o.x - b.x, 2) + pow(o.y - b.y, 2) + pow(2 * (o.z - b.z), 2) < 36 GROUP BY o.x, o.y, o.z""")
 def v28_distances(spark, d):
     """Squared distances to the background of the thresholded map, up to six units; a step along z counts two."""
-    from voxloom.operators import blocks as B
-
-    shape = _shape(_vox(spark, d))
+    shape = _shape(spark, d)
     mask = _vox(spark, d).where(F.round(F.col("p") * 1000000) > 450000).withColumn("on", F.lit(1))
     return B.to_voxels(B.distance_transform(B.to_blocks(mask, "on", SIZE, shape), SIZE, shape, 6, (1, 1, 2)), SIZE, "d2").select("x", "y", "z", "d2")
 
@@ -437,9 +436,7 @@ def v28_distances(spark, d):
 @query()
 def v28_watershed(spark, d):
     """The thresholded map parted by seeds where it is widest, flooded down the distances; held against brute force in the tests."""
-    from voxloom.operators import blocks as B
-
-    shape = _shape(_vox(spark, d))
+    shape = _shape(spark, d)
     mask = _vox(spark, d).where(F.round(F.col("p") * 1000000) > 450000).withColumn("on", F.lit(1))
     heights = B.distance_transform(B.to_blocks(mask, "on", SIZE, shape), SIZE, shape, 6)
     wide = B.to_voxels(heights, SIZE, "d2").where("d2 >= 2").withColumn("on", F.lit(1))
