@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import connected_components
+from voxloom.operators.forest import Sets, spanning_forest
 
 XYZ = ("x", "y", "z")
 BOX = [f"{e}_{c}" for e in ("min", "max") for c in XYZ]
@@ -190,36 +191,9 @@ def dfs_chunks(edges: DataFrame, size: int, context: int = 0) -> DataFrame:
     return edges.groupBy("component").applyInPandas(run, "component long, chunk int, node long, core boolean")
 
 
-class Sets:
-    """Union by smallest member."""
-
-    def __init__(self):
-        self.parent: dict = {}
-
-    def root(self, a):
-        self.parent.setdefault(a, a)
-        while self.parent[a] != a:
-            self.parent[a] = self.parent[self.parent[a]]
-            a = self.parent[a]
-        return a
-
-    def join(self, a, b) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
-
-
 def spanning_tree(edges: DataFrame, key: str = "cell_id") -> DataFrame:
-    """Minimum spanning forest of each group by weight, ties by (src, dst)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = Sets()
-        keep = [sets.join(a, b) for a, b in zip(*(pdf.sort_values(["weight", "src", "dst"])[c].tolist() for c in ("src", "dst")))]
-        return pdf.sort_values(["weight", "src", "dst"])[keep][[key, "src", "dst", "weight"]]
-
-    return edges.select(key, "src", "dst", "weight").groupBy(key).applyInPandas(run, f"{key} long, src long, dst long, weight double")
+    """Minimum spanning forest of each group by weight, ties by (src, dst); groups may be of any size."""
+    return spanning_forest(edges, key, ["weight", "src", "dst"]).select(key, "src", "dst", "weight")
 
 
 def stitch(nodes: DataFrame, edges: DataFrame, key: str = "cell_id") -> DataFrame:

@@ -36,6 +36,37 @@ def pairs_within(a: DataFrame, b: DataFrame, radius: float, strict: bool = False
     return both.where(F.col("dist") < radius if strict else F.col("dist") <= radius)
 
 
+def nearest_of_set(
+    sets: DataFrame, points: DataFrame, radius: float, fine: int = 1, members: DataFrame | None = None, on: list[str] | None = None, unless: Column | None = None
+) -> DataFrame:
+    """``(set_id, on..., id, dist)``: for each set of places and each point less than ``radius`` from one of them, the least distance.
+
+    ``sets`` has ``set_id, x, y, z`` with a row a place, ``points`` ``id, x, y, z``, the columns ``on`` and any that
+    ``unless`` needs. ``members(set_id, on..., more)`` gives a set the values of ``on`` at which it looks for points, a row each.
+
+    The places of a set that lie in one box, ``fine`` boxes along a grid cell of the radius' size, become one array;
+    points look into the 27 cells round theirs. A pair of a box and a point is one row with one distance, and is
+    left out before its places are looked at if the box itself is too far. What a row holds is bounded by the places
+    that fit in a box.
+    """
+    on = on or []
+    edge = float(radius) / fine
+    box = [F.floor(F.col(c) / edge).cast("long").alias(f"b{c}") for c in XYZ]
+    boxes = sets.select("set_id", *box, *XYZ).groupBy("set_id", *[f"b{c}" for c in XYZ]).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in XYZ])).alias("places"))
+    boxes = boxes.withColumns({f"g{c}": F.floor(F.col(f"b{c}") / fine).cast("long") for c in XYZ})
+    boxes = boxes if members is None else boxes.join(members, "set_id")
+    seen = points.withColumns({f"g{c}": F.floor(F.col(c) / float(radius)).cast("long") for c in XYZ})
+    for c in XYZ:
+        seen = seen.withColumn(f"g{c}", F.explode(F.array(*[F.col(f"g{c}") + k for k in (-1, 0, 1)])))
+    pairs = boxes.join(seen, on + [f"g{c}" for c in XYZ])
+    outside = lambda c: F.greatest(F.col(f"b{c}") * edge - F.col(c), F.col(c) - (F.col(f"b{c}") + 1) * edge, F.lit(0.0))
+    pairs = pairs.where(sum(outside(c) ** 2 for c in XYZ) < radius**2 * (1 + 1e-9))
+    pairs = pairs if unless is None else pairs.where(~unless)
+    least = F.array_min(F.transform("places", lambda p: sum((p[c] - F.col(c)) ** 2 for c in XYZ)))
+    near = pairs.select("set_id", *on, "id", F.sqrt(least).alias("dist")).where(F.col("dist") < radius)
+    return near.groupBy("set_id", *on, "id").agg(F.min("dist").alias("dist"))
+
+
 def radius_graph(points: DataFrame, radius: float, on: list[str] | None = None, scale: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Edges ``(on..., src, dst, weight)`` between points at most ``radius`` apart, src < dst."""
     near = pairs_within(points, points, radius, on=on, scale=scale).where("id_a < id_b")

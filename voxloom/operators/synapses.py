@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.components import connected_components
-from voxloom.operators.spatial import k_nearest_anywhere, pairs_within
+from voxloom.operators.spatial import k_nearest_anywhere, nearest_of_set, pairs_within
 
 XYZ = ("x", "y", "z")
 PAIR = ["cell_lo", "cell_hi"]
@@ -83,26 +83,25 @@ def sign(sym: Column, asym: Column, limit: float = SYM_RATIO) -> tuple[Column, C
     return ratio, F.when(ratio > limit, -1).otherwise(1)
 
 
-def proximity(synapses: DataFrame, objects: DataFrame, vertices: DataFrame, prefilter: float, near: float) -> DataFrame:
+def proximity(synapses: DataFrame, voxels: DataFrame, objects: DataFrame, vertices: DataFrame, prefilter: float, near: float, fine: int = 2) -> DataFrame:
     """Per synapse and partner: close objects, voxels they contribute, smallest distance (1e12 without any).
 
-    ``synapses`` has syn_id, cell_id (the partner) and a coordinate; objects are
-    of the same cell. A coarse join on coordinates picks objects, a fine one on
-    their vertices measures. An object's voxels count by the share of its
-    vertices that are close. The bound is strict.
+    ``synapses`` has syn_id, cell_id (a row a partner) and the representative coordinate, ``voxels(syn_id, x, y, z)``
+    all their voxels; objects are of the same cell, and within ``prefilter`` of the representative. A vertex is close
+    if the nearest voxel of the synapse is less than ``near`` away; an object's voxels count by the share of its
+    vertices that are close. A synapse without voxels has no close vertex.
     """
-    left = synapses.withColumn("id", F.struct("syn_id", "cell_id"))
-    close = pairs_within(left, objects.withColumn("id", F.col("obj_id")), prefilter, on=["cell_id"]).select("id_a", F.col("id_b").alias("obj_id")).distinct()
-    verts = vertices.groupBy("obj_id").agg(F.count("*").alias("n_vertices"))
-    pts = close.join(vertices, "obj_id").select("id_a", "obj_id", *XYZ)
-    at = left.select(F.col("id").alias("id_a"), *[F.col(c).alias(f"s{c}") for c in XYZ])
-    dist = F.sqrt(sum((F.col(c) - F.col(f"s{c}")) ** 2 for c in XYZ))
-    hit = pts.join(at, "id_a").withColumn("d", dist).where(F.col("d") < near)
-    per = hit.groupBy("id_a", "obj_id").agg(F.count("*").alias("n_close"), F.min("d").alias("d"))
-    sized = per.join(verts, "obj_id").join(objects.select("obj_id", "size"), "obj_id")
-    got = sized.groupBy("id_a").agg(F.count("*").alias("n_objects"), F.sum(F.col("n_close") / F.col("n_vertices") * F.col("size")).alias("voxels"), F.min("d").alias("min_dist"))
-    out = left.select("syn_id", "cell_id", F.col("id").alias("id_a")).join(got, "id_a", "left")
-    return out.select(
+    measured = objects.select("obj_id", "cell_id", *[F.col(c).alias(f"o{c}") for c in XYZ])
+    points = vertices.join(measured, "obj_id").withColumn("id", F.struct("obj_id", *XYZ))
+    rep = synapses.select("syn_id", "cell_id", *[F.col(c).alias(f"s{c}") for c in XYZ])
+    far = F.sqrt(sum((F.col(f"o{c}") - F.col(f"s{c}")) ** 2 for c in XYZ)) > prefilter
+    best = nearest_of_set(voxels.withColumnRenamed("syn_id", "set_id"), points, near, fine, members=rep.withColumnRenamed("syn_id", "set_id"), on=["cell_id"], unless=far)
+    counted = points.groupBy("obj_id").agg(F.count("*").alias("n_vertices"))
+    repeats = points.groupBy("obj_id", "id").agg(F.count("*").alias("n"))  # vertices on one place count each
+    per = best.select("set_id", "cell_id", F.col("id.obj_id").alias("obj_id"), "id", "dist").join(repeats, ["obj_id", "id"]).groupBy("set_id", "cell_id", "obj_id").agg(F.sum("n").alias("n_close"), F.min("dist").alias("d"))
+    sized = per.join(counted, "obj_id").join(objects.select("obj_id", "size"), "obj_id")
+    got = sized.groupBy(F.col("set_id").alias("syn_id"), "cell_id").agg(F.count_if(F.col("size") > 0).alias("n_objects"), F.sum(F.col("n_close") / F.col("n_vertices") * F.col("size")).alias("voxels"), F.min("d").alias("min_dist"))
+    return synapses.select("syn_id", "cell_id").join(got, ["syn_id", "cell_id"], "left").select(
         "syn_id", "cell_id", F.coalesce("n_objects", F.lit(0)).alias("n_objects"), F.coalesce("voxels", F.lit(0.0)).alias("voxels"), F.coalesce("min_dist", F.lit(1e12)).alias("min_dist")
     )
 

@@ -97,24 +97,39 @@ def c11_cell_contacts(spark, d):
     return _clustered(spark, d).groupBy("cell_lo", "cell_hi", "component").agg(F.count("*").alias("size"))
 
 
-PROX = """s AS (SELECT syn_id, CAST(floor(p / 100) AS BIGINT) AS cell_id, p % 120 AS x, (syn_id // 10) % 50 + syn_id % 7 AS y, syn_id % 10 * 5 AS z FROM (SELECT l_orderkey * 10 + l_linenumber AS syn_id, min(l_partkey) AS p FROM lineitem GROUP BY 1) q),
+#: A synapse an order: a run of eight voxels for each of its lines; its partners are two cells of a hundred parts.
+PROX = """s0 AS (SELECT l_orderkey AS syn_id, CAST(floor(min(l_partkey) / 100) AS BIGINT) AS c, l_orderkey % 120 AS x, CAST(floor(l_orderkey / 8) AS BIGINT) % 50 AS y, l_orderkey % 37 AS z FROM lineitem GROUP BY l_orderkey),
+    s AS (SELECT syn_id, c + k AS cell_id, x, y, z FROM s0, (SELECT unnest([0, 1]) AS k) u),
+    vx AS (SELECT DISTINCT syn_id, x + k AS x, y + l_linenumber AS y, z FROM s0 JOIN lineitem ON syn_id = l_orderkey, (SELECT unnest(range(8)) AS k) u),
     o AS (SELECT p_partkey AS obj_id, CAST(floor(p_partkey / 100) AS BIGINT) AS cell_id, 20 + p_partkey % 400 AS size, p_retailprice / 10 AS x, p_size AS y, p_partkey % 37 AS z FROM part),
-    v AS (SELECT obj_id, x + k AS x, y, z FROM o, (SELECT unnest([0, 2, 4]) AS k) u),
-    near AS (SELECT s.syn_id, s.cell_id, o.obj_id, o.size, count(*) AS n, min(sqrt(pow(s.x - v.x, 2) + pow(s.y - v.y, 2) + pow(s.z - v.z, 2))) AS d FROM s JOIN o ON s.cell_id = o.cell_id AND sqrt(pow(s.x - o.x, 2) + pow(s.y - o.y, 2) + pow(s.z - o.z, 2)) <= 30 JOIN v ON v.obj_id = o.obj_id
-        WHERE sqrt(pow(s.x - v.x, 2) + pow(s.y - v.y, 2) + pow(s.z - v.z, 2)) < 10.5 GROUP BY s.syn_id, s.cell_id, o.obj_id, o.size),
+    v AS (SELECT obj_id, k, x + k AS x, y, z FROM o, (SELECT unnest([0, 2, 4]) AS k) u),
+    close AS (SELECT s.syn_id, s.cell_id, o.obj_id, o.size, v.k, v.x, v.y, v.z FROM s JOIN o ON s.cell_id = o.cell_id JOIN v ON v.obj_id = o.obj_id
+        WHERE sqrt(pow(s.x + 3 - o.x, 2) + pow(s.y + 4 - o.y, 2) + pow(s.z - o.z, 2)) <= 30),
+    vert AS (SELECT c.syn_id, c.cell_id, obj_id, size, k, min(sqrt(pow(vx.x - c.x, 2) + pow(vx.y - c.y, 2) + pow(vx.z - c.z, 2))) AS d FROM close c JOIN vx ON vx.syn_id = c.syn_id GROUP BY ALL),
+    near AS (SELECT syn_id, cell_id, obj_id, size, count(*) AS n, min(d) AS d FROM vert WHERE d < 10.5 GROUP BY ALL),
     f AS (SELECT s.syn_id, s.cell_id, count(obj_id) AS n_objects, coalesce(sum(n / 3.0 * size), 0) AS voxels, coalesce(min(d), 1e12) AS min_dist FROM s LEFT JOIN near ON s.syn_id = near.syn_id AND s.cell_id = near.cell_id GROUP BY s.syn_id, s.cell_id)"""
 
 
+def _synapse_voxels(spark, d):
+    """Synapses with both partners, and their voxels."""
+    from voxloom.session import read_table
+
+    lines = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("syn_id"), "l_linenumber", "l_partkey")
+    place = ["syn_id % 120 AS x", "(syn_id div 8) % 50 AS y", "syn_id % 37 AS z"]
+    syn = lines.groupBy("syn_id").agg(F.min("l_partkey").alias("p")).selectExpr("syn_id", "explode(array(p div 100, p div 100 + 1)) AS cell_id", *place)
+    rep = syn.select("syn_id", "cell_id", (F.col("x") + 3).alias("x"), (F.col("y") + 4).alias("y"), "z")
+    run = lines.select("syn_id", "l_linenumber").distinct().selectExpr("syn_id", "l_linenumber", "explode(sequence(0, 7)) AS k", *place)
+    return rep, run.selectExpr("syn_id", "x + k AS x", "y + l_linenumber AS y", "z")
+
+
 def _proximity(spark, d):
     from voxloom.session import read_table
 
-    li = read_table(spark, d, "lineitem")
-    one = li.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("syn_id")).agg(F.min("l_partkey").alias("p"))
-    syn = one.selectExpr("syn_id", "p div 100 AS cell_id", "p % 120 AS x", "(syn_id div 10) % 50 + syn_id % 7 AS y", "syn_id % 10 * 5 AS z")
+    syn, voxels = _synapse_voxels(spark, d)
     p = read_table(spark, d, "part")
     objs = p.select(F.col("p_partkey").alias("obj_id"), F.floor(F.col("p_partkey") / 100).alias("cell_id"), (F.col("p_partkey") % 400 + 20).alias("size"), (F.col("p_retailprice") / 10).alias("x"), F.col("p_size").alias("y"), (F.col("p_partkey") % 37).alias("z"))
     verts = objs.select("obj_id", F.explode(F.array(*map(F.lit, (0, 2, 4)))).alias("k"), "x", "y", "z").select("obj_id", (F.col("x") + F.col("k")).alias("x"), "y", "z")
-    return C.proximity(syn, objs, verts, 30.0, 10.5)
+    return C.proximity(syn, voxels, objs, verts, 30.0, 10.5)
 
 
 @query(f"WITH {PROX} SELECT syn_id, cell_id, n_objects, round(voxels, 6) AS voxels, round(min_dist, 6) AS min_dist FROM f")
@@ -122,12 +137,12 @@ def c12_proximity(spark, d):
     return _proximity(spark, d).select("syn_id", "cell_id", "n_objects", r6("voxels").alias("voxels"), r6("min_dist").alias("min_dist"))
 
 
-@query(f"WITH {PROX} SELECT syn_id, cell_id AS cell_0, cell_id + 1 AS cell_1, n_objects AS n_objects_0, CAST(NULL AS BIGINT) AS n_objects_1, round(voxels, 6) AS voxels_0, CAST(NULL AS DOUBLE) AS voxels_1 FROM f")
+@query(f"WITH {PROX} SELECT syn_id, c AS cell_0, c + 1 AS cell_1, a.n_objects AS n_objects_0, b.n_objects AS n_objects_1, round(a.voxels, 6) AS voxels_0, round(b.voxels, 6) AS voxels_1 FROM s0 JOIN f a USING (syn_id) JOIN f b USING (syn_id) WHERE a.cell_id = c AND b.cell_id = c + 1")
 def c13_pivot_partners(spark, d):
     p = _proximity(spark, d)
-    syn = p.select("syn_id", F.col("cell_id").alias("cell_0"), (F.col("cell_id") + 1).alias("cell_1"))
-    own = C.pivot_partners(p, syn, ["n_objects", "voxels"])
-    return own.withColumn("voxels_0", r6("voxels_0"))
+    both = p.groupBy("syn_id").agg(F.min("cell_id").alias("cell_0"), F.max("cell_id").alias("cell_1"))
+    own = C.pivot_partners(p, both, ["n_objects", "voxels"])
+    return own.withColumns({"voxels_0": r6("voxels_0"), "voxels_1": r6("voxels_1")})
 
 
 FEATURES = ["mesh_area", "syn_sign", "ax_1", "ax_2", "sp_1", "sp_2", "x", "y"]
