@@ -10,7 +10,6 @@ wider than a block.
 
 from __future__ import annotations
 
-import heapq
 import itertools
 from collections.abc import Callable
 
@@ -20,8 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators import voxels as V
-from voxloom.operators.components import connected_components
-from voxloom.session import cut
 
 KEY = ["bx", "by", "bz"]
 SCHEMA = "bx long, by long, bz long, nx int, ny int, nz int, data binary"
@@ -104,6 +101,9 @@ def with_halo(blocks: DataFrame, halo: int, size: tuple[int, int, int], schema:
             a[tuple(slice(p, p + k) for p, k in zip(at, (r.nx, r.ny, r.nz)))] = array_of(r)
         return fn(a, o)
 
+    if halo == 0:  # nothing to send
+        alone = lambda frames: (fn(array_of(r), r) for f in frames for r in f.itertuples())
+        return blocks.mapInPandas(alone, schema)
     more = "".join(f", {e.name} {e.dataType.simpleString()}" for e in extra)
     sent = blocks.select(*KEY, "nx", "ny", "nz", "data", *[e.name for e in extra]).mapInPandas(slabs, "bx long, by long, bz long, own boolean, x0 long, y0 long, z0 long, nx int, ny int, nz int, data binary" + more)
     return sent.groupBy(*KEY).applyInPandas(run, schema)
@@ -277,79 +277,6 @@ def distance_transform(blocks: DataFrame, size: tuple[int, int, int], shape: tup
     return map_blocks(blocks, fn, max(-(-most // s) for s in scale), size, shape=shape)
 
 
-def flood(seeds: np.ndarray, height: np.ndarray) -> np.ndarray:
-    """Seeded watershed: from the seeds over all voxels with a height above 0, the highest first.
-
-    Of equal heights the voxel reached first goes first, then the smaller label, then scan order.
-    """
-    out, heap, order = seeds.copy(), [], 0
-    for p in zip(*(i.tolist() for i in np.nonzero(seeds))):
-        heapq.heappush(heap, (-int(height[p]), 0, int(seeds[p]), p))
-    while heap:
-        _, _, label, p = heapq.heappop(heap)
-        for d in V.SIX:
-            q = (p[0] + d[0], p[1] + d[1], p[2] + d[2])
-            if all(0 <= i < n for i, n in zip(q, out.shape)) and not out[q] and height[q] > 0:
-                out[q] = label
-                order += 1
-                heapq.heappush(heap, (-int(height[q]), order, label, q))
-    return out
-
-
-def watershed(seeds: DataFrame, heights: DataFrame, halo: int, size: tuple[int, int, int]) -> DataFrame:
-    """Touching objects parted by seeds: each block floods itself and ``halo`` voxels round it, and keeps its own part.
-
-    A block's result is that of the whole volume where no object that reaches into it
-    lies farther than ``halo`` outside it. Labels below 2**31, heights below 2**32.
-    """
-
-    def both(frames):
-        for f in frames:
-            made = [(np.frombuffer(s, "<i8") << 32 | np.frombuffer(h, "<i8")).tobytes() for s, h in zip(f["data"], f["height"])]
-            yield f[[*KEY, "nx", "ny", "nz"]].assign(data=made)
-
-    def fn(a: np.ndarray) -> np.ndarray:
-        return flood(a >> 32, a & 0xFFFFFFFF)
-
-    joined = seeds.join(heights.select(*KEY, F.col("data").alias("height")), KEY)
-    return map_blocks(joined.mapInPandas(both, SCHEMA), fn, halo, size)
-
-
-def instance_segmentation(blocks: DataFrame, size: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
-    """Components of a binary volume over all blocks: ``(x, y, z, label)`` and the merge list.
-
-    Each block labels itself and one layer of the blocks after it; labels that
-    coincide there are one object, and components over those pairs join them.
-    Block-local labels are made unique by the block's number, so no running sum is needed.
-    """
-    local = map_blocks(blocks, _inner_labels, 1, size, keep=(0, 1))
-    rows = to_voxels(local, size).withColumn("block", (F.col("bx") * 1048576 + F.col("by")) * 1048576 + F.col("bz"))
-    unique = cut(rows.withColumn("label", F.struct("block", "label")).select("block", "x", "y", "z", "label"))
-    pairs = _coinciding(unique)
-    merge = connected_components(pairs.unionByName(unique.select(F.col("label").alias("src"), F.col("label").alias("dst")).distinct()))
-    owned = unique
-    for c, k, s in zip(AXES, KEY, size):
-        owned = owned.where(F.floor(F.col(c) / s).cast("long") == _block_part(k))
-    return owned.join(merge.select(F.col("node").alias("label"), "component"), "label").select("x", "y", "z", F.col("component").alias("label")), merge
-
-
-def _block_part(k: str):
-    b = F.col("block")
-    return {"bz": b % 1048576, "by": F.floor(b / 1048576).cast("long") % 1048576, "bx": F.floor(b / 1048576 / 1048576).cast("long")}[k]
-
-
-def _inner_labels(a: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(a)
-    out[1:, 1:, 1:] = label_components(a[1:, 1:, 1:] != 0)
-    return out
-
-
-def _coinciding(unique: DataFrame) -> DataFrame:
-    """Pairs of labels of different blocks on one voxel; one aggregation per voxel, no join of a table with itself."""
-    per = unique.groupBy("x", "y", "z").agg(F.sort_array(F.collect_set("label")).alias("l")).where(F.size("l") > 1)
-    return per.select(F.element_at("l", 1).alias("src"), F.explode(F.slice("l", 2, 8)).alias("dst")).distinct()
-
-
 def fused_partials(cells: DataFrame, organelles: DataFrame, size: tuple[int, int, int]) -> DataFrame:
     """V4, block form: partial rows ``(kind, id, id2, size, box, first voxel)`` of each block, merged by one aggregation.
 

@@ -193,8 +193,8 @@ def g18_radius_graph(spark, d):
 @query("""WITH RECURSIVE w AS (SELECT CAST(floor(src / 16) AS BIGINT) AS cell_id, src, dst, CAST((src * 7919 + dst * 104729) % 97 AS DOUBLE) AS weight FROM edges WHERE src <> dst),
     r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY weight, src, dst) AS n FROM w),
     sym AS (SELECT cell_id, src AS u, dst AS v, n FROM r UNION ALL SELECT cell_id, dst, src, n FROM r),
-    reach(cell_id, n, goal, at) AS (SELECT cell_id, n, dst, src FROM r UNION SELECT reach.cell_id, reach.n, goal, v FROM reach JOIN sym ON sym.cell_id = reach.cell_id AND u = at AND sym.n < reach.n)
-    SELECT cell_id, src, dst, weight FROM r WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.cell_id = r.cell_id AND reach.n = r.n AND at = goal)""")
+    reach(cell_id, n, goal, here) AS (SELECT cell_id, n, dst, src FROM r UNION SELECT reach.cell_id, reach.n, goal, v FROM reach JOIN sym ON sym.cell_id = reach.cell_id AND u = here AND sym.n < reach.n)
+    SELECT cell_id, src, dst, weight FROM r WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.cell_id = r.cell_id AND reach.n = r.n AND here = goal)""")
 def g20_spanning_tree(spark, d):
     e = view(spark, d, "edges").selectExpr("src div 16 AS cell_id", "src", "dst", "CAST((src * 7919 + dst * 104729) % 97 AS DOUBLE) AS weight")
     return G.spanning_tree(e)

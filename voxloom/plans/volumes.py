@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from voxloom.functions.modes import r6
 from voxloom.operators import blocks as B
 from voxloom.operators import contacts as K
+from voxloom.operators import instances as I
 from voxloom.operators import voxels as V
 from voxloom.operators.components import connected_components
 from voxloom.plans.registry import query
 from voxloom.plans.views import view
-from voxloom.session import read_table
+from voxloom.session import cut, read_table
 
 BOX = "min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) + 1 AS max_x, max(y) + 1 AS max_y, max(z) + 1 AS max_z"
 FIRST = "min(x * 1000000 + y * 1000 + z)"
@@ -380,9 +381,9 @@ def v23_label_blocks(spark, d):
 
 @query(f"WITH RECURSIVE {OBJECTS.format('1')}, s AS (SELECT label, count(*) AS n FROM m JOIN k USING (id) GROUP BY label) SELECT n AS size, count(*) AS n_objects FROM s GROUP BY n")
 def v28_instance_segmentation(spark, d):
-    vox, _ = B.instance_segmentation(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, _shape(spark, d)), SIZE)
-    sizes = vox.groupBy("label").agg(F.count("*").alias("size"))
-    return sizes.groupBy("size").agg(F.count("*").alias("n_objects"))
+    shape = _shape(spark, d)
+    labels, _ = I.instance_segmentation(B.to_blocks(_mask(spark, d, 0.6), "on", SIZE, shape), SIZE, shape)
+    return I.label_sizes(labels).groupBy(F.col("n").alias("size")).agg(F.count("*").alias("n_objects"))
 
 
 @query(f"SELECT v.x, v.y, v.z, CAST(sum(o.sv_id) + max(v.sv_id) AS BIGINT) AS label FROM voxels v, {SIX_SQL} s JOIN voxels o ON o.x = v.x + dx AND o.y = v.y + dy AND o.z = v.z + dz GROUP BY v.x, v.y, v.z HAVING sum(o.sv_id) + max(v.sv_id) <> 0")
@@ -439,8 +440,6 @@ def v28_watershed(spark, d):
     shape = _shape(spark, d)
     mask = _vox(spark, d).where(F.round(F.col("p") * 1000000) > 450000).withColumn("on", F.lit(1))
     heights = B.distance_transform(B.to_blocks(mask, "on", SIZE, shape), SIZE, shape, 6)
-    wide = B.to_voxels(heights, SIZE, "d2").where("d2 >= 2").withColumn("on", F.lit(1))
-    objects, _ = B.instance_segmentation(B.to_blocks(wide, "on", SIZE, shape), SIZE)
-    first = objects.groupBy("label").agg(F.min(F.struct("x", "y", "z")).alias("p")).select("label", ((F.col("p.x") * 40 + F.col("p.y")) * 8 + F.col("p.z") + 1).alias("seed"))
-    seeds = B.to_blocks(objects.join(first, "label"), "seed", SIZE, shape)
-    return B.to_voxels(B.watershed(seeds, heights, 5, SIZE), SIZE).select("x", "y", "z", "label")
+    heights = cut(heights)
+    seeds, _ = I.instance_segmentation(I.pointwise(heights, lambda a: a >= 2), SIZE, shape)
+    return B.to_voxels(I.watershed(seeds, heights, SIZE, shape), SIZE).select("x", "y", "z", "label")

@@ -69,6 +69,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_in_buckets(df: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`cut` into buckets by ``keys``, as many as there are shuffle partitions: a later join by the keys moves the other side alone."""
+    spark = df.sparkSession
+    name = f"voxloom_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name.replace('_', '-')}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with two columns more that name a row alike in every scan, and their names: its file and its place there.
 
