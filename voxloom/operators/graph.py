@@ -155,42 +155,6 @@ def bfs_order(adj: dict[int, list[int]], start: int, most: int) -> list[int]:
     return queue
 
 
-def bfs_neighbourhoods(edges: DataFrame, most: int) -> DataFrame:
-    """``(component, node, place, member)``, the first ``most`` nodes round each node. ``edges`` has component, src, dst."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj = _adjacency(pdf)
-        rows = [(pdf["component"].iloc[0], n, k, m) for n in sorted(adj) for k, m in enumerate(bfs_order(adj, n, most))]
-        return pd.DataFrame(rows, columns=["component", "node", "place", "member"])
-
-    return edges.groupBy("component").applyInPandas(run, "component long, node long, place int, member long")
-
-
-def dfs_chunks(edges: DataFrame, size: int, context: int = 0) -> DataFrame:
-    """``(component, chunk, node, core)``: chunks of ``size`` nodes in depth-first order with breadth-first context."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj = _adjacency(pdf)
-        order, seen = [], set()
-        for root in sorted(adj):
-            stack = [root]
-            while stack:
-                n = stack.pop()
-                if n in seen:
-                    continue
-                seen.add(n)
-                order.append(n)
-                stack += [m for m in reversed(adj[n]) if m not in seen]
-        rows = []
-        for k, a in enumerate(range(0, len(order), size)):
-            core = order[a : a + size]
-            extra = sorted({m for n in core for m in bfs_order(adj, n, context + 1)} - set(core)) if context else []
-            rows += [(pdf["component"].iloc[0], k, n, True) for n in core] + [(pdf["component"].iloc[0], k, n, False) for n in extra]
-        return pd.DataFrame(rows, columns=["component", "chunk", "node", "core"])
-
-    return edges.groupBy("component").applyInPandas(run, "component long, chunk int, node long, core boolean")
-
-
 def spanning_tree(edges: DataFrame, key: str = "cell_id") -> DataFrame:
     """Minimum spanning forest of each group by weight, ties by (src, dst); groups may be of any size."""
     return spanning_forest(edges, key, ["weight", "src", "dst"]).select(key, "src", "dst", "weight")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.modes import r6
 from voxloom.operators import graph as G
+from voxloom.operators import walks
 from voxloom.operators.components import connected_components
 from voxloom.operators.spatial import nearest_anywhere, nearest_by_window, nearest_in_group, pairs_within, radius_graph
 from voxloom.plans.registry import query
@@ -152,31 +153,42 @@ def g15_merge_nodes(spark, d):
     return G.merge_nodes(rag, nodes, 999999)
 
 
-CHAIN = "SELECT cell_id AS component, src, dst FROM skel_edges"
+#: Components of the edges, their neighbour lists, and the first nodes of a breadth-first walk from each node.
+WALKS = """sym AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+    span(u, w) AS (SELECT a, a FROM sym UNION SELECT u, b FROM span JOIN sym ON w = a), comp AS (SELECT u AS node, min(w) AS component FROM span GROUP BY u),
+    nb AS (SELECT component, a, list(b ORDER BY b) AS l FROM sym JOIN comp ON node = a GROUP BY component, a),
+    walk(component, node, q, i) AS (SELECT component, a, [a], 1 FROM nb
+        UNION ALL SELECT w.component, node, list_concat(q, list_filter(l, lambda x: NOT list_contains(q, x))), i + 1 FROM walk w JOIN nb ON a = q[i] WHERE i <= len(q) AND len(q) < {0}),
+    first AS (SELECT component, node, max_by(q, i) AS q FROM walk GROUP BY component, node),
+    members AS (SELECT component, node, k - 1 AS place, q[k] AS member FROM (SELECT *, unnest(range(1, least(len(q), {0}) + 1)) AS k FROM first) u)"""
 
 
-@query("""WITH c AS (SELECT cell_id, max(dst) AS last FROM skel_edges GROUP BY cell_id),
-    n AS (SELECT cell_id, unnest(range(0, last + 1)) AS node, last FROM c)
-    SELECT cell_id AS component, node, CAST(count(*) AS BIGINT) AS n, CAST(sum(m) AS BIGINT) AS member_sum FROM (
-        SELECT cell_id, node, last, unnest([node, node - 1, node + 1, node - 2, node + 2]) AS m FROM n) u WHERE m BETWEEN 0 AND last GROUP BY cell_id, node""")
-def g16_bfs_neighbourhoods(spark, d):
-    e = view(spark, d, "skel_edges").select(F.col("cell_id").alias("component"), "src", "dst")
-    near = G.bfs_neighbourhoods(e, 5)
-    # at the end of a chain the first five reach further in than two; keep what lies within two steps
-    near = near.where(F.abs(F.col("member") - F.col("node")) <= 2)
-    return near.groupBy("component", "node").agg(F.count("*").alias("n"), F.sum("member").alias("member_sum"))
+def _components(spark, d):
+    e = view(spark, d, "edges").where("src <> dst")
+    comp = connected_components(e).select(F.col("node").alias("src"), "component")
+    return e.join(comp, "src").select("component", "src", "dst")
 
 
-@query("""WITH c AS (SELECT cell_id, max(dst) AS last FROM skel_edges GROUP BY cell_id), n AS (SELECT cell_id, unnest(range(0, last + 1)) AS node, last FROM c),
-    k AS (SELECT cell_id, node, CAST(floor(node / 10) AS INTEGER) AS chunk, last FROM n)
-    SELECT cell_id AS component, chunk, node, true AS core FROM k
-    UNION ALL SELECT DISTINCT cell_id, chunk, m, false FROM (SELECT cell_id, chunk, last, unnest([chunk * 10 - 1, chunk * 10 + 10]) AS m FROM k) u WHERE m BETWEEN 0 AND last""")
+@query(f"WITH RECURSIVE {WALKS.format(7)} SELECT component, node, CAST(place AS INTEGER) AS place, member FROM members")
+def g16_bfs_neighbourhoods(spark, d):
+    return walks.bfs_neighbourhoods(_components(spark, d), 7)
+
+
+@query(f"""WITH RECURSIVE {WALKS.format(3)},
+    r AS (SELECT component, a, b, row_number() OVER (PARTITION BY component ORDER BY a, b) AS n FROM sym JOIN comp ON node = a WHERE a < b),
+    two AS (SELECT component, a, b, n FROM r UNION ALL SELECT component, b, a, n FROM r),
+    reach(component, n, goal, here) AS (SELECT component, n, b, a FROM r UNION SELECT reach.component, reach.n, goal, two.b FROM reach JOIN two ON two.component = reach.component AND two.a = here AND two.n < reach.n),
+    tree AS (SELECT component, n FROM r WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.component = r.component AND reach.n = r.n AND here = goal)),
+    arcs AS (SELECT two.component, a, b FROM two JOIN tree USING (component, n)),
+    dfs(component, node, path, place) AS (SELECT DISTINCT component, component, [component], [0] FROM arcs
+        UNION ALL SELECT dfs.component, b, list_append(path, b), list_append(place, CASE WHEN len(path) > 1 AND b < path[len(path) - 1] THEN 1000000000 + b ELSE b END)
+        FROM dfs JOIN arcs ON arcs.component = dfs.component AND a = node AND NOT list_contains(path, b)),
+    core AS (SELECT component, node, CAST(floor((row_number() OVER (PARTITION BY component ORDER BY place) - 1) / 5) AS INTEGER) AS chunk FROM dfs)
+    SELECT component, chunk, node, true AS core FROM core
+    UNION ALL SELECT * FROM (SELECT DISTINCT m.component, c.chunk, m.member AS node, false FROM members m JOIN core c ON c.component = m.component AND c.node = m.node WHERE place > 0) x
+        WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.component = x.component AND c.chunk = x.chunk AND c.node = x.node)""")
 def g17_dfs_chunks(spark, d):
-    e = view(spark, d, "skel_edges").select(F.col("cell_id").alias("component"), "src", "dst")
-    out = G.dfs_chunks(e, 10, 2)
-    # of the context the nodes next to the chunk
-    lo, hi = F.col("chunk") * 10 - 1, F.col("chunk") * 10 + 10
-    return out.where(F.col("core") | (F.col("node") == lo) | (F.col("node") == hi))
+    return walks.dfs_chunks(_components(spark, d), 5, 2)
 
 
 def _points(spark, d):
