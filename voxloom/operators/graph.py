@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators.components import connected_components
+from voxloom.operators.components import graph_components
 from voxloom.operators.forest import Sets, spanning_forest
 
 XYZ = ("x", "y", "z")
@@ -85,7 +85,7 @@ def induced(edges: DataFrame, nodes: DataFrame, keep: bool = True) -> DataFrame:
 def _sized(edges: DataFrame, nodes: DataFrame, boxes: DataFrame, scale) -> DataFrame:
     """``(node, component, extent)`` of the subgraph on ``nodes``, isolated ones included."""
     sub = induced(edges, nodes).unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst")))
-    comp = connected_components(sub)
+    comp = graph_components(sub)
     return comp.join(component_extent(comp, boxes, scale).select("component", "extent"), "component").select("node", "component", "extent")
 
 
@@ -96,7 +96,7 @@ def split_astrocytes(edges: DataFrame, glia: DataFrame, boxes: DataFrame, least:
     result, small ones go over to the astrocytes. Components without any
     astrocyte node, and those that have nothing but them, stay as they are.
     """
-    whole = connected_components(edges)
+    whole = graph_components(edges)
     flagged = whole.join(glia.select("node", F.lit(True).alias("g")).distinct(), "node", "left").withColumn("g", F.coalesce("g", F.lit(False)))
     mixed = flagged.groupBy("component").agg(F.count_if("g").alias("n_glia"), F.count("*").alias("n"))
     flagged = flagged.join(mixed, "component")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators import blocks as B
-from voxloom.operators.components import connected_components
+from voxloom.operators.components import graph_components, least_members
 from voxloom.operators.forest import spanning_forest
 from voxloom.session import cut, cut_in_buckets
 
@@ -48,24 +48,9 @@ def voxel_edges(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def settled(p: np.ndarray) -> np.ndarray:
     """Pointers followed to their ends."""
-    while True:
-        q = p[p]
-        if (q == p).all():
-            return p
-        p = q
-
-
-def least_members(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The smallest member of the component of each of ``n`` nodes."""
-    p = np.arange(n)
-    while True:
-        a, b = p[u], p[v]
-        live = a != b
-        if not live.any():
-            return p
-        u, v, a, b = u[live], v[live], a[live], b[live]
-        np.minimum.at(p, np.maximum(a, b), np.minimum(a, b))
-        p = settled(p)
+    while (p[p] != p).any():
+        p = p[p]
+    return p
 
 
 def contract(n: int, u: np.ndarray, v: np.ndarray, rooted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +182,7 @@ def instance_segmentation(blocks: DataFrame, size: tuple[int, int, int], shape:
     merge list. The labelled blocks lie in buckets by block, so that last join does not move them.
     """
     labels = cut_in_buckets(local_labels(blocks, size, shape), KEY)
-    merge = cut(connected_components(stitch_list(labels)))
+    merge = cut(graph_components(stitch_list(labels)))
     return relabel_blocks(labels, merge.where("node <> component").selectExpr("node AS old", "component AS new"), size, shape), merge
 
 
@@ -311,7 +296,7 @@ def watershed(seeds: DataFrame, heights: DataFrame, size: tuple[int, int, int],
     # all seeds are one node while the forest is sought; its edges then fall apart into one tree a seed
     hung = edges.select(F.lit(0).alias("all"), F.greatest("src", F.lit(0)).alias("src"), F.greatest("dst", F.lit(0)).alias("dst"), *ORDER, F.col("src").alias("w5"), F.col("dst").alias("w6"))
     forest = spanning_forest(hung, "all", [*ORDER, "w5", "w6"])
-    trees = connected_components(forest, "w5", "w6")
+    trees = graph_components(forest, "w5", "w6")
     known = trees.where("node > 0 and component < 0").select(*block_of(F.col("node"), size, shape), F.struct(F.col("node").alias("old"), (-F.col("component")).alias("new")).alias("pair"))
     per = known.groupBy(*KEY).agg(F.collect_list("pair").alias("pairs"))
 

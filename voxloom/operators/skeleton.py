@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.modes import mode_nearest, mode_smallest
-from voxloom.operators.components import connected_components
+from voxloom.operators.components import graph_components
 from voxloom.operators.graph import _adjacency, dijkstra
 from voxloom.operators.spatial import distance, nearest_in_group, pairs_within
 from voxloom.session import running_total
@@ -113,7 +113,7 @@ def component_compartments(nodes: DataFrame, edges: DataFrame, share: float = 0.
         kept.select("cell_id", F.col("node_id").alias("dst")), ["cell_id", "dst"], "left_semi"
     )
     pairs = inside.select(key("src").alias("src"), key("dst").alias("dst")).unionByName(kept.select(key("node_id").alias("src"), key("node_id").alias("dst")))
-    comp = connected_components(pairs).select("node.cell_id", "node.node_id", "component")
+    comp = graph_components(pairs).select("node.cell_id", "node.node_id", "component")
     shares = kept.join(comp, ["cell_id", "node_id"]).groupBy("component").agg((F.count_if(F.col(attr) == 1) / F.count("*")).alias("s"))
     called = comp.join(shares, "component").select("cell_id", "node_id", F.when(F.col("s") >= share, 1).otherwise(0).alias(attr))
     return called.unionByName(nodes.where(F.col(attr) == 2).select("cell_id", "node_id", F.lit(2).alias(attr)))
@@ -342,7 +342,7 @@ def node_diameters(nodes: DataFrame, vertices: DataFrame, k: int, factor: float
 def label_components(points: DataFrame, radius: float, key: str, least: int) -> DataFrame:
     """Per key and label, components of points within ``radius``; small ones go; mean position and size of the rest."""
     near = pairs_within(points, points, radius, on=[key, "label"]).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    comp = connected_components(near)
+    comp = graph_components(near)
     joined = points.join(comp.withColumnRenamed("node", "id"), "id")
     return joined.groupBy(key, "label", "component").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in XYZ]).where(F.col("n") >= least)
 

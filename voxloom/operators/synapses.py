@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from voxloom.operators.components import connected_components
-from voxloom.operators.spatial import k_nearest_anywhere, nearest_of_set, pairs_within
+from voxloom.operators.components import graph_components
+from voxloom.operators.spatial import k_nearest_anywhere, nearest_of_set
+from voxloom.session import cut
 
 XYZ = ("x", "y", "z")
 PAIR = ["cell_lo", "cell_hi"]
@@ -41,18 +43,81 @@ def long_partners(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     return out
 
 
-def cluster_voxels(voxels: DataFrame, gap: float, key: list[str], scale=(1.0, 1.0, 1.0), within: tuple[list[str], float] | None = None) -> DataFrame:
+def _cell(gap: float, scale, name: str) -> dict[str, Column]:
+    """Grid cells whose diagonal is ``gap``: any two places in one are nearer."""
+    edge = gap / 3**0.5 * (1 - 1e-9)
+    return {f"{name}{c}": F.floor(F.col(c) * float(s) / edge).cast("long") for c, s in zip(XYZ, scale)}
+
+
+def _near_cells(cells: DataFrame, gap: float, strict: bool, on: list[str], name: str, differ: Column | None = None) -> DataFrame:
+    """Pairs of cells with a place in each that are within ``gap``: columns of the first as they are, of the second with ``_b``.
+
+    ``cells`` has ``on``, the cell, ``low`` and ``high`` corners and ``places``. Cells that are too far by their corners are
+    left out, those that are near in any case taken; the others are searched up to the first near pair.
+    """
+    grid = [f"{name}{c}" for c in XYZ]
+    reach = [(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3) if (a, b, c) > (0, 0, 0) or (differ is not None and (a, b, c) == (0, 0, 0))]
+    shift = F.explode(F.array(*[F.struct(*[F.lit(k).alias(g) for g, k in zip(grid, o)]) for o in reach])).alias("o")
+    left = cells.select("*", shift).withColumns({g: F.col(g) + F.col(f"o.{g}") for g in grid}).drop("o")
+    right = cells.withColumnsRenamed({c: f"{c}_b" for c in cells.columns if c not in [*on, *grid]})
+    pairs = left.join(right, [*on, *grid])
+    pairs = pairs if differ is None else pairs.where(differ)
+    near = lambda d2: F.sqrt(d2) < gap if strict else F.sqrt(d2) <= gap
+    apart = sum(F.greatest(F.col(f"low_b.{c}") - F.col(f"high.{c}"), F.col(f"low.{c}") - F.col(f"high_b.{c}"), F.lit(0.0)) ** 2 for c in XYZ)
+    across = sum(F.greatest(F.col(f"high_b.{c}") - F.col(f"low.{c}"), F.col(f"high.{c}") - F.col(f"low_b.{c}")) ** 2 for c in XYZ)
+    found = F.exists("places", lambda p: F.exists("places_b", lambda q: near(sum((p[c] - q[c]) ** 2 for c in XYZ))))
+    return pairs.where(near(apart)).where(F.when(near(across), True).otherwise(found))
+
+
+def _cells(voxels: DataFrame, by: list[str], scale, *more: Column) -> DataFrame:
+    place = F.struct(*[(F.col(c) * float(s)).alias(c) for c, s in zip(XYZ, scale)])
+    corner = lambda f: F.struct(*[f(F.col(c) * float(s)).alias(c) for c, s in zip(XYZ, scale)])
+    return voxels.groupBy(*by).agg(*more, corner(F.min).alias("low"), corner(F.max).alias("high"), F.collect_set(place).alias("places"))
+
+
+def cluster_voxels(
+    voxels: DataFrame, gap: float, key: list[str], scale=(1.0, 1.0, 1.0), within: tuple[list[str], float] | None = None, gate: float | None = None, strict: bool = True
+) -> DataFrame:
     """Components of voxels of one key that are less than ``gap`` apart (KD-tree bounds are strict).
 
     ``voxels`` has id, x, y, z and the key. ``within = (columns, r)`` also links
-    voxels at most ``r`` voxels apart that agree on more columns (one fragment).
+    voxels at most ``r`` voxels apart that agree on more columns (one fragment). With ``gate`` (which needs
+    ``within``) two clusters of a fragment are only joined if their representatives, the voxels of smallest id,
+    are at most that far apart.
+
+    Voxels fall into grid cells whose diagonal is the gap. All in a cell are joined, so that only cells are linked, each
+    with its 124 neighbours at most; a cell holds no more places than fit in it.
     """
-    links = pairs_within(voxels, voxels, gap, strict=True, on=key, scale=scale).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+    if gate is not None:
+        return _gated(voxels, gap, key, scale, within, gate)
+    grid = [f"g{c}" for c in XYZ]
+    held = voxels.withColumns(_cell(gap, scale, "g"))
+    held = cut(held.withColumn("head", F.min("id").over(Window.partitionBy(*key, *grid))))
+    first = F.min("head").alias("head")
+    links = _near_cells(_cells(held, [*key, *grid], scale, first), gap, strict, key, "g").select(F.col("head").alias("src"), F.col("head_b").alias("dst"))
+    links = links.unionByName(held.select(F.col("head").alias("src"), F.col("head").alias("dst")).distinct())
     if within is not None:
         cols, r = within
-        links = links.unionByName(pairs_within(voxels, voxels, r, on=key + cols).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
-    comp = connected_components(links)
-    return voxels.join(comp.withColumnRenamed("node", "id"), "id")
+        fine = held.withColumns(_cell(r, (1.0,) * 3, "f"))
+        cells = _cells(fine, [*key, *cols, "fx", "fy", "fz"], (1.0,) * 3, first, F.collect_set("head").alias("heads"))
+        links = links.unionByName(cells.select(F.col("head").alias("src"), F.explode("heads").alias("dst")).where("src <> dst"))
+        links = links.unionByName(_near_cells(cells, r, False, key + cols, "f").select(F.col("head").alias("src"), F.col("head_b").alias("dst")))
+    comp = graph_components(links)
+    return held.join(comp.withColumnRenamed("node", "head"), "head").drop("head", *grid)
+
+
+def _gated(voxels: DataFrame, gap: float, key: list[str], scale, within, gate: float) -> DataFrame:
+    cols, r = within
+    grid = [f"g{c}" for c in XYZ]
+    parts = cluster_voxels(voxels, r, key + cols, strict=False).withColumnRenamed("component", "part")
+    parts = cut(parts.withColumns(_cell(gap, scale, "g")))
+    rep = parts.where("id = part").select("part", F.struct(*[(F.col(c) * float(s)).alias(c) for c, s in zip(XYZ, scale)]).alias("rep"))
+    cells = _cells(parts, [*key, *grid, "part"], scale).join(rep, "part")
+    open_gate = F.sqrt(sum((F.col(f"rep.{c}") - F.col(f"rep_b.{c}")) ** 2 for c in XYZ)) <= gate
+    pairs = _near_cells(cells, gap, True, key, "g", differ=(F.col("part") != F.col("part_b")) & open_gate)
+    links = pairs.select(F.col("part").alias("src"), F.col("part_b").alias("dst")).unionByName(parts.select(F.col("part").alias("src"), F.col("part").alias("dst"))).distinct()
+    comp = graph_components(links)
+    return parts.join(comp.withColumnRenamed("node", "part"), "part").drop("part", *grid)
 
 
 def medoid(points: DataFrame, key: list[str], scale=(1.0, 1.0, 1.0)) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.modes import r6
 from voxloom.operators import graph as G
 from voxloom.operators import walks
-from voxloom.operators.components import connected_components
+from voxloom.operators.components import graph_components
 from voxloom.operators.spatial import nearest_anywhere, nearest_by_window, nearest_in_group, pairs_within, radius_graph
 from voxloom.plans.registry import query
 from voxloom.plans.views import view
@@ -37,7 +37,7 @@ def _rag(spark, d):
 
 
 def _components(spark, d):
-    return connected_components(_rag(spark, d))
+    return graph_components(_rag(spark, d))
 
 
 @query(f"WITH RECURSIVE {RAG}, {comps('rag')} SELECT node, component FROM comp")
@@ -165,7 +165,7 @@ WALKS = """sym AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION S
 
 def _components(spark, d):
     e = view(spark, d, "edges").where("src <> dst")
-    comp = connected_components(e).select(F.col("node").alias("src"), "component")
+    comp = graph_components(e).select(F.col("node").alias("src"), "component")
     return e.join(comp, "src").select("component", "src", "dst")
 
 
@@ -239,7 +239,7 @@ def g23_largest_cloud(spark, d):
     """The largest cloud of each object."""
     p = _points(spark, d)
     near = pairs_within(p, p, 12.0, on=["obj_id"]).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    named = connected_components(near).join(p.select(F.col("id").alias("node"), "obj_id"), "node")
+    named = graph_components(near).join(p.select(F.col("id").alias("node"), "obj_id"), "node")
     sizes = named.groupBy("obj_id", "component").agg(F.count("*").alias("n"))
     best = sizes.groupBy("obj_id").agg(F.min(F.struct((-F.col("n")).alias("minus"), "component", "n")).alias("b"))
     return best.select("obj_id", "b.component", "b.n")

@@ -9,7 +9,7 @@ from voxloom.operators import blocks as B
 from voxloom.operators import contacts as K
 from voxloom.operators import instances as I
 from voxloom.operators import voxels as V
-from voxloom.operators.components import connected_components
+from voxloom.operators.components import graph_components
 from voxloom.plans.registry import query
 from voxloom.plans.views import view
 from voxloom.session import cut, read_table
@@ -229,7 +229,7 @@ def v25_stitch_pairs(spark, d):
     reach(u, v) AS (SELECT u, u FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON r.v = e.u)
     SELECT u AS node, min(v) AS component FROM reach GROUP BY u""")
 def v26_merge_list(spark, d):
-    return connected_components(V.stitch_pairs(_halo(spark, d), "block", "label"), "l1", "l2")
+    return graph_components(V.stitch_pairs(_halo(spark, d), "block", "label"), "l1", "l2")
 
 
 @query(f"""WITH RECURSIVE {HALO}, e AS (SELECT l1 AS u, l2 AS v FROM stitch UNION SELECT l2, l1 FROM stitch),
@@ -238,7 +238,7 @@ def v26_merge_list(spark, d):
     SELECT coalesce(m.c, h.label) AS label, count(*) AS n FROM halo h LEFT JOIN m ON h.label = m.u WHERE h.block * 10 <= h.x AND h.x < h.block * 10 + 10 GROUP BY coalesce(m.c, h.label)""")
 def v27_apply_merge_list(spark, d):
     halo = _halo(spark, d)
-    merge = connected_components(V.stitch_pairs(halo, "block", "label"), "l1", "l2").select(F.col("node").alias("old"), F.col("component").alias("new"))
+    merge = graph_components(V.stitch_pairs(halo, "block", "label"), "l1", "l2").select(F.col("node").alias("old"), F.col("component").alias("new"))
     own = halo.where("block * 10 <= x and x < block * 10 + 10").select("x", "y", "z", "label")
     return V.relabel(own, "label", merge).groupBy("label").agg(F.count("*").alias("n"))
 
