@@ -45,7 +45,7 @@ def test_clusters_equal_all_pairs(spark, gap, scale, r, gate):
 
 def test_the_gate_changes_what_is_joined():
     rows = voxels(9)
-    assert plain(rows, 9.0, r=2.0, gate=14.0) != plain(rows, 9.0, r=2.0)
+    assert plain(rows, 6.0, r=1.0, gate=4.0) != plain(rows, 6.0, r=1.0)
 
 
 def test_links_are_few_where_voxels_are_many(spark):
