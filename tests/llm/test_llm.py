@@ -313,6 +313,64 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+STORY = "<h1>A title of this page</h1>" + "<p>The first part has some words that go on for a while, and on and on.</p>" * 3 + "<p>It ends here.</p>"
+TOLD = "A title of this page " + "The first part has some words that go on for a while, and on and on. " * 3 + "It ends here."
+WRAPPERS = """page-header-fixed search-page legal share skip-top login-wrapper related-layout ad ads advert adsense banner sponsored promo sidebar-page side-bar menu-open nav navbar-fixed
+    navigation breadcrumbs foot footer-push head header-on masthead cookie-ok consent notice-seen popup modal-open overlay newsletter subscribe signup login sharing social related recommended
+    pagination pager copyright disclaimer widgets toolbar skip search complementary contentinfo alert announcement gdpr""".split()
+
+
+@pytest.mark.parametrize("word", WRAPPERS)
+def test_a_wrapper_is_no_boilerplate(word):
+    """An element that holds the page, whatever it is called; the same name beside the story is still a hint."""
+    for mark in (f'class="{word}"', f'id="{word}"', f'class="site {word}"'):
+        assert html_text.main_text(f"<body><div {mark}>{STORY}</div></body>") == TOLD
+    beside = f'<div class="{word}">Some words that stand beside.</div>'
+    assert html_text.main_text(f"<body><div class='page {word}'><article>{STORY}</article>{beside}</div></body>") == TOLD
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("just running text without any tag", "just running text without any tag"),
+        ("<br>".join(f"Line {i} of it" for i in range(20)), " ".join(f"Line {i} of it" for i in range(20))),
+        ("<div>" + "word " * 60 + "</div>", ("word " * 60).strip()),
+        ("<div><a href=1>Only a link that goes elsewhere</a></div>", ""),
+        (f"<div>{STORY}</div><div><h3>3 Comments</h3><div>I really liked this one, thank you so much.</div><div>Me too</div></div>", TOLD),
+        (f"<div>{STORY}</div><section class=thread><h3>Leserkommentare (2)</h3><p>{'So many words about it. ' * 40}</p></section>", TOLD),
+        (f"<div>We use cookies to make this site better. Please accept.</div><div>{STORY}</div>", TOLD),
+        (f"<div>{STORY}</div><div>Dieses Angebot verwendet Cookies. Mit der Nutzung stimmen Sie zu, dass wir sie verwenden.</div>", TOLD),
+        ("<article><h2>Comments</h2><p>An article on comments and on cookies that we use stays whole.</p></article>", "Comments An article on comments and on cookies that we use stays whole."),
+    ],
+)
+def test_neutral_markup(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_tree_and_features_against_plain_versions():
+    """Every split of the tree is the best of all by plain counting; features are the neighbours' by index."""
+    rows = np.array([[float(v) for v in line.split()] for line in html_text.LABELLED.split("\n") if line])
+
+    def impurity(y):
+        return 2 * sum(y) * (len(y) - sum(y)) / len(y) if len(y) else 0.0
+
+    def check(node, part):
+        y = [r[-1] for r in part]
+        if not isinstance(node, tuple):
+            assert node == sum(y) / len(y)
+            return 0
+        f, t, low, high = node
+        price = lambda f, t: impurity([r[-1] for r in part if r[f] <= t]) + impurity([r[-1] for r in part if r[f] > t]) + html_text.HINT_COST * impurity(y) * (f in html_text.HINTS)
+        for g in range(len(html_text.FEATURES)):
+            values = sorted({r[g] for r in part})
+            assert all(price(f, t) <= price(g, (a + b) / 2) + 1e-9 for a, b in zip(values, values[1:]))
+        return 1 + check(low, [r for r in part if r[f] <= t]) + check(high, [r for r in part if r[f] > t])
+
+    assert check(html_text.tree(), rows.tolist()) > 5
+    blocks = [(f"b{i}", n, k, p, False, False, False) for i, (n, k, p) in enumerate([(4, 2, True), (10, 0, False), (3, 3, True)])]
+    assert html_text.block_features(blocks)[1] == (10, 0.0, 4, 0.5, 3, 1.0, 0, 0, 0, 0) and html_text.block_features(blocks)[0][2:4] == (0, 0.0)
+
+
 def test_counts_and_densities_decide_where_markup_is_neutral():
     """The test pages with every element that hints at its role made a div: the outcome of each block is the same."""
     import pyarrow.parquet as pq

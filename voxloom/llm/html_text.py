@@ -6,6 +6,10 @@ a paragraph or a heading, and two hints of the markup: inside an article-like el
 inside a boilerplate-like one (by tag or by words in class, id and role). A small
 decision tree, grown from the labelled table below, tells content from boilerplate.
 A split by a hint has to be clearly purer than one by counts and densities (HINT_COST).
+
+A word of class, id or role is no hint on a wrapper: an element that holds more than half of the
+page's words and all of its article, if there is one. Where the markup tells nothing, the heading of reader comments marks what follows it, and
+a short notice about cookies at either end of the page is marked too.
 """
 
 from __future__ import annotations
@@ -44,6 +48,14 @@ BOILER_WORDS = re.compile(
     r"|pagination|pager|copyright|legal|disclaimer|widget\w*|toolbar|skip|search\w*|complementary|contentinfo|alert\w*|announcement\w*|gdpr|adsby\w*)(?=$|[\s_-])",
     re.I,
 )
+#: Of these, the words that name reader comments, which may outgrow what they comment on.
+COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reply|replies|respond|disqus)(?=$|[\s_-])", re.I)
+#: The headings of reader comments, and what notices about cookies say, in the languages of the pages.
+COMMENTS_HEADING = re.compile(
+    r"(?:\d+\s+|leave an? |post an? |all |user |reader )?(?:comments?|reply|replies|responses|kommentare?|leserkommentare|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?", re.I
+)
+COOKIES, CHOICE = re.compile(r"\bcookies?\b", re.I), re.compile(r"\b(?:accept|agree|consent|we use|this (?:web)?site uses|akzeptier\w*|zustimm\w*|verwende\w*|accepte\w*|utilis\w*|acept\w*|utiliza\w*|usamos)\b", re.I)
+NOTICE_WORDS, PAGE_ENDS = 40, 2
 #: Layout words on what stands beside a sidebar or menu, not in it.
 BESIDE = re.compile(r"\b(?:has|no|with|without)[_-](?:side-?bar|menu|nav|header|footer|ads?|comments?)\w*", re.I)
 ARTICLE_WORDS = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post-?(?:body|content|text)?|entry-?(?:content|text)?|story-?body|main-?(?:content|text)?|content)(?=$|[\s_-])", re.I)
@@ -244,6 +256,12 @@ LABELLED = """
 80 0 40 0 60 0 0 0 1 1 0
 120 0 60 0 0 0 0 0 0 1 0
 60 0 0 0 4 0 0 1 0 1 0
+3 0 0 0 0 0 0 0 0 0 1
+12 0 0 0 0 0 0 0 0 0 1
+60 0 0 0 0 0 0 0 0 0 1
+400 0.02 0 0 0 0 0 0 0 0 1
+25 1 0 0 0 0 0 0 0 0 0
+3 0 50 0 30 0 0 1 0 1 0
 """
 
 
@@ -296,12 +314,12 @@ def _boiler_marks(attrs: str) -> bool:
 
 
 class Element:
-    """An open element: its tag, and whether an article, boilerplate or a mute element is open up to it."""
+    """An open element: its tag, whether an article, boilerplate by its tag or a mute element is open up to it, and the elements marked by words."""
 
-    __slots__ = ("tag", "article", "boiler", "mute")
+    __slots__ = ("tag", "article", "boiler", "mute", "marked")
 
-    def __init__(self, tag: str, article: bool, boiler: bool, mute: bool):
-        self.tag, self.article, self.boiler, self.mute = tag, article, boiler, mute
+    def __init__(self, tag: str, article: bool, boiler: bool, mute: bool, marked: tuple[int, ...] = ()):
+        self.tag, self.article, self.boiler, self.mute, self.marked = tag, article, boiler, mute, marked
 
 
 def text_blocks(page: str | None) -> list[tuple]:
@@ -314,6 +332,7 @@ def text_blocks(page: str | None) -> list[tuple]:
     blocks: list[tuple] = []
     stack, top = [], Element("", False, False, False)
     parts: list[tuple[str, bool]] = []
+    comments: list[bool] = []  # of each element that is marked by words: whether they name comments
     link, at = 0, 0
 
     def flush() -> None:
@@ -325,7 +344,7 @@ def text_blocks(page: str | None) -> list[tuple]:
         if text:
             linked = sum(len(html.unescape(t).split()) for t, inside in parts if inside)
             n, tags = len(text.split()), {e.tag for e in stack}
-            blocks.append((text, n, min(linked, n), bool(tags & PARAGRAPHS), bool(tags & HEADINGS), top.article, top.boiler))
+            blocks.append((text, n, min(linked, n), bool(tags & PARAGRAPHS), bool(tags & HEADINGS), top.article, top.boiler, top.marked))
         parts = []
 
     def close(tag: str) -> None:
@@ -357,7 +376,7 @@ def text_blocks(page: str | None) -> list[tuple]:
             continue
         if tag in MUTE or top.mute:
             if (tag in MUTE or tag in HOLDERS) and not attrs.endswith("/"):
-                stack.append(Element(tag, top.article, top.boiler, True))
+                stack.append(Element(tag, top.article, top.boiler, True, top.marked))
                 top = stack[-1]
             continue
         if tag in INLINE:
@@ -384,13 +403,34 @@ def text_blocks(page: str | None) -> list[tuple]:
                     break
         top = stack[-1] if stack else Element("", False, False, False)
         marks = _marks(attrs, tag == "p" or tag in HEADINGS)
-        here = tag in BOILER or bool(marks and tag not in ("html", "body", *ARTICLE) and BOILER_WORDS.search(marks))
-        stack.append(Element(tag, top.article or tag in ARTICLE or bool(marks and not here and ARTICLE_WORDS.search(marks)), top.boiler or here, False))
+        worded = bool(marks and tag not in ("html", "body", *ARTICLE) and BOILER_WORDS.search(marks))
+        article = top.article or tag in ARTICLE or bool(marks and not worded and tag not in BOILER and ARTICLE_WORDS.search(marks))
+        stack.append(Element(tag, article, top.boiler or tag in BOILER, False, (*top.marked, len(comments)) if worded else top.marked))
+        if worded:
+            comments.append(bool(COMMENT_WORDS.search(marks)))
         top = stack[-1]
     if at < len(page) and not top.mute:
         parts.append((page[at:], link > 0))
     flush()
-    return blocks
+    return _marked(blocks, comments)
+
+
+def _marked(blocks: list[tuple], comments: list[bool]) -> list[tuple]:
+    """Blocks with what words of the markup say about them; wrappers, which hold most of the page, say nothing."""
+    held, articles = [0] * len(comments), [0] * len(comments)
+    for b in blocks:
+        for i in b[7]:
+            held[i] += b[1]
+            articles[i] += b[5]
+    whole, in_articles = sum(b[1] for b in blocks), sum(b[5] for b in blocks)
+    says = [c or 2 * n <= whole or a < in_articles for c, n, a in zip(comments, held, articles)]
+    after, out = False, []
+    for i, (text, n, linked, p, h, article, boiler, marked) in enumerate(blocks):
+        after = not article and (after or n <= 6 and COMMENTS_HEADING.fullmatch(text) is not None)
+        at_end = i < PAGE_ENDS or i >= len(blocks) - PAGE_ENDS
+        notice = at_end and len(blocks) > 1 and not article and n <= NOTICE_WORDS and COOKIES.search(text) and CHOICE.search(text)
+        out.append((text, n, linked, p, h, article, boiler or after or bool(notice) or any(says[k] for k in marked)))
+    return out
 
 
 def block_features(blocks: list[tuple]) -> list[tuple]:
