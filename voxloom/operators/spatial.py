@@ -77,13 +77,75 @@ def radius_graph(points: DataFrame, radius: float, on: list[str] | None = None,
 ROWS = 512
 
 
+#: Points of a group that one task takes whole; larger groups are searched by rings of grid cells.
+GROUP_POINTS = 20_000
+
+
+def nearest_by_rings(queries: DataFrame, points: DataFrame, key: str, k: int, value: str | None = None) -> DataFrame:
+    """:func:`nearest_in_group` for groups of any size, split over tasks.
+
+    Each group gets a grid with about ``k`` points a cell. A query looks at the 27 cells round it: what lies
+    beyond is farther than a cell's edge, so it is done if its ``k``-th distance is no longer than that. The others look again with
+    cells of twice the edge; in the end a cell is wider than any distance. A round is a join by cell.
+    Places without a coordinate take no part.
+    """
+    known = lambda df: df.where(" and ".join(f"{c} is not null and not isnan({c})" for c in XYZ))
+    queries, points = known(queries), known(points)
+    more = [F.col(value).alias("pv")] if value else []
+    held = cut(points.select(F.col(key).alias("g"), "id", *[F.col(c).cast("double").alias(f"p{c}") for c in XYZ], *more))
+    ends = [f(f"p{c}").alias(f"{n}{c}") for n, f in (("low", F.min), ("high", F.max)) for c in XYZ]
+    box = held.groupBy("g").agg(F.count("*").alias("n"), *ends)
+    wide = [F.col(f"high{c}") - F.col(f"low{c}") for c in XYZ]
+    flat = sum((w > 0).cast("int") for w in wide)
+    volume = F.when(wide[0] > 0, wide[0]).otherwise(1.0) * F.when(wide[1] > 0, wide[1]).otherwise(1.0) * F.when(wide[2] > 0, wide[2]).otherwise(1.0)
+    edge = F.when(flat == 0, F.lit(1.0)).otherwise(F.pow(volume * k / F.col("n"), 1 / F.greatest(flat, F.lit(1))))
+    grids = cut(box.select("g", "n", edge.alias("edge"), *[f"low{c}" for c in XYZ]))
+    cell = lambda c, side: F.floor((F.col(f"{side}{c}") - F.col(f"low{c}")) / F.col("edge")).cast("long").alias(f"c{c}")
+    asked = queries.select(F.col(key).alias("g"), "query_id", *[F.col(c).cast("double").alias(f"q{c}") for c in XYZ]).withColumn("row", F.monotonically_increasing_id())
+    left, done = cut(asked.join(grids.select("g"), "g", "left_semi")), []
+    dist = F.sqrt(sum((F.col(f"p{c}") - F.col(f"q{c}")) ** 2 for c in XYZ))
+    w = Window.partitionBy("row").orderBy("dist", "id")
+    while left.take(1):
+        near = left.join(grids, "g").select(*left.columns, "n", "edge", *[cell(c, "q") for c in XYZ])
+        for c in XYZ:
+            near = near.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + i for i in (-1, 0, 1)])))
+        placed = held.join(grids, "g").select(*held.columns, *[cell(c, "p") for c in XYZ])
+        met = near.join(placed, ["g", *[f"c{c}" for c in XYZ]]).select("g", "query_id", "row", "n", "edge", "id", dist.alias("dist"), *(["pv"] if value else []))
+        ranked = cut(met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        # as many as asked for (or as there are), the last no farther than what was looked at for sure
+        full = ranked.groupBy("row").agg(F.count("*").alias("m"), F.max("dist").alias("far"), F.first("edge").alias("edge"), F.first("n").alias("n"))
+        full = full.where((F.col("m") == F.least(F.lit(k), F.col("n"))) & (F.col("far") <= F.col("edge"))).select("row")
+        done.append(ranked.join(full, "row", "left_semi"))
+        left = cut(left.join(full, "row", "left_anti"))
+        grids = cut(grids.withColumn("edge", F.col("edge") * 2))
+    names = [F.col("g").alias(key), "query_id", "rank", "id", "dist"] + ([F.col("pv").alias("value")] if value else [])
+    if not done:
+        empty = asked.join(held, "g").select("g", "query_id", F.lit(1).alias("rank"), "id", dist.alias("dist"), *(["pv"] if value else []))
+        return empty.where("false").select(names)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select(names)
+
+
 def nearest_in_group(queries: DataFrame, points: DataFrame, key: str, k: int, value: str | None = None) -> DataFrame:
     """``(key, query_id, rank, id, dist[, value])`` of the ``k`` nearest points with the same key.
 
     ``queries`` has key, query_id, x, y, z; ``points`` key, id, x, y, z and the
-    value. Ties go to the smaller id; rank starts at 1. One key's points are one
-    group (a cell's skeleton or mesh); its queries are taken in bounded blocks.
+    value. Ties go to the smaller id; rank starts at 1. A key with up to GROUP_POINTS points
+    (a cell's skeleton or mesh) is one task's, its queries taken in bounded blocks; the
+    others are searched by rings of cells, with the same result.
     """
+    large = points.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > GROUP_POINTS).select(key)
+    if large.take(1):
+        large = cut(large)
+        part = lambda df, how: df.join(large, key, how)
+        rings = nearest_by_rings(part(queries, "left_semi"), part(points, "left_semi"), key, k, value)
+        return rings.unionByName(_nearest_by_task(part(queries, "left_anti"), part(points, "left_anti"), key, k, value))
+    return _nearest_by_task(queries, points, key, k, value)
+
+
+def _nearest_by_task(queries: DataFrame, points: DataFrame, key: str, k: int, value: str | None) -> DataFrame:
     kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *points.schema]}
     out = f"{key} {kind[key]}, query_id {kind['query_id']}, rank int, id {kind['id']}, dist double" + (f", value {kind[value]}" if value else "")
 
