@@ -90,6 +90,18 @@ def type_shares(voxels: DataFrame, key: str, columns: list[str]) -> DataFrame:
     )
 
 
+def merge_voxel_lists(parts: DataFrame, key: str, column: str = "voxels", step: int = 1 << 16) -> DataFrame:
+    """V7: partial voxel lists of chunks to lists of whole objects, ``(key, part, voxels)``.
+
+    A list of more than ``step`` voxels is cut by the places' hash, so that no row grows with the object; small
+    objects have one row, part 0.
+    """
+    sizes = parts.groupBy(key).agg(F.ceil(F.sum(F.size(column)) / step).alias("n_parts"))
+    each = parts.join(sizes, key).select(key, "n_parts", F.explode(column).alias("v"))
+    part = F.when(F.col("n_parts") > 1, F.pmod(F.xxhash64("v"), F.col("n_parts"))).otherwise(F.lit(0).cast("long"))
+    return each.groupBy(key, part.alias("part")).agg(F.collect_list("v").alias(column))
+
+
 def minimum_size(objects: DataFrame, least: dict[str, int], kind: str = "obj_type", size: str = "size") -> DataFrame:
     """Objects that reach their type's least size; a handful of thresholds, so a CASE and no join."""
     limit = F.lit(0)

@@ -11,13 +11,17 @@ from voxloom.plans.registry import query
 from voxloom.plans.views import view
 
 N = 7
-SOFT = f"""soft AS (SELECT sample_id, cell_id, truth, i, exp(CAST(l[i] AS DOUBLE) - list_max(l[1:{N}])) AS e FROM (SELECT sample_id, cell_id, truth, logits AS l, unnest(range(1, {N + 1})) AS i FROM samples) u),
+#: The 64 places of an embedding as logits of seven classes: every seventh place belongs to one class.
+FOLDED = f"folded AS (SELECT sample_id, cell_id, truth, list_transform(range(1, {N + 1}), lambda c: list_sum(list_transform(range(c, len(logits) + 1, {N}), lambda j: CAST(logits[j] AS DOUBLE)))) AS l FROM samples)"
+SOFT = f"""{FOLDED}, soft AS (SELECT sample_id, cell_id, truth, i, exp(l[i] - list_max(l)) AS e FROM (SELECT *, unnest(range(1, {N + 1})) AS i FROM folded) u),
     prob AS (SELECT sample_id, cell_id, truth, i, e / sum(e) OVER (PARTITION BY sample_id) AS p FROM soft)"""
 BEST = "best AS (SELECT sample_id, cell_id, truth, arg_min(i, struct_pack(a := -p, b := i)) - 1 AS c FROM prob GROUP BY sample_id, cell_id, truth)"
 
 
 def _samples(spark, d):
-    return view(spark, d, "samples").withColumn("logits", F.slice("logits", 1, N))
+    places = lambda c: F.filter(F.transform("logits", lambda x, i: F.when(i % N == c, x.cast("double"))), lambda x: x.isNotNull())
+    total = lambda c: F.aggregate(places(c), F.lit(0.0), lambda a, x: a + x)
+    return view(spark, d, "samples").withColumn("logits", F.array(*[total(c) for c in range(N)]))
 
 
 @query(f"WITH {SOFT}, {BEST}, k AS (SELECT cell_id, c, count(*) AS n FROM best GROUP BY cell_id, c) SELECT cell_id, CAST(c AS INTEGER) AS cell_class FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY n DESC, c) AS rn FROM k) r WHERE rn = 1")
@@ -25,7 +29,7 @@ def p1_cell_class(spark, d):
     return P.cell_class(_samples(spark, d))
 
 
-@query("SELECT sample_id, round(CAST(logits[2] AS DOUBLE) + CAST(logits[7] AS DOUBLE), 6) AS second, CAST(6 AS INTEGER) AS n FROM samples")
+@query(f"WITH {FOLDED} SELECT sample_id, round(l[2] + l[7], 6) AS second, CAST(6 AS INTEGER) AS n FROM folded")
 def p2_merge_class(spark, d):
     merged = P.merge_class(F.transform("logits", lambda x: x.cast("double")), 6, 1)
     return _samples(spark, d).select("sample_id", r6(merged[1]).alias("second"), F.size(merged).alias("n"))
@@ -108,18 +112,18 @@ def p11_performance(spark, d):
     return out.select(F.col("class").cast("long").alias("class"), "support", *[r6(c).alias(c) for c in ("precision", "recall", "fscore", "accuracy")])
 
 
-@query("""WITH v AS (SELECT sample_id, truth, list_transform(logits[1:10], lambda x: CAST(x AS DOUBLE)) AS v FROM samples),
+@query("""WITH v AS (SELECT sample_id, truth, list_transform(logits, lambda x: CAST(x AS DOUBLE)) AS v FROM samples),
     n AS (SELECT q.sample_id AS query_id, t.truth AS label, row_number() OVER (PARTITION BY q.sample_id ORDER BY list_sum(list_transform(list_zip(q.v, t.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), t.sample_id) AS rn FROM v q JOIN v t ON q.sample_id % 3 = 0 AND t.sample_id % 3 <> 0),
     k AS (SELECT query_id, label, count(*) AS c FROM n WHERE rn <= 5 GROUP BY query_id, label)
     SELECT query_id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, label) AS rn FROM k) r WHERE rn = 1""")
 def p12_knn_classify(spark, d):
-    v = view(spark, d, "samples").select("sample_id", F.col("truth").alias("label"), F.slice("logits", 1, 10).alias("v"))
-    return P.knn_classify(v.where("sample_id % 3 = 0").withColumnRenamed("sample_id", "query_id"), v.where("sample_id % 3 <> 0").withColumnRenamed("sample_id", "id"), 5, 10)
+    v = view(spark, d, "samples").select("sample_id", F.col("truth").alias("label"), F.col("logits").alias("v"))
+    return P.knn_classify(v.where("sample_id % 3 = 0").withColumnRenamed("sample_id", "query_id"), v.where("sample_id % 3 <> 0").withColumnRenamed("sample_id", "id"), 5, 64)
 
 
 @query()
 def p13_whitened_pca(spark, d):
-    v = view(spark, d, "samples").select("sample_id", F.slice("logits", 1, 10).alias("v"))
+    v = view(spark, d, "samples").select("sample_id", F.col("logits").alias("v"))
     return P.whitened_pca(v, 3).select("sample_id", *[r6(F.col("pca")[i]).alias(f"c{i}") for i in range(3)])
 
 
@@ -156,12 +160,17 @@ def x14_cell_type(spark, d):
     return P.decode(P.cell_class(s), "cell_class", NAMES).join(P.certainty(s, N), "cell_id").select("cell_id", "name", r6("certainty").alias("certainty"))
 
 
-@query("SELECT sample_id, round(list_sum(list_transform(logits[1:7], lambda x: CAST(x AS DOUBLE))), 6) AS score FROM samples")
+@query("""WITH z AS (SELECT cell_id, list_sum(list_transform(range(1, 65), lambda j: ((j * 37) % 11 - 5) / 5.0 * CAST(logits[j] AS DOUBLE))) AS z FROM samples)
+    SELECT cell_id, count(*) AS n, round(avg(greatest(z, 0)), 6) AS score FROM z GROUP BY cell_id""")
 def u2_apply_model(spark, d):
+    """A unit with fixed weights over whole vectors, rectified, then the mean of each cell."""
+
     def load():
         import numpy as np
         import pandas as pd
 
-        return lambda f: pd.DataFrame({"sample_id": f["sample_id"], "score": np.stack(f["logits"]).astype(float).sum(axis=1) if len(f) else []})
+        weights = ((np.arange(1, 65) * 37) % 11 - 5) / 5.0
+        return lambda f: pd.DataFrame({"cell_id": f["cell_id"], "score": np.maximum(np.stack(f["logits"]).astype(float) @ weights, 0) if len(f) else []})
 
-    return P.apply_model(_samples(spark, d), load, ["sample_id", "logits"], "sample_id long, score double").withColumn("score", r6("score"))
+    made = P.apply_model(view(spark, d, "samples"), load, ["cell_id", "logits"], "cell_id long, score double")
+    return made.groupBy("cell_id").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("score"))

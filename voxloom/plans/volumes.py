@@ -102,8 +102,8 @@ def v6_merge_counts(spark, d):
 
 @query("SELECT sv_id AS obj_id, x, y, z FROM voxels WHERE sv_id <> 0")
 def v7_merge_voxel_lists(spark, d):
-    vox = _vox(spark, d).where("sv_id <> 0").select(F.col("sv_id").alias("obj_id"), "x", "y", "z")
-    return vox.where("x < 10").unionByName(vox.where("x >= 10"))
+    parts = _vox(spark, d).where("sv_id <> 0").groupBy("block_x", "block_y", F.col("sv_id").alias("obj_id")).agg(F.collect_list(F.struct("x", "y", "z")).alias("voxels"))
+    return V.merge_voxel_lists(parts, "obj_id").select("obj_id", F.explode("voxels").alias("v")).select("obj_id", "v.*")
 
 
 @query("SELECT sv_id, mi_id, n FROM (SELECT mi_id, sv_id, count(*) AS n FROM voxels WHERE mi_id <> 0 AND sv_id <> 0 GROUP BY mi_id, sv_id) m")

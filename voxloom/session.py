@@ -34,6 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def owned_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application owns: what it cuts lies there, and nothing else."""
+    return f"{shared_dir(spark)}/voxloom-{spark.sparkContext.applicationId}"
+
+
 _MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
@@ -53,7 +58,25 @@ def scratch(spark: SparkSession):
     finally:
         _MADE.reset(before)
         for folder in mine:
-            delete(spark, folder)
+            _drop(spark, folder)
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    name = folder.rsplit("/", 1)[1]
+    if name.startswith("voxloom_"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    delete(spark, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has cut; what is made of them has to be written by then.
+
+    Of an application that has died, its id names the folder to delete.
+    """
+    for t in spark.catalog.listTables():
+        if t.name.startswith("voxloom_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    delete(spark, owned_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -62,7 +85,7 @@ def cut(df: DataFrame) -> DataFrame:
     The result has no lineage: a lost executor costs a re-read of the files and
     never a recomputation of the steps before them.
     """
-    path = f"{shared_dir(df.sparkSession)}/voxloom-{uuid.uuid4().hex}"
+    path = f"{owned_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     if (made := _MADE.get()) is not None:
         made.append(path)
     df.write.parquet(path)
@@ -73,7 +96,7 @@ def cut_in_buckets(df: DataFrame, keys: list[str]) -> DataFrame:
     """:func:`cut` into buckets by ``keys``, as many as there are shuffle partitions: a later join by the keys moves the other side alone."""
     spark = df.sparkSession
     name = f"voxloom_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name.replace('_', '-')}"
+    path = f"{owned_dir(spark)}/{name}"
     if (made := _MADE.get()) is not None:
         made.append(path)
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
