@@ -104,7 +104,8 @@ def identify(pages: DataFrame, model: TextModel, url_col: str = "url", html_col:
     declaration are judged by the evidence that is there; with none at all they
     get the most common language. Ties go to the first language by name. Without
     any training document lang is null and the score 0. Hosts that hold a large
-    share of the pages cost one row per task in the grouped sums. Columns of the
+    share of the pages cost one row per task in the grouped sums. Pages of any length are read whole; a
+    repeated row is one more page, also in the sums. Columns of the
     names above are replaced.
     """
     langs, k = model.langs, len(model.langs)

@@ -156,7 +156,8 @@ def _few(texts: list[str | None]):
 def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """``(rid, id, piece, start, length, ids_crc32)``: each text's ids and ``end_id``, cut at ``capacity``.
 
-    Null texts are empty and give the end id alone. ``vocabulary`` is the path of
+    Null texts are empty and give the end id alone; texts of any length are encoded whole; repeated rows and
+    ids are rows of their own; other columns do not matter, nor do their names; an empty table gives an empty result. ``vocabulary`` is the path of
     a tokenizers file, the same on every machine.
     """
 
@@ -240,7 +241,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     Every piece is placed once; the pieces of a sequence lie gapless from offset
     0 and fit in ``capacity``. Pieces that have no room for the shortest one need no
     packing. A task packs ``shard`` pieces in expectation, whatever their lengths.
-    Empty input gives an empty result.
+    Empty input gives an empty result. Pieces of equal length are taken by rid and piece; repeated
+    pieces are pieces of their own; columns of the names made here are not allowed.
     """
     pieces = cut(pieces)
     length, gap = F.col("length"), F.col("gap")

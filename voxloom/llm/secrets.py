@@ -67,7 +67,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     largest end of the spans before it. Base kinds are always there; an ``owned`` span
     is there only if it looks random, overlaps no base span and its value has one owner
     in the corpus. Null texts count as empty; null owners and repositories count as one
-    more value. Empty tables give empty results; repeated rows and null ids stay; other
+    more value. Texts of any length are whole; of spans that begin at one place the order is that of the kinds. Empty tables give empty results; repeated rows and null ids stay; other
     columns do not matter, but those named in ``carry`` come along. rid is made here and
     fits no other scan of ``docs``.
     """

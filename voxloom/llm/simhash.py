@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id reachable by links of at most ``radius``
     differing bits. Equal fingerprints are one vertex, so exact copies cost one
-    aggregation row each. Null ids take part and get their group's smallest id.
+    aggregation row each. Null ids take part and get their group's smallest id. Texts of any
+    length are read whole, piece by piece. Null texts count as empty; repeated rows are rows.
     Empty tables give empty results; columns of ``docs`` beyond the two used do
     not matter.
     """
@@ -318,7 +319,7 @@ def near_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The row that stays is the one with the smallest id (nulls last), then the
     smallest row number. Null texts count as empty; wordless texts are one group;
-    repeated rows are copies. Empty tables give empty results. Columns of ``docs`` named
+    repeated rows are copies; texts of any length are whole. Empty tables give empty results. Columns of ``docs`` named
     in ``carry`` come along, others do not matter. rid is made here and fits no other
     scan of ``docs``.
     """

@@ -153,6 +153,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row per document row: ``rid, id, n_words, n_hit, n_items, item_ids, contaminated``.
 
     A document word is hit if it lies in any occurrence of a window of any item.
+    Texts of any length are whole, repeated rows and ids are rows of their own.
     Null and wordless texts have no words and no hits; wordless items have no
     windows; repeated items count once by id; an empty benchmark leaves every
     document clean. Other columns of either table do not matter, but those of ``docs`` named in
