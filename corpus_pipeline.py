@@ -4,7 +4,9 @@ Each stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and
 returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``. All stages but the last return the columns of ``docs``, extra
 ones included. Empty tables give empty results, null texts count as empty,
-repeated rows are rows (of which near-dedup keeps one). What an operator finds is
+repeated rows are rows (of which near-dedup keeps one), texts of any length are worked on
+whole, ties go by id and then by place, and columns of any further name come along unchanged,
+also where an operator uses the same name inside. What an operator finds is
 joined back to the rows by their place in the files, which no change of the
 cluster alters.
 """
