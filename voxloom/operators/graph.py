@@ -1,9 +1,8 @@
 """Region graphs: components, sizes, pruning, splits.
 
-Graphs are edge tables ``(src, dst)``; a singleton is a self-loop. Operators that
-walk one component (breadth-first neighbourhoods, spanning trees, stitching) take
-a component's edges as one group of ``applyInPandas``; components are bounded by
-what is one cell, and :func:`dfs_chunks` cuts larger ones.
+Graphs are edge tables ``(src, dst)``; a singleton is a self-loop. Spanning trees,
+walks and stitching are for components of any size: small ones are groups of
+``applyInPandas``, large ones go by rounds of joins.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 
 from voxloom.operators.components import graph_components
 from voxloom.operators.forest import Sets, spanning_forest
+from voxloom.operators.spatial import pairs_within
+from voxloom.session import cut
 
 XYZ = ("x", "y", "z")
 BOX = [f"{e}_{c}" for e in ("min", "max") for c in XYZ]
@@ -160,9 +161,70 @@ def spanning_tree(edges: DataFrame, key: str = "cell_id") -> DataFrame:
     return spanning_forest(edges, key, ["weight", "src", "dst"]).select(key, "src", "dst", "weight")
 
 
+#: Nodes of a group that one task stitches.
+GROUP_NODES = 20_000
+
+
 def stitch(nodes: DataFrame, edges: DataFrame, key: str = "cell_id") -> DataFrame:
-    """Edges with those added that join a group's components, always the shortest link from the largest component."""
+    """Edges with those added that join a group's components, always the shortest link from the largest component.
+
+    Of equal links the one with the smaller ends goes first, so the links are the minimum spanning tree of the
+    components, whichever of them one begins with. Groups of up to GROUP_NODES nodes are one task's each;
+    the others are joined by :func:`stitch_by_rounds`.
+    """
+    large = nodes.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > GROUP_NODES).select(key)
+    if not large.take(1):
+        return _stitch_by_task(nodes, edges, key)
+    large = cut(large)
+    part = lambda df, how: df.join(large, key, how)
+    rounds = stitch_by_rounds(part(nodes, "left_semi"), part(edges, "left_semi"), key)
+    return rounds.unionByName(_stitch_by_task(part(nodes, "left_anti"), part(edges, "left_anti"), key))
 
+
+def stitch_by_rounds(nodes: DataFrame, edges: DataFrame, key: str = "cell_id", start: float | None = None) -> DataFrame:
+    """:func:`stitch` for groups of any size.
+
+    In a round every component finds its shortest link to another one, by distance joins of growing radius (from ``start``, or
+    the mean length of an edge) over the components that have found none yet; the links join them, which halves
+    their number at least. No group is in one task.
+    """
+    points = cut(nodes.select(F.col(key).alias("g"), "node_id", *[F.col(c).cast("double").alias(c) for c in XYZ]).dropDuplicates(["g", "node_id"]))
+    points = cut(points.withColumn("nid", F.monotonically_increasing_id()))
+    end = lambda c, n: points.select("g", F.col("node_id").alias(c), F.col("nid").alias(n), *[F.col(x).alias(f"{n}{x}") for x in XYZ])
+    known = cut(edges.select(F.col(key).alias("g"), "src", "dst").join(end("src", "a"), ["g", "src"]).join(end("dst", "b"), ["g", "dst"]))
+    if start is None:
+        start = known.agg(F.avg(F.sqrt(sum((F.col(f"a{x}") - F.col(f"b{x}")) ** 2 for x in XYZ)))).first()[0] or 1.0
+    loops = points.select(F.col("nid").alias("a"), F.col("nid").alias("b"))
+    comp = graph_components(known.select("a", "b").unionByName(loops), "a", "b")
+    held, links = cut(points.join(comp.withColumnRenamed("node", "nid"), "nid")), []
+    while True:
+        several = held.groupBy("g").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("g")
+        held = cut(held.join(several, "g", "left_semi"))
+        if not held.take(1):
+            break
+        places = held.select("g", F.struct("component", "node_id").alias("id"), *XYZ)
+        left, radius, found = held.select("component").distinct(), start, []
+        while left.take(1):
+            asking = places.join(left, F.col("id.component") == F.col("component"), "left_semi")
+            near = pairs_within(asking, places, radius, on=["g"]).where("id_a.component <> id_b.component")
+            link = F.struct("dist", F.least("id_a.node_id", "id_b.node_id").alias("lo"), F.greatest("id_a.node_id", "id_b.node_id").alias("hi"), F.col("id_b.component").alias("other"))
+            best = cut(near.groupBy("g", F.col("id_a.component").alias("component")).agg(F.min(link).alias("l")))
+            found.append(best)
+            left = cut(left.join(best.select("component"), "component", "left_anti"))
+            radius *= 2
+        best = found[0]
+        for f in found[1:]:
+            best = best.unionByName(f)
+        links.append(best.select("g", F.col("l.lo").alias("src"), F.col("l.hi").alias("dst")).distinct())
+        joined = graph_components(best.select(F.col("component").alias("a"), F.col("l.other").alias("b")), "a", "b")
+        held = cut(held.join(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), "component").drop("component").withColumnRenamed("c", "component"))
+    out = edges.select(key, "src", "dst", F.lit(False).alias("added"))
+    for f in links:
+        out = out.unionByName(f.select(F.col("g").alias(key), "src", "dst", F.lit(True).alias("added")))
+    return out
+
+
+def _stitch_by_task(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         n = n if len(n) else pd.DataFrame({c: [] for c in (key, "node_id", *XYZ)})  # a side without rows comes without columns
         e = e if len(e) else pd.DataFrame({c: [] for c in (key, "src", "dst")})
@@ -191,7 +253,7 @@ def stitch(nodes: DataFrame, edges: DataFrame, key: str = "cell_id") -> DataFram
                 near, who = d[np.arange(len(left)), k], names[some][k]
                 nearer = (near < dist[left]) | ((near == dist[left]) & (who < link[left]))
                 dist[left[nearer]], link[left[nearer]] = near[nearer], who[nearer]
-            best = left[np.lexsort((names[left], link[left], dist[left]))[0]]
+            best = left[np.lexsort((np.maximum(names[left], link[left]), np.minimum(names[left], link[left]), dist[left]))[0]]
             added.append((int(link[best]), int(names[best])))
             joined = np.nonzero(part == part[best])[0]
             out[joined] = False
