@@ -163,7 +163,7 @@ WALKS = """sym AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION S
     members AS (SELECT component, node, k - 1 AS place, q[k] AS member FROM (SELECT *, unnest(range(1, least(len(q), {0}) + 1)) AS k FROM first) u)"""
 
 
-def _components(spark, d):
+def _component_edges(spark, d):
     e = view(spark, d, "edges").where("src <> dst")
     comp = graph_components(e).select(F.col("node").alias("src"), "component")
     return e.join(comp, "src").select("component", "src", "dst")
@@ -171,7 +171,7 @@ def _components(spark, d):
 
 @query(f"WITH RECURSIVE {WALKS.format(7)} SELECT component, node, CAST(place AS INTEGER) AS place, member FROM members")
 def g16_bfs_neighbourhoods(spark, d):
-    return walks.bfs_neighbourhoods(_components(spark, d), 7)
+    return walks.bfs_neighbourhoods(_component_edges(spark, d), 7)
 
 
 @query(f"""WITH RECURSIVE {WALKS.format(3)},
@@ -188,7 +188,7 @@ def g16_bfs_neighbourhoods(spark, d):
     UNION ALL SELECT * FROM (SELECT DISTINCT m.component, c.chunk, m.member AS node, false FROM members m JOIN core c ON c.component = m.component AND c.node = m.node WHERE place > 0) x
         WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.component = x.component AND c.chunk = x.chunk AND c.node = x.node)""")
 def g17_dfs_chunks(spark, d):
-    return walks.dfs_chunks(_components(spark, d), 5, 2)
+    return walks.dfs_chunks(_component_edges(spark, d), 5, 2)
 
 
 def _points(spark, d):
