@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.modes import mode_nearest, mode_smallest
+from voxloom.operators.clusters import clusters
 from voxloom.operators.components import graph_components
 from voxloom.operators.graph import _adjacency, dijkstra
 from voxloom.operators.spatial import distance, nearest_in_group, pairs_within
@@ -341,9 +342,7 @@ def node_diameters(nodes: DataFrame, vertices: DataFrame, k: int, factor: float
 
 def label_components(points: DataFrame, radius: float, key: str, least: int) -> DataFrame:
     """Per key and label, components of points within ``radius``; small ones go; mean position and size of the rest."""
-    near = pairs_within(points, points, radius, on=[key, "label"]).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    comp = graph_components(near)
-    joined = points.join(comp.withColumnRenamed("node", "id"), "id")
+    joined = clusters(points.select(key, "label", "id", *XYZ), radius, [key, "label"], strict=False)
     return joined.groupBy(key, "label", "component").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in XYZ]).where(F.col("n") >= least)
 
 
