@@ -18,7 +18,7 @@ from voxloom.operators.clusters import clusters
 from voxloom.operators.components import graph_components
 from voxloom.operators.graph import _adjacency, dijkstra
 from voxloom.operators.spatial import distance, nearest_in_group, pairs_within
-from voxloom.session import running_total
+from voxloom.session import cut, running_total
 
 XYZ = ("x", "y", "z")
 
@@ -411,14 +411,26 @@ def vertex_normals(faces: DataFrame, vertices: DataFrame, key: str = "obj_id") -
 
 
 def empty_spaces(coords: DataFrame, vertices: DataFrame, edge: float) -> DataFrame:
-    """Coordinates without a vertex in a box of ``edge`` round them."""
+    """Coordinates without a vertex in a box of ``edge`` round them.
+
+    Vertices fall into cells of half the box. A coordinate is met by the cells' corners alone, a row a cell: a
+    cell whose vertices all lie in the box settles it. Only where no such cell is, single vertices are looked at.
+    """
     half = edge / 2
-    cell = lambda c: F.floor(c / edge).cast("long")
+    cell = lambda c: F.floor(c / half).cast("long")
+    grid = [f"g{c}" for c in XYZ]
     reach = coords.select("id", *[F.col(c).alias(f"{c}_a") for c in XYZ])
     for c in XYZ:
         reach = reach.select("*", F.explode(F.sequence(cell(F.col(f"{c}_a") - half), cell(F.col(f"{c}_a") + half))).alias(f"g{c}"))
     vox = vertices.select(*[F.col(c).alias(f"{c}_b") for c in XYZ], *[cell(F.col(c)).alias(f"g{c}") for c in XYZ])
-    hit = reach.join(vox, ["gx", "gy", "gz"])
+    ends = [f(f"{c}_b").alias(f"{n}_{c}") for c in XYZ for n, f in (("low", F.min), ("high", F.max))]
+    met = reach.join(vox.groupBy(*grid).agg(*ends), grid)
+    for c in XYZ:
+        met = met.where((F.col(f"high_{c}") >= F.col(f"{c}_a") - half) & (F.col(f"low_{c}") < F.col(f"{c}_a") + half))
+    inside = [(F.col(f"low_{c}") >= F.col(f"{c}_a") - half) & (F.col(f"high_{c}") < F.col(f"{c}_a") + half) for c in XYZ]
+    met = cut(met.select("id", *[f"{c}_a" for c in XYZ], *grid, (inside[0] & inside[1] & inside[2]).alias("sure")))
+    full = met.where("sure").select("id").distinct()
+    hit = met.join(full, "id", "left_anti").join(vox, grid)
     for c in XYZ:
         hit = hit.where((F.col(f"{c}_b") >= F.col(f"{c}_a") - half) & (F.col(f"{c}_b") < F.col(f"{c}_a") + half))
-    return coords.join(hit.select("id").distinct(), "id", "left_anti")
+    return coords.join(full.unionByName(hit.select("id").distinct()), "id", "left_anti")
