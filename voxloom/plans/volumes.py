@@ -243,9 +243,9 @@ def v27_apply_merge_list(spark, d):
     return V.relabel(own, "label", merge).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("WITH s AS (SELECT sv_id, count(*) AS n FROM voxels WHERE p > 0.5 AND sv_id <> 0 GROUP BY sv_id) SELECT sv_id, n FROM s WHERE n >= 8")
+@query("WITH s AS (SELECT sv_id, count(*) AS n FROM voxels WHERE round(p, 6) > 0.5 AND sv_id <> 0 GROUP BY sv_id) SELECT sv_id, n FROM s WHERE n >= 8")
 def v29_seed_filter(spark, d):
-    seeds = V.threshold(_vox(spark, d), "p", 0.5).where("sv_id <> 0").groupBy("sv_id").agg(F.count("*").alias("n"))
+    seeds = V.threshold(_vox(spark, d).withColumn("p", r6("p")), "p", 0.5).where("sv_id <> 0").groupBy("sv_id").agg(F.count("*").alias("n"))
     return seeds.where("n >= 8")
 
 
@@ -297,10 +297,10 @@ def v35_coverage(spark, d):
 
 
 @query("""WITH node AS (SELECT x * 10000 + y * 100 + z AS node_id, x AS cx, y AS cy, z AS cz FROM voxels WHERE sj = 1)
-    SELECT node_id, count(v.x) AS n_above, count(v.x) / 64.0 > 0.1 AS vote FROM node LEFT JOIN (SELECT * FROM voxels WHERE p > 0.5) v
+    SELECT node_id, count(v.x) AS n_above, count(v.x) / 64.0 > 0.1 AS vote FROM node LEFT JOIN (SELECT * FROM voxels WHERE round(p, 6) > 0.5) v
     ON v.x >= cx - 2 AND v.x < cx + 2 AND v.y >= cy - 2 AND v.y < cy + 2 AND v.z >= cz - 2 AND v.z < cz + 2 GROUP BY node_id""")
 def v36_cube_vote(spark, d):
-    return V.cube_vote(_contacts(spark, d).withColumnRenamed("contact_id", "node_id"), _vox(spark, d), 4, "p", 0.5, 0.1)
+    return V.cube_vote(_contacts(spark, d).withColumnRenamed("contact_id", "node_id"), _vox(spark, d).withColumn("p", r6("p")), 4, "p", 0.5, 0.1)
 
 
 @query("SELECT x, y, z, CASE sv_id WHEN 3 THEN 1 WHEN 5 THEN 7 ELSE 0 END AS sv_id FROM voxels")
