@@ -203,11 +203,14 @@ def match_labels(labels: DataFrame, synapses: DataFrame, voxels: DataFrame, k: i
     return hit.groupBy("label_id").agg(F.min(F.struct("rank", "syn_id")).alias("b")).select("label_id", F.col("b.syn_id").alias("syn_id"))
 
 
-def partner_properties(synapses: DataFrame, lookups: list[DataFrame], defaults: dict[str, object]) -> DataFrame:
-    """Per synapse and partner, values of lookup tables keyed by (syn_id, cell_id); missing ones get their default."""
+def partner_properties(synapses: DataFrame, lookups: list[DataFrame], defaults: dict[str, object], key: tuple[str, ...] = ("syn_id", "cell_id")) -> DataFrame:
+    """Per synapse and partner, values of lookup tables with one row a ``key``; missing ones get their default.
+
+    Where a cell has synapses with itself, the key needs the partner's side as well.
+    """
     out = synapses
     for t in lookups:
-        out = out.join(t, ["syn_id", "cell_id"], "left")
+        out = out.join(t, list(key), "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 

@@ -189,10 +189,10 @@ def c17_match_labels(spark, d):
     SELECT syn_id, cell_id, CASE WHEN syn_id % 3 = 0 THEN ax ELSE -1 END AS axoness, CAST(CASE WHEN syn_id % 5 = 0 THEN cell_id % 7 ELSE -1 END AS BIGINT) AS cell_type FROM p""")
 def c18_partner_properties(spark, d):
     syn = view(spark, d, "synapses")
-    p = syn.select("syn_id", F.explode(F.array(F.struct(F.col("cell_1").alias("c"), F.col("ax_1").alias("ax")), F.struct(F.col("cell_2").alias("c"), F.col("ax_2").alias("ax")))).alias("p")).select("syn_id", F.col("p.c").alias("cell_id"), "p.ax")
-    ax = p.where("syn_id % 3 = 0").select("syn_id", "cell_id", F.col("ax").alias("axoness"))
-    kind = p.where("syn_id % 5 = 0").select("syn_id", "cell_id", (F.col("cell_id") % 7).alias("cell_type"))
-    return C.partner_properties(p.select("syn_id", "cell_id"), [ax, kind], {"axoness": -1, "cell_type": -1})
+    p = syn.select("syn_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"cell_{s}").alias("c"), F.col(f"ax_{s}").alias("ax")) for s in (1, 2)])).alias("p")).select("syn_id", "p.side", F.col("p.c").alias("cell_id"), "p.ax")
+    ax = p.where("syn_id % 3 = 0").select("syn_id", "side", F.col("ax").alias("axoness"))
+    kind = p.where("syn_id % 5 = 0").select("syn_id", "side", (F.col("cell_id") % 7).alias("cell_type"))
+    return C.partner_properties(p.select("syn_id", "side", "cell_id"), [ax, kind], {"axoness": -1, "cell_type": -1}, ("syn_id", "side")).drop("side")
 
 
 @query("SELECT round(count(*) / 1452.0, 6) AS density, sum(CASE WHEN syn_sign = -1 THEN 1 ELSE 0 END)::BIGINT AS n_sym, sum(CASE WHEN syn_sign = 1 THEN 1 ELSE 0 END)::BIGINT AS n_asym FROM synapses WHERE round(syn_prob, 6) > 0.6")
