@@ -145,7 +145,12 @@ def k14_soma_distance(spark, d):
     return out.select("cell_id", "query_id", F.round(finite, 4).alias("soma_dist"))
 
 
-@query(f"""WITH {CUM}, p AS (SELECT a.cell_id, a.node_id AS pair_id, abs(b.c - a.c) AS dist FROM cum a JOIN cum b ON a.cell_id = b.cell_id AND b.node_id = a.node_id + 3)
+#: A point is at the first of the nodes on its place; edges are added one by one from the first point on, as the walk does.
+@query("""WITH n AS (SELECT cell_id, node_id, x, y, z, min(node_id) OVER (PARTITION BY cell_id, x, y, z) AS at FROM skel_nodes),
+    w AS (SELECT a.cell_id, b.node_id AS dst, sqrt((a.x - b.x) * 10 * ((a.x - b.x) * 10) + (a.y - b.y) * 10 * ((a.y - b.y) * 10) + (a.z - b.z) * 20 * ((a.z - b.z) * 20)) AS length FROM n a JOIN n b ON a.cell_id = b.cell_id AND b.node_id = a.node_id + 1),
+    e AS (SELECT a.cell_id, a.node_id AS pair_id, a.at AS f, b.at AS t FROM n a JOIN n b ON a.cell_id = b.cell_id AND b.node_id = a.node_id + 3),
+    s AS (SELECT e.cell_id, pair_id, list(length ORDER BY abs(dst - f)) AS l FROM e JOIN w ON w.cell_id = e.cell_id AND CASE WHEN f < t THEN dst > f AND dst <= t ELSE dst > t AND dst <= f END GROUP BY e.cell_id, pair_id),
+    p AS (SELECT e.cell_id, e.pair_id, CASE WHEN l IS NULL THEN 0 ELSE list_reduce(l, lambda a, b: a + b) END AS dist FROM e LEFT JOIN s ON s.cell_id = e.cell_id AND s.pair_id = e.pair_id)
     SELECT cell_id, pair_id, round(CASE WHEN dist <= 2500 THEN dist ELSE -5 END, 4) AS dist FROM p""")
 def k15_path_between(spark, d):
     n = _nodes(spark, d)
