@@ -184,11 +184,12 @@ def n17_feature_subset(spark, d):
     return v.select("cell", r6(F.col("features")[names.index("std_size")]).alias("std_size"))
 
 
-DISTANCE = f"""{MARK}, sx AS (SELECT cell, comp, {STATS} FROM sd GROUP BY cell, comp),
+#: Sizes are added as decimals, so that equal cells have equal means and sums whatever the order; places beyond the sixth are cut by a rule that both sides compute alike.
+DISTANCE = f"""{MARK}, sx AS (SELECT cell, comp, CAST(sum(CAST(round(abs(size), 6) AS DECIMAL(18, 6))) AS DOUBLE) AS sum_size, CAST(sum(CAST(round(abs(size), 6) AS DECIMAL(18, 6))) AS DOUBLE) / count(size) AS mean_size FROM sd GROUP BY cell, comp),
     c AS (SELECT s_suppkey AS cell FROM supplier),
     pv AS (SELECT c.cell, coalesce(a.mean_size, 0) AS a1, coalesce(a.sum_size, 0) AS a2, coalesce(e.mean_size, 0) AS d1, coalesce(e.sum_size, 0) AS d2 FROM c LEFT JOIN sx a ON a.cell = c.cell AND a.comp = 'axon' LEFT JOIN sx e ON e.cell = c.cell AND e.comp = 'dendrite'),
-    pr AS (SELECT p.cell AS a, q.cell AS b, CASE WHEN (p.a1 <> 0 OR p.a2 <> 0) AND (q.a1 <> 0 OR q.a2 <> 0) THEN nullif(sqrt(pow(p.a1 - q.a1, 2) + pow(p.a2 - q.a2, 2)), 0) END AS x,
-        CASE WHEN (p.d1 <> 0 OR p.d2 <> 0) AND (q.d1 <> 0 OR q.d2 <> 0) THEN nullif(sqrt(pow(p.d1 - q.d1, 2) + pow(p.d2 - q.d2, 2)), 0) END AS y FROM pv p JOIN pv q ON p.cell < q.cell),
+    pr AS (SELECT p.cell AS a, q.cell AS b, CASE WHEN (p.a1 <> 0 OR p.a2 <> 0) AND (q.a1 <> 0 OR q.a2 <> 0) THEN nullif(sqrt((p.a1 - q.a1) * (p.a1 - q.a1) + (p.a2 - q.a2) * (p.a2 - q.a2)), 0) END AS x,
+        CASE WHEN (p.d1 <> 0 OR p.d2 <> 0) AND (q.d1 <> 0 OR q.d2 <> 0) THEN nullif(sqrt((p.d1 - q.d1) * (p.d1 - q.d1) + (p.d2 - q.d2) * (p.d2 - q.d2)), 0) END AS y FROM pv p JOIN pv q ON p.cell < q.cell),
     fd AS (SELECT a, b, CASE WHEN x IS NULL AND y IS NULL THEN 1000 ELSE (coalesce(x, 0) + coalesce(y, 0)) / ((x IS NOT NULL)::INT + (y IS NOT NULL)::INT) END AS dist FROM pr)"""
 
 
@@ -196,16 +197,21 @@ def _distance(spark, d):
     from voxloom.session import read_table
 
     cells = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"))
-    s = N.size_summary(N.sides(_oriented(spark, d)[0]), ["cell", "comp"])
+    total = F.sum(F.round(F.abs("size"), 6).cast("decimal(18,6)")).cast("double")
+    s = N.sides(_oriented(spark, d)[0]).groupBy("cell", "comp").agg((total / F.count("size")).alias("mean_size"), total.alias("sum_size"))
     for comp in ("axon", "dendrite"):
         part = s.where(F.col("comp") == comp).select("cell", F.array("mean_size", "sum_size").alias(comp))
         cells = cells.join(part, "cell", "left").withColumn(comp, F.coalesce(comp, F.array(F.lit(0.0), F.lit(0.0))))
     return N.pairwise_distance(cells, ["axon", "dendrite"])
 
 
-@query(f"WITH {DISTANCE} SELECT a, b, round(dist, 6) AS dist FROM fd")
+def _six(dist):
+    return F.floor(dist * 1e6 + 0.5) / 1e6
+
+
+@query(f"WITH {DISTANCE} SELECT a, b, floor(dist * 1e6 + 0.5) / 1e6 AS dist FROM fd")
 def n18_pairwise_distance(spark, d):
-    return _distance(spark, d).withColumn("dist", r6("dist"))
+    return _distance(spark, d).withColumn("dist", _six(F.col("dist")))
 
 
 @query(f"""WITH {DISTANCE}, mx AS (SELECT DISTINCT pre, post FROM o), i AS (SELECT post AS cell, pre AS partner FROM mx), u AS (SELECT pre AS cell, post AS partner FROM mx),
@@ -213,12 +219,12 @@ def n18_pairwise_distance(spark, d):
     ni AS (SELECT cell, count(*) AS n FROM i GROUP BY cell), nn AS (SELECT cell, count(*) AS n FROM u GROUP BY cell),
     t AS (SELECT fd.a, fd.b, fd.dist, coalesce(ic.n, 0) AS ci, coalesce(ia.n, 0) + coalesce(ib.n, 0) - coalesce(ic.n, 0) AS ui, coalesce(oc.n, 0) AS co, coalesce(oa.n, 0) + coalesce(ob.n, 0) - coalesce(oc.n, 0) AS uo
         FROM fd LEFT JOIN ic ON fd.a = ic.a AND fd.b = ic.b LEFT JOIN oc ON fd.a = oc.a AND fd.b = oc.b LEFT JOIN ni ia ON fd.a = ia.cell LEFT JOIN ni ib ON fd.b = ib.cell LEFT JOIN nn oa ON fd.a = oa.cell LEFT JOIN nn ob ON fd.b = ob.cell)
-    SELECT a, b, round(dist + CASE WHEN ui > 0 THEN 1 - ci / ui ELSE 1 END + CASE WHEN uo > 0 THEN 1 - co / uo ELSE 1 END, 6) AS dist FROM t""")
+    SELECT a, b, floor((dist + (CASE WHEN ui > 0 THEN 1 - ci / ui ELSE 1 END + CASE WHEN uo > 0 THEN 1 - co / uo ELSE 1 END)) * 1e6 + 0.5) / 1e6 AS dist FROM t""")
 def n19_combined_distance(spark, d):
     dist = _distance(spark, d)
     cells = dist.select(F.explode(F.array("a", "b")).alias("cell")).distinct()
     matrix = _oriented(spark, d)[0].select("pre", "post").distinct()
-    return N.combined_distance(dist, W.wiring_distance(matrix, cells)).withColumn("dist", r6("dist"))
+    return N.combined_distance(dist, W.wiring_distance(matrix, cells)).withColumn("dist", _six(F.col("dist")))
 
 
 @query(f"WITH {MARK}, st AS (SELECT cell, {STATS} FROM sd WHERE comp = 'axon' GROUP BY cell), ty AS (SELECT DISTINCT cell_1 AS cell, ct_1 AS cell_type FROM synapses UNION SELECT DISTINCT cell_2, ct_2 FROM synapses) SELECT st.cell, cell_type, round(CASE WHEN n_syn > 15 THEN mean_size ELSE 0 END, 6) AS mean_size FROM st JOIN ty ON st.cell = ty.cell")
