@@ -142,16 +142,16 @@ def proximity(synapses: DataFrame, voxels: DataFrame, objects: DataFrame, vertic
     if the nearest voxel of the synapse is less than ``near`` away; an object's voxels count by the share of its
     vertices that are close. A synapse without voxels has no close vertex.
     """
-    measured = objects.select("obj_id", "cell_id", *[F.col(c).alias(f"o{c}") for c in XYZ])
-    points = vertices.join(measured, "obj_id").withColumn("id", F.struct("obj_id", *XYZ))
+    measured = objects.select("obj_id", "cell_id", "size", *[F.col(c).alias(f"o{c}") for c in XYZ])
+    counted = vertices.groupBy("obj_id").agg(F.count("*").alias("n_vertices"))
+    places = vertices.groupBy("obj_id", *XYZ).agg(F.count("*").alias("n"))  # vertices on one place count each
+    # what is asked of an object later goes with its points, so that what is found is dealt by synapse and not moved again
+    points = places.join(counted, "obj_id").join(measured, "obj_id").select("*", F.struct("obj_id", "size", "n_vertices", "n", *XYZ).alias("id")).drop("size", "n_vertices", "n", "obj_id")
     rep = synapses.select("syn_id", "cell_id", *[F.col(c).alias(f"s{c}") for c in XYZ])
     far = F.sqrt(sum((F.col(f"o{c}") - F.col(f"s{c}")) ** 2 for c in XYZ)) > prefilter
     best = nearest_of_set(voxels.withColumnRenamed("syn_id", "set_id"), points, near, fine, members=rep.withColumnRenamed("syn_id", "set_id"), on=["cell_id"], unless=far)
-    counted = points.groupBy("obj_id").agg(F.count("*").alias("n_vertices"))
-    repeats = points.groupBy("obj_id", "id").agg(F.count("*").alias("n"))  # vertices on one place count each
-    per = best.select("set_id", "cell_id", F.col("id.obj_id").alias("obj_id"), "id", "dist").join(repeats, ["obj_id", "id"]).groupBy("set_id", "cell_id", "obj_id").agg(F.sum("n").alias("n_close"), F.min("dist").alias("d"))
-    sized = per.join(counted, "obj_id").join(objects.select("obj_id", "size"), "obj_id")
-    got = sized.groupBy(F.col("set_id").alias("syn_id"), "cell_id").agg(F.count_if(F.col("size") > 0).alias("n_objects"), F.sum(F.col("n_close") / F.col("n_vertices") * F.col("size")).alias("voxels"), F.min("d").alias("min_dist"))
+    per = best.groupBy("set_id", "cell_id", *[F.col(f"id.{c}").alias(c) for c in ("obj_id", "size", "n_vertices")]).agg(F.sum("id.n").alias("n_close"), F.min("dist").alias("d"))
+    got = per.groupBy(F.col("set_id").alias("syn_id"), "cell_id").agg(F.count_if(F.col("size") > 0).alias("n_objects"), F.sum(F.col("n_close") / F.col("n_vertices") * F.col("size")).alias("voxels"), F.min("d").alias("min_dist"))
     return synapses.select("syn_id", "cell_id").join(got, ["syn_id", "cell_id"], "left").select(
         "syn_id", "cell_id", F.coalesce("n_objects", F.lit(0)).alias("n_objects"), F.coalesce("voxels", F.lit(0.0)).alias("voxels"), F.coalesce("min_dist", F.lit(1e12)).alias("min_dist")
     )

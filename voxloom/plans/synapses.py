@@ -119,7 +119,7 @@ def _synapse_voxels(spark, d):
     place = ["syn_id % 120 AS x", "(syn_id div 8) % 50 AS y", "syn_id % 37 AS z"]
     syn = lines.groupBy("syn_id").agg(F.min("l_partkey").alias("p")).selectExpr("syn_id", "explode(array(p div 100, p div 100 + 1)) AS cell_id", *place)
     rep = syn.select("syn_id", "cell_id", (F.col("x") + 3).alias("x"), (F.col("y") + 4).alias("y"), "z")
-    run = lines.select("syn_id", "l_linenumber").distinct().selectExpr("syn_id", "l_linenumber", "explode(sequence(0, 7)) AS k", *place)
+    run = lines.select("syn_id", "l_linenumber").repartition("syn_id").distinct().selectExpr("syn_id", "l_linenumber", "explode(sequence(0, 7)) AS k", *place)
     return rep, run.selectExpr("syn_id", "x + k AS x", "y + l_linenumber AS y", "z")
 
 
