@@ -28,7 +28,7 @@ def _blocks(spark, d):
 @query("SELECT x, y, z, sv_id FROM voxels WHERE x >= 10 AND x < 20 AND y >= 20 AND y < 30")
 def s1_read_subvolume(spark, d):
     path = _path(spark)
-    view(spark, d, "voxels").select("x", "y", "z", "sv_id", "block_x", "block_y").write.partitionBy("block_x", "block_y").parquet(path)
+    view(spark, d, "voxels").select("x", "y", "z", "sv_id", "block_x", "block_y").repartition("block_x", "block_y").write.partitionBy("block_x", "block_y").parquet(path)  # a file a block, not one a task and block
     return spark.read.parquet(path).where("block_x = 1 and block_y = 2").select("x", "y", "z", "sv_id")
 
 
