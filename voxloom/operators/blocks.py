@@ -23,6 +23,8 @@ from voxloom.operators import voxels as V
 KEY = ["bx", "by", "bz"]
 SCHEMA = "bx long, by long, bz long, nx int, ny int, nz int, data binary"
 AXES = "xyz"
+#: Blocks whose slabs a task holds at a time, however many rows come to it at once.
+AT_ONCE = 64
 
 
 def to_blocks(voxels: DataFrame, label: str, size: tuple[int, int, int], shape: tuple[int, int, int], missing: int = 0, flags: list[str] | None = None) -> DataFrame:
@@ -63,6 +65,22 @@ def array_of(row) -> np.ndarray:
     return np.frombuffer(row.data, "<i8").reshape(row.nx, row.ny, row.nz)
 
 
+def _slabs_of(frame: pd.DataFrame, halo: int, size: tuple[int, int, int], reach: list[int], extra: list[str]) -> list[tuple]:
+    """What the blocks of a frame send to the blocks round them, a row each: whose it is, its place and its voxels."""
+    rows = []
+    for r in frame.itertuples():
+        a = array_of(r)
+        for d in itertools.product(*(range(-r, r + 1) for r in reach)):
+            # what the block at offset d from this one needs of it
+            cutout = tuple(slice(max(0, k * m - halo), min(n, k * m + m + halo)) for k, m, n in zip(d, size, a.shape))
+            part = a[cutout] if all(c.start < c.stop for c in cutout) else a[:0]
+            if part.size:
+                own = d == (0, 0, 0)
+                at = [s * b + c.start for s, b, c in zip(size, (r.bx, r.by, r.bz), cutout)]
+                rows.append((r.bx + d[0], r.by + d[1], r.bz + d[2], own, *at, *part.shape, part.tobytes(), *[getattr(r, e) if own else None for e in extra]))
+    return rows
+
+
 def with_halo(blocks: DataFrame, halo: int, size: tuple[int, int, int], schema: str, fn: Callable, fill: int = 0) -> DataFrame:
     """Rows that ``fn(array, own)`` makes of each block, ``halo`` voxels of its neighbours round it (``fill`` where there are none).
 
@@ -75,18 +93,8 @@ def with_halo(blocks: DataFrame, halo: int, size: tuple[int, int, int], schema:
 
     def slabs(frames):
         for f in frames:
-            rows = []
-            for r in f.itertuples():
-                a = array_of(r)
-                for d in itertools.product(*(range(-r, r + 1) for r in reach)):
-                    # what the block at offset d from this one needs of it
-                    cutout = tuple(slice(max(0, k * m - halo), min(n, k * m + m + halo)) for k, m, n in zip(d, size, a.shape))
-                    part = a[cutout] if all(c.start < c.stop for c in cutout) else a[:0]
-                    if part.size:
-                        own = d == (0, 0, 0)
-                        at = [s * b + c.start for s, b, c in zip(size, (r.bx, r.by, r.bz), cutout)]
-                        rows.append((r.bx + d[0], r.by + d[1], r.bz + d[2], own, *at, *part.shape, part.tobytes(), *[getattr(r, e.name) if own else None for e in extra]))
-            yield pd.DataFrame(rows, columns=named)
+            for a in range(0, len(f), AT_ONCE):
+                yield pd.DataFrame(_slabs_of(f.iloc[a : a + AT_ONCE], halo, size, reach, [e.name for e in extra]), columns=named)
 
     columns = [c.split()[0] for c in schema.split(", ")]
 
