@@ -133,7 +133,7 @@ def knn_classify(queries: DataFrame, train: DataFrame, k: int, dims: int) -> Dat
 
     Training vectors and queries are dealt into blocks of BLOCK rows; each pair of blocks
     keeps the ``k`` best of every query, and a window merges the blocks. Distances are
-    sums over the places of a vector in order.
+    sums over the places of a vector in order; they are made of those alone that matrix products do not tell to be farther.
     """
     import numpy as np
     import pandas as pd
@@ -151,13 +151,22 @@ def knn_classify(queries: DataFrame, train: DataFrame, k: int, dims: int) -> Dat
                 ids, labels = np.array([r["id"] for r in rows]), np.array([r["label"] for r in rows])
                 order = np.argsort(ids, kind="stable")
                 t, ids, labels, most, out = t[order], ids[order], labels[order], min(k, len(order)), []
+                # products tell what is surely farther than the k nearest; exact sums are made of what is left
+                q2, t2 = (q * q).sum(1), (t * t).sum(1)
+                slack = 1e-9 * (q2 + t2.max() + 1)
                 for a in range(0, len(q), 64):
-                    d = np.zeros((len(q[a : a + 64]), len(t)))
+                    some = slice(a, a + 64)
+                    rough = q2[some, None] + t2[None] - 2 * (q[some] @ t.T)
+                    far = np.partition(rough, most - 1, axis=1)[:, most - 1] + slack[some]
+                    at, to = np.nonzero(~(rough > far[:, None]))  # not a number is kept too
+                    d = np.zeros(len(at))
                     for j in range(q.shape[1]):
-                        d += (q[a : a + 64, j, None] - t[None, :, j]) ** 2
-                    at = np.argsort(d, axis=1, kind="stable")[:, :most]
-                    name = np.repeat([r["query_id"] for r in asked_[a : a + 64]], most)
-                    out.append(pd.DataFrame({"query_id": name, "id": ids[at].ravel(), "label": labels[at].ravel(), "dist": np.take_along_axis(d, at, 1).ravel()}))
+                        d += (q[some][at, j] - t[to, j]) ** 2
+                    order = np.lexsort((to, d, at))
+                    first = np.searchsorted(at, np.arange(len(q[some])))
+                    kept = order[np.arange(len(order)) - first[at] < most]
+                    name = np.array([r["query_id"] for r in asked_[some]])[at[kept]]
+                    out.append(pd.DataFrame({"query_id": name, "id": ids[to[kept]], "label": labels[to[kept]], "dist": d[kept]}))
                 yield pd.concat(out)
 
     near = pairs.select("asked", "rows").mapInPandas(run, "query_id long, id long, label int, dist double")
