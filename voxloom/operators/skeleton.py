@@ -6,18 +6,20 @@ skeleton as a group; a skeleton is bounded by its cell.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxloom.functions.modes import mode_nearest, mode_smallest
 from voxloom.operators.clusters import clusters
-from voxloom.operators.components import graph_components
+from voxloom.operators.components import graph_components, least_members
 from voxloom.operators.graph import _adjacency, dijkstra
-from voxloom.operators.spatial import distance, nearest_in_group, pairs_within
+from voxloom.operators.spatial import DISTANCES, GROUP_POINTS, distance, k_nearest, nearest_in_group, pairs_within
 from voxloom.session import cut, running_total
 
 XYZ = ("x", "y", "z")
@@ -64,22 +66,60 @@ def _mode(values: list):
     return min(counts, key=lambda v: (-counts[v], v))
 
 
+#: Nodes of a skeleton whose distances to each other are held as one matrix.
+TREE_NODES = 2_000
+
+
+def _tree_distances(names: np.ndarray, e: pd.DataFrame) -> np.ndarray | None:
+    """Path lengths between all nodes of a forest; None if it is none."""
+    n, adj = len(names), [[] for _ in names]
+    u, v = np.searchsorted(names, e["src"].to_numpy()).tolist(), np.searchsorted(names, e["dst"].to_numpy()).tolist()
+    for a, b, w in zip(u, v, e["length"].tolist()):
+        adj[a].append((b, w)), adj[b].append((a, w))
+    dist, seen = np.full((n, n), np.inf), np.zeros(n, bool)
+    trees = 0
+    for root in range(n):
+        if seen[root]:
+            continue
+        trees += 1
+        seen[root], dist[root, root], walk = True, 0.0, [root]
+        for a in walk:
+            for b, w in adj[a]:
+                if not seen[b]:
+                    seen[b] = True
+                    dist[b] = dist[:, b] = dist[a] + w
+                    dist[b, b] = 0.0
+                    walk.append(b)
+    return dist if len(u) == n - trees else None
+
+
+def _votes_on_tree(n: pd.DataFrame, e: pd.DataFrame, attr: str, reach: float) -> np.ndarray | None:
+    """Each node's most frequent value within ``reach``, ties to the smallest; None where one matrix of distances does not do."""
+    ids = n["node_id"].to_numpy()
+    names = np.unique(np.concatenate([ids, e["src"].to_numpy(), e["dst"].to_numpy()])) if len(e) else np.unique(ids)
+    if len(names) > TREE_NODES or len(np.unique(ids)) < len(ids) or n[attr].isna().any() or (len(e) and not (e["length"].to_numpy() >= 0).all()):
+        return None
+    dist = _tree_distances(names, e if len(e) else pd.DataFrame({"src": [], "dst": [], "length": []}, dtype=float))
+    if dist is None:
+        return None
+    at = np.searchsorted(names, ids)
+    values, code = np.unique(n[attr].to_numpy(), return_inverse=True)
+    votes = (dist[np.ix_(at, at)] <= reach).astype(float) @ np.eye(len(values))[code]
+    return values[votes.argmax(1)]
+
+
 def synapse_distance(pairs: DataFrame, synapses: DataFrame, scale=(1.0, 1.0, 1.0)) -> DataFrame:
     """Straight-line distance of each pair ``(syn_a, syn_b)`` of synapses, in the unit of ``scale``."""
     end = lambda s: synapses.select(F.col("syn_id").alias(f"syn_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in XYZ])
     return pairs.join(end("a"), "syn_a").join(end("b"), "syn_b").select("syn_a", "syn_b", distance(scale=scale).alias("dist"))
 
 
-def window_majority(nodes: DataFrame, weighted: DataFrame, attr: str, reach: float, mode: str = "path") -> DataFrame:
-    """Each node's most frequent value among nodes within path distance ``reach``, ties to the smallest.
-
-    ``mode='bfs_budget'`` (K12): the window is breadth-first and ``reach`` is
-    shared by all edges walked; soma nodes (2) keep their value.
-    """
-
+def _window_votes(attr: str, reach: float, mode: str):
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n):
             return pd.DataFrame({"cell_id": [], "node_id": [], attr: []})
+        if mode != "bfs_budget" and (voted := _votes_on_tree(n, e, attr, reach)) is not None:
+            return pd.DataFrame({"cell_id": n["cell_id"], "node_id": n["node_id"], attr: voted})
         adj = _weights(e) if len(e) else {}
         value = dict(zip(n["node_id"].tolist(), n[attr].tolist()))
         rows = []
@@ -101,9 +141,18 @@ def window_majority(nodes: DataFrame, weighted: DataFrame, attr: str, reach: flo
             rows.append((n["cell_id"].iloc[0], i, _mode([value[j] for j in inside if j in value])))
         return pd.DataFrame(rows, columns=["cell_id", "node_id", attr])
 
+    return run
+
+
+def window_majority(nodes: DataFrame, weighted: DataFrame, attr: str, reach: float, mode: str = "path") -> DataFrame:
+    """Each node's most frequent value among nodes within path distance ``reach``, ties to the smallest.
+
+    ``mode='bfs_budget'`` (K12): the window is breadth-first and ``reach`` is
+    shared by all edges walked; soma nodes (2) keep their value.
+    """
     left = nodes.select("cell_id", "node_id", F.col(attr).cast("long").alias(attr))
     right = weighted.select(F.col("cell_id").alias("cell"), "src", "dst", "length")
-    return left.groupBy("cell_id").cogroup(right.groupBy("cell")).applyInPandas(run, f"cell_id long, node_id long, {attr} long")
+    return left.groupBy("cell_id").cogroup(right.groupBy("cell")).applyInPandas(_window_votes(attr, reach, mode), f"cell_id long, node_id long, {attr} long")
 
 
 def component_compartments(nodes: DataFrame, edges: DataFrame, share: float = 0.66, attr: str = "axoness") -> DataFrame:
@@ -120,26 +169,91 @@ def component_compartments(nodes: DataFrame, edges: DataFrame, share: float = 0.
     return called.unionByName(nodes.where(F.col(attr) == 2).select("cell_id", "node_id", F.lit(2).alias(attr)))
 
 
-def smooth_compartments(nodes: DataFrame, weighted: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
-    """K7: window majority on folded labels, then the component rule; nodes that were boutons (3, 4) and end as axon keep their code."""
-    folded = nodes.withColumn("axoness", F.when(F.col("axoness").isin(3, 4), 1).otherwise(F.col("axoness")))
-    smooth = window_majority(folded, weighted, "axoness", reach)
-    ruled = component_compartments(smooth, edges).withColumnRenamed("axoness", "ruled")
-    raw = nodes.select("cell_id", "node_id", "axoness")
-    back = F.when((F.col("ruled") == 1) & F.col("axoness").isin(3, 4), F.col("axoness")).otherwise(F.col("ruled"))
-    return ruled.join(raw, ["cell_id", "node_id"]).select("cell_id", "node_id", back.alias("axoness"))
+def smooth_compartments(nodes: DataFrame, weighted: DataFrame, edges: DataFrame, reach: float, share: float = 0.66) -> DataFrame:
+    """K7: window majority on folded labels, then the component rule; nodes that were boutons (3, 4) and end as axon keep their code.
+
+    The window makes a cell one task's, which follows the other steps there as well: nodes and edges are moved once.
+    """
+    vote = _window_votes("axoness", reach, "path")
+
+    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(n):
+            return pd.DataFrame({"cell_id": [], "node_id": [], "axoness": []})
+        folded = n[["cell_id", "node_id"]].assign(axoness=n["axoness"].where(~n["axoness"].isin([3, 4]), 1))
+        smooth = vote(folded, e).set_index("node_id")["axoness"].reindex(n["node_id"]).to_numpy()
+        soma, names = smooth == 2, np.unique(n["node_id"].to_numpy())
+        part = np.arange(len(names))
+        if len(e):
+            out = np.isin(names, n["node_id"].to_numpy()[soma])
+            u, v = np.searchsorted(names, e["src"].to_numpy()), np.searchsorted(names, e["dst"].to_numpy())
+            inside = ~(out[u] | out[v])
+            part = least_members(len(names), u[inside], v[inside])
+        of = part[np.searchsorted(names, n["node_id"].to_numpy())]
+        axon, all_of = (np.bincount(of[~soma], w[~soma], len(names)) for w in ((smooth == 1).astype(float), np.ones(len(n))))
+        ruled = np.where(soma, 2, np.where(axon[of] / np.maximum(all_of[of], 1) >= share, 1, 0))
+        raw = n["axoness"].to_numpy()
+        return pd.DataFrame({"cell_id": n["cell_id"], "node_id": n["node_id"], "axoness": np.where((ruled == 1) & np.isin(raw, (3, 4)), raw, ruled)})
+
+    kind = nodes.schema["axoness"].dataType.simpleString()
+    own = nodes.select("cell_id", "node_id", "axoness").where("axoness is not null")
+    right = weighted.select(F.col("cell_id").alias("cell"), "src", "dst", "length")
+    return own.groupBy("cell_id").cogroup(right.groupBy("cell")).applyInPandas(run, f"cell_id long, node_id long, axoness {kind}")
+
 
+def attribute_at(coords: DataFrame, nodes: DataFrame, attr: str, radius: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """K8: the nearest node's value; with a radius the majority within it, the nearest as fallback; -1 for cells without skeleton.
 
-def attribute_at(coords: DataFrame, nodes: DataFrame, attr: str, radius: float = 0.0) -> DataFrame:
-    """K8: the nearest node's value; with a radius the majority within it, the nearest as fallback; -1 for cells without skeleton."""
+    The columns ``keep`` of the coordinates come along. A cell with up to GROUP_POINTS nodes is one task's: coordinates and nodes are
+    moved once, what lies within the radius is never a row.
+    """
+    large = cut(nodes.groupBy("cell_id").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_POINTS).select("cell_id"))
+    if not large.take(1):
+        return _attribute_by_task(coords, nodes, attr, radius, keep)
+    by_task = _attribute_by_task(coords.join(large, "cell_id", "left_anti"), nodes.join(large, "cell_id", "left_anti"), attr, radius, keep)
+    return by_task.unionByName(_attribute_by_blocks(coords.join(large, "cell_id", "left_semi"), nodes.join(large, "cell_id", "left_semi"), attr, radius, keep))
+
+
+def _attribute_by_task(coords: DataFrame, nodes: DataFrame, attr: str, radius: float, keep: tuple[str, ...]) -> DataFrame:
+    kind = {f.name: f.dataType.simpleString() for f in coords.schema}
+    names = ["cell_id", "query_id", *keep]
+    value = nodes.schema[attr].dataType.simpleString()
+    out = ", ".join(f"{c} {kind[c]}" for c in names) + f", near {value}, vote {value}"
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return q[names].assign(near=None, vote=None) if len(q) else pd.DataFrame({c: [] for c in [*names, "near", "vote"]})
+        p = p.sort_values("id", kind="stable")
+        at, asked = p[["px", "py", "pz"]].to_numpy(float), q[list(XYZ)].to_numpy(float)
+        held = p["pv"].to_numpy()
+        place, _ = k_nearest(at, asked, 1)
+        frame = q[names].assign(near=held[place[:, 0]], vote=None)
+        if radius > 0:
+            codes, values = pd.factorize(p["pv"], sort=True)
+            each = (codes[:, None] == np.arange(-1, len(values))[None]).astype(np.int64)  # the first column counts nodes without a value
+            most = np.zeros(len(q), np.int64)
+            for i in range(0, len(q), step := max(1, DISTANCES // len(p))):
+                d = asked[i : i + step, None, :] - at[None]
+                n = (np.sqrt((d * d).sum(2)) <= radius).astype(np.int64) @ each
+                most[i : i + step] = np.where(n.max(1) > 0, n.argmax(1), 0)
+            frame["vote"] = np.append(np.array([None], object), np.asarray(values, object))[most]
+        return frame
+
+    own = nodes.where("cell_id is not null").select(F.col("cell_id").alias("pk"), F.col("node_id").alias("id"), *[F.col(c).alias(f"p{c}") for c in XYZ], F.col(attr).alias("pv"))
+    tasks = int(coords.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = coords.select(*names, *XYZ).repartition(tasks, "cell_id")
+    got = asked.groupBy("cell_id").cogroup(own.repartition(tasks, "pk").groupBy("pk")).applyInPandas(run, out)
+    return got.select(*names, F.coalesce("vote", "near", F.lit(-1)).alias(attr))
+
+
+def _attribute_by_blocks(coords: DataFrame, nodes: DataFrame, attr: str, radius: float, keep: tuple[str, ...]) -> DataFrame:
     nearest = nearest_in_group(coords, nodes.withColumnRenamed("node_id", "id"), "cell_id", 1, attr).select("cell_id", "query_id", F.col("value").alias("near"))
-    out = coords.select("cell_id", "query_id").join(nearest, ["cell_id", "query_id"], "left")
+    out = coords.select("cell_id", "query_id", *keep).join(nearest, ["cell_id", "query_id"], "left")
     if radius <= 0:
-        return out.select("cell_id", "query_id", F.coalesce("near", F.lit(-1)).alias(attr))
+        return out.select("cell_id", "query_id", *keep, F.coalesce("near", F.lit(-1)).alias(attr))
     inside = pairs_within(coords.withColumnRenamed("query_id", "id"), nodes.withColumnRenamed("node_id", "id"), radius, on=["cell_id"])
     values = inside.select("cell_id", F.col("id_a").alias("query_id"), F.col("id_b").alias("node_id")).join(nodes.select("cell_id", "node_id", attr), ["cell_id", "node_id"])
     voted = mode_smallest(values, ["cell_id", "query_id"], attr, "vote").drop("vote_count")
-    return out.join(voted, ["cell_id", "query_id"], "left").select("cell_id", "query_id", F.coalesce("vote", "near", F.lit(-1)).alias(attr))
+    return out.join(voted, ["cell_id", "query_id"], "left").select("cell_id", "query_id", *keep, F.coalesce("vote", "near", F.lit(-1)).alias(attr))
 
 
 def transfer_labels(queries: DataFrame, points: DataFrame, k: int, key: str = "obj_id", ignore: tuple[int, ...] = (), stride: int = 1) -> DataFrame:
@@ -196,37 +310,60 @@ def surface_path(vertices: DataFrame, near: float, k: int, free: float = 0.0001)
     of the part before within ``near``; a link costs its length in a counted part, else
     nothing, or ``free`` where it leads to an uncounted part. From the first vertex of the first part to
     the last of the last; infinite if there is no way. ``(path_id, length)``.
+
+    Links are found by all tasks (:func:`nearest_in_group`); the way over a path's links is one task's.
     """
 
-    def run(v: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values(["part", "vid"])
-        at, part, counted = v[list(XYZ)].to_numpy(float), v["part"].to_numpy(), v["counted"].to_numpy()
-        adj: dict[int, list] = {i: [] for i in range(len(v))}
-        before = None
-        for p in np.unique(part):
-            own = np.nonzero(part == p)[0]
-            for a in range(0, len(own), 256):
-                some = own[a : a + 256]
-                d = np.sqrt(((at[some][:, None] - at[own][None]) ** 2).sum(2))
-                for i, row, order in zip(some.tolist(), d, np.argsort(d, axis=1, kind="stable")[:, : k + 1]):
-                    for j in order.tolist():
-                        if own[j] != i and row[j] <= near:
-                            w = float(row[j]) if counted[i] else 0.0
-                            adj[i].append((int(own[j]), w))
-                            adj[int(own[j])].append((i, w))
-                if before is not None:
-                    d = np.sqrt(((at[some][:, None] - at[before][None]) ** 2).sum(2))
-                    for i, row in zip(some.tolist(), d):
-                        j = int(row.argmin())
-                        if row[j] <= near:
-                            w = float(row[j]) if counted[i] else free
-                            adj[i].append((int(before[j]), w))
-                            adj[int(before[j])].append((i, w))
-            before = own
-        length = dijkstra(adj, [0]).get(len(v) - 1, float("inf"))
-        return pd.DataFrame({"path_id": [v["path_id"].iloc[0]], "length": [length]})
-
-    return vertices.select("path_id", "part", "vid", *XYZ, "counted").groupBy("path_id").applyInPandas(run, "path_id long, length double")
+    v = vertices.select("path_id", "part", "vid", *XYZ, "counted")
+    pieces = cut(v.select("path_id", "part").distinct().withColumn("piece", F.monotonically_increasing_id()))
+    one_before = lambda c: F.lag(c).over(Window.partitionBy("path_id").orderBy("part"))
+    parts = cut(pieces.select("*", one_before("part").alias("before"), one_before("piece").alias("piece_before")))
+    v = cut(v.join(pieces, ["path_id", "part"]))
+    points = v.select("piece", F.col("vid").alias("id"), *XYZ)
+    asked = v.select("piece", F.col("vid").alias("query_id"), *XYZ)
+    own = nearest_in_group(asked, points, "piece", k + 1).where((F.col("query_id") != F.col("id")) & (F.col("dist") <= near))
+    back = asked.join(parts.where("before is not null").select("piece", "piece_before"), "piece").select(F.col("piece_before").alias("piece"), "query_id", *XYZ)
+    back = nearest_in_group(back, points, "piece", 1).where(F.col("dist") <= near)
+    ends = lambda to: [F.col("path_id").alias("path"), F.col("part").alias("part_u"), F.col("query_id").alias("u"), F.col(to).alias("part_v"), F.col("id").alias("v"), "dist"]
+    links = own.join(parts, "piece").select(ends("part")).unionByName(back.join(parts.drop("piece").withColumnRenamed("piece_before", "piece"), "piece").select(ends("before")))
+
+    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(n):
+            return pd.DataFrame({"path_id": [], "length": []})
+        n = n.sort_values(["part", "vid"])
+        length = 0.0 if len(n) == 1 else float("inf")
+        if len(e) and len(n) > 1:
+            (p, of), (vid, at) = (np.unique(n[c].to_numpy(), return_inverse=True) for c in ("part", "vid"))
+            code = of * len(vid) + at  # ascending as the rows are
+            place = lambda s: np.searchsorted(code, np.searchsorted(p, e[f"part_{s}"].to_numpy()) * len(vid) + np.searchsorted(vid, e[s].to_numpy()))
+            u, v, d = place("u"), place("v"), e["dist"].to_numpy()
+            cost = np.where(n["counted"].to_numpy(bool)[u], d, np.where(e["part_u"].to_numpy() == e["part_v"].to_numpy(), 0.0, free))
+            length = _way(len(n), u, v, cost)
+        return pd.DataFrame({"path_id": [n["path_id"].iloc[0]], "length": [length]})
+
+    return v.select("path_id", "part", "vid", "counted").groupBy("path_id").cogroup(links.groupBy("path")).applyInPandas(run, "path_id long, length double")
+
+
+def _way(n: int, u: np.ndarray, v: np.ndarray, cost: np.ndarray) -> float:
+    """Shortest way from the first to the last of ``n`` nodes over links of both directions."""
+    a, b, w = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([cost, cost])
+    order = np.argsort(a, kind="stable")
+    to, w, start = b[order], w[order], np.searchsorted(a[order], np.arange(n + 1))
+    dist, done, heap = np.full(n, np.inf), np.zeros(n, bool), [(0.0, 0)]
+    dist[0] = 0.0
+    while heap:
+        d, i = heapq.heappop(heap)
+        if i == n - 1:
+            return d
+        if done[i]:
+            continue
+        done[i] = True
+        near, e = to[start[i] : start[i + 1]], d + w[start[i] : start[i + 1]]
+        for j in np.flatnonzero(e < dist[near]).tolist():
+            if e[j] < dist[near[j]]:
+                dist[near[j]] = e[j]
+                heapq.heappush(heap, (float(e[j]), int(near[j])))
+    return float("inf")
 
 
 def _branches(adj: dict[int, list[int]]) -> list[list[int]]:
@@ -321,8 +458,6 @@ def grid_means(points: DataFrame, key: str, step: float) -> DataFrame:
 
 def density_samples(points: DataFrame, key: str, bins: float, most: int, radius: float) -> DataFrame:
     """The ``most`` fullest bins per key (ties in bin order), each as the mean of the points within ``radius`` of the bin's point nearest its centre."""
-    from pyspark.sql.window import Window
-
     binned = points.select(key, "id", *XYZ, *[F.floor(F.col(c) / bins).alias(f"g{c}") for c in XYZ])
     g = ["gx", "gy", "gz"]
     centre = sum((F.col(c) - (F.col(f"g{c}") + 0.5) * bins) ** 2 for c in XYZ)
@@ -379,8 +514,6 @@ def mesh_area(faces: DataFrame, vertices: DataFrame, key: str = "obj_id") -> Dat
 
 def merged_faces(faces: DataFrame, vertices: DataFrame, key: str = "obj_id") -> DataFrame:
     """Faces of one mesh made of all: vertex numbers within each mesh, shifted by the vertices of the meshes before it."""
-    from pyspark.sql.window import Window
-
     shift = running_total(vertices.groupBy(key).agg(F.count("*").alias("n")), [key], F.col("n"), "shift").drop("n")
     place = vertices.select(key, "vid", (F.row_number().over(Window.partitionBy(key).orderBy("vid")) - 1).alias("p"))
     out = faces

@@ -174,8 +174,7 @@ def x10_sign_ratio_by_skeleton(spark, d):
     """The compartment of a synapse is that of its cell's nearest skeleton node."""
     from voxloom.operators.skeleton import attribute_at
 
-    syn = _syn(spark, d)
-    coords = syn.select(F.col("cell_1").alias("cell_id"), F.col("syn_id").alias("query_id"), "x", "y", "z")
+    coords = _syn(spark, d).select(F.col("cell_1").alias("cell_id"), F.col("syn_id").alias("query_id"), "x", "y", "z", "syn_sign", "mesh_area")
     nodes = view(spark, d, "skel_nodes")
-    own = attribute_at(coords.join(nodes.select("cell_id").distinct(), "cell_id", "left_semi"), nodes, "axoness").select(F.col("query_id").alias("syn_id"), F.col("axoness").alias("own"))
-    return W.sign_ratio_of(syn.join(own, "syn_id").withColumn("cell", F.col("cell_1")), [1, 3, 4]).withColumn("ratio", r6("ratio"))
+    own = attribute_at(coords.join(nodes.select("cell_id").distinct(), "cell_id", "left_semi"), nodes, "axoness", keep=("syn_sign", "mesh_area"))
+    return W.sign_ratio_of(own.withColumnsRenamed({"axoness": "own", "cell_id": "cell"}), [1, 3, 4]).withColumn("ratio", r6("ratio"))
