@@ -2,8 +2,8 @@
 
 Space is cut into blocks; a block takes the places beyond its upper faces that its own
 may reach, finds the components of what it holds, and says which places it shares. Pairs of
-places are never rows: what is shuffled is each place once or a few times, and one
-edge for each place that several blocks hold.
+places are never rows: what is shuffled is each place once or a few times, and each place
+that several blocks hold once more, with its part in each of them. Parts, not places, are then joined over the blocks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
+from pyspark.sql.window import Window
 
 from voxloom.operators.components import graph_components, least_members
 from voxloom.session import cut
@@ -98,6 +99,7 @@ def clusters(points: DataFrame, gap: float, key: list[str], scale=(1.0, 1.0, 1.0
     cols, r = within or ([], 0.0)
     width = [max(gap / float(s), r) for s in scale]
     known = " and ".join([f"{c} is not null and not isnan({c})" for c in XYZ] + [f"{k} is not null" for k in key])
+    points = cut(points)  # it is read twice, what makes it runs once
     held = points.where(known)
     low = {c: F.floor((F.col(c) - w * (1 + 1e-6)) / (w * WIDTH)).cast("long") for c, w in zip(XYZ, width)}
     own = {c: F.floor(F.col(c) / (w * WIDTH)).cast("long") for c, w in zip(XYZ, width)}
@@ -122,8 +124,9 @@ def clusters(points: DataFrame, gap: float, key: list[str], scale=(1.0, 1.0, 1.0
 
     made = cut(held.groupBy(*key, "block_x", "block_y", "block_z").applyInPandas(run, kind))
     mine = made.where("own_place").drop("own_place", "shared_place")
-    links = made.where("shared_place").select(F.col("least_here").alias("src"), F.col("id").alias("dst"))
-    loops = mine.select(F.col("least_here").alias("src"), F.col("least_here").alias("dst")).distinct()
-    comp = graph_components(links.unionByName(loops)).withColumnRenamed("node", "least_here")
-    named = mine.join(comp, "least_here").select(*points.columns, "component")
+    # a place that several blocks hold tells that its parts there are one; parts that share no place with another are whole
+    part = F.min("least_here").over(Window.partitionBy("id"))
+    links = made.where("shared_place").select("least_here", part.alias("src")).where("src <> least_here").distinct()
+    comp = graph_components(links, "src", "least_here").withColumnRenamed("node", "least_here")
+    named = mine.join(comp, "least_here", "left").select(*points.columns, F.coalesce("component", "least_here").alias("component"))
     return named.unionByName(points.where(f"not coalesce({known}, false)").withColumn("component", F.col("id")))

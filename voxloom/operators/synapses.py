@@ -120,12 +120,13 @@ def synapse_rows(clustered: DataFrame, least: int) -> DataFrame:
     C9: the shares are weighted by the fragments' voxels in the component.
     """
     key = [*PAIR, "component"]
-    frag = clustered.groupBy(*key, "syn_id", "sym_share", "asym_share").agg(F.count("*").alias("n"))
-    shares = frag.groupBy(*key).agg(
-        (F.sum(F.col("sym_share") * F.col("n")) / F.sum("n")).alias("sym"), (F.sum(F.col("asym_share") * F.col("n")) / F.sum("n")).alias("asym"), F.count("*").alias("n_fragments")
+    ends = {**{f"min_{c}": (F.min, c) for c in XYZ}, **{f"max_incl_{c}": (F.max, c) for c in XYZ}}
+    frag = clustered.groupBy(*key, "syn_id", "sym_share", "asym_share").agg(F.count("*").alias("n"), *[f(c).alias(e) for e, (f, c) in ends.items()])
+    share = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    rows = frag.groupBy(*key).agg(
+        F.sum("n").alias("size"), *[f(e).alias(e) for e, (f, _) in ends.items()], share("sym_share").alias("sym"), share("asym_share").alias("asym"), F.count("*").alias("n_fragments")
     )
-    box = clustered.groupBy(*key).agg(F.count("*").alias("size"), *[F.min(c).alias(f"min_{c}") for c in XYZ], *[F.max(c).alias(f"max_incl_{c}") for c in XYZ])
-    return box.where(F.col("size") >= least).join(shares, key)
+    return rows.where(F.col("size") >= least)
 
 
 def sign(sym: Column, asym: Column, limit: float = SYM_RATIO) -> tuple[Column, Column]:
