@@ -145,3 +145,25 @@ def test_blocks_stay_where_they_are(spark):
     join = plan.index("SortMergeJoin")
     between = plan[join:scan]
     assert "Bucketed: true" in plan[scan:] and "Exchange" not in between
+
+
+def test_blocks_and_nodes_are_not_sent_through_the_driver(spark, monkeypatch):
+    """F32: joins of blocks, of the forest over them and of its parts; a graph that takes more than one round."""
+    from growth import joins_by_broadcast
+
+    from voxloom.operators import components, forest
+
+    monkeypatch.setattr(components, "TASK_EDGES", 20)
+    monkeypatch.setattr(I, "spanning_forest", lambda e, key, order: forest.spanning_forest(e, key, order, 60))
+    rng = np.random.default_rng(6)
+    shape, size = (12, 6, 6), (4, 3, 3)
+    height = np.where(rng.random(shape) < 0.8, rng.integers(1, 9, shape), 0)
+    mask, got = np.where(height > 5, 1, 0), []
+
+    def run():
+        seeds, _ = I.instance_segmentation(blocks_of(spark, mask, size), size, shape)
+        got.append(whole(I.watershed(seeds, blocks_of(spark, height, size), size, shape), shape, size))
+
+    # what is still sent is the list of groups of more than 60 edges, which filters them
+    assert joins_by_broadcast(spark, run) <= {"LeftSemi", "LeftAnti"}
+    assert (got[0] == flood(flooded_components(mask != 0), height)).all()

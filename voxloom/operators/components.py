@@ -57,6 +57,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     graph. All steps are aggregations with map-side combine and equi-joins; a hub
     is one row after the aggregation, and its edges can be split by the skew join.
 
+    Tables of nodes are small files of many rows; they are joined by shuffles, so that none is sent through the driver.
+
     With ``task_edges`` the rounds end when no more edges are left; whole numbers are
     then joined by one task.
 
@@ -85,7 +87,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         )
         a, b = pick.withColumnsRenamed({"rep": "ru"}), pick.withColumnsRenamed({"u": "v", "rep": "rv"})
         nxt = cut(
-            sym.join(a, "u").join(b, "v").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).where("u <> v").distinct()
+            sym.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).where("u <> v").distinct()
         )
         maps.append(pick)
         if live is not first:
@@ -98,9 +100,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         return nodes.select(F.col("u").alias("node"), F.col("u").alias("component"))
     label = maps[0].withColumnsRenamed({"u": "node", "rep": "at"})
     for step in maps[1:]:
-        label = label.join(step.withColumnRenamed("u", "at"), "at", "left").select("node", F.coalesce("rep", "at").alias("at"))
+        label = label.join(step.withColumnRenamed("u", "at").hint("merge"), "at", "left").select("node", F.coalesce("rep", "at").alias("at"))
     smallest = label.groupBy("at").agg(F.min("node").alias("component"))
-    linked = label.join(smallest, "at").select("node", "component")
+    linked = label.join(smallest.hint("merge"), "at").select("node", "component")
     loops = first.where("u = v").select(F.col("u").alias("node")).distinct()
-    alone = loops.join(linked.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+    alone = loops.join(linked.select("node").hint("merge"), "node", "left_anti").select("node", F.col("node").alias("component"))
     return linked.unionByName(alone)

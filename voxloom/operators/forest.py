@@ -49,10 +49,10 @@ def _by_task(live: DataFrame, order: list[str]) -> DataFrame:
 def _roots(picks: DataFrame) -> DataFrame:
     """``(grp, u, rep)`` from each node's pick ``p``: the smaller of two that pick each other, found by doubling of the pointers."""
     back = picks.select("grp", F.col("u").alias("p"), F.col("p").alias("pp"))
-    ptr = cut(picks.join(back, ["grp", "p"]).select("grp", "u", F.when((F.col("pp") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("p")))
+    ptr = cut(picks.join(back.hint("merge"), ["grp", "p"]).select("grp", "u", F.when((F.col("pp") == F.col("u")) & (F.col("u") < F.col("p")), F.col("u")).otherwise(F.col("p")).alias("p")))
     while True:
         step = ptr.select("grp", F.col("u").alias("p"), F.col("p").alias("pp"))
-        nxt = cut(ptr.join(step, ["grp", "p"]).select("grp", "u", "pp", (F.col("p") != F.col("pp")).alias("moved")))
+        nxt = cut(ptr.join(step.hint("merge"), ["grp", "p"]).select("grp", "u", "pp", (F.col("p") != F.col("pp")).alias("moved")))
         moved = nxt.where("moved").limit(1).count()
         drop_cut(ptr)
         ptr = nxt.select("grp", "u", F.col("pp").alias("p"))
@@ -69,7 +69,7 @@ def spanning_forest(edges: DataFrame, key: str, order: list[str], task_edges: in
 
     A group of at most ``task_edges`` edges is one task's. In a larger one each node picks its least edge; those are in the
     forest, and the graph is contracted onto what they join (picks point along falling edges, and pointer
-    doubling finds where they lead). Nodes fall to half at least in a round, and parallel edges
+    doubling finds where they lead). Tables of nodes are joined by shuffles and never sent through the driver. Nodes fall to half at least in a round, and parallel edges
     to one, until the group fits. No task holds more of a group than that. Self-loops and nulls at an end are left out.
     """
     named = edges.select(F.col(key).alias("grp"), F.col("src").alias("u"), F.col("dst").alias("v"), *[F.col(c).alias(f"o_{c}") for c in order])
@@ -91,7 +91,7 @@ def spanning_forest(edges: DataFrame, key: str, order: list[str], task_edges: in
         done.append(best.select("grp", *[F.col(f"b.r.{c}").alias(c) for c in order_cols]).distinct())
         reps = _roots(best.select("grp", "u", F.col("b.v").alias("p")))
         a, b = reps.withColumnRenamed("rep", "ru"), reps.withColumnsRenamed({"u": "v", "rep": "rv"})
-        merged = live.join(a, ["grp", "u"]).join(b, ["grp", "v"]).where("ru <> rv")
+        merged = live.join(a.hint("merge"), ["grp", "u"]).join(b.hint("merge"), ["grp", "v"]).where("ru <> rv")
         pairs = merged.groupBy("grp", F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min(rank).alias("r"))
         live = cut(pairs.select("grp", "u", "v", "r.*"))
     out = done[0]

@@ -3,6 +3,8 @@
 Blocks are binary rows and stay where they are; what they exchange are faces and what
 follows from them. A voxel's number is its place in scan order, from 1; an object is
 named by its first voxel.
+
+Blocks of few labels are small in files and large in memory, so joins of blocks are hinted: none goes through the driver.
 """
 
 from __future__ import annotations
@@ -172,7 +174,7 @@ def relabel_blocks(blocks: DataFrame, mapping: DataFrame, size: tuple[int, int,
                 out.append(np.ascontiguousarray(a, "<i8").tobytes())
             yield f[[*KEY, "nx", "ny", "nz"]].assign(data=out)
 
-    return blocks.join(pairs, KEY, "left").mapInPandas(run, B.SCHEMA)
+    return blocks.join(pairs.hint("merge"), KEY, "left").mapInPandas(run, B.SCHEMA)
 
 
 def instance_segmentation(blocks: DataFrame, size: tuple[int, int, int], shape: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +224,7 @@ def drop_small(blocks: DataFrame, least: int, size: tuple[int, int, int], shape:
             out = [d if g is None else np.where(np.isin(a := np.frombuffer(d, "<i8"), g), 0, a).tobytes() for d, g in zip(f["data"], f["gone"])]
             yield f[[*KEY, "nx", "ny", "nz"]].assign(data=out)
 
-    return blocks.join(gone, KEY, "left").mapInPandas(run, B.SCHEMA)
+    return blocks.join(gone.hint("merge"), KEY, "left").mapInPandas(run, B.SCHEMA)
 
 
 ORDER = ["w1", "w2", "w3", "w4"]
@@ -267,7 +269,7 @@ def watershed(seeds: DataFrame, heights: DataFrame, size: tuple[int, int, int],
 
     Objects may reach over any number of blocks. Voxels that no seed reaches become 0. Seeds are labels above 0.
     """
-    both = cut_in_buckets(heights.select(*KEY, "nx", "ny", "nz", "data").join(seeds.select(*KEY, F.col("data").alias("seed")), KEY), KEY)
+    both = cut_in_buckets(heights.select(*KEY, "nx", "ny", "nz", "data").join(seeds.select(*KEY, F.col("data").alias("seed")).hint("merge"), KEY), KEY)
     schema = "src long, dst long, " + ", ".join(f"{w} long" for w in ORDER)
 
     def inner(frames):
@@ -314,4 +316,4 @@ def watershed(seeds: DataFrame, heights: DataFrame, size: tuple[int, int, int],
                 out.append(np.where(seed > 0, seed, np.where(on, label, 0)).astype("<i8").tobytes())
             yield f[[*KEY, "nx", "ny", "nz"]].assign(data=out)
 
-    return both.join(per, KEY, "left").mapInPandas(outer, B.SCHEMA)
+    return both.join(per.hint("merge"), KEY, "left").mapInPandas(outer, B.SCHEMA)
