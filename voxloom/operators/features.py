@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.session import cut
+
 AXON_LIKE = [1, 3, 4]
 COMPARTMENT = {"axon": 1, "dendrite": 0, "soma": 2}
 
@@ -152,28 +154,47 @@ def standardise(table: DataFrame, columns: list[str]) -> DataFrame:
     return table.select(*out)
 
 
-def vector_distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two arrays."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+#: Cells of a block of the pairs of a set, at most (in expectation).
+PAIR_BLOCK = 4000
+
+
+def pair_blocks(cells: int, most: int, tasks: int) -> int:
+    """Blocks of a set of cells: of ``most`` cells, or as many more as give each of ``tasks`` some pairs of blocks of at least 64 cells."""
+    return max(-(-cells // most), min(math.isqrt(32 * tasks), -(-cells // 64)), 1)
 
 
-def pairwise_distance(vectors: DataFrame, parts: list[str], key: str = "cell", block: int = 1000) -> DataFrame:
+def pairwise_distance(vectors: DataFrame, parts: list[str], key: str = "cell") -> DataFrame:
     """Mean of the parts' Euclidean distances that are above 0, parts that are all zero on a side left out; 1000 if none.
 
-    The result has a row for each pair of the stated set of cells; its pairs are joined
-    by blocks of ``block`` cells: every row goes into one block and meets each block once.
+    The result has a row for each pair of the stated set of cells. Each pair of blocks of cells is joined once, by as many tasks as
+    the session has partitions, and the pairs are neither shuffled nor held. The parts' elements are columns, so that a pair is plain arithmetic.
     """
-    blocks = -(-vectors.count() // block) or 1
-    at = F.pmod(F.xxhash64(key), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
-    left = vectors.select(F.col(key).alias("a"), *[F.col(p).alias(f"{p}_a") for p in parts], every)
-    right = vectors.select(F.col(key).alias("b"), *[F.col(p).alias(f"{p}_b") for p in parts], at.alias("block"))
-    pairs = left.join(right, "block").where("a < b")
-    some = lambda c: F.exists(c, lambda x: x != 0)
-    dists = [F.when(some(f"{p}_a") & some(f"{p}_b"), vector_distance(F.col(f"{p}_a"), F.col(f"{p}_b"))) for p in parts]
-    good = F.filter(F.array(*dists), lambda x: x > 0)
-    mean = F.aggregate(good, F.lit(0.0), lambda s, x: s + x) / F.size(good)
-    return pairs.select("a", "b", F.when(F.size(good) > 0, mean).otherwise(1000.0).alias("dist"))
+    vectors = cut(vectors.where(F.col(key).isNotNull()).select(key, *parts))  # counted and joined
+    seen = vectors.agg(F.count("*"), *[F.max(F.size(p)) for p in parts]).first()
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, wide = pair_blocks(seen[0], PAIR_BLOCK, tasks), [max(w or 0, 0) for w in seen[1:]]
+    own = F.pmod(F.xxhash64(key), F.lit(n))
+    some = lambda p: F.coalesce(F.exists(p, lambda x: x != 0), F.lit(False))
+
+    def side(s: str, i: Column, j: Column) -> DataFrame:
+        values = [F.get(p, F.lit(k)).cast("double").alias(f"{p}_{k}_{s}") for p, w in zip(parts, wide) for k in range(w)]
+        flat = vectors.select(F.col(key).alias(s), *[some(p).alias(f"{p}_{s}") for p in parts], *values, own.alias("own"))
+        return flat.withColumn("i", i).withColumn("j", j).drop("own").repartition(tasks, "i", "j")
+
+    each = lambda low, high: F.explode(F.sequence(low, high))
+    left = side("p", F.col("own"), each(F.col("own"), F.lit(n - 1).cast("long")))
+    right = side("q", each(F.lit(0).cast("long"), F.col("own")), F.col("own"))
+    pairs = left.join(right.hint("merge"), ["i", "j"]).where("i < j or p < q")
+
+    def apart(p: str, w: int) -> Column:
+        squares = [(F.col(f"{p}_{k}_p") - F.col(f"{p}_{k}_q")) * (F.col(f"{p}_{k}_p") - F.col(f"{p}_{k}_q")) for k in range(w)]
+        return F.when(F.col(f"{p}_p") & F.col(f"{p}_q"), F.sqrt(sum(squares, F.lit(0.0))))
+
+    dists = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), *[apart(p, w).alias(p) for p, w in zip(parts, wide)])
+    good = [F.col(p) > 0 for p in parts]
+    total = sum((F.when(g, F.col(p)).otherwise(0.0) for g, p in zip(good, parts)), F.lit(0.0))
+    number = sum((F.when(g, 1).otherwise(0) for g in good), F.lit(0))
+    return dists.select("a", "b", F.when(number > 0, total / number).otherwise(1000.0).alias("dist"))
 
 
 def combined_distance(features: DataFrame, wiring: DataFrame) -> DataFrame:
