@@ -33,3 +33,9 @@ def softmax(values: Column) -> Column:
 def r6(c: Column | str) -> Column:
     """Rounded to six places; sums of doubles differ in order beyond that."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def r6_plain(c: Column | str) -> Column:
+    """:func:`r6` of values from 0 on by arithmetic alone, for rows without number: halves go up, as in SQL's ``round`` of a double."""
+    y = (F.col(c) if isinstance(c, str) else c) * 1e6
+    return (F.floor(y) + F.when(y - F.floor(y) >= 0.5, 1).otherwise(0)) / F.lit(1e6)

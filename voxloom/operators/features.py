@@ -170,15 +170,16 @@ def pairwise_distance(vectors: DataFrame, parts: list[str], key: str = "cell") -
     the session has partitions, and the pairs are neither shuffled nor held. The parts' elements are columns, so that a pair is plain arithmetic.
     """
     vectors = cut(vectors.where(F.col(key).isNotNull()).select(key, *parts))  # counted and joined
-    seen = vectors.agg(F.count("*"), *[F.max(F.size(p)) for p in parts]).first()
+    seen = vectors.agg(F.count("*"), *[f(F.when(F.col(p).isNotNull(), F.size(p))) for f in (F.max, F.min) for p in parts]).first()
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n, wide = pair_blocks(seen[0], PAIR_BLOCK, tasks), [max(w or 0, 0) for w in seen[1:]]
+    n, wide, least = pair_blocks(seen[0], PAIR_BLOCK, tasks), [w or 0 for w in seen[1 : len(parts) + 1]], [w or 0 for w in seen[len(parts) + 1 :]]
     own = F.pmod(F.xxhash64(key), F.lit(n))
     some = lambda p: F.coalesce(F.exists(p, lambda x: x != 0), F.lit(False))
 
     def side(s: str, i: Column, j: Column) -> DataFrame:
         values = [F.get(p, F.lit(k)).cast("double").alias(f"{p}_{k}_{s}") for p, w in zip(parts, wide) for k in range(w)]
-        flat = vectors.select(F.col(key).alias(s), *[some(p).alias(f"{p}_{s}") for p in parts], *values, own.alias("own"))
+        sizes = [F.size(p).alias(f"{p}_size_{s}") for p in parts]
+        flat = vectors.select(F.col(key).alias(s), *sizes, *[some(p).alias(f"{p}_{s}") for p in parts], *values, own.alias("own"))
         return flat.withColumn("i", i).withColumn("j", j).drop("own").repartition(tasks, "i", "j")
 
     each = lambda low, high: F.explode(F.sequence(low, high))
@@ -186,17 +187,21 @@ def pairwise_distance(vectors: DataFrame, parts: list[str], key: str = "cell") -
     right = side("q", each(F.lit(0).cast("long"), F.col("own")), F.col("own"))
     pairs = left.join(right.hint("merge"), ["i", "j"]).where("i < j or p < q")
 
-    def apart(p: str, w: int) -> Column:
+    def apart(p: str, w: int, least: int) -> Column:
+        ended = lambda k: (F.col(f"{p}_size_p") <= k) & (F.col(f"{p}_size_q") <= k)
         squares = [(F.col(f"{p}_{k}_p") - F.col(f"{p}_{k}_q")) * (F.col(f"{p}_{k}_p") - F.col(f"{p}_{k}_q")) for k in range(w)]
+        squares = [x if k < least else F.when(ended(k), 0.0).otherwise(x) for k, x in enumerate(squares)]
         return F.when(F.col(f"{p}_p") & F.col(f"{p}_q"), F.sqrt(sum(squares, F.lit(0.0))))
 
-    dists = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), *[apart(p, w).alias(p) for p, w in zip(parts, wide)])
+    dists = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), *[apart(p, *w).alias(p) for p, *w in zip(parts, wide, least)])
     good = [F.col(p) > 0 for p in parts]
     total = sum((F.when(g, F.col(p)).otherwise(0.0) for g, p in zip(good, parts)), F.lit(0.0))
     number = sum((F.when(g, 1).otherwise(0) for g in good), F.lit(0))
     return dists.select("a", "b", F.when(number > 0, total / number).otherwise(1000.0).alias("dist"))
 
 
-def combined_distance(features: DataFrame, wiring: DataFrame) -> DataFrame:
-    """Feature distance plus wiring distance of the same pairs."""
-    return features.join(wiring.withColumnRenamed("dist", "w"), ["a", "b"]).select("a", "b", (F.col("dist") + F.col("w")).alias("dist"))
+def combined_distance(vectors: DataFrame, parts: list[str], matrix: DataFrame) -> DataFrame:
+    """Feature distance plus wiring distance of each pair of cells. Both are made where the pair is, so that no pair is joined or moved."""
+    from voxloom.operators.wiring import pair_distances
+
+    return pair_distances(matrix, vectors, parts=parts)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxloom.session import running_total
+from voxloom.operators.features import pair_blocks
+from voxloom.session import cut, running_total
 
 
 def fold_boutons(c: str) -> Column:
@@ -145,65 +146,113 @@ def dense_matrix(syn: DataFrame, cells: DataFrame, least: float) -> DataFrame:
 
 #: Cells in a block of the pairs of a set (in expectation).
 PAIR_BLOCK = 1000
+#: Distances of the parts of cells that a task works on at a time.
+STRIPE = 200_000
 
 
 def wiring_distance(matrix: DataFrame, cells: DataFrame, compat: bool = False) -> DataFrame:
     """Per pair of cells (1 - IoU of inputs) + (1 - IoU of outputs); a term without any partner is 1.
 
-    Common partners come from a join on the partner. The result has a row for each pair of the given set of
-    cells; these are made by pairs of blocks of cells, in the task that gets the blocks' counts and their pairs with
-    common partners. So the rest of the pairs is never shuffled or held, and a task holds those of two blocks. With ``compat`` the second
+    The result has a row for each pair of the given set of cells. With ``compat`` the second
     term counts inputs and outputs together, as if the counters ran on.
     """
-    ids = cells.where("cell is not null").select("cell").distinct()
-    n = -(-ids.count() // PAIR_BLOCK) or 1
+    return pair_distances(matrix, cells.select("cell").distinct(), compat)
+
+
+def pair_distances(matrix: DataFrame, cells: DataFrame, compat: bool = False, parts: list[str] | None = None) -> DataFrame:
+    """:func:`wiring_distance` for each pair of rows of ``cells``; with ``parts`` (arrays of numbers) their distance (N18) is added to it.
+
+    Common partners come from a join on the partner. Pairs are made by pairs of blocks of cells, in the task that gets the blocks' counts and
+    parts and their pairs with common partners. So the rest of the pairs is never shuffled or held, and a task holds those of two blocks.
+    """
+    parts = parts or []
+    cells = cut(cells.where("cell is not null").select("cell", *parts))
+    matrix = cut(matrix.select("pre", "post").distinct())  # read by either side's counts and common partners
+    ids = cells.select("cell").distinct()
+    tasks = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = pair_blocks(cells.count(), PAIR_BLOCK, tasks)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
 
     def partners_of(own: str, partner: str) -> DataFrame:
-        return matrix.select(F.col(own).alias("cell"), F.col(partner).alias("partner")).distinct().join(ids, "cell", "left_semi")
+        return matrix.select(F.col(own).alias("cell"), F.col(partner).alias("partner")).join(ids.hint("merge"), "cell", "left_semi")
 
-    # rows of a pair of blocks (i, j): kind 0 and 1 are the cells of i and j with their counts, 2 and 3 pairs with common inputs and outputs
+    # rows of a pair of blocks (i, j): kind 0 and 1 are the cells of i and j with their counts and parts, 2 and 3 pairs with common inputs and outputs
     zero, none = F.lit(0).cast("long"), F.lit(None).cast(ids.schema["cell"].dataType)
     sides = {"in": partners_of("post", "pre"), "out": partners_of("pre", "post")}
-    counted = ids
+    counted = cells
     for name, e in sides.items():
-        counted = counted.join(e.groupBy("cell").agg(F.count("*").alias(name)), "cell", "left")
+        counted = counted.join(e.groupBy("cell").agg(F.count("*").alias(name)).hint("merge"), "cell", "left")
     counts = [F.coalesce(name, zero).alias(c) for name, c in zip(sides, ("n", "m"))]
+    # parts that are all zero or not all known have no distance; they are empty, not null, since Arrow's writer looks through all nulls before a row to size a batch
+    blank = F.array().cast("array<double>")
+    known = [F.when(F.coalesce(F.exists(p, lambda x: x != 0), F.lit(False)) & ~F.exists(p, lambda x: x.isNull()), F.col(p).cast("array<double>")).otherwise(blank).alias(p) for p in parts]
     each = lambda a, b: F.explode(F.sequence(F.lit(a).cast("long") if isinstance(a, int) else a, F.lit(b).cast("long") if isinstance(b, int) else b))
-    own = counted.select(F.col("cell").alias("a"), none.alias("b"), *counts, block("cell").alias("own"))
-    rows = own.select(F.col("own").alias("i"), each(F.col("own"), n - 1).alias("j"), F.lit(0).alias("kind"), "a", "b", "n", "m")
-    rows = rows.unionByName(own.select(each(0, F.col("own")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("kind"), "a", "b", "n", "m"))
+    own = counted.select(F.col("cell").alias("a"), none.alias("b"), *counts, *known, block("cell").alias("own"))
+    rows = own.select(F.col("own").alias("i"), each(F.col("own"), n - 1).alias("j"), F.lit(0).alias("kind"), "a", "b", "n", "m", *parts)
+    rows = rows.unionByName(own.select(each(0, F.col("own")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("kind"), "a", "b", "n", "m", *parts))
     for kind, e in enumerate(sides.values(), 2):
-        common = e.toDF("a", "partner").join(e.toDF("b", "partner"), "partner").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+        common = e.toDF("a", "partner").join(e.toDF("b", "partner").hint("merge"), "partner").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
         turned = block("a") > block("b")
         ends = [F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))]
-        rows = rows.unionByName(common.select(block(ends[0]).alias("i"), block(ends[1]).alias("j"), F.lit(kind).alias("kind"), ends[0].alias("a"), ends[1].alias("b"), "n", zero.alias("m")))
-
-    def term(c: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return np.where(u > 0, 1 - c / np.maximum(u, 1), 1.0)
+        rows = rows.unionByName(common.select(block(ends[0]).alias("i"), block(ends[1]).alias("j"), F.lit(kind).alias("kind"), ends[0].alias("a"), ends[1].alias("b"), "n", zero.alias("m"), *[blank.alias(p) for p in parts]))
+
+    def apart(group: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """N18 of the cells in the rows ``left`` and ``right``."""
+        total, number = np.zeros((2, len(left), len(right)))
+        for p in parts:
+            column = group.column(p).combine_chunks()
+            flat, start, size = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.value_lengths().to_numpy()
+            for w in np.unique(size[left][size[left] > 0]):
+                one, two = np.flatnonzero(size[left] == w), np.flatnonzero(size[right] == w)
+                if not len(two):
+                    continue
+                at = [flat[start[rows][:, None] + np.arange(w)] for rows in (left[one], right[two])]
+                for s in range(0, len(one), step := max(1, STRIPE // len(two))):
+                    d = np.zeros((len(one[s : s + step]), len(two)))
+                    for k in range(w):
+                        by = at[0][s : s + step, k, None] - at[1][None, :, k]
+                        by *= by
+                        d += by
+                    d = np.sqrt(d, out=d)
+                    good = ~(d <= 0)
+                    to = np.ix_(one[s : s + step], two)
+                    total[to] += np.where(good, d, 0.0)
+                    number[to] += good
+        return np.divide(total, number, out=np.full(total.shape, 1000.0), where=number > 0)
 
     def run(group: pa.Table) -> pa.Table:
         kind, left, right, n, m = (group.column(c).to_numpy() for c in ("kind", "a", "b", "n", "m"))
-        sides = []
-        for k in (0, 1):
-            at = np.flatnonzero(kind == k)
-            at = at[np.argsort(left[at], kind="stable")]
-            sides.append((left[at], n[at], m[at]))
-        (one, n1, m1), (two, n2, m2) = sides
-        c, u = [], []
-        for k, p, q in ((2, n1, n2), (3, m1, m2)):
-            at, shared = kind == k, np.zeros((len(one), len(two)), np.int64)
-            if at.any():
-                shared[np.searchsorted(one, left[at].astype(one.dtype)), np.searchsorted(two, right[at].astype(two.dtype))] = n[at]
-            c.append(shared), u.append(p[:, None] + q[None, :] - shared)
-        dist = term(c[0], u[0]) + (term(c[0] + c[1], u[0] + u[1]) if compat else term(c[1], u[1]))
-        first = one[:, None] < two[None, :]
-        low, high = np.where(first, one[:, None], two[None, :]), np.where(first, two[None, :], one[:, None])
-        # a block with itself has each pair twice and every cell with itself
-        kept = first if group.column("i")[0] == group.column("j")[0] else np.ones_like(first)
-        return pa.table({"a": low[kept], "b": high[kept], "dist": dist[kept]})
+        rows = [at[np.argsort(left[at], kind="stable")] for at in (np.flatnonzero(kind == k) for k in (0, 1))]
+        one, two = (left[at] for at in rows)
+        shared = np.zeros((2, len(one), len(two)), np.int32)
+        for k in (2, 3):
+            if (at := np.flatnonzero(kind == k)).size:
+                places = []
+                for cells, wanted in ((one, left[at]), (two, right[at].astype(two.dtype))):  # a cell may have several rows
+                    first, last = np.searchsorted(cells, wanted), np.searchsorted(cells, wanted, side="right")
+                    places.append((first, last - first))
+                (r, many), (c, more) = places
+                if (many == 1).all() and (more == 1).all():
+                    shared[k - 2, r, c] = n[at]
+                else:
+                    for x, y, z, w, v in zip(r, many, c, more, n[at]):
+                        shared[k - 2, x : x + y, z : z + w] = v
+        wired = np.full(shared.shape[1:], 2.0)  # pairs without a common partner
+        r, c = np.nonzero(shared[0] | shared[1])
+        terms = []
+        for k, count in enumerate((n, m)):
+            both = shared[k, r, c].astype(np.int64)
+            terms.append((both, count[rows[0]][r] + count[rows[1]][c] - both))
+        if compat:
+            terms[1] = (terms[0][0] + terms[1][0], terms[0][1] + terms[1][1])
+        wired[r, c] = sum(np.where(u > 0, 1 - c / np.maximum(u, 1), 1.0) for c, u in terms)
+        dist = apart(group, *rows) + wired if parts else wired
+        low, high = np.minimum(one[:, None], two[None, :]), np.maximum(one[:, None], two[None, :])
+        if group.column("i")[0] == group.column("j")[0]:  # a block with itself has each pair twice and every cell with itself
+            kept = one[:, None] < two[None, :]
+            return pa.table({"a": low[kept], "b": high[kept], "dist": dist[kept]})
+        return pa.table({"a": low.ravel(), "b": high.ravel(), "dist": dist.ravel()})
 
-    tasks = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = ids.schema["cell"].dataType.simpleString()
     return rows.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(run, f"a {kind}, b {kind}, dist double")
 

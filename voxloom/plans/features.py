@@ -193,7 +193,7 @@ DISTANCE = f"""{MARK}, sx AS (SELECT cell, comp, CAST(sum(CAST(round(abs(size),
     fd AS (SELECT a, b, CASE WHEN x IS NULL AND y IS NULL THEN 1000 ELSE (coalesce(x, 0) + coalesce(y, 0)) / ((x IS NOT NULL)::INT + (y IS NOT NULL)::INT) END AS dist FROM pr)"""
 
 
-def _distance(spark, d):
+def _parts(spark, d):
     from voxloom.session import read_table
 
     cells = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"))
@@ -202,7 +202,7 @@ def _distance(spark, d):
     for comp in ("axon", "dendrite"):
         part = s.where(F.col("comp") == comp).select("cell", F.array("mean_size", "sum_size").alias(comp))
         cells = cells.join(part, "cell", "left").withColumn(comp, F.coalesce(comp, F.array(F.lit(0.0), F.lit(0.0))))
-    return N.pairwise_distance(cells, ["axon", "dendrite"])
+    return cells
 
 
 def _six(dist):
@@ -211,7 +211,7 @@ def _six(dist):
 
 @query(f"WITH {DISTANCE} SELECT a, b, floor(dist * 1e6 + 0.5) / 1e6 AS dist FROM fd")
 def n18_pairwise_distance(spark, d):
-    return _distance(spark, d).withColumn("dist", _six(F.col("dist")))
+    return N.pairwise_distance(_parts(spark, d), ["axon", "dendrite"]).withColumn("dist", _six(F.col("dist")))
 
 
 @query(f"""WITH {DISTANCE}, mx AS (SELECT DISTINCT pre, post FROM o), i AS (SELECT post AS cell, pre AS partner FROM mx), u AS (SELECT pre AS cell, post AS partner FROM mx),
@@ -221,10 +221,8 @@ def n18_pairwise_distance(spark, d):
         FROM fd LEFT JOIN ic ON fd.a = ic.a AND fd.b = ic.b LEFT JOIN oc ON fd.a = oc.a AND fd.b = oc.b LEFT JOIN ni ia ON fd.a = ia.cell LEFT JOIN ni ib ON fd.b = ib.cell LEFT JOIN nn oa ON fd.a = oa.cell LEFT JOIN nn ob ON fd.b = ob.cell)
     SELECT a, b, floor((dist + (CASE WHEN ui > 0 THEN 1 - ci / ui ELSE 1 END + CASE WHEN uo > 0 THEN 1 - co / uo ELSE 1 END)) * 1e6 + 0.5) / 1e6 AS dist FROM t""")
 def n19_combined_distance(spark, d):
-    dist = _distance(spark, d)
-    cells = dist.select(F.explode(F.array("a", "b")).alias("cell")).distinct()
     matrix = _oriented(spark, d)[0].select("pre", "post").distinct()
-    return N.combined_distance(dist, W.wiring_distance(matrix, cells)).withColumn("dist", _six(F.col("dist")))
+    return N.combined_distance(_parts(spark, d), ["axon", "dendrite"], matrix).withColumn("dist", _six(F.col("dist")))
 
 
 @query(f"WITH {MARK}, st AS (SELECT cell, {STATS} FROM sd WHERE comp = 'axon' GROUP BY cell), ty AS (SELECT DISTINCT cell_1 AS cell, ct_1 AS cell_type FROM synapses UNION SELECT DISTINCT cell_2, ct_2 FROM synapses) SELECT st.cell, cell_type, round(CASE WHEN n_syn > 15 THEN mean_size ELSE 0 END, 6) AS mean_size FROM st JOIN ty ON st.cell = ty.cell")
