@@ -557,13 +557,14 @@ def empty_spaces(coords: DataFrame, vertices: DataFrame, edge: float) -> DataFra
         reach = reach.select("*", F.explode(F.sequence(cell(F.col(f"{c}_a") - half), cell(F.col(f"{c}_a") + half))).alias(f"g{c}"))
     vox = vertices.select(*[F.col(c).alias(f"{c}_b") for c in XYZ], *[cell(F.col(c)).alias(f"g{c}") for c in XYZ])
     ends = [f(f"{c}_b").alias(f"{n}_{c}") for c in XYZ for n, f in (("low", F.min), ("high", F.max))]
-    met = reach.join(vox.groupBy(*grid).agg(*ends), grid)
+    # a coordinate is many rows here, which no estimate of Spark's knows of: neither side may go through the driver
+    met = reach.join(vox.groupBy(*grid).agg(*ends).hint("merge"), grid)
     for c in XYZ:
         met = met.where((F.col(f"high_{c}") >= F.col(f"{c}_a") - half) & (F.col(f"low_{c}") < F.col(f"{c}_a") + half))
     inside = [(F.col(f"low_{c}") >= F.col(f"{c}_a") - half) & (F.col(f"high_{c}") < F.col(f"{c}_a") + half) for c in XYZ]
     met = cut(met.select("id", *[f"{c}_a" for c in XYZ], *grid, (inside[0] & inside[1] & inside[2]).alias("sure")))
     full = met.where("sure").select("id").distinct()
-    hit = met.join(full, "id", "left_anti").join(vox, grid)
+    hit = met.join(full.hint("merge"), "id", "left_anti").join(vox.hint("merge"), grid)
     for c in XYZ:
         hit = hit.where((F.col(f"{c}_b") >= F.col(f"{c}_a") - half) & (F.col(f"{c}_b") < F.col(f"{c}_a") + half))
-    return coords.join(full.unionByName(hit.select("id").distinct()), "id", "left_anti")
+    return coords.join(full.unionByName(hit.select("id").distinct()).hint("merge"), "id", "left_anti")
