@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.clusters import clusters
 from voxloom.operators.components import graph_components
-from voxloom.operators.spatial import k_nearest_anywhere, nearest_of_set
+from voxloom.operators.spatial import k_nearest_anywhere
 from voxloom.session import cut
 
 XYZ = ("x", "y", "z")
@@ -135,25 +137,124 @@ def sign(sym: Column, asym: Column, limit: float = SYM_RATIO) -> tuple[Column, C
     return ratio, F.when(ratio > limit, -1).otherwise(1)
 
 
-def proximity(synapses: DataFrame, voxels: DataFrame, objects: DataFrame, vertices: DataFrame, prefilter: float, near: float, fine: int = 2) -> DataFrame:
+#: Distances that a task works on at a time in :func:`proximity`.
+DISTANCES = 200_000
+
+
+def proximity(synapses: DataFrame, voxels: DataFrame, objects: DataFrame, vertices: DataFrame, prefilter: float, near: float) -> DataFrame:
     """Per synapse and partner: close objects, voxels they contribute, smallest distance (1e12 without any).
 
     ``synapses`` has syn_id, cell_id (a row a partner) and the representative coordinate, ``voxels(syn_id, x, y, z)``
     all their voxels; objects are of the same cell, and within ``prefilter`` of the representative. A vertex is close
     if the nearest voxel of the synapse is less than ``near`` away; an object's voxels count by the share of its
     vertices that are close. A synapse without voxels has no close vertex.
+
+    A synapse with its voxels and an object with its vertices are a row each. Synapses whose corners or representative are too far from all
+    that their partner has are left out; the others go to the partner's objects. A task reads a cell's objects first and
+    then its synapses as they come, so that it holds the objects of one cell; a few cells are split over the tasks by synapse.
     """
-    measured = objects.select("obj_id", "cell_id", "size", *[F.col(c).alias(f"o{c}") for c in XYZ])
-    counted = vertices.groupBy("obj_id").agg(F.count("*").alias("n_vertices"))
-    places = vertices.groupBy("obj_id", *XYZ).agg(F.count("*").alias("n"))  # vertices on one place count each
-    # what is asked of an object later goes with its points, so that what is found is dealt by synapse and not moved again
-    points = places.join(counted, "obj_id").join(measured, "obj_id").select("*", F.struct("obj_id", "size", "n_vertices", "n", *XYZ).alias("id")).drop("size", "n_vertices", "n", "obj_id")
-    rep = synapses.select("syn_id", "cell_id", *[F.col(c).alias(f"s{c}") for c in XYZ])
-    far = F.sqrt(sum((F.col(f"o{c}") - F.col(f"s{c}")) ** 2 for c in XYZ)) > prefilter
-    best = nearest_of_set(voxels.withColumnRenamed("syn_id", "set_id"), points, near, fine, members=rep.withColumnRenamed("syn_id", "set_id"), on=["cell_id"], unless=far)
-    per = best.groupBy("set_id", "cell_id", *[F.col(f"id.{c}").alias(c) for c in ("obj_id", "size", "n_vertices")]).agg(F.sum("id.n").alias("n_close"), F.min("dist").alias("d"))
-    got = per.groupBy(F.col("set_id").alias("syn_id"), "cell_id").agg(F.count_if(F.col("size") > 0).alias("n_objects"), F.sum(F.col("n_close") / F.col("n_vertices") * F.col("size")).alias("voxels"), F.min("d").alias("min_dist"))
-    return synapses.select("syn_id", "cell_id").join(got, ["syn_id", "cell_id"], "left").select(
+    tasks = int(synapses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists, at = [f"{c}s" for c in XYZ], [F.col(c).cast("double").alias(c) for c in XYZ]
+    known = voxels.select("syn_id", *at).where(" and ".join(f"abs({c}) < double('infinity')" for c in XYZ))
+    corners = known.groupBy("syn_id").agg(*[f(c).alias(f"{n}{c}") for c in XYZ for n, f in (("min_", F.min), ("max_", F.max))])
+    asked = synapses.select("syn_id", "cell_id", *at).dropDuplicates(["syn_id", "cell_id"]).join(corners.hint("merge"), "syn_id")
+    # a vertex without a coordinate counts and is never close
+    drawn = vertices.groupBy("obj_id").agg(*[F.collect_list(F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))).alias(f"{c}s") for c in XYZ])
+    held = objects.select("obj_id", "cell_id", F.col("size").cast("double").alias("size"), *at).join(drawn.hint("merge"), "obj_id").drop("obj_id")
+    finite = lambda c: F.filter(c, lambda v: ~F.isnan(v))
+    corner = [e.alias(n) for c in XYZ for n, e in ((f"low_{c}", F.min(c)), (f"high_{c}", F.max(c)), (f"first_{c}", F.min(F.array_min(finite(f"{c}s")))), (f"last_{c}", F.max(F.array_max(finite(f"{c}s")))))]
+    box = cut(held.groupBy("cell_id").agg(*corner))
+    pieces = -(-4 * tasks // max(box.count(), 1))
+    apart = lambda a, b, c, d: F.greatest(a - d, c - b, F.lit(0.0)) ** 2
+    reach = asked.join(box, "cell_id")
+    far = sum(apart(F.col(c), F.col(c), F.col(f"low_{c}"), F.col(f"high_{c}")) for c in XYZ)
+    away = sum(apart(F.col(f"min_{c}"), F.col(f"max_{c}"), F.col(f"first_{c}"), F.col(f"last_{c}")) for c in XYZ)
+    reach = cut(reach.where((far <= prefilter**2 * (1 + 1e-9)) & (away < near**2 * (1 + 1e-9))).select("syn_id", "cell_id", *XYZ))
+    sets = known.join(reach.select("syn_id").hint("shuffle_hash"), "syn_id", "left_semi").groupBy("syn_id").agg(*[F.collect_list(c).alias(f"{c}s") for c in XYZ])
+    reach = reach.join(sets.hint("merge"), "syn_id")
+    kinds = {f.name: f.dataType for f in synapses.schema}
+    names = ["cell_id", "piece", "kind", "syn_id", "size", *XYZ, *lists]
+    rows = held.withColumns({"piece": F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))), "kind": F.lit(0), "syn_id": F.lit(None).cast(kinds["syn_id"])}).withColumn("cell_id", F.col("cell_id").cast(kinds["cell_id"])).select(names)
+    rows = rows.unionByName(reach.withColumns({"piece": F.pmod(F.xxhash64("syn_id"), F.lit(pieces)).cast("int"), "kind": F.lit(1), "size": F.lit(None).cast("double")}).select(names))
+    rows = rows.repartition(tasks, "cell_id", "piece").sortWithinPartitions("cell_id", "piece", "kind")
+
+    def places(batch):
+        """Row numbers, first places and numbers of places of the rows, and all their places."""
+        column = batch.column("xs")
+        start = np.asarray(column.offsets, np.int64)
+        return start[:-1] - start[0], np.diff(start), [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in lists]
+
+    def middle(batch):
+        return [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in XYZ]
+
+    def objects_of(batches):
+        size = np.concatenate([b.column("size").fill_null(0).to_numpy(zero_copy_only=False) for b in batches])
+        found = [places(b) for b in batches]
+        count = np.concatenate([n for _, n, _ in found])
+        ends = [np.concatenate(e) for e in zip(*[v for *_, v in found])]
+        return [np.concatenate(m) for m in zip(*map(middle, batches))], size, count, np.repeat(np.arange(len(count)), count), ends
+
+    def measure(objs, batch):
+        centre, size, drawn, owner, ends = objs
+        first, many, flat = places(batch)
+        mine = middle(batch)
+        s0, parts = 0, []
+        step = max(1, DISTANCES // max(len(owner), 1))
+        while s0 < len(first):
+            rows = slice(s0, s0 + step)
+            start, count = first[rows], many[rows]
+            n, inside = len(start), slice(start[0], start[-1] + count[-1])
+            wide = sum(np.square(centre[k][None, :] - mine[k][rows, None]) for k in range(3))
+            low, high = ([f.reduceat(v[inside], start - start[0]) for v in flat] for f in (np.minimum, np.maximum))
+            out = sum(np.square(np.maximum(np.maximum(low[k][:, None] - ends[k][None, :], ends[k][None, :] - high[k][:, None]), 0)) for k in range(3))
+            s, v = np.nonzero((out < near**2 * (1 + 1e-9)) & (np.sqrt(wide) <= prefilter)[:, owner])
+            dist, total = np.empty(len(s)), np.cumsum(count[s])
+            p = 0
+            while p < len(s):
+                q = max(p + 1, int(np.searchsorted(total, (total[p - 1] if p else 0) + DISTANCES, side="right")))
+                each = count[s[p:q]]
+                begin = np.cumsum(each) - each
+                place = np.arange(each.sum()) + np.repeat(start[s[p:q]] - begin, each)
+                d = np.zeros(len(place))
+                for k in range(3):
+                    by = flat[k][place]
+                    by -= np.repeat(ends[k][v[p:q]], each)
+                    by *= by
+                    d += by
+                dist[p:q] = np.sqrt(np.minimum.reduceat(d, begin))
+                p = q
+            close = dist < near
+            s, v, dist = s[close], v[close], dist[close]
+            seen = np.bincount(s * len(drawn) + owner[v], minlength=n * len(drawn)).reshape(n, len(drawn))
+            least = np.full(n, np.inf)
+            np.minimum.at(least, s, dist)
+            share = np.where(seen > 0, seen / np.maximum(drawn, 1) * size, 0.0)
+            hit = np.flatnonzero(np.isfinite(least))
+            parts.append((hit + s0, ((seen > 0) & (size > 0)).sum(1)[hit], share.sum(1)[hit], least[hit]))
+            s0 += step
+        row, n_objects, share, least = (np.concatenate(c) for c in zip(*parts))
+        picked = [batch.column(c).take(pa.array(row)) for c in ("syn_id", "cell_id")]
+        return pa.RecordBatch.from_arrays([*picked, pa.array(n_objects, pa.int64()), pa.array(share), pa.array(least)], names=["syn_id", "cell_id", "n_objects", "voxels", "min_dist"])
+
+    def run(batches):
+        key, seen, objs = None, [], None
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("cell_id", "piece", "kind")]))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if keys[a][:2] != key:
+                    key, seen, objs = keys[a][:2], [], None
+                part = batch.slice(a, b - a)
+                if keys[a][2] == 0:
+                    seen.append(part)
+                elif seen:
+                    objs = objs or objects_of(seen)
+                    yield measure(objs, part)
+
+    got = rows.mapInArrow(run, f"syn_id {kinds['syn_id'].simpleString()}, cell_id {kinds['cell_id'].simpleString()}, n_objects long, voxels double, min_dist double")
+    return synapses.select("syn_id", "cell_id").join(got.hint("merge"), ["syn_id", "cell_id"], "left").select(
         "syn_id", "cell_id", F.coalesce("n_objects", F.lit(0)).alias("n_objects"), F.coalesce("voxels", F.lit(0.0)).alias("voxels"), F.coalesce("min_dist", F.lit(1e12)).alias("min_dist")
     )
 
