@@ -178,7 +178,7 @@ def pairwise_distance(vectors: DataFrame, parts: list[str], key: str = "cell") -
 
     def side(s: str, i: Column, j: Column) -> DataFrame:
         values = [F.get(p, F.lit(k)).cast("double").alias(f"{p}_{k}_{s}") for p, w in zip(parts, wide) for k in range(w)]
-        sizes = [F.size(p).alias(f"{p}_size_{s}") for p in parts]
+        sizes = [F.size(p).alias(f"{p}_size_{s}") for p, w, m in zip(parts, wide, least) if m < w]
         flat = vectors.select(F.col(key).alias(s), *sizes, *[some(p).alias(f"{p}_{s}") for p in parts], *values, own.alias("own"))
         return flat.withColumn("i", i).withColumn("j", j).drop("own").repartition(tasks, "i", "j")
 
